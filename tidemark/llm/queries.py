@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, linededup, mixing, quality, sharding, simhash, tokenids
+from tidemark.llm import chat, decontam, katz, linededup, mixing, quality, sharding, simhash, tokenids, toxicity
 from tidemark.llm.common import table
 
 
@@ -19,6 +19,11 @@ def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op3_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % 10 == 0
+    return katz.score(table(spark, sf_dir, "documents"), held_out)
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenids.read(spark, tokenids.write(table(spark, sf_dir, "documents")))
 
@@ -27,6 +32,10 @@ def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.strip_lines(table(spark, sf_dir, "documents")).select("doc_id", "text", "n_lines", "n_removed")
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"))
 
@@ -52,8 +61,8 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
-        op1_quality_rules, op2_benchmark_decontamination, op4_token_ids, op5_line_dedup,
-        op7_sharding, op8_chat_formatting, op9_mixing, op10_simhash,
+        op1_quality_rules, op2_benchmark_decontamination, op3_katz_backoff, op4_token_ids, op5_line_dedup,
+        op6_toxicity, op7_sharding, op8_chat_formatting, op9_mixing, op10_simhash,
     )
 }
 ORACLES: dict[str, str] = {}
