@@ -1,10 +1,8 @@
-"""Registered queries of the engine and, where SQL can say the same, their DuckDB twins."""
+"""All registered queries of the engine; importing the plan modules fills the register."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tidemark.plans import alarms, models, tables  # noqa: F401
+from tidemark.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
