@@ -3,7 +3,7 @@
 P(w | v) = d(c) c(v, w) / c(v) where the pair was seen c times, else alpha(v) P(w); P(w) is Good-Turing
 discounted too, what it frees being the probability of an unknown word. alpha(v) is what the discounts
 of v free, over what the words not seen after v have in P: every distribution sums to one exactly.
-Discounts are Katz's, d(r) for r <= CUTOFF from counts of counts, absolute ones where those are unfit.
+Discounts are Katz's Good-Turing ones, d(r) for r <= CUTOFF, from counts of counts (`discounts`).
 
 Counting works on blocks of documents, which the reading tasks make as they go. A block sends each word
 (with its count in the block) to the word's bucket and gets back the word's number and count in the
@@ -152,14 +152,17 @@ def _tally(counts) -> list[float]:
 
 
 def discounts(of_counts: list[float]) -> list[float]:
-    """d(1) .. d(CUTOFF) from the number of types of counts 1 .. CUTOFF + 1."""
+    """d(1) .. d(CUTOFF) from the number of types of counts 1 .. CUTOFF + 1.
+
+    Katz's formula up to the largest cutoff at which every discount lies between 0 and 1; counts above it
+    are not discounted. Where no cutoff fits (few texts), half a count is taken off each."""
     n = of_counts
-    if all(x > 0 for x in n):
-        over = (CUTOFF + 1) * n[CUTOFF] / n[0]
-        if over < 1:
-            d = [((r + 1) * n[r] / (r * n[r - 1]) - over) / (1 - over) for r in range(1, CUTOFF + 1)]
-            if all(0 < x < 1 for x in d):
-                return d
+    for k in range(CUTOFF, 1, -1):
+        if min(n[: k + 1]) <= 0 or (over := (k + 1) * n[k] / n[0]) >= 1:
+            continue
+        d = [((r + 1) * n[r] / (r * n[r - 1]) - over) / (1 - over) for r in range(1, k + 1)]
+        if all(0 < x < 1 for x in d):
+            return d + [1.0] * (CUTOFF - k)
     return [(r - 0.5) / r for r in range(1, CUTOFF + 1)]
 
 
