@@ -177,7 +177,7 @@ def chain_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     pick = share.filter(split_of(F.col("sequence_id")) == "train").orderBy(F.sha2("sequence_id", 256)).limit(80)
     rows = frames.join(pick, "sequence_id").groupBy("sequence_id", "share").agg(F.array_sort(F.collect_list(F.struct("timestamp", "sample_id", "z"))).alias("f")).collect()
     cut = np.median([r["share"] for r in rows])
-    sides = [[np.array([x["z"] for x in r["f"]]) for r in rows if (r["share"] > cut) is hot] for hot in (True, False)]
+    sides = [[np.array([x["z"] for x in r["f"]]) for r in rows if bool(r["share"] > cut) == hot] for hot in (True, False)]
     models = {arm: tuple(density.fit_chain(s, 1, arm == "chain", steps=8) for s in sides) for arm in ("mixture", "chain")}
     return density.chain_likelihood(frames, models)
 

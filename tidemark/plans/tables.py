@@ -84,9 +84,9 @@ def id_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joins.overlap(pick("F"), pick("O"), "id")
 
 
-@query("SELECT DISTINCT l_shipmode, l_returnflag FROM lineitem")
+@query("SELECT DISTINCT l_linestatus, l_returnflag FROM lineitem")
 def distinct_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "lineitem").select("l_shipmode", "l_returnflag").dropDuplicates()
+    return read_table(spark, sf_dir, "lineitem").select("l_linestatus", "l_returnflag").dropDuplicates()
 
 
 @query(f"""WITH {_LABELLED}, s AS (SELECT n_chars, sum(toxic) AS pos, count(*) - sum(toxic) AS neg FROM labelled GROUP BY n_chars),
@@ -146,11 +146,11 @@ def spearman_price_quantity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.spearman(rows, "a", "b").select(F.round("spearman", 9).alias("spearman"), "n")
 
 
-@query("""SELECT l_shipmode, l_returnflag, count(*) AS n, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 9) AS rate
-    FROM lineitem GROUP BY GROUPING SETS ((l_shipmode, l_returnflag), (l_shipmode), ())""")
+@query("""SELECT l_linestatus, l_returnflag, count(*) AS n, CAST(sum(CASE WHEN l_discount > 0.05 THEN 1 ELSE 0 END) AS BIGINT) AS hits, round(avg(CASE WHEN l_discount > 0.05 THEN 1.0 ELSE 0.0 END), 9) AS rate
+    FROM lineitem GROUP BY GROUPING SETS ((l_linestatus, l_returnflag), (l_linestatus), ())""")
 def strata_grouping_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.strata_rates(read_table(spark, sf_dir, "lineitem"), F.col("l_discount") > 0.05, [["l_shipmode", "l_returnflag"], ["l_shipmode"], []])
-    return out.select("l_shipmode", "l_returnflag", "n", "hits", F.round("rate", 9).alias("rate"))
+    out = metrics.strata_rates(read_table(spark, sf_dir, "lineitem"), F.col("l_discount") > 0.05, [["l_linestatus", "l_returnflag"], ["l_linestatus"], []])
+    return out.select("l_linestatus", "l_returnflag", "n", "hits", F.round("rate", 9).alias("rate"))
 
 
 @query("""SELECT half_open, right_closed, count(*) AS n FROM (SELECT CASE WHEN l_quantity >= 0 AND l_quantity < 10 THEN 0 WHEN l_quantity >= 10 AND l_quantity < 25 THEN 1 WHEN l_quantity >= 25 AND l_quantity <= 50 THEN 2 END AS half_open,
@@ -167,10 +167,10 @@ def price_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.histogram(read_table(spark, sf_dir, "lineitem"), "l_extendedprice", 12)
 
 
-@query("""SELECT l_shipmode, round(exp(avg(ln(l_extendedprice))), 4) AS geometric_mean, CAST(floor(avg(log10(l_extendedprice))) AS INTEGER) AS decade FROM lineitem GROUP BY l_shipmode""")
+@query("""SELECT l_linestatus, round(exp(avg(ln(l_extendedprice))), 4) AS geometric_mean, CAST(floor(avg(log10(l_extendedprice))) AS INTEGER) AS decade FROM lineitem GROUP BY l_linestatus""")
 def geometric_mean_decade(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.log_mean_decade(read_table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_shipmode"])
-    return out.select("l_shipmode", F.round("geometric_mean", 4).alias("geometric_mean"), "decade")
+    out = metrics.log_mean_decade(read_table(spark, sf_dir, "lineitem"), "l_extendedprice", ["l_linestatus"])
+    return out.select("l_linestatus", F.round("geometric_mean", 4).alias("geometric_mean"), "decade")
 
 
 @query("""WITH s AS (SELECT c_nationkey, avg(c_acctbal) AS a FROM customer GROUP BY 1) SELECT c_nationkey, round(a - lag(a) OVER (ORDER BY c_nationkey), 6) AS step,
@@ -270,13 +270,13 @@ def top_refs_by_sha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranked.filter("place <= 5").select("label", "vec_id", F.col("place").cast("long").alias("place"))
 
 
-@query("""WITH m AS (SELECT l_orderkey, l_shipmode, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), p AS (SELECT l_orderkey, l_shipmode, q / sum(q) OVER (PARTITION BY l_orderkey) AS w FROM m)
-    SELECT l_orderkey, round(-sum(least(greatest(w, 1e-12), 1.0) * ln(least(greatest(w, 1e-12), 1.0))), 9) AS entropy, arg_max(l_shipmode, (w, l_shipmode)) AS dominant FROM p GROUP BY l_orderkey""")
+@query("""WITH m AS (SELECT l_orderkey, l_linestatus, sum(l_quantity) AS q FROM lineitem GROUP BY ALL), p AS (SELECT l_orderkey, l_linestatus, q / sum(q) OVER (PARTITION BY l_orderkey) AS w FROM m)
+    SELECT l_orderkey, round(-sum(least(greatest(w, 1e-12), 1.0) * ln(least(greatest(w, 1e-12), 1.0))), 9) AS entropy, arg_max(l_linestatus, (w, l_linestatus)) AS dominant FROM p GROUP BY l_orderkey""")
 def entropy_and_dominant(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entropy of the mix of an order, and its dominant component; ties go to the last name."""
-    mix = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_shipmode").agg(F.sum("l_quantity").alias("q"))
-    rows = mix.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_shipmode", "q")), asc=False).alias("parts"), F.sum("q").alias("total"))
-    names, weights = F.transform("parts", lambda p: p["l_shipmode"]), F.transform("parts", lambda p: p["q"] / F.col("total"))
+    mix = read_table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linestatus").agg(F.sum("l_quantity").alias("q"))
+    rows = mix.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.struct("l_linestatus", "q")), asc=False).alias("parts"), F.sum("q").alias("total"))
+    names, weights = F.transform("parts", lambda p: p["l_linestatus"]), F.transform("parts", lambda p: p["q"] / F.col("total"))
     held = rows.select("l_orderkey", names.alias("names"), weights.alias("weights"))
     return held.select("l_orderkey", F.round(scalars.entropy(F.col("weights")), 9).alias("entropy"), scalars.dominant(F.col("names"), F.col("weights")).alias("dominant"))
 
