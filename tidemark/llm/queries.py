@@ -65,4 +65,32 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op6_toxicity, op7_sharding, op8_chat_formatting, op9_mixing, op10_simhash,
     )
 }
-ORACLES: dict[str, str] = {}
+
+_WHITE = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+#: How SQL escapes: a backslash is doubled, then put behind the first character of each control string.
+_ESCAPES = ("<|", "<\\|"), ("</s>", "<\\/s>"), ("<s>", "<\\s>"), ("[INST]", "[\\INST]"), ("[/INST]", "[\\/INST]"), ("<<SYS>>", "<\\<SYS>>"), ("<</SYS>>", "<\\</SYS>>")
+
+
+def _escaped(column: str) -> str:
+    out = f"replace({column}, '\\', '\\\\')"
+    for a, b in _ESCAPES:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+ORACLES: dict[str, str] = {
+    "op5_line_dedup": f"""WITH lines AS (SELECT doc_id, row_number() OVER () AS k, source, string_split(text, chr(10)) AS all_lines FROM documents),
+        each AS (SELECT k, source, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS place FROM lines),
+        bad AS (SELECT trim(line, {_WHITE}) AS line FROM each WHERE trim(line, {_WHITE}) <> '' GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(1))) >= {linededup.SPREAD}),
+        kept AS (SELECT k, string_agg(e.line, chr(10) ORDER BY place) AS text, count(*) AS n FROM each e WHERE trim(e.line, {_WHITE}) NOT IN (SELECT line FROM bad) GROUP BY k)
+        SELECT doc_id, CASE WHEN all_lines IS NOT NULL THEN coalesce(kept.text, '') END AS text, CAST(coalesce(len(all_lines), 0) AS BIGINT) AS n_lines,
+        CAST(coalesce(len(all_lines), 0) - coalesce(n, 0) AS BIGINT) AS n_removed FROM lines LEFT JOIN kept USING (k)""",
+    "op8_chat_formatting": f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+          UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        placed AS (SELECT *, length({_escaped("role")}) + length({_escaped("text")}) + {len(chat.TURN + chat.SAYS + chat.END)} AS shown,
+          row_number() OVER w AS n, count(*) OVER (PARTITION BY conv_id) AS last FROM turns WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text)),
+        grown AS (SELECT *, sum(shown) OVER (PARTITION BY conv_id ORDER BY n) AS so_far FROM placed)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY n)) AS turns_sha256,
+        CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY n) FILTER (role = 'assistant'), '')) AS loss_sha256,
+        CAST(sum(so_far) FILTER (role = 'assistant' OR n = last) AS BIGINT) AS formatted_chars FROM grown GROUP BY conv_id""",
+}
