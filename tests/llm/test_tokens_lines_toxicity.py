@@ -77,7 +77,7 @@ def test_lines_equal_brute_force(spark):
     common = [prose(rng, 60) for _ in range(20)]
     rows = []
     for i in range(400):
-        lines = [prose(rng, 6) for _ in range(3)] + [common[k] + rng.choice(["", " ", "\t"]) for k in range(20) if rng.random() < 0.05 and i % 20 <= k] + rng.choice([[], ["", " "]])
+        lines = [prose(rng, 6) for _ in range(3)] + [common[k] + rng.choice(["", " ", "\t"]) for k in range(20) if rng.random() < 0.3 and i % 20 <= k] + rng.choice([[], ["", " "]])
         rng.shuffle(lines)
         rows.append((i, "\n".join(lines), f"site{i % 20}"))
     for spread in (3, 8, 19):

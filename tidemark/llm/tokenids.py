@@ -18,6 +18,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from unicodedata import is_normalized
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -25,8 +26,11 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import drop, materialize, shared_dir, shuffle_width, text_bytes
 
 END_ID = 2
-#: Words whose ids a worker remembers.
+#: Words whose ids a worker remembers, in each of two generations.
 REMEMBERED = 600_000
+#: Bytes of text worked off at a time.
+CHUNK = 1 << 17
+_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
 _memory: dict = {}
 
 
@@ -38,33 +42,61 @@ def vocabulary_path() -> str:
 
 class Encoder:
     """The tokenizer behind a memory of words. Neither its normalisation nor its splitting looks across
-    ASCII white space, so the ids of a text are those of its words in order."""
+    ASCII white space, so the ids of a text are those of its words in order. The memory has two
+    generations of REMEMBERED words; when the newer is full, the older is forgotten."""
 
     def __init__(self, path: str) -> None:
+        import numpy as np
+
         if path not in _memory:
             from tokenizers import Tokenizer
 
             _memory.clear()
-            _memory[path] = (Tokenizer.from_file(path), {})
-        self.tokenizer, self.known = _memory[path]
-        self.marks = {m: _packed(self.tokenizer.encode(m.decode(), add_special_tokens=False).ids) for m in (b".", b",")}
-
-    def _learn(self, fresh: list[bytes]) -> None:
-        """Ids of words not yet known. A word's only final `.` or `,` is a token of its own, and ASCII
-        case does not matter, so it is stems that are encoded."""
-        stems = {w: self._stem(w) for w in fresh}
-        new = list({s for s, _ in stems.values()}.difference(self.known))
-        ids = self.tokenizer.encode_batch_fast([s.decode() for s in new], add_special_tokens=False)
-        self.known.update((s, _packed(e.ids)) for s, e in zip(new, ids))
-        for w, (s, mark) in stems.items():
-            self.known[w] = self.known[s] + (self.marks[mark] if mark else b"")
-
-    def _stem(self, w: bytes) -> tuple[bytes, bytes]:
-        if not w.isascii() or b"<|" in w:
-            return w, b""
-        if w[-1:] in self.marks and w[-2:-1].isalnum():
-            return w[:-1].lower(), w[-1:]
-        return w.lower(), b""
+            tokenizer = Tokenizer.from_file(path)
+            ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
+            ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+            _memory[path] = [tokenizer, ends, {}, {}]
+        self.tokenizer, self.ends, self.known, self.old = self.kept = _memory[path]
+
+    def _learn(self, fresh: set[bytes]) -> None:
+        """Ids of words not yet known. Punctuation at a word's end is a token run of its own behind a
+        letter or digit, and case does not matter, so it is stems and ends that are encoded."""
+        known, old = self.known, self.old
+        stems, new = [], set()
+        for w in fresh:
+            if (ids := old.get(w)) is not None:
+                known[w] = ids
+                continue
+            s, end = _stem(w)
+            stems.append((w, s, end))
+            new.add(s)
+            if end:
+                new.add(end)
+        new = [s for s in new if s not in known]
+        plain = [s for s in new if s.isalpha() or not s.isascii() and _is_plain(s.decode())]
+        if not self._learn_joined(plain):
+            plain = []
+        if len(plain) < len(new):
+            rest = list(set(new).difference(plain))
+            ids = self.tokenizer.encode_batch_fast([s.decode() for s in rest], add_special_tokens=False)
+            known.update((s, _packed(e.ids)) for s, e in zip(rest, ids))
+        for w, s, end in stems:
+            known[w] = known[s] + known[end] if end else known[s]
+
+    def _learn_joined(self, words: list[bytes]) -> bool:
+        """Words of letters alone, all in one text: each is one run for the tokenizer, and its last token
+        alone is one that ends a word. False if the ends do not come out as many as the words."""
+        import numpy as np
+
+        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
+        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist() if len(ids) else []
+        if len(cuts) != len(words):
+            return False
+        flat, known, at = ids.tobytes(), self.known, 0
+        for w, cut in zip(words, cuts):
+            known[w] = flat[at:cut]
+            at = cut
+        return True
 
     def encode(self, texts: list[bytes]) -> list:
         """Arrays of ids, the end id last."""
@@ -72,7 +104,7 @@ class Encoder:
         for t in texts:
             held.append(t)
             size += len(t)
-            if size > 1 << 20:
+            if size > CHUNK:
                 out += self._encode(held)
                 held, size = [], 0
         return out + self._encode(held)
@@ -81,11 +113,34 @@ class Encoder:
         import numpy as np
 
         if len(self.known) > REMEMBERED:
-            self.known.clear()
+            self.kept[2:] = {}, self.known
+            self.known, self.old = self.kept[2:]
+        get = self.known.get
         split = [t.split() for t in texts]
-        self._learn([w for w in set().union(*split) if w not in self.known])
+        found = [[*map(get, w)] for w in split]
+        fresh = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
+        if fresh:
+            self._learn(fresh)
+            found = [[*map(get, w)] if None in ids else ids for w, ids in zip(split, found)]
         end = _packed([END_ID])
-        return [np.frombuffer(b"".join([*map(self.known.__getitem__, w), end]), np.uint32) for w in split]
+        return [np.frombuffer(b"".join(ids) + end, np.uint32) for ids in found]
+
+
+def _stem(w: bytes) -> tuple[bytes, bytes]:
+    """The word in lower case, as far as that is safe to say here, and the run of ASCII marks at its end."""
+    if b"<|" in w:
+        return w, b""
+    s = w.rstrip(_MARKS)
+    if w.isascii():
+        return (s.lower(), w[len(s) :]) if s[-1:].isalnum() else (w, b"")
+    text = s.decode()
+    if not text or not text[-1].isalnum():
+        return w, b""
+    return (text.lower().encode() if max(text) < "\u0250" else s), w[len(s) :]
+
+
+def _is_plain(text: str) -> bool:
+    return text.isalpha() and len(text.lower()) == len(text) and is_normalized("NFC", text)
 
 
 def _packed(ids) -> bytes:
@@ -99,28 +154,42 @@ def pack(ranks) -> tuple[bytes, bytes]:
     import numpy as np
 
     r = np.ascontiguousarray(ranks, "<u4")
-    more = (r >= 1 << 8).astype(np.uint8) + (r >= 1 << 16) + (r >= 1 << 24)
-    data = r.view(np.uint8).reshape(-1, 4)[np.arange(4) <= more[:, None]]
+    more = (r > 0xFF).astype(np.uint8)
+    if len(r) and int(r.max()) > 0xFFFF:
+        more += (r > 0xFFFF).view(np.uint8) + (r > 0xFFFFFF).view(np.uint8)
+        data = r.view(np.uint8).reshape(-1, 4)[np.arange(4, dtype=np.uint8) <= more[:, None]]
+    else:  # one byte or two, as for any vocabulary of 65,536 ids or fewer
+        held = np.ones((len(r), 2), bool)
+        held[:, 1] = more
+        data = r.astype("<u2").view(np.uint8)[held.ravel()]
     four = np.zeros(-(-len(r) // 4) * 4, np.uint8)
     four[: len(r)] = more
-    control = (four.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    return control.tobytes(), data.tobytes()
+    a, b, c, d = four.reshape(-1, 4).T
+    return (a | b << 2 | c << 4 | d << 6).tobytes(), data.tobytes()
 
 
 def _lengths():
+    """Bytes beyond the first of the four ranks of each control byte."""
     import numpy as np
 
     return (np.arange(256)[:, None] >> np.array([0, 2, 4, 6]) & 3).astype(np.uint8)
 
 
-def unpack(control: bytes, data: bytes, n: int):
-    """The n ranks behind control and data bytes."""
+def unpack(control: bytes, data: bytes, n: int, table=None):
+    """The n ranks behind control and data bytes. table: `_lengths()`, where many are unpacked."""
     import numpy as np
 
-    more = _lengths()[np.frombuffer(control, np.uint8)].ravel()[:n]
-    out = np.zeros((n, 4), np.uint8)
-    out[np.arange(4) <= more[:, None]] = np.frombuffer(data, np.uint8)
-    return out.view("<u4").ravel()
+    table = _lengths() if table is None else table
+    more = table[np.frombuffer(control, np.uint8)].ravel()[:n]
+    if not n or more.max() > 1:
+        out = np.zeros((n, 4), np.uint8)
+        out[np.arange(4, dtype=np.uint8) <= more[:, None]] = np.frombuffer(data, np.uint8)
+        return out.view("<u4").ravel()
+    held = np.ones((n, 2), bool)
+    held[:, 1] = more
+    out = np.zeros(2 * n, np.uint8)
+    out[held.ravel()] = np.frombuffer(data, np.uint8)
+    return out.view("<u2").astype("<u4")
 
 
 def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = None) -> str:
@@ -141,10 +210,11 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
             n = np.array([len(x) for x in ids], np.int64)
             starts = start + np.cumsum(n) - n
             start += int(n.sum())
-            seen, count = np.unique(np.concatenate(ids), return_counts=True) if ids else ([], [])
             tally = [None] * len(ids)
             if ids:
-                tally[0] = np.stack([seen, count]).astype("<u4").tobytes()
+                count = np.bincount(np.concatenate(ids))
+                seen = np.flatnonzero(count)
+                tally[0] = np.stack([seen, count[seen]]).astype("<u4").tobytes()
             small = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in ids]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([shard] * len(ids), pa.int32()), b.column("doc_id"), pa.array(starts), pa.array(n), pa.array(small, pa.binary()), pa.array(tally, pa.binary())],
@@ -196,15 +266,16 @@ def read(spark, path: str) -> DataFrame:
 
     table = spark.read.schema("shard int, doc_id long, start long, n_tokens long, control binary, data binary").parquet(f"{path}/data")
     rows = spark.read.schema("rank int, id int").parquet(f"{path}/vocabulary").collect()
-    ids_of = np.zeros(len(rows), np.uint32)
+    ids_of = np.zeros(len(rows), "<u4")
     for r in rows:
         ids_of[r["rank"]] = r["id"]
     shipped = spark.sparkContext.broadcast(ids_of)
 
     def decode(batches):
+        lengths = _lengths()
         for b in batches:
             crc = [
-                zlib.crc32(shipped.value[unpack(c, d, n)].astype("<u4").tobytes())
+                zlib.crc32(shipped.value[unpack(c, d, n, lengths)])
                 for c, d, n in zip(*(b.column(k).to_pylist() for k in ("control", "data", "n_tokens")))
             ]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in ("shard", "doc_id", "start", "n_tokens")), pa.array(crc, pa.int64())], names=["shard", "doc_id", "start", "n_tokens", "ids_crc32"])
