@@ -80,7 +80,7 @@ def unify_time(df: DataFrame) -> DataFrame:
         if n := df.filter(differ).count():
             raise ContractError(f"time columns disagree in {n} rows")
     time = F.coalesce(*[F.col(c).cast("double") for c in have])
-    return df.drop(*have).withColumn("timestamp", time)
+    return df.withColumn("__time", time).drop(*have).withColumnRenamed("__time", "timestamp")
 
 
 def common_types(df: DataFrame, ids: tuple[str, ...] = ("sequence_id", "sample_id"), alert: str = "transition_alert") -> DataFrame:
