@@ -109,3 +109,22 @@ def test_command_line_chain(spark, tmp_path):
     assert acts.count() == 300 and {r.action for r in acts.select("action").distinct().collect()} <= {"HOLD", "RESCAN", "CONFIRM"}
     main(["reports", "--in", p("act.parquet"), "--out", p("reports")], spark)
     assert "Operator report" in "\n".join(r.value for r in spark.read.text(p("reports/operator")).collect())
+
+
+def test_probes(spark):
+    import numpy as np
+
+    from tidemark.plans import probes
+
+    rows = {(r.sigma, r.gain): r for r in probes.recovery(spark, [0.0, 0.05], [0.0, 0.3], families=20).collect()}
+    assert rows[0.0, 0.0].rmse < 1e-9 and rows[0.0, 0.0].slope == pytest.approx(1) and rows[0.0, 0.0].invalid == 0
+    assert rows[0.0, 0.3].rmse > rows[0.05, 0.0].rmse / 10 and rows[0.05, 0.0].rmse < 0.3
+    assert {r.sigma: r.tolerated_gain for r in probes.tolerance(probes.recovery(spark, [0.0], [0.0, 0.01], families=10)).collect()}[0.0] >= 0.0
+    power = probes.detection_power(spark, [0.02, 2.0], families=30).cache()
+    assert {r.power for r in power.filter("dose = 2 AND detector = 'oracle'").collect()} == {1.0}
+    assert {r.detector: r.first_dose for r in probes.detection_limit(power).collect()}["oracle"] == 2.0
+    rng = np.random.default_rng(0)
+    assert 1 <= simulate.draw(rng, {"prior": "loguniform", "min": 1, "max": 2}) <= 2 and simulate.draw(rng, {"prior": "normal", "mean": 0, "std": 1, "min": 5}) == 5
+    mix = simulate.mixture(rng, ["a", "b", "c"], 2, 3, 1.0)
+    assert 2 <= len(mix) <= 3 and sum(mix.values()) == pytest.approx(1)
+    assert simulate.illumination(simulate.grid(), {"kind": "piecewise", "values": [1, 2, 4]}).max() == 1

@@ -196,3 +196,44 @@ def cp_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).filter("r < 12")
     cube = rows.select(F.col("label").cast("string").alias("family"), (F.col("r") / 3).cast("int").alias("frame"), (F.col("r") % 3).alias("block"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("spectrum"))
     return tensor.cp_by_family(cube, 2)
+
+
+@query()
+def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event metrics of four baselines on the same regime frames, by split."""
+    from tidemark.plans import experiment
+    from tidemark.sources.frames import event_frames
+
+    rows = experiment.run_arms(experiment.with_regimes(event_frames(spark, sf_dir)), experiment.baselines())
+    return rows.select("method", "split", "n_events", "fcr", "mcr", "toggle_rate", "suppression_efficiency")
+
+
+@query()
+def separability_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probes of risk and raw score by scenario and pooled."""
+    from tidemark.plans import audit
+
+    frames = alarms.regime_frames(spark, sf_dir).withColumn("hour", (F.col("timestamp") / 3600) % 24)
+    day = F.floor(F.col("timestamp") / 86400) % 2 == 0
+    return audit.probes(frames, ["risk_score", "hour"], day)
+
+
+@query()
+def ratio_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.plans import probes
+
+    return probes.recovery(spark, [0.02, 0.1], [0.0, 0.05, 0.2])
+
+
+@query()
+def detection_power(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.plans import probes
+
+    return probes.detection_power(spark, [0.05, 0.1, 0.2, 0.4])
+
+
+@query()
+def sequence_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.plans import audit
+
+    return audit.ground_truth(simulate.simulate(spark, SEQUENCES, episodes=True), F.col("latent_json"), F.col("mixture_json"), list(simulate.HAZARDS))

@@ -132,3 +132,34 @@ def simulate(spark: SparkSession, sequences: int, frames: int = 10, seed: int =
                 yield pd.DataFrame(list(sequence_rows(seed, int(i), frames, episodes)))
 
     return spark.range(sequences).mapInPandas(rows, SCHEMA)
+
+
+def draw(rng, prior: dict) -> float:
+    """One value of a prior: uniform, loguniform or normal."""
+    import math
+
+    kind = prior["prior"]
+    if kind == "uniform":
+        return float(rng.uniform(prior["min"], prior["max"]))
+    if kind == "loguniform":
+        return math.exp(rng.uniform(math.log(prior["min"]), math.log(prior["max"])))
+    if kind == "normal":
+        return float(min(max(rng.normal(prior["mean"], prior["std"]), prior.get("min", -math.inf)), prior.get("max", math.inf)))
+    raise ValueError(f"unknown prior {kind!r}")
+
+
+def mixture(rng, agents: list[str], least: int, most: int, alpha: float) -> dict[str, float]:
+    """Components drawn without replacement, with Dirichlet weights."""
+    own = [agents[i] for i in rng.choice(len(agents), int(rng.integers(least, most + 1)), replace=False)]
+    return dict(zip(own, rng.dirichlet([alpha] * len(own)).tolist()))
+
+
+def illumination(wavelengths, spec: dict):
+    """Black body, linear pieces over even knots, or a fixed curve; pieces and curves over their peak."""
+    import numpy as np
+
+    if spec["kind"] == "blackbody":
+        return planck(wavelengths, spec["kelvin"])
+    values = np.asarray(spec["values"], float)
+    curve = np.interp(wavelengths, np.linspace(wavelengths[0], wavelengths[-1], len(values)), values) if spec["kind"] == "piecewise" else values
+    return curve / max(curve.max(), 1e-12)
