@@ -39,7 +39,8 @@ def edge_docs(spark):
     """The edge rows with extra columns whose names the operators use inside."""
     from pyspark.sql import functions as F
 
-    return docs(spark, edge_rows()).withColumns({c: F.lit(f"extra {c}") for c in CLASHING})
+    extra = {c: F.lit(f"extra {c}") for c in CLASHING} | {"a.b c": F.lit(1), "m": F.create_map(F.lit("k"), F.lit(None).cast("string"))}
+    return docs(spark, edge_rows()).withColumns(extra)
 
 
 def empty_docs(spark):

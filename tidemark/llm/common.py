@@ -60,5 +60,15 @@ def text_bytes(column) -> list[bytes]:
     return [b"" if x is None else x for x in column.cast(kind).to_pylist()]
 
 
+def as_columns(df: DataFrame) -> list:
+    """The columns of df, whatever is in their names."""
+    return [F.col(f"`{c.replace('`', '``')}`") for c in df.columns]
+
+
+def hashable(df: DataFrame) -> list:
+    """The same for hashing: maps, which have no hash, as JSON."""
+    return [F.to_json(F.struct(c)) if "map<" in f.dataType.simpleString() else c for c, f in zip(as_columns(df), df.schema.fields)]
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -237,6 +237,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFrame:
     """The documents that hold no item, in one pass without a shuffle for each block of items."""
+    names = docs.columns
+    at = names.index("text")
+    docs = docs.toDF(*[f"c{i}" for i in range(len(names))])  # Arrow maps don't take every name
     for items in _blocks(benchmark):
 
         def clean(batches, items=items):
@@ -244,7 +247,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) ->
 
             finder = Finder(items, rate)
             for b in batches:
-                yield b.filter(pa.array([not found for found in finder.search(b.column("text").to_pylist())], pa.bool_()))
+                yield b.filter(pa.array([not found for found in finder.search(b.column(at).to_pylist())], pa.bool_()))
 
         docs = docs.mapInArrow(clean, docs.schema)
-    return docs
+    return docs.toDF(*names)

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WHITE, materialize
+from tidemark.llm.common import WHITE, as_columns, hashable, materialize
 
 SPREAD = 8
 #: Log2 of a sketch's registers, and the relative band around the threshold that is counted exactly:
@@ -51,13 +51,13 @@ def strip_lines(docs: DataFrame, site: str = "source", spread: int = SPREAD) ->
     Lines that go are found per document as positions, so whole texts are moved once at most: documents
     without such a line keep their text untouched, others are met by their list of positions."""
     known = boilerplate(docs, site, spread).select("h", "g")
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("a"), F.hash(*docs.columns).alias("b"))
-    lines = docs.select(F.xxhash64(*docs.columns).alias("a"), F.hash(*docs.columns).alias("b"), F.posexplode(_keys(F.col("text"))).alias("at", "key"))
+    own = docs.select(F.struct(*as_columns(docs)).alias("row"), F.xxhash64(*hashable(docs)).alias("a"), F.hash(*hashable(docs)).alias("b"))
+    lines = docs.select(F.xxhash64(*hashable(docs)).alias("a"), F.hash(*hashable(docs)).alias("b"), F.posexplode(_keys(F.col("text"))).alias("at", "key"))
     lines = lines.filter("key IS NOT NULL").select("a", "b", "at", "key.h", "key.g")
     going = materialize(lines.join(known, ["h", "g"], "left_semi").groupBy("a", "b").agg(F.collect_set("at").alias("going")), "going")
     split = F.split("row.text", "\n")
     kept = F.expr("array_join(filter(split(row.text, '\n'), (x, i) -> NOT array_contains(going, i)), '\n')")
-    fields = [F.col(f"row.`{c}`") if c != "text" else F.when(F.col("going").isNull(), F.col("row.text")).otherwise(kept).alias("text") for c in docs.columns]
+    fields = [F.col("row").getField(c).alias(c) if c != "text" else F.when(F.col("going").isNull(), F.col("row.text")).otherwise(kept).alias("text") for c in docs.columns]
     return own.join(going, ["a", "b"], "left").select(
         *fields,
         F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"),

@@ -24,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, words
+from tidemark.llm.common import as_columns, hashable, materialize, words
 
 BLOCK = 4096
 FAN = 256
@@ -120,7 +120,7 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most: float = MOST) -> DataFra
     """doc_id, size, source_size, target, copies of every row of docs, and h, g: hashes of all its columns."""
     spark = docs.sparkSession
     rows = materialize(
-        docs.select("doc_id", "source", _n_words().alias("size"), F.xxhash64(*docs.columns).alias("h"), F.hash(*docs.columns).alias("g")),
+        docs.select("doc_id", "source", _n_words().alias("size"), F.xxhash64(*hashable(docs)).alias("h"), F.hash(*hashable(docs)).alias("g")),
         "sizes",
     )
     found = rows.groupBy("source").agg(F.sum("size").alias("size"), F.count("*").alias("n")).collect()
@@ -165,5 +165,5 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most: float = MOST) -> DataFra
 def apply_mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most: float = MOST) -> DataFrame:
     """docs with each row as often as the mix takes it."""
     taken = mix(docs, weights, most).filter("copies > 0").select("h", "g", F.expr("explode(sequence(1, copies))").alias("copy"))
-    own = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64(*docs.columns).alias("h"), F.hash(*docs.columns).alias("g"))
+    own = docs.select(F.struct(*as_columns(docs)).alias("row"), F.xxhash64(*hashable(docs)).alias("h"), F.hash(*hashable(docs)).alias("g"))
     return taken.join(own.dropDuplicates(["h", "g"]), ["h", "g"]).select("row.*")

@@ -19,7 +19,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import materialize, words
+from tidemark.llm.common import as_columns, materialize, words
 
 SYMBOLS = r"[#*$%&|<>]"
 WINDOW = 5
@@ -196,4 +196,4 @@ def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the columns they came with."""
     held = materialize(features(docs), "quality")
     kept = with_quality(held, fit_votes(held)).filter(~base_failed() & (F.col("__q_quality") >= KEEP_FROM))
-    return kept.select(*docs.columns)
+    return kept.select(*as_columns(docs))

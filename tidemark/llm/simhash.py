@@ -26,7 +26,7 @@ from itertools import repeat
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop, materialize, text_bytes
+from tidemark.llm.common import as_columns, drop, hashable, materialize, text_bytes
 
 SHINGLE = 3
 SEED = 42
@@ -239,9 +239,9 @@ def components_of(docs: DataFrame) -> DataFrame:
 
 def deduplicate(docs: DataFrame) -> DataFrame:
     """One document of each component: that of the least (doc_id, hash of its columns)."""
-    key = F.struct(F.col("doc_id").alias("d"), F.xxhash64(*docs.columns).alias("h"), F.hash(*docs.columns).alias("g"))
+    key = F.struct(F.col("doc_id").alias("d"), F.xxhash64(*hashable(docs)).alias("h"), F.hash(*hashable(docs)).alias("g"))
     marked = materialize(fingerprints(docs.select(key["d"].alias("d"), key["h"].alias("h"), key["g"].alias("g"), "text")), "fingerprints")
     lasting = _with_component(marked, F.min(F.struct("d", "h", "g"))).select(F.col("component.*")).distinct()
-    own = docs.select(F.struct(*docs.columns).alias("row"), key.alias("key")).select("row", "key.h", "key.g")
+    own = docs.select(F.struct(*as_columns(docs)).alias("row"), key.alias("key")).select("row", "key.h", "key.g")
     kept = own.join(lasting.select("h", "g"), ["h", "g"], "left_semi").dropDuplicates(["h", "g"])
     return kept.select("row.*")
