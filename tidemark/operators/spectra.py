@@ -221,27 +221,36 @@ def correlation_scores(spectra, template, degree: int = 2):
     return rest @ own / np.maximum(np.linalg.norm(rest, axis=1) * np.linalg.norm(own), _EPS)
 
 
-def scatter(df: DataFrame, column: str) -> tuple[int, list, list]:
-    """Count, sum and outer-product sum of a vector column. Every task sends one partial row."""
+def scatter(df: DataFrame, column: str, fan: int = 32):
+    """Count, sum and outer-product sum of a vector column. Every task sends one packed partial; `fan` nodes
+    add those up, and the driver adds the nodes."""
     import numpy as np
 
+    def packed(n, s, xx) -> bytes:
+        return np.concatenate([[float(n)], s, xx.ravel()]).tobytes()
+
     def partial(batches):
         import pandas as pd
+        from pyspark import TaskContext
 
-        n, s, xx = 0, None, None
+        n, s, xx = 0, 0.0, 0.0
         for b in batches:
             if len(b):
-                x = np.stack(b[column].to_numpy())
-                n += len(x)
-                s = x.sum(0) if s is None else s + x.sum(0)
-                xx = x.T @ x if xx is None else xx + x.T @ x
+                x = np.stack(b[column].to_numpy()).astype(float)
+                n, s, xx = n + len(x), s + x.sum(0), xx + x.T @ x
         if n:
-            yield pd.DataFrame({"n": [n], "s": [s.tolist()], "xx": [xx.ravel().tolist()]})
-
-    rows = df.select(column).mapInPandas(partial, "n long, s array<double>, xx array<double>")
-    add = rows.rdd.treeReduce(lambda a, b: (a[0] + b[0], np.add(a[1], b[1]), np.add(a[2], b[2])))
-    size = len(add[1])
-    return int(add[0]), np.asarray(add[1]), np.asarray(add[2]).reshape(size, size)
+            yield pd.DataFrame({"node": [TaskContext.get().partitionId() % fan], "sums": [packed(n, s, xx)]})
+
+    def add(pdf):
+        return pdf.head(1).assign(sums=[sum(np.frombuffer(x) for x in pdf["sums"]).tobytes()])
+
+    shape = "node int, sums binary"
+    nodes = df.select(column).mapInPandas(partial, shape).groupBy("node").applyInPandas(add, shape).orderBy("node").collect()
+    if not nodes:
+        raise ValueError("no rows to sum up")
+    total = sum(np.frombuffer(r["sums"]) for r in nodes)
+    size = int((np.sqrt(4 * len(total) - 3) - 1) / 2)  # 1 + size + size^2 numbers
+    return int(total[0]), total[1 : 1 + size], total[1 + size :].reshape(size, size)
 
 
 def whitened_filter(train: DataFrame, template, shrink: float = 0.1) -> dict:

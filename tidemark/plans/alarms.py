@@ -255,15 +255,13 @@ def rmse_mae(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.persistence_errors(actions).select(F.round("rmse", 3).alias("rmse"), F.round("mae", 3).alias("mae"))
 
 
-@query("""WITH d AS (SELECT round(value / 5) AS p, (event_id * 7919) % 101 AS t FROM events WHERE user_id < 40),
-    pairs AS (SELECT sum(CASE WHEN a.p > b.p THEN 1 ELSE 0 END) AS c, sum(CASE WHEN a.p = b.p THEN 1 ELSE 0 END) AS e, count(*) AS n FROM d a JOIN d b ON a.t > b.t)
-    SELECT CAST(c AS BIGINT) AS concordant, CAST(e AS BIGINT) AS tied, n AS comparable, round((c + 0.5 * e) / n, 9) AS c_index FROM pairs""")
-def c_index_of_users(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concordance on forty users (a reporting selection) so that SQL can form all pairs."""
-    rows = spark.read.parquet(f"{sf_dir}/events.parquet").filter("user_id < 40")
-    rows = rows.select(F.round(F.col("value") / 5).alias("p"), F.expr("event_id * 7919 % 101").alias("t"))
+@query("""WITH d AS (SELECT round(value / 5) AS p, (event_id * 7919) % 101 AS t, count(*) AS n FROM events GROUP BY ALL),
+    pairs AS (SELECT sum(CASE WHEN a.p > b.p THEN a.n * b.n ELSE 0 END) AS c, sum(CASE WHEN a.p = b.p THEN a.n * b.n ELSE 0 END) AS e, sum(a.n * b.n) AS n FROM d a JOIN d b ON a.t > b.t)
+    SELECT CAST(c AS BIGINT) AS concordant, CAST(e AS BIGINT) AS tied, CAST(n AS BIGINT) AS comparable, round((c + 0.5 * e) / n, 9) AS c_index FROM pairs""")
+def c_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.round(F.col("value") / 5).alias("p"), F.expr("event_id * 7919 % 101").alias("t"))
     out = metrics.concordance(rows, "p", "t")
-    return out.select(F.col("concordant").cast("long").alias("concordant"), F.col("tied").cast("long").alias("tied"), F.col("comparable").cast("long").alias("comparable"), F.round("c_index", 9).alias("c_index"))
+    return out.select(*[F.col(c).cast("long").alias(c) for c in ("concordant", "tied", "comparable")], F.round("c_index", 9).alias("c_index"))
 
 
 @query(sql("frames", """SELECT count(*) AS n_rows, count(DISTINCT sequence_id) AS n_sequences, round(min(timestamp), 3) AS first_time, round(max(timestamp), 3) AS last_time,

@@ -190,11 +190,9 @@ def silhouette_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cp_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank-2 decomposition of the vectors of each label, three per frame."""
-    from pyspark.sql.window import Window
-
-    rows = read_table(spark, sf_dir, "embeddings").withColumn("r", F.row_number().over(Window.partitionBy("label").orderBy("vec_id")) - 1).filter("r < 12")
-    cube = rows.select(F.col("label").cast("string").alias("family"), (F.col("r") / 3).cast("int").alias("frame"), (F.col("r") % 3).alias("block"), F.transform("embedding", lambda x: F.abs(x.cast("double"))).alias("spectrum"))
+    """Rank-2 decomposition of all vectors of each label, as vectors by eight blocks by eight channels."""
+    block = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice(F.transform("embedding", lambda x: F.abs(x.cast("double"))), 8 * k + 1, 8))).alias("block", "spectrum")
+    cube = read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("family"), F.col("vec_id").alias("frame"), block)
     return tensor.cp_by_family(cube, 2)
 
 

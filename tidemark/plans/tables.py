@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions import scalars
+from tidemark.functions.keys import fraction
 from tidemark.operators import joins, metrics, regimes
+from tidemark.operators.spectra import scatter
 from tidemark.plans.registry import query
 from tidemark.sources.frames import read_table
 
@@ -130,13 +132,16 @@ def upper_rank_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(F.col("m").cast("long").alias("m"), F.col("k").cast("long").alias("k"), "threshold")
 
 
-@query(f"""WITH {_LABELLED}, c AS (SELECT n_chars FROM labelled WHERE toxic = 0 AND doc_id % 2 = 0)
-    SELECT doc_id, round((1 + (SELECT count(*) FROM c WHERE c.n_chars >= e.n_chars)) / ((SELECT count(*) FROM c) + 1), 9) AS p_value FROM labelled e WHERE doc_id % 2 = 1""")
+_HALF = "concat('0x', substr(sha256('9:' || doc_id), 1, 16))::UBIGINT / pow(2, 64) < 0.5"
+
+
+@query(f"""WITH {_LABELLED}, c AS (SELECT n_chars FROM labelled WHERE toxic = 0 AND {_HALF})
+    SELECT doc_id, round((1 + (SELECT count(*) FROM c WHERE c.n_chars >= e.n_chars)) / ((SELECT count(*) FROM c) + 1), 9) AS p_value FROM labelled e WHERE NOT ({_HALF})""")
 def conformal_p_values(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The even half of the labelled documents calibrates, the odd half is evaluated."""
-    rows = _labelled(spark, sf_dir)
-    cal = rows.filter("toxic = 0 AND doc_id % 2 = 0")
-    return metrics.conformal_p(cal, rows.filter("doc_id % 2 = 1"), "n_chars", "doc_id").select("doc_id", F.round("p_value", 9).alias("p_value"))
+    """Labelled documents are split in two by hash: clean ones of one part calibrate, the other part is evaluated."""
+    rows = _labelled(spark, sf_dir).withColumn("calibrates", fraction(F.col("doc_id"), 9) < 0.5)
+    out = metrics.conformal_p(rows.filter("calibrates AND toxic = 0"), rows.filter("NOT calibrates"), "n_chars", "doc_id")
+    return out.select("doc_id", F.round("p_value", 9).alias("p_value"))
 
 
 @query("""WITH d AS (SELECT l_quantity AS a, l_extendedprice AS b FROM lineitem), r AS (SELECT rank() OVER (ORDER BY a) + (count(*) OVER (PARTITION BY a) - 1) / 2 AS ra, rank() OVER (ORDER BY b) + (count(*) OVER (PARTITION BY b) - 1) / 2 AS rb FROM d)
@@ -228,11 +233,13 @@ def centroid_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metrics.roc_auc(scored, "score", _is_hazard()).select(F.round("auc", 6).alias("auc"))
 
 
-@query(f"""WITH {_DIMS}, p AS (SELECT a.dim AS dim_i, b.dim AS dim_j, covar_samp(a.x, b.x) AS c FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.dim <= b.dim WHERE a.dim < 8 AND b.dim < 8 GROUP BY ALL)
+@query(f"""WITH {_DIMS}, p AS (SELECT a.dim AS dim_i, b.dim AS dim_j, covar_samp(a.x, b.x) AS c FROM v a JOIN v b ON a.vec_id = b.vec_id AND a.dim <= b.dim GROUP BY ALL)
     SELECT CAST(dim_i AS INTEGER) AS dim_i, CAST(dim_j AS INTEGER) AS dim_j, round(c, 9) AS covariance FROM p""")
 def covariance_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = metrics.moments(read_table(spark, sf_dir, "embeddings"), "embedding", 8)
-    return out.select("dim_i", "dim_j", F.round("covariance", 9).alias("covariance"))
+    """Sample covariances of all pairs of dimensions, from partial outer products."""
+    n, total, outer = scatter(read_table(spark, sf_dir, "embeddings"), "embedding")
+    cov = (outer - n * (total[:, None] / n) * (total[None] / n)) / (n - 1)
+    return spark.createDataFrame([(i, j, round(float(cov[i, j]), 9)) for i in range(DIM) for j in range(i, DIM)], "dim_i int, dim_j int, covariance double")
 
 
 @query(f"WITH {_DIMS} SELECT CAST(dim AS INTEGER) AS dim, round(avg(x), 9) AS mean, round(CASE WHEN stddev_pop(x) < 1e-12 THEN 1.0 ELSE stddev_pop(x) END, 9) AS std FROM v GROUP BY dim")
