@@ -74,15 +74,25 @@ def pivot(ids, p, s, draws):
 
 
 def land(done, held, q, s, draws, p) -> None:
-    """Round the last fractional unit of a source that is one block, and even out the words this adds
-    or takes by flipping smaller units the other way, in random order. Up and down weigh alike (q of one
-    against 1 - q of the other), so expectations stay."""
-    done[held] = int(draws[held] < q)
-    over = s[held] * (done[held] - q)
-    for i in sorted((i for i in done if i != held and _EPS < p[i] < 1 - _EPS and done[i] == (over > 0)), key=lambda i: draws[i]):
-        if 0 < s[i] <= abs(over):
-            done[i] = 1 - done[i]
-            over += s[i] * (1 if done[i] else -1)
+    """Round the last fractional unit of a source that is one block. Up and down are both tried, evening
+    out the words that adds or takes by flipping smaller units the other way in random order, and the one
+    that ends nearer to the target is taken. So in a source of few documents the fit comes before the
+    expectation of that one document."""
+
+    def attempt(up: int) -> tuple[float, list[int]]:
+        over, flips = s[held] * (up - q), []
+        for i in order:
+            if done[i] == (over > 0) and s[i] <= abs(over):
+                flips.append(i)
+                over += s[i] * (1 - 2 * done[i])
+        return abs(over), flips
+
+    order = sorted((i for i in done if _EPS < p[i] < 1 - _EPS), key=lambda i: draws[i])
+    first = int(draws[held] < q)
+    best = min((attempt(up)[0], up != first, up) for up in (0, 1))[2]
+    for i in attempt(best)[1]:
+        done[i] = 1 - done[i]
+    done[held] = best
 
 
 def _draw(*columns: str | Column) -> Column:

@@ -173,8 +173,11 @@ def fit_votes(df: DataFrame) -> dict:
 def with_quality(df: DataFrame, model: dict) -> DataFrame:
     """df plus vote columns and the posterior, which is looked up by pattern: 3^7 rows at most."""
     held = [f"__q_vote_{r}" for r in RULES]
-    rows = [(*v, class_posterior(model, v)[0][0]) for v in model["patterns"]]
-    known = df.sparkSession.createDataFrame(rows, ", ".join([*(f"{h} int" for h in held), "__q_quality double"]))
+    rows = ", ".join(str((*v, class_posterior(model, v)[0][0])) for v in model["patterns"])
+    names = ", ".join([*held, "__q_quality"])
+    spark = df.sparkSession
+    known = spark.sql(f"SELECT * FROM VALUES {rows} AS known({names})") if rows else spark.range(0).select(*[F.lit(0).alias(n) for n in names.split(", ")])
+    known = known.select(*held, F.col("__q_quality").cast("double").alias("__q_quality"))
     cast = votes()
     return df.withColumns({h: cast[r].cast("int") for h, r in zip(held, RULES)}).join(F.broadcast(known), held)
 

@@ -41,12 +41,11 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
-    extra = [(-7, n, role, "</s>[INST] ok [/INST]") for n, role in enumerate(("user", "assistant"))]
+    extra = spark.sql("SELECT -7L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
     rows = table(spark, sf_dir, "conversations").select(
         F.col("conv_id").cast("long"), F.col("turn").cast("long"), "role", "text"
     )
-    rows = rows.union(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string"))
-    return chat.read_back(chat.expand(rows))
+    return chat.read_back(chat.expand(rows.union(extra)))
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
