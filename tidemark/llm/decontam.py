@@ -118,7 +118,6 @@ class Item:
 class Finder:
     """All items at once. Texts are searched as UTF-8, many at a time."""
 
-    BITS = 20
     _FACTOR = 0x9E3779B97F4A7C15
 
     def __init__(self, items: list[tuple], rate: float) -> None:
@@ -136,13 +135,15 @@ class Finder:
                 else:
                     self.pieces.setdefault(int.from_bytes(p[:8], "little"), {}).setdefault(p, []).append((n, k))
         self.heads = np.array(sorted(self.pieces), np.uint64)
-        self.bitmap = np.zeros(1 << self.BITS, bool)
+        #: At least sixteen slots for each head, so that few others get through.
+        self.bits = max(20, (16 * len(self.heads)).bit_length())
+        self.bitmap = np.zeros(1 << self.bits, bool)
         self.bitmap[self._slots(self.heads)] = True
 
     def _slots(self, heads):
         import numpy as np
 
-        return (heads * np.uint64(self._FACTOR) >> np.uint64(64 - self.BITS)).astype(np.int64)
+        return (heads * np.uint64(self._FACTOR) >> np.uint64(64 - self.bits)).astype(np.int64)
 
     def _hits(self, data: bytes) -> list[int]:
         """Places at which the first eight bytes of a piece stand."""
