@@ -155,3 +155,27 @@ def test_toxicity_edges(spark):
     assert len(out) == len(edge_rows()) and all(0 <= r.score <= 1 and r.predicted in (0, 1) for r in out)
     assert toxicity.score(empty_docs(spark), labels).collect() == []
     assert toxicity.score(edge_docs(spark), labels.limit(0)).count() == len(edge_rows())
+
+
+def test_insults_are_learned_from_labels(spark):
+    """An invented word that marks toxic texts is learned; words of one text that was copied often, and words
+    that stand in clean texts too, are not."""
+    rng, letters = random.Random(12), str.maketrans("0123456789", "abcdefghij")
+    rows, labels = [], []
+    for i in range(900):
+        words, toxic = prose(rng, 40, 300).translate(letters).split(), i % 6 == 0
+        if toxic:
+            for w in rng.sample(["zorgling", "Kwéfnar", "blatherskite"], 2):
+                words.insert(rng.randrange(len(words)), w)
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    copied = "onlyhere standing " + prose(rng, 30, 300).translate(letters)
+    rows += [(2000 + i, copied) for i in range(60)]
+    labels += [(2000 + i, 1) for i in range(60)]
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    learned = toxicity.learn_insults(docs(spark, rows), known.filter(~toxicity.held_out()))
+    assert learned == {"zorgling", "kwéfnar", "blatherskite"}
+    out = {r.doc_id: r for r in toxicity.score(docs(spark, rows), known).collect()}
+    held = [(out[i], t) for i, t in labels if i < 2000 and out[i].held_out]
+    assert len(held) > 200 and all(r.predicted == t for r, t in held)
+    assert toxicity.learn_insults(docs(spark, rows), known.limit(0)) == frozenset()

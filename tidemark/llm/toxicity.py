@@ -7,8 +7,13 @@ matches clauses: an insult or threat with or without a target near by. The machi
 clauses by kind; a score adds up weights of kinds, not of words. The weights and the bias are the most
 probable ones given the labels, from a starting guess for each kind (PRIOR).
 
-The fit sees the labelled documents as a histogram of clause counts, which has (MOST + 1)^6 rows for each
-label at most; all labelled rows count.
+Insults are those listed here and words learned from labels (`learn_insults`): words that stand in toxic
+texts so much more often than in others that chance would bring less than one such word among all, with
+several different words before them, so the words of one text that was copied often do not count. They
+are learned on at most LEXICON_ROWS labelled training rows, the least by a hash of their ids.
+
+The fit of weights sees all labelled training documents as a histogram of clause counts, which has
+(MOST + 1)^6 rows for each label at most.
 
 Defined cases: null and blank texts match nothing and get the score of texts without a match, as long texts do
 by their whole length. Null labels and labels without a document are passed over; several labels of a
@@ -49,6 +54,13 @@ BIAS = -2.5
 #: Clauses of a kind beyond this add nothing.
 MOST = 3
 REACH = 4
+#: Labelled rows on which insults are learned, at most about; learned words kept, the surest ones.
+LEXICON_ROWS = 50_000
+LEXICON_WORDS = 5_000
+#: Share of toxic texts among those with a learned word; different words before it; odds against chance.
+PRECISION = 0.85
+NEIGHBOURS = 3
+SURENESS = 100
 THRESHOLD = 0.7
 
 
@@ -126,11 +138,12 @@ def _clauses() -> Transducer:
 class Grammar:
     _WORDS = re.compile(r"[\w']+|[.!?;:\n|]")
 
-    def __init__(self) -> None:
+    def __init__(self, learned: frozenset[str] = frozenset()) -> None:
         self.symbol = {w: s for s, words in (("R", REPORTS), ("Y", TARGETS), ("N", NEGATIONS), ("T", THREATS), ("I", INSULTS)) for w in words}
+        self.symbol = dict.fromkeys(learned, "I") | self.symbol
         self.symbol |= dict.fromkeys(".!?;:\n|", "b")
         self.machine = _negation().compose(_reported()).compose(_clauses())
-        self.starts = frozenset(w.encode() for w in (*INSULTS, *THREATS))
+        self.starts = frozenset(w.encode() for w in (*INSULTS, *THREATS, *learned))
         self.spaces = bytes(c if c >= 128 or chr(c).isalnum() or chr(c) == "'" else 32 for c in range(256))
 
     def clauses(self, text: str) -> list[int]:
@@ -144,18 +157,78 @@ class Grammar:
         return list(found.values())
 
 
-def _clauses_of(batches: Iterator) -> Iterator:
-    import pyarrow as pa
-
-    grammar = Grammar()
-    for b in batches:
-        rows = [grammar.clauses(t or "") for t in b.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(len(KINDS)))], names=["doc_id", *KINDS])
-
-
-def clauses(docs: DataFrame) -> DataFrame:
+def clauses(docs: DataFrame, learned: frozenset[str] = frozenset()) -> DataFrame:
     """doc_id and the number of matched clauses of each kind."""
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(_clauses_of, ", ".join(["doc_id long", *(f"{k} long" for k in KINDS)]))
+
+    def matched(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        grammar = Grammar(learned)
+        for b in batches:
+            rows = [grammar.clauses(t or "") for t in b.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(len(KINDS)))], names=["doc_id", *KINDS])
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(matched, ", ".join(["doc_id long", *(f"{k} long" for k in KINDS)]))
+
+
+_LETTERS = re.compile(r"[^\W\d_]+")
+
+
+def learn_insults(docs: DataFrame, known: DataFrame) -> frozenset[str]:
+    """Words of toxic texts. known: doc_id, toxic (0 or 1) of training rows.
+
+    Two passes over the sampled texts: first documents of each label by word, then, for the words that
+    pass, the different words before them in toxic texts."""
+    n = known.count()
+    if not n:
+        return frozenset()
+    part = F.pmod(F.xxhash64("doc_id", F.lit("lexicon")), F.lit(1 << 20)) < min(1 << 20, (LEXICON_ROWS << 20) // n)
+    sample = materialize(known.filter(part).select("doc_id", "toxic").distinct(), "lexicon")
+    share = sample.agg(F.avg("toxic")).first()[0]
+    if not share or share >= 1:
+        return frozenset()
+    # about LEXICON_ROWS rows, whatever the corpus
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
+
+    def by_word(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        def rows(found: dict):
+            w, pairs = list(found), list(found.values())
+            return pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([c[1] for c in pairs], pa.int64()), pa.array([c[0] for c in pairs], pa.int64())], names=["word", "toxic", "clean"])
+
+        found: dict[str, list[int]] = {}
+        for b in batches:
+            for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
+                for w in set(_LETTERS.findall((text or "").lower())):
+                    found.setdefault(w, [0, 0])[toxic] += 1
+                if len(found) > 500_000:
+                    yield rows(found)
+                    found = {}
+        yield rows(found)
+
+    counts = texts.mapInArrow(by_word, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    counts = materialize(counts, "words")
+    least = math.log(SURENESS * max(counts.count(), 1)) / -math.log(share)
+    sure = counts.filter((F.col("toxic") >= max(least, NEIGHBOURS)) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
+    words = frozenset(r["word"] for r in sure.orderBy(F.desc("toxic"), "word").limit(LEXICON_WORDS).collect())
+    if not words:
+        return words
+
+    def before(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for b in batches:
+            pairs = set()
+            for text in b.column("text").to_pylist():
+                own = _LETTERS.findall((text or "").lower())
+                if not words.isdisjoint(own):
+                    pairs.update((w, v) for v, w in zip(["", *own], own) if w in words)
+            w, v = zip(*pairs) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(v, pa.string())], names=["word", "before"])
+
+    near = texts.filter("toxic = 1").mapInArrow(before, "word string, before string").distinct().groupBy("word").count()
+    return frozenset(r["word"] for r in near.filter(F.col("count") >= NEIGHBOURS).collect())  # LEXICON_WORDS at most
 
 
 def fit(histogram: list[tuple[tuple[int, ...], int, int]], strength: float = 0.05, steps: int = 50) -> list[float]:
@@ -194,9 +267,10 @@ def held_out() -> Column:
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and the clause counts of every document."""
-    found = materialize(clauses(docs), "clauses").withColumn("held_out", held_out())
-    counts = [F.least(F.col(k), F.lit(MOST)).alias(k) for k in KINDS]
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
+    learned = learn_insults(docs, known.filter(~held_out()))
+    found = materialize(clauses(docs, learned), "clauses").withColumn("held_out", held_out())
+    counts = [F.least(F.col(k), F.lit(MOST)).alias(k) for k in KINDS]
     rows = found.filter(~F.col("held_out")).join(known, "doc_id").groupBy(*counts, "toxic").count().collect()
     weights = fit(sorted((tuple(r[k] for k in KINDS), r["toxic"], r["count"]) for r in rows))
     total = sum((F.lit(w) * c for w, c in zip(weights, counts)), F.lit(weights[-1]))
