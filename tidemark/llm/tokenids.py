@@ -40,6 +40,17 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+class _Known(dict):
+    """Ids by word; a word that is not there gives None and is put down in fresh."""
+
+    def __init__(self) -> None:
+        super().__init__()
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> None:
+        self.fresh.append(word)
+
+
 class Encoder:
     """The tokenizer behind a memory of words. Neither its normalisation nor its splitting looks across
     ASCII white space, so the ids of a text are those of its words in order. The memory has two
@@ -55,7 +66,7 @@ class Encoder:
             tokenizer = Tokenizer.from_file(path)
             ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
             ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-            _memory[path] = [tokenizer, ends, {}, {}]
+            _memory[path] = [tokenizer, ends, _Known(), {}]
         self.tokenizer, self.ends, self.known, self.old = self.kept = _memory[path]
 
     def _learn(self, fresh: set[bytes]) -> None:
@@ -64,10 +75,10 @@ class Encoder:
         known, old = self.known, self.old
         stems, new = [], set()
         for w in fresh:
-            if (ids := old.get(w)) is not None:
-                known[w] = ids
+            if w in old:
+                known[w] = old[w]
                 continue
-            s, end = _stem(w)
+            s, end = (w.lower(), b"") if w.isalpha() else _stem(w)
             stems.append((w, s, end))
             new.add(s)
             if end:
@@ -113,15 +124,15 @@ class Encoder:
         import numpy as np
 
         if len(self.known) > REMEMBERED:
-            self.kept[2:] = {}, self.known
+            self.kept[2:] = _Known(), self.known
             self.known, self.old = self.kept[2:]
-        get = self.known.get
+        ids_of, fresh = self.known.__getitem__, self.known.fresh
         split = [t.split() for t in texts]
-        found = [[*map(get, w)] for w in split]
-        fresh = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words, ids) if i is None}
+        found = [[*map(ids_of, w)] for w in split]
         if fresh:
-            self._learn(fresh)
-            found = [[*map(get, w)] if None in ids else ids for w, ids in zip(split, found)]
+            self._learn(set(fresh))
+            fresh.clear()
+            found = [[*map(ids_of, w)] if None in ids else ids for w, ids in zip(split, found)]
         end = _packed([END_ID])
         return [np.frombuffer(b"".join(ids) + end, np.uint32) for ids in found]
 
