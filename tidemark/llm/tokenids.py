@@ -16,7 +16,6 @@ columns are not read. Words of any length are encoded whole.
 
 from __future__ import annotations
 
-import gc
 import uuid
 import zlib
 from unicodedata import is_normalized
@@ -28,7 +27,7 @@ from tidemark.llm.common import drop, materialize, shared_dir, shuffle_width, te
 
 END_ID = 2
 #: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 900_000
+REMEMBERED = 600_000
 #: Bytes of text worked off at a time.
 CHUNK = 1 << 17
 _MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
@@ -111,21 +110,15 @@ class Encoder:
         return True
 
     def encode(self, texts: list[bytes]) -> list:
-        """Arrays of ids, the end id last. What it makes has no cycles, so they are not searched for meanwhile."""
-        searched = gc.isenabled()
-        gc.disable()
-        try:
-            out, held, size = [], [], 0
-            for t in texts:
-                held.append(t)
-                size += len(t)
-                if size > CHUNK:
-                    out += self._encode(held)
-                    held, size = [], 0
-            return out + self._encode(held)
-        finally:
-            if searched:
-                gc.enable()
+        """Arrays of ids, the end id last."""
+        out, held, size = [], [], 0
+        for t in texts:
+            held.append(t)
+            size += len(t)
+            if size > CHUNK:
+                out += self._encode(held)
+                held, size = [], 0
+        return out + self._encode(held)
 
     def _encode(self, texts: list[bytes]) -> list:
         import numpy as np
