@@ -68,6 +68,43 @@ def test_sharding(spark):
     assert max(totals.values()) < 1.02 * mean and min(totals.values()) > 0.9 * mean
 
 
+@pytest.mark.parametrize("giants", [(0.05,), (1 / 3,), (1 / 3, 0.05, 0.05), (0.9,)])
+def test_a_group_beyond_a_share_leaves_the_others_balanced(giants):
+    rng = random.Random(4)
+    small = [rng.randrange(100, 1000) for _ in range(4000)]
+    large = [int(g * sum(small) / (1 - sum(giants))) for g in giants]
+    loads = Counter()
+    for size, b in zip(large + small, sharding.pack(large + small, 40)):
+        loads[b] += size
+    mean = sum(small) / (40 - len(giants))
+    others = sorted(loads.values())[: 40 - len(giants)]
+    assert set(loads) == set(range(40)) and sorted(loads.values())[40 - len(giants) :] == sorted(large)
+    assert others[-1] < 1.02 * mean and others[0] > 0.9 * mean
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.one_of(st.integers(1, 60), st.integers(1, 5000)), min_size=1, max_size=80), st.integers(1, 12))
+def test_pack_keeps_to_the_shards(sizes, shards):
+    bins = sharding.pack(sizes, shards)
+    assert len(bins) == len(sizes) and 0 <= min(bins) and max(bins) < shards
+
+
+def test_sharding_with_a_third_in_one_group(spark):
+    rng = random.Random(9)
+    rows = [(i, prose(rng, rng.randrange(1, 80))) for i in range(3000)]
+    size = sum(len(t) + 16 for _, t in rows)
+    copy = "copy of one text " * 40
+    rows += [(5000 + i, copy) for i in range(size // 2 // (len(copy) + 16))]
+    out = sharding.shard(docs(spark, rows)).collect()
+    check_shards(rows, out)
+    totals = Counter()
+    for r in out:
+        totals[r.shard] += r.size
+    giant, *others = sorted(totals.values(), reverse=True)
+    assert giant == size // 2 // (len(copy) + 16) * (len(copy) + 16)
+    assert len(others) == 39 and others[0] < 1.02 * size / 39 and others[-1] > 0.9 * size / 39
+
+
 def test_sharding_edges(spark):
     check_shards(edge_rows(), sharding.shard(edge_docs(spark)).collect())
     assert sharding.shard(empty_docs(spark)).collect() == []

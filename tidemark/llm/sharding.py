@@ -7,8 +7,9 @@ The number of groups grows with the corpus, so they are not packed one by one: g
 1/GRAIN of a shard are items of their own (at most GRAIN per shard), and all smaller ones are dealt
 by hash into GRAIN bundles per shard, each an item. So the packing handles 2 * GRAIN * shards items at
 most at any size of the corpus, and no group is ever split. With a fixed number of shards the capacity
-is the smallest for which best-fit-decreasing needs no more of them, so shards come out nearly equal,
-unless a single group is larger than a shard's share; that group then has a shard nearly to itself.
+is the smallest for which best-fit-decreasing needs no more of them, so shards come out nearly equal.
+A group larger than a shard's share has a shard to itself, and the others are balanced over the rest: a
+shard's share then is what remains over the shards that remain.
 
 Defined cases: a null text counts as an empty one. Null and repeated doc_ids and repeated rows are
 rows like any other. An empty table gives an empty result. Other columns are not read.
@@ -121,12 +122,25 @@ def best_fit_decreasing(sizes: list[int], capacity: int) -> list[int]:
     return out
 
 
+def beyond_share(sizes: list[int], total: int, shards: int) -> tuple[int, int]:
+    """Bytes and shards that remain when, the largest first, each item above the mean of what remains has a shard to
+    itself. sizes: the largest items in descending order; total: the sum of all."""
+    for size in sizes:
+        if shards == 1 or size * shards <= total:
+            break
+        total, shards = total - size, shards - 1
+    return total, shards
+
+
 def pack(sizes: list[int], shards: int) -> list[int]:
-    """Bins at the smallest capacity, to 1/4096 of it, for which best-fit-decreasing needs no more than shards."""
+    """Bins at the smallest capacity, to 1/4096 of it, for which best-fit-decreasing needs no more than shards. An item
+    above a shard's share has a bin to itself and leaves the capacity of the others as it is."""
     if not sizes:
         return []
-    low = max(-(-sum(sizes) // shards), max(sizes), 1)
-    high = low + max(sizes)  # the emptiest of too few bins would hold any item
+    ordered = sorted(sizes, reverse=True)
+    rest, left = beyond_share(ordered, sum(ordered), shards)
+    low = max(-(-rest // left), 1)
+    high = low + max(ordered[shards - left :], default=0)  # the emptiest of too few bins would hold any item that shares one
     best = best_fit_decreasing(sizes, low)
     if max(best) < shards:
         return best
@@ -157,7 +171,11 @@ def shard(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     total, count = rows.agg(F.sum("size"), F.count("*")).first()
     groups = materialize(rows.groupBy("h", "g").agg(F.sum("size").alias("size")), "groups")
     bundle = F.pmod("h", F.lit(GRAIN * shards)).cast("int")
-    large = groups.filter(F.col("size") * (GRAIN * shards) >= (total or 0)).orderBy(F.desc("size"), "h", "g").collect()
+    rest, left, seen = total or 0, shards, None
+    while seen != (rest, left):  # once, and again for each time that groups beyond a share lower the share of the others
+        seen = rest, left
+        large = groups.filter(F.col("size") * (GRAIN * left) >= rest).orderBy(F.desc("size"), "h", "g").collect()
+        rest, left = beyond_share([r["size"] for r in large], total or 0, shards)
     known = spark.createDataFrame([(r["h"], r["g"], i) for i, r in enumerate(large)], "h long, g long, item int")
     # at most GRAIN * shards rows each, whatever the corpus
     small = groups.join(F.broadcast(known), ["h", "g"], "left_anti")
