@@ -3,6 +3,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -119,6 +120,28 @@ def test_grammar():
     assert kinds("a nice day") == {} and kinds("") == {}
 
 
+@pytest.mark.parametrize("text", ["¡idiota!", "„Idiot“", "«connard»", "«\u00a0connard\u00a0»", "“idiot”", "idiot…", "so—idiot—so", "‹débile›", "¿imbécil?"])
+def test_words_end_at_any_punctuation(text):
+    assert kinds(text) == {"insult": 1}
+    assert kinds(f"you {text}") == {"insult_at_target": 1}
+
+
+def test_threats_and_learned_words_end_at_any_punctuation():
+    assert kinds("„I will kill you…“") == {"threat_at_target": 1} and kinds("“kill”") == {"threat": 1}
+    found = toxicity.Grammar(frozenset(["zorgle"])).clauses("¡zorgle! «zorgle»")
+    assert sum(found) == 2
+
+
+def test_the_filter_drops_no_match():
+    rng, grammar = random.Random(8), toxicity.Grammar()
+    parts = ["idiot", "kill", "connard", "débile", "you", "not", "said", "word", "Ärger", "x_y"]
+    for _ in range(500):
+        text = "".join(rng.choice(parts) + rng.choice([" ", ".", "\u00a0", "…", "”", " “", "»", "¡", "—", "\u3000", "'", "’", "_", "é"]) for _ in range(rng.randrange(6)))
+        symbols = [grammar.symbol.get(w, "o") for w in grammar._WORDS.findall(text.lower())]
+        whole = list(grammar.machine.run([*symbols, "b"]))
+        assert grammar.clauses(text) == [whole.count(k) for k in toxicity.KINDS]
+
+
 def test_composition_equals_running_in_turn():
     rng = random.Random(1)
     chain = [toxicity._negation(), toxicity._reported(), toxicity._clauses()]

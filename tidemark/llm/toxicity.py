@@ -143,15 +143,14 @@ class Grammar:
         self.symbol = dict.fromkeys(learned, "I") | self.symbol
         self.symbol |= dict.fromkeys(".!?;:\n|", "b")
         self.machine = _negation().compose(_reported()).compose(_clauses())
-        self.starts = frozenset(w.encode() for w in (*INSULTS, *THREATS, *learned))
-        self.spaces = bytes(c if c >= 128 or chr(c).isalnum() or chr(c) == "'" else 32 for c in range(256))
+        self.starts = frozenset((*INSULTS, *THREATS, *learned))
 
     def clauses(self, text: str) -> list[int]:
         """Number of matched clauses of each kind."""
         found = dict.fromkeys(KINDS, 0)
-        text = text.lower()
-        if not self.starts.isdisjoint(text.encode().translate(self.spaces).split()):
-            symbols = [self.symbol.get(w, "o") for w in self._WORDS.findall(text)]
+        words = self._WORDS.findall(text.lower())
+        if not self.starts.isdisjoint(words):  # without an insult or threat no clause matches
+            symbols = [self.symbol.get(w, "o") for w in words]
             for kind in self.machine.run([*symbols, "b"]):
                 found[kind] += 1
         return list(found.values())
