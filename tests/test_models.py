@@ -272,6 +272,36 @@ def test_densities_and_tensors(spark):
     assert flat == pytest.approx(np.ones((4, 30)), abs=1e-6)
 
 
+def test_silhouette_of_any_number_of_points(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    y = rng.integers(0, 3, 300)
+    x = np.concatenate([rng.normal(size=(300, 3)) + y[:, None], np.ones((3, 3)), [[9.0, 9, 9]]])
+    y = np.concatenate([y, [1, 1, 1, 7]])
+    k = [*range(300), 300, 300, 300, 301]
+    df = spark.createDataFrame([(k[i], x[i].tolist(), int(y[i])) for i in range(304)], "k int, v array<double>, y int").repartition(3)
+    d = np.linalg.norm(x[:, None] - x[None], axis=2)
+    want = []
+    for i in range(304):
+        a = d[i, y == y[i]].sum() / max((y == y[i]).sum() - 1, 1)
+        b = min(d[i, y == m].mean() for m in set(y.tolist()) - {y[i]})
+        want.append((k[i], (b - a) / max(a, b) if (y == y[i]).sum() > 1 else 0.0))
+    for cloud in (20_000, 304, 100, 38):
+        monkeypatch.setattr(density, "CLOUD", cloud)
+        got = sorted((r.k, r.silhouette) for r in density.silhouette(df, "k", "v", "y").collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert [g[1] for g in got] == pytest.approx([w[1] for w in want], abs=1e-6)
+    assert density.silhouette(df.limit(0), "k", "v", "y").collect() == []
+
+
+def test_silhouette_above_one_block(spark):
+    """More points than one block holds, at the size that is shipped: four places, so distances are known."""
+    place = F.pmod("id", F.lit(4))
+    df = spark.range(20_400).select("id", F.array((place / 2).cast("int").cast("double"), F.pmod(place, F.lit(2)) * 9.0).alias("v"), F.pmod(place, F.lit(2)).alias("y"))
+    out = density.silhouette(df, "id", "v", "y").agg(F.count("*"), F.min("silhouette"), F.max("silhouette")).first()
+    a, b = 10_200 / 2 / (10_200 - 1), (9 + 82**0.5) / 2
+    assert out[0] == 20_400 and out[1:] == pytest.approx([(b - a) / b] * 2, abs=1e-6)
+
+
 def test_average_ranks(spark):
     df = spark.createDataFrame([(v,) for v in (3.0, 1.0, 3.0, 2.0, 3.0)], "v double")
     assert {r.v: r.avg_rank for r in windows.average_ranks(df, "v").collect()} == {1.0: 1.0, 2.0: 2.0, 3.0: 4.0}

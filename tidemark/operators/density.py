@@ -97,16 +97,19 @@ def logistic_scores(df: DataFrame, vector: str, model, keep: list[str]) -> DataF
     return df.select(*keep, (1 / (1 + F.exp(-total))).alias("score"))
 
 
-def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
-    """Mean silhouette by Euclidean distance. Distances need all pairs: meant for reference clouds, which a
-    block of rows at a time meets (the cloud is shipped once, up to 20,000 points)."""
+#: Points of a cloud that go out at once, and rows whose distances to them are held at once.
+CLOUD = 20_000
+ROWS = 256
+
+
+def _to_block(block: int, points: list, names: list, has_label):
+    """mapInPandas function: each row's sums of distances to a block of points, by label of the points."""
     import numpy as np
 
-    cloud = df.select(vector, label).limit(20_001).collect()
-    if len(cloud) > 20_000:
-        raise ValueError("silhouette takes 20,000 points at most")
-    x, y = np.array([r[0] for r in cloud], float), np.array([r[1] for r in cloud])
-    names = sorted(set(y.tolist()))
+    x = np.array([p[0] for p in points] or np.zeros((0, 1)), float)
+    own_label = np.zeros((len(points), len(names)))
+    own_label[np.arange(len(points)), [has_label[p[1]] for p in points]] = 1
+    square = (x**2).sum(1)
 
     def rows(batches):
         import pandas as pd
@@ -114,16 +117,60 @@ def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            own = np.stack(b[vector].to_numpy()).astype(float)
-            d = np.sqrt(np.maximum((own**2).sum(1)[:, None] + (x**2).sum(1) - 2 * own @ x.T, 0))
-            sums = np.stack([d[:, y == n].sum(1) for n in names], 1)
-            sizes = np.array([(y == n).sum() for n in names])
-            k = np.array([names.index(v) for v in b[label]])
+            own, sums = np.stack(b["vector"].to_numpy()).astype(float), np.empty((len(b), len(names)))
+            for i in range(0, len(b), ROWS):
+                part = own[i : i + ROWS]
+                sums[i : i + ROWS] = np.sqrt(np.maximum((part**2).sum(1)[:, None] + square - 2 * part @ x.T, 0)) @ own_label
+            yield pd.DataFrame({"key": b["key"], "label": b["label"], "h": b["h"], "g": b["g"], "block": np.int32(block), "sums": list(sums)})
+
+    return rows
+
+
+def silhouette(df: DataFrame, key: str, vector: str, label: str) -> DataFrame:
+    """Mean silhouette by Euclidean distance, over all pairs. The cloud goes out in blocks of CLOUD points, and each row's
+    sums of distances by label add up over the blocks, so time grows with the square of the rows and memory does not.
+    Equal rows stand for one another while sums add up, and count as often as they are there."""
+    import numpy as np
+
+    kinds = {n: df.schema[c].dataType.simpleString() for n, c in (("key", key), ("label", label))}
+    sizes = {r[0]: r[1] for r in df.groupBy(label).count().collect()}
+    names = sorted(sizes)
+    has_label, n = {v: i for i, v in enumerate(names)}, np.array([sizes[v] for v in names])
+    rows = df.select(F.col(key).alias("key"), F.col(label).alias("label"), F.col(vector).alias("vector"), F.xxhash64(vector).alias("h"), F.hash(vector).alias("g"))
+    shape = f"key {kinds['key']}, label {kinds['label']}, h long, g int, block int, sums array<double>"
+    met, blocks, points = None, 0, []
+
+    def meet():
+        one = rows.mapInPandas(_to_block(blocks, points, names, has_label), shape)
+        return one if met is None else met.unionAll(one)
+
+    for p in df.select(vector, label).toLocalIterator():
+        points.append(p)
+        if len(points) == CLOUD:
+            met, blocks, points = meet(), blocks + 1, []
+    if points or not blocks:
+        met, blocks = meet(), blocks + 1
+    if blocks > 1:
+        parts = F.transform(F.array_sort(F.collect_list(F.struct("block", "sums"))), lambda p: p["sums"])
+        added = met.groupBy("key", "label", "h", "g").agg(parts.alias("parts"))
+        added = added.withColumn("copies", F.expr(f"size(parts) div {blocks}").cast("int"))
+        zero = F.array_repeat(F.lit(0.0), len(names))
+        total = F.aggregate("parts", zero, lambda a, p: F.zip_with(a, p, lambda u, v: u + v))
+        added = added.select("key", "label", "copies", total.alias("sums"))
+        met = added.select("key", "label", F.transform("sums", lambda u: u / F.col("copies")).alias("sums"), F.explode(F.sequence(F.lit(1), "copies")))
+
+    def scores(batches):
+        import pandas as pd
+
+        for b in batches:
+            if not len(b):
+                continue
+            sums, k = np.stack(b["sums"].to_numpy()), np.array([has_label[v] for v in b["label"]])
             i = np.arange(len(k))
-            a = np.where(sizes[k] > 1, sums[i, k] / np.maximum(sizes[k] - 1, 1), 0.0)
-            means = sums / sizes
+            a = np.where(n[k] > 1, sums[i, k] / np.maximum(n[k] - 1, 1), 0.0)
+            means = sums / n
             means[i, k] = np.inf
             other = means.min(1)
-            yield pd.DataFrame({key: b[key], "silhouette": np.where(sizes[k] > 1, (other - a) / np.maximum(np.maximum(a, other), 1e-300), 0.0)})
+            yield pd.DataFrame({key: b["key"], "silhouette": np.where(n[k] > 1, (other - a) / np.maximum(np.maximum(a, other), 1e-300), 0.0)})
 
-    return df.select(key, vector, label).mapInPandas(rows, f"{key} {df.schema[key].dataType.simpleString()}, silhouette double")
+    return met.select("key", "label", "sums").mapInPandas(scores, f"{key} {kinds['key']}, silhouette double")
