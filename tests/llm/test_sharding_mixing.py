@@ -163,6 +163,19 @@ def test_mix_meets_targets(spark, monkeypatch, block):
     assert key(out) == key(mixing.mix(docs(spark, rows).repartition(7)).collect())
 
 
+def test_mix_lands_sources_of_several_blocks(spark):
+    """Each source has more rows than a block and one very long document, which is carried to the root."""
+    rng = random.Random(12)
+    rows = [(i, prose(rng, rng.randrange(1, 40)), f"s{i % 4}") for i in range(20_000)]
+    rows += [(30_000 + i, prose(rng, 20_000), f"s{i}") for i in range(4)]
+    out = mixing.mix(docs(spark, rows)).collect()
+    check_mix(rows, out)
+    taken = Counter()
+    for r in out:
+        taken[r.source_size, r.target] += r.size * r.copies
+    assert len(taken) == 4 and all(abs(got - aim) < 40 for (_, aim), got in taken.items()), [(round(got - aim, 1)) for (_, aim), got in taken.items()]
+
+
 def test_mix_edges(spark):
     check_mix(edge_rows(), mixing.mix(edge_docs(spark)).collect())
     assert mixing.mix(empty_docs(spark)).collect() == []

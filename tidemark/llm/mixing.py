@@ -6,9 +6,10 @@ taken target / size times. The whole part is taken as it is; the fractional part
 pivotal method: of two documents with fractional copies p and q and sizes s and t, mass moves from one
 to the other along (1/s, -1/t), in a random direction that keeps both expectations, until one becomes
 integral. The words taken stay the same in every step. The one document of a block that remains
-fractional goes up a reduction tree, whose nodes combine FAN residuals each; the root's last residual
-is rounded alone. A source thus misses its target by less than one document; one of a single block, where
-a document may weigh much, evens that out among its smaller documents (`land`).
+fractional goes up a reduction tree, whose nodes combine FAN residuals each. The last residual, which is
+often the longest document, is rounded together with the smaller documents of its own block, which even
+out what that adds or takes (`land`). A source thus misses its target by less than one document, and by
+less than a small one unless those of that block don't suffice.
 
 Randomness is a hash of the documents, so runs agree whatever the partitioning. Blocks hold BLOCK
 documents by hash, so a hot source is spread over many.
@@ -21,6 +22,8 @@ The number of sources is taken to fit the driver (it is the number of mixture co
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,7 +77,7 @@ def pivot(ids, p, s, draws):
 
 
 def land(done, held, q, s, draws, p) -> None:
-    """Round the last fractional unit of a source that is one block. Up and down are both tried, evening
+    """Round the last fractional unit of a source, with the others of its block. Up and down are both tried, evening
     out the words that adds or takes by flipping smaller units the other way in random order, and the one
     that ends nearer to the target is taken. So in a source of few documents the fit comes before the
     expectation of that one document."""
@@ -122,6 +125,21 @@ def _round_node(pdf):
     return pdf[["sid", "kind", "node", "block", "weight", "p", "u", "up"]]
 
 
+def _land_root(pdf):
+    """The block of a source's last residual. q and draw: its fraction and random number."""
+    import numpy as np
+
+    pdf = pdf.sort_values(["weight", "doc_id", "h", "g"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+    up, draws = pdf["up"].to_numpy(), pdf["u"].to_numpy(copy=True)
+    held = int(np.flatnonzero(up < 0)[0])
+    draws[held] = pdf["draw"].iloc[0]
+    done = {i: int(v) for i, v in enumerate(up) if i != held}
+    # all units of a source have the same fraction to begin with
+    land(done, held, pdf["q"].iloc[0], pdf["weight"].to_numpy(), draws, np.full(len(pdf), 0.5))
+    pdf["up"] = np.array([done[i] for i in range(len(pdf))], np.int32)
+    return pdf[["doc_id", "h", "g", "sid", "size", "base", "up"]]
+
+
 def _n_words() -> Column:
     return F.size(words(F.col("text"))).cast("long")
 
@@ -151,7 +169,6 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most: float = MOST) -> DataFra
     )
     shape = "doc_id long, h long, g int, sid int, size long, base int, kind int, block long, weight double, p double, u double, up int"
     level = materialize(units.groupBy("sid", "kind", "block").applyInPandas(_round_block, shape), "pivot")
-    decided = level.filter("up >= 0").select("doc_id", "h", "g", "sid", "size", "base", "up")
     waiting = level.filter("up < 0")
     nodes = waiting.select("sid", "kind", F.col("block").alias("node"), "block", "weight", "p", "u")
     blocks = max((-(-r["n"] // BLOCK) for r in found), default=0)
@@ -164,11 +181,17 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most: float = MOST) -> DataFra
         )
         rounds.append(step.filter("up >= 0").select("sid", "kind", "block", "up"))
         nodes = step.filter("up < 0").select("sid", "kind", "node", "block", "weight", "p", "u")
-    root = nodes.select("sid", "kind", "block", (_draw("sid", "kind", "block", F.lit("root")) < F.col("p")).cast("int").alias("up"))
-    for r in rounds:
-        root = root.union(r)
-    late = waiting.drop("up").join(root, ["sid", "kind", "block"]).select("doc_id", "h", "g", "sid", "size", "base", "up")
-    out = decided.union(late).join(known.drop("name"), "sid")
+    unit = ["doc_id", "h", "g", "sid", "size", "base", "up"]
+    out = level.filter("up >= 0").select(*unit)
+    if rounds:
+        # two rows for each source at most
+        last = nodes.select("sid", "kind", "block", F.col("p").alias("q"), _draw("sid", "kind", "block", F.lit("root")).alias("draw")).collect()
+        root = F.broadcast(spark.createDataFrame(last, "sid int, kind int, block long, q double, draw double"))
+        at_root = level.join(root, ["sid", "kind", "block"])
+        landed = at_root.groupBy("sid", "kind").applyInPandas(_land_root, "doc_id long, h long, g int, sid int, size long, base int, up int")
+        late = waiting.drop("up").join(reduce(DataFrame.union, rounds), ["sid", "kind", "block"]).select(*unit)
+        out = level.filter("up >= 0").join(root, ["sid", "kind", "block"], "left_anti").select(*unit).union(landed).union(late)
+    out = out.join(known.drop("name"), "sid")
     return out.select("doc_id", "h", "g", "size", "source_size", "target", (F.col("base") + F.col("up")).alias("copies"))
 
 
