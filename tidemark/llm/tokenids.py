@@ -11,27 +11,28 @@ ascending order within and across shards, and `vocabulary` with the id of each r
 
 Defined cases: a null text is an empty one, which has the end id alone. Documents of equal doc_id stand in
 the order of a hash of their texts; a null doc_id stands first. An empty table gives empty files. Other
-columns are not read. Words of any length are encoded whole.
+columns are not read. Words of any length are encoded whole; a very long text takes memory in proportion to it.
 """
 
 from __future__ import annotations
 
+import json
+import re
 import uuid
 import zlib
-from unicodedata import is_normalized
+from unicodedata import category, is_normalized
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import drop, materialize, shared_dir, shuffle_width, text_bytes
+from tidemark.llm.common import drop, materialize, shared_dir, shuffle_width
 
 END_ID = 2
-#: Words whose ids a worker remembers, in each of two generations.
-REMEMBERED = 600_000
-#: Bytes of text worked off at a time.
-CHUNK = 1 << 17
-_MARKS = bytes(c for c in range(33, 127) if not chr(c).isalnum())
-_memory: dict = {}
+#: Bytes of text worked off at a time; one longer text is worked off alone.
+CHUNK = 16 << 20
+#: Stands behind each piece that is handed to the byte-pair machine; no word of letters and marks holds it.
+_STOP = "\x01"
+_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def vocabulary_path() -> str:
@@ -40,124 +41,157 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-class _Known(dict):
-    """Ids by word; a word that is not there gives None and is put down in fresh."""
+def _letters() -> str:
+    """Latin letters on which every library agrees: their own normal form, with a lower case of one character."""
+    return "".join(c for c in map(chr, range(0x41, 0x250)) if category(c) in ("Lu", "Ll") and is_normalized("NFC", c) and len(c.lower()) == 1)
+
+
+def _alphabet() -> dict[str, int]:
+    """The byte behind each character of a byte-level vocabulary: printable ones stand for themselves, the others
+    for the characters from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
+
+
+def _reached(token: bytes, ranks: dict[bytes, int], pairs: dict[tuple[bytes, bytes], int]) -> bool:
+    """Whether merging its bytes by the listed pairs gives the token whole."""
+    parts = [token[i : i + 1] for i in range(len(token))]
+    if parts[-1:] == [_STOP.encode()] and len(parts) > 1:
+        parts[-2:] = [parts[-2] + parts[-1]]
+    while len(parts) > 1:
+        rank, at = min((pairs.get(x, len(ranks)), i) for i, x in enumerate(zip(parts, parts[1:])))
+        if rank == len(ranks):
+            return False
+        parts[at : at + 2] = [parts[at] + parts[at + 1]]
+    return True
+
+
+def merge_ranks(path: str) -> dict | None:
+    """The vocabulary as byte strings by rank of merging, with the id of each rank, for the faster of two libraries;
+    None for a file of another kind than lower-cased words with word ends, which the other library handles alone.
+
+    The faster one merges any neighbours that are a token together, the slower one listed pairs alone. Both
+    come to the same if every token is what its own bytes merge to: neighbours that make up a token have been
+    merged as if they stood alone. Tokens that aren't are never made, and are left out."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    model, pre = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or kinds != ["NFC", "Replace", "Lowercase"] or pre[0].get("pattern") != {"Regex": _SPLIT}:
+        return None
+    byte_of, stop, vocab = _alphabet(), _STOP.encode(), model["vocab"]
+    if any(c not in vocab or c + "</w>" not in vocab for c in byte_of):
+        return None
+
+    def raw(token: str) -> bytes:
+        bare = token.removesuffix("</w>")
+        return bytes(map(byte_of.__getitem__, bare)) + (stop if bare != token else b"")
+
+    char_of = {b: c for c, b in byte_of.items()}
+    listed = [vocab[char_of[b]] for b in range(256)] + [vocab[char_of[b] + "</w>"] for b in range(256)]
+    ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + stop: 256 + b for b in range(256)}
+    pairs: dict[tuple[bytes, bytes], int] = {}
+    for x in model["merges"]:
+        a, b = x if isinstance(x, list) else x.split(" ")
+        if (token := raw(a) + raw(b)) not in ranks:
+            ranks[token] = len(listed)
+            listed.append(vocab[a + b])
+        pairs[raw(a), raw(b)] = len(pairs)
+    return {"ranks": {t: r for t, r in ranks.items() if r < 512 or _reached(t, ranks, pairs)}, "ids": listed}
 
-    def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[bytes] = []
 
-    def __missing__(self, word: bytes) -> None:
-        self.fresh.append(word)
+_memory: dict = {}
 
 
 class Encoder:
-    """The tokenizer behind a memory of words. Neither its normalisation nor its splitting looks across
-    ASCII white space, so the ids of a text are those of its words in order. The memory has two
-    generations of REMEMBERED words; when the newer is full, the older is forgotten."""
+    """Ids of texts, each distinct word of a chunk encoded once.
+
+    Neither the normalisation of the tokenizer nor its splitting looks across ASCII white space, so the ids
+    of a text are those of its words in order. A word of Latin letters, or of such letters and ASCII marks
+    behind them, is one or two pieces for it whatever else stands in the text; these pieces are merged many
+    at a time. All other words are encoded by the tokenizer itself."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, merges: dict | None) -> None:
         import numpy as np
 
         if path not in _memory:
+            import tiktoken
             from tokenizers import Tokenizer
 
             _memory.clear()
-            tokenizer = Tokenizer.from_file(path)
-            ends = np.zeros(tokenizer.get_vocab_size() + 1, bool)
-            ends[[i for t, i in tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
-            _memory[path] = [tokenizer, ends, _Known(), {}]
-        self.tokenizer, self.ends, self.known, self.old = self.kept = _memory[path]
-
-    def _learn(self, fresh: set[bytes]) -> None:
-        """Ids of words not yet known. Punctuation at a word's end is a token run of its own behind a
-        letter or digit, and case does not matter, so it is stems and ends that are encoded."""
-        known, old = self.known, self.old
-        stems, new = [], set()
-        for w in fresh:
-            if w in old:
-                known[w] = old[w]
-                continue
-            s, end = (w.lower(), b"") if w.isalpha() else _stem(w)
-            stems.append((w, s, end))
-            new.add(s)
-            if end:
-                new.add(end)
-        new = [s for s in new if s not in known]
-        plain = [s for s in new if s.isalpha() or not s.isascii() and _is_plain(s.decode())]
-        if not self._learn_joined(plain):
-            plain = []
-        if len(plain) < len(new):
-            rest = list(set(new).difference(plain))
-            ids = self.tokenizer.encode_batch_fast([s.decode() for s in rest], add_special_tokens=False)
-            known.update((s, _packed(e.ids)) for s, e in zip(rest, ids))
-        for w, s, end in stems:
-            known[w] = known[s] + known[end] if end else known[s]
-
-    def _learn_joined(self, words: list[bytes]) -> bool:
-        """Words of letters alone, all in one text: each is one run for the tokenizer, and its last token
-        alone is one that ends a word. False if the ends do not come out as many as the words."""
+            fast = merges and tiktoken.Encoding("words", pat_str=f"[^{_STOP}]+{_STOP}", mergeable_ranks=merges["ranks"], special_tokens={})
+            _memory[path] = Tokenizer.from_file(path), fast
+        self.tokenizer, self.fast = _memory[path]
+        if self.fast:
+            self.ids = np.array(merges["ids"], np.uint32)
+            self.stops = np.zeros(len(self.ids), bool)
+            self.stops[[r for t, r in merges["ranks"].items() if len(t) > 1 and t.endswith(_STOP.encode())]] = True
+            letters, marks = _letters(), "".join(re.escape(chr(c)) for c in range(33, 127) if not chr(c).isalnum())
+            self.bare, self.marked, self.stem = f"^[{letters}]+$", f"^[{letters}]+[{marks}]+$", f"^([{letters}]+)"
+
+    def encode(self, texts):
+        """Arrow strings (null: empty) to (ids of all texts, their number in each): the end id is each text's last."""
         import numpy as np
 
-        ids = np.array(self.tokenizer.encode(b" ".join(words).decode(), add_special_tokens=False).ids, np.uint32)
-        cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist() if len(ids) else []
-        if len(cuts) != len(words):
-            return False
-        flat, known, at = ids.tobytes(), self.known, 0
-        for w, cut in zip(words, cuts):
-            known[w] = flat[at:cut]
-            at = cut
-        return True
-
-    def encode(self, texts: list[bytes]) -> list:
-        """Arrays of ids, the end id last."""
-        out, held, size = [], [], 0
-        for t in texts:
-            held.append(t)
-            size += len(t)
-            if size > CHUNK:
-                out += self._encode(held)
-                held, size = [], 0
-        return out + self._encode(held)
-
-    def _encode(self, texts: list[bytes]) -> list:
-        import numpy as np
+        sizes = np.cumsum(np.diff(np.frombuffer(texts.buffers()[1], np.int64 if str(texts.type) == "large_string" else np.int32)[texts.offset :][: len(texts) + 1]))
+        cuts, at = [0], 0
+        while at < len(texts):
+            at = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + CHUNK, "right")))
+            cuts.append(at)
+        ids, n = zip(*(self._encode(texts[a:b]) for a, b in zip(cuts, cuts[1:]))) if len(texts) else ((np.zeros(0, np.uint32),), (np.zeros(0, np.int64),))
+        return np.concatenate(ids), np.concatenate(n)
 
-        if len(self.known) > REMEMBERED:
-            self.kept[2:] = _Known(), self.known
-            self.known, self.old = self.kept[2:]
-        ids_of, fresh = self.known.__getitem__, self.known.fresh
-        split = [t.split() for t in texts]
-        found = [[*map(ids_of, w)] for w in split]
-        if fresh:
-            self._learn(set(fresh))
-            fresh.clear()
-            found = [[*map(ids_of, w)] if None in ids else ids for w, ids in zip(split, found)]
-        end = _packed([END_ID])
-        return [np.frombuffer(b"".join(ids) + end, np.uint32) for ids in found]
-
-
-def _stem(w: bytes) -> tuple[bytes, bytes]:
-    """The word in lower case, as far as that is safe to say here, and the run of ASCII marks at its end."""
-    if b"<|" in w:
-        return w, b""
-    s = w.rstrip(_MARKS)
-    if w.isascii():
-        return (s.lower(), w[len(s) :]) if s[-1:].isalnum() else (w, b"")
-    text = s.decode()
-    if not text or not text[-1].isalnum():
-        return w, b""
-    return (text.lower().encode() if max(text) < "\u0250" else s), w[len(s) :]
-
-
-def _is_plain(text: str) -> bool:
-    return text.isalpha() and len(text.lower()) == len(text) and is_normalized("NFC", text)
-
-
-def _packed(ids) -> bytes:
-    import struct
-
-    return struct.pack(f"={len(ids)}I", *ids)
+    def _encode(self, texts):
+        import numpy as np
+        import pyarrow.compute as pc
+
+        split = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        coded = split.flatten().dictionary_encode()
+        flat, start, n = self._words(coded.dictionary)
+        ends = split.offsets.to_numpy().astype(np.int64) - split.offsets[0].as_py()
+        end = len(n)
+        flat, start, n = np.r_[flat, np.uint32(END_ID)], np.r_[start, len(flat)], np.r_[n, 1]
+        word = np.insert(coded.indices.to_numpy(zero_copy_only=False), ends[1:], end)
+        own = n[word]
+        after = np.cumsum(own)
+        at = np.repeat(start[word] - (after - own), own)
+        at += np.arange(len(at))
+        of_text = np.diff(after[ends[1:] + np.arange(len(texts))], prepend=0)
+        return flat[at], of_text
+
+    def _words(self, words):
+        """Distinct words to (ids, where each word's begin, their number)."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        start, n, flat, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
+        rest = np.ones(len(words), bool)
+        if self.fast:
+            bare, marked = (pc.match_substring_regex(words, x).to_numpy(zero_copy_only=False) for x in (self.bare, self.marked))
+            for where, pieces in ((bare, 1), (marked, 2)):
+                at = np.flatnonzero(where)
+                if not len(at):
+                    continue
+                own = words.take(at)
+                if pieces == 2:
+                    own = pc.replace_substring_regex(own, self.stem, r"\1" + _STOP)
+                merged = self.fast.encode_to_numpy(_STOP.join(own.to_pylist()).lower() + _STOP, disallowed_special=())
+                ends = np.flatnonzero(self.stops[merged]) + 1
+                if len(ends) != pieces * len(at):
+                    continue
+                ends = ends[pieces - 1 :: pieces]
+                n[at] = np.diff(ends, prepend=0)
+                start[at] = size + ends - n[at]
+                flat.append(self.ids[merged])
+                size += len(merged)
+                rest[at] = False
+        at = np.flatnonzero(rest)
+        if len(at):
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words.take(at).to_pylist(), add_special_tokens=False)]
+            n[at] = [len(x) for x in found]
+            start[at] = size + np.cumsum(n[at]) - n[at]
+            flat.append(np.array([i for x in found for i in x], np.uint32))
+        return (np.concatenate(flat) if flat else np.zeros(0, np.uint32)), start, n
 
 
 def pack(ranks) -> tuple[bytes, bytes]:
@@ -211,24 +245,26 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    merges = spark.sparkContext.broadcast(merge_ranks(vocabulary))  # the size of the vocabulary
 
     def tokenize(batches):
         from pyspark import TaskContext
 
-        encoder, shard, start = Encoder(vocabulary), TaskContext.get().partitionId(), 0
+        encoder, shard, start = Encoder(vocabulary, merges.value), TaskContext.get().partitionId(), 0
         for b in batches:
-            ids = encoder.encode(text_bytes(b.column("text")))
-            n = np.array([len(x) for x in ids], np.int64)
+            ids, n = encoder.encode(b.column("text"))
             starts = start + np.cumsum(n) - n
-            start += int(n.sum())
-            tally = [None] * len(ids)
-            if ids:
-                count = np.bincount(np.concatenate(ids))
+            start += len(ids)
+            tally = [None] * len(n)
+            if len(n):
+                count = np.bincount(ids)
                 seen = np.flatnonzero(count)
                 tally[0] = np.stack([seen, count[seen]]).astype("<u4").tobytes()
-            small = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else x.tobytes() for x in ids]
+            kind = "<u2" if not len(ids) or ids.max() < 1 << 16 else "<u4"
+            after = np.r_[0, np.cumsum(n)] * np.dtype(kind).itemsize
+            packed = pa.Array.from_buffers(pa.large_binary(), len(n), [None, pa.py_buffer(after), pa.py_buffer(ids.astype(kind))]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
-                [pa.array([shard] * len(ids), pa.int32()), b.column("doc_id"), pa.array(starts), pa.array(n), pa.array(small, pa.binary()), pa.array(tally, pa.binary())],
+                [pa.array([shard] * len(n), pa.int32()), b.column("doc_id"), pa.array(starts), pa.array(n), packed, pa.array(tally, pa.binary())],
                 names=["shard", "doc_id", "start", "n_tokens", "ids", "tally"],
             )
 
@@ -245,8 +281,9 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["id", "n"])
 
     tie = F.xxhash64("text").alias("tie")
-    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie)
-    ordered = ordered.repartitionByRange(shuffle_width(spark), "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
+    ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", tie, F.monotonically_increasing_id().alias("row"))
+    # rows equal in both may lie in several ranges, in any order
+    ordered = ordered.repartitionByRange(shuffle_width(spark), "doc_id", "tie", "row").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     raw = materialize(ordered.mapInArrow(tokenize, "shard int, doc_id long, start long, n_tokens long, ids binary, tally binary"), "ids")
     # as many rows as the vocabulary has ids, at most
     counts = raw.select("tally").filter("tally IS NOT NULL").mapInArrow(counted, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
