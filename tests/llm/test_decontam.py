@@ -43,6 +43,10 @@ def test_matches_equal_brute_force(spark):
             text += " " + edited(rng, items[i % 12][1], rng.randrange(0, 6)).replace(" ", rng.choice([" ", "\n", "  "])) + " " + prose(rng, 20, 60)
         rows.append((i, text.upper() if i % 5 == 0 else text))
     rows += [(100, "x tiny y"), (101, "é" * 40 + "two words" + "ß" * 20)]
+    check_matches(spark, items, rows, 20)
+
+
+def check_matches(spark, items, rows, least):
     found = {(r.doc_id, r.item_id): r.distance for r in decontam.matches(docs(spark, rows), spark.createDataFrame(items, ITEMS)).collect()}
     want = {}
     for i, t in items:
@@ -52,7 +56,31 @@ def test_matches_equal_brute_force(spark):
         for d, text in rows:
             if (k := brute_distance(x.text, decontam.normal(text))) <= x.budget:
                 want[d, i] = k
-    assert found == want and len(want) > 20
+    assert found == want and len(want) > least
+
+
+def test_periodic_texts_give_the_least_distance(spark):
+    rng = random.Random(16)
+    items, rows = [], []
+    for i in range(24):
+        unit = prose(rng, rng.randrange(1, 4), 9) + " "
+        items.append((i, (unit * 20)[: rng.randrange(30, 120)]))
+        for n in range(4):
+            rows.append((4 * i + n, edited(rng, unit * rng.randrange(4, 30), rng.randrange(1, 12)) + prose(rng, 5)))
+    check_matches(spark, items, rows, 60)
+
+
+def test_short_items_have_the_same_budget(spark):
+    rng = random.Random(17)
+    items = [(m, "".join(rng.choice("abcdé ") for _ in range(m))) for m in range(1, 45)]
+    rows = [(n, prose(rng, 4) + edited(rng, rng.choice(items)[1] + "  ", rng.randrange(0, 4)) + prose(rng, 4)) for n in range(200)]
+    check_matches(spark, items, rows, 200)
+
+
+def test_an_occurrence_lies_in_one_document(spark):
+    rows, items = [(1, "xx abcd"), (2, "efghi yy"), (3, "abcd\0efghi")], [(1, "abcd\0efghi"), (2, "bcd\0")]
+    finder = decontam.Finder(items, 0.0)
+    assert [[x[0] for x in found] for found in finder.search([r[1] for r in rows])] == [[], [], [1, 2]]
 
 
 def test_leaks_of_the_benchmark(spark):

@@ -1,20 +1,23 @@
 """Benchmark decontamination by pigeonhole edit matching.
 
-A test item may be found with up to `rate` edits per character. It is split into one piece more than
-that error budget, so that any occurrence within the budget holds at least one piece unchanged. All
-pieces are searched for at once: the eight bytes at every place of a text are looked up in a bitmap of
-the pieces' first eight bytes, survivors in the pieces themselves. A hit is verified upwards in a binary tree over the
+A test item may be found with up to `rate` edits per character, whatever its length. It is split into one
+piece more than that error budget, so that any occurrence within the budget holds at least one piece
+unchanged. All pieces are searched for at once: the eight bytes at every place of a text are looked up in a
+bitmap of the pieces' first eight bytes (five, for the shorter pieces of items under 40 characters),
+survivors in the pieces themselves. A hit is verified upwards in a binary tree over the
 pieces: of c neighbouring pieces with fewer than c errors, one half has fewer errors than pieces too.
 Each node is held against the text around the hit by Myers' bit-parallel distance with the node's own
 budget, so chance hits of short pieces cost a few steps, and no occurrence is lost. The root gives the
-distance and the end of the best occurrence.
+distance and the end of the best occurrence, the first of equally good ones.
 
 Texts are compared in lower case with runs of white space as one space. Items go to the executors in
 blocks of at most BLOCK_CHARS characters; a larger benchmark takes more passes over the documents.
 
-Defined cases: null and blank documents hold no item; null and blank items are in no document. Pieces
-have LEAST_PIECE characters or more, which lowers the budget of short items (to 0 below twice that).
-Repeated items count once; repeated documents are rows of their own. Empty tables give empty results.
+Defined cases: null and blank documents hold no item; null and blank items are in no document. Items
+under 1 / rate characters are found unchanged only. An occurrence lies within one document, whatever
+characters that and the item hold. Very long texts are searched whole, a mebibyte or one text at a time.
+Rows of the benchmark with one id and different texts are items of their own, equal ones count once;
+repeated documents are rows of their own. Empty tables give empty results.
 Other columns are not read by `matches`, and pass through `decontaminate`.
 """
 
@@ -26,7 +29,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 RATE = 0.1
-LEAST_PIECE = 8
+#: Bytes at the head of a piece by which it is looked up; shorter ones are searched for one by one.
+HEADS = (8, 5)
 BLOCK_CHARS = 8_000_000
 
 
@@ -69,7 +73,7 @@ class Item:
 
     def __init__(self, item_id, text: str, rate: float) -> None:
         self.id, self.text, m = item_id, text, len(text)
-        self.budget = max(0, min(int(rate * m), m // LEAST_PIECE - 1))
+        self.budget = min(int(rate * m), m - 1)
         n = self.budget + 1
         self.cuts = [m * k // n for k in range(n + 1)]
         self.bits: dict[tuple[int, int], dict[str, int]] = {}
@@ -124,43 +128,48 @@ class Finder:
         import numpy as np
 
         self.items = [Item(i, t, rate) for i, t in items]
-        #: By the first eight bytes: (piece, [(item, which piece)]).
-        self.pieces: dict[int, dict[bytes, list[tuple[int, int]]]] = {}
-        self.short: list[int] = []
+        #: By length of the head, then by the head: (piece, [(item, which piece)]).
+        self.pieces: dict[int, dict[int, dict[bytes, list[tuple[int, int]]]]] = {width: {} for width in HEADS}
+        self.short: dict[bytes, list[tuple[int, int]]] = {}
         for n, x in enumerate(self.items):
             for k in range(x.budget + 1):
                 p = x.text[x.cuts[k] : x.cuts[k + 1]].encode()
-                if len(p) < 8:
-                    self.short.append(n)
-                else:
-                    self.pieces.setdefault(int.from_bytes(p[:8], "little"), {}).setdefault(p, []).append((n, k))
-        self.heads = np.array(sorted(self.pieces), np.uint64)
-        #: At least sixteen slots for each head, so that few others get through.
-        self.bits = max(20, (16 * len(self.heads)).bit_length())
-        self.bitmap = np.zeros(1 << self.bits, bool)
-        self.bitmap[self._slots(self.heads)] = True
-
-    def _slots(self, heads):
+                width = next((w for w in HEADS if len(p) >= w), 0)
+                near = self.pieces[width].setdefault(int.from_bytes(p[:width], "little"), {}) if width else self.short
+                near.setdefault(p, []).append((n, k))
+        self.tables = []
+        for width, pieces in self.pieces.items():
+            if pieces:
+                heads = np.array(sorted(pieces), np.uint64)
+                # at least sixteen slots for each head, so that few others get through
+                bits = max(20, (16 * len(heads)).bit_length())
+                bitmap = np.zeros(1 << bits, bool)
+                bitmap[self._slots(heads, bits)] = True
+                self.tables.append((width, heads, bits, bitmap))
+
+    def _slots(self, heads, bits: int):
         import numpy as np
 
-        return (heads * np.uint64(self._FACTOR) >> np.uint64(64 - self.bits)).astype(np.int64)
+        return (heads * np.uint64(self._FACTOR) >> np.uint64(64 - bits)).astype(np.int64)
 
-    def _hits(self, data: bytes) -> list[int]:
-        """Places at which the first eight bytes of a piece stand."""
+    def _hits(self, data: bytes) -> Iterator[tuple[int, int]]:
+        """Places at which a head of a piece stands, in order, and the length of the head. data ends in eight bytes
+        that belong to no text."""
         import numpy as np
 
         found = []
         for shift in range(8):
             n = (len(data) - shift) // 8
-            if n > 0 and len(self.heads):
-                heads = np.frombuffer(data, "<u8", n, shift)
-                at = np.flatnonzero(self.bitmap[self._slots(heads)])
-                at = at[np.isin(heads[at], self.heads)]
-                found.append(at * 8 + shift)
-        return np.sort(np.concatenate(found)).tolist() if found else []
+            eight = np.frombuffer(data, "<u8", n, shift)
+            for width, known, bits, bitmap in self.tables:
+                heads = eight & np.uint64((1 << 8 * width) - 1) if width < 8 else eight
+                at = np.flatnonzero(bitmap[self._slots(heads, bits)])
+                at = at[np.isin(heads[at], known)]
+                found.append((at * 8 + shift) << 4 | width)
+        return ((x >> 4, x & 15) for x in np.sort(np.concatenate(found)).tolist()) if found else iter(())
 
     def search(self, texts: list[str | None]) -> list[list[tuple]]:
-        """(item id, distance, end) of the best occurrence of each item, for each text."""
+        """(item id, distance, end, characters of the item) of the best occurrence of each item, for each text."""
         out, held, size = [], [], 0
         for t in texts:
             held.append(normal(t or ""))
@@ -172,34 +181,43 @@ class Finder:
 
     def _search(self, texts: list[str]) -> list[list[tuple]]:
         coded = [t.encode() for t in texts]
-        data, starts, at = b"\0".join(coded), [], 0
+        data, starts, at = b"\0".join([*coded, b"\0" * 8]), [], 0
         for c in coded:
             starts.append(at)
             at += len(c) + 1
         best: list[dict[int, tuple[int, int]]] = [{} for _ in texts]
+        done: list[set[tuple[int, int]]] = [set() for _ in texts]
+
+        def check(doc: int, own: int, owners: list[tuple[int, int]]) -> None:
+            where = own if len(coded[doc]) == len(texts[doc]) else len(coded[doc][:own].decode())
+            self._verify(texts[doc], where, owners, best[doc], done[doc])
+
         doc = 0
-        for place in self._hits(data):
+        for place, width in self._hits(data):
             while doc + 1 < len(starts) and starts[doc + 1] <= place:
                 doc += 1
-            for p, owners in self.pieces[int.from_bytes(data[place : place + 8], "little")].items():
-                if data.startswith(p, place):
-                    own = place - starts[doc]
-                    where = own if len(coded[doc]) == len(texts[doc]) else len(coded[doc][:own].decode())
-                    self._verify(texts[doc], where, owners, best[doc])
-        for n in self.short:
-            for text, known in zip(texts, best):
-                if (at := text.find(self.items[n].text)) >= 0:
-                    known[n] = (0, at + len(self.items[n].text))
-        return [[(self.items[n].id, d, end) for n, (d, end) in sorted(known.items())] for known in best]
-
-    def _verify(self, text: str, at: int, owners: list[tuple[int, int]], best: dict[int, tuple[int, int]]) -> None:
+            own = place - starts[doc]
+            for p, owners in self.pieces[width][int.from_bytes(data[place : place + width], "little")].items():
+                if own + len(p) <= len(coded[doc]) and data.startswith(p, place):
+                    check(doc, own, owners)
+        for p, owners in self.short.items():
+            for doc, c in enumerate(coded):
+                own = c.find(p)
+                while own >= 0:
+                    check(doc, own, owners)
+                    own = c.find(p, own + 1)
+        return [[(self.items[n].id, d, end, len(self.items[n].text)) for n, (d, end) in sorted(known.items())] for known in best]
+
+    def _verify(self, text: str, at: int, owners: list[tuple[int, int]], best: dict[int, tuple[int, int]], done: set[tuple[int, int]]) -> None:
         for n, k in owners:
             x, known = self.items[n], best.get(n)
-            # nothing is better than no edit, and pieces of the occurrence that is known lead to it again
-            if known and (known[0] == 0 or known[1] - len(x.text) - x.budget <= at < known[1]):
+            line = n, at - x.cuts[k]
+            # nothing is better than no edit, and unshifted pieces of an occurrence lead to the same window
+            if known and known[0] == 0 or line in done:
                 continue
-            if (found := x.verify(text, k, at)) and (known is None or found[0] < known[0]):
-                best[n] = (found[0], found[2])
+            if found := x.verify(text, k, at):
+                done.add(line)
+                best[n] = min((found[0], found[2]), known or (len(x.text), 0))
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple]]:
@@ -224,9 +242,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, rate: float = RATE) -> DataFr
         def search(batches, items=items):
             import pyarrow as pa
 
-            finder, size = Finder(items, rate), {i: len(t) for i, t in items}
+            finder = Finder(items, rate)
             for b in batches:
-                rows = [(d, *x, size[x[0]]) for d, found in zip(b.column("doc_id").to_pylist(), finder.search(b.column("text").to_pylist())) for x in found]
+                rows = [(d, *x) for d, found in zip(b.column("doc_id").to_pylist(), finder.search(b.column("text").to_pylist())) for x in found]
                 kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int32()]
                 cols = list(zip(*rows)) or [()] * 5
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "item_id", "distance", "end", "item_chars"])
