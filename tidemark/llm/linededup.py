@@ -1,15 +1,15 @@
 """Line dedup by distinct-site spread.
 
-A line that stands on many sites is boilerplate. HyperLogLog sketches of sites, one per line hash, are
-built and merged by aggregation. Lines whose estimate is within BAND of the threshold get an exact
-distinct count; the rest are decided by the estimate. Boilerplate lines then leave all documents.
-
-Only a line that stands in `spread` rows or more, on two sites or more, can reach the threshold, so a
-plain count goes first and sketches are made for those lines alone; that decides nothing else.
+A line that stands on many sites is boilerplate. One pass over the lines builds a HyperLogLog sketch of
+sites for each line hash; sketches of a line are merged by aggregation, in each task before the exchange,
+so a line that stands everywhere is a few rows. Lines whose estimate is within BAND of the threshold get
+an exact distinct count, for which alone (line, site) rows are made distinct; the rest are decided by the
+estimate. Boilerplate lines then leave all documents.
 
 Defined cases: a null text has no lines and stays null. Lines without a word are never boilerplate. Lines
 are compared without white space at their ends. A null site is a site. Repeated rows count once per site.
-An empty table gives an empty result. Other columns pass through `strip_lines`.
+An empty table gives an empty result. Other columns pass through `strip_lines`. A very long text is split
+whole, and takes memory in proportion to its length.
 """
 
 from __future__ import annotations
@@ -35,12 +35,12 @@ def _keys(text: Column) -> Column:
 def boilerplate(docs: DataFrame, site: str = "source", spread: int = SPREAD) -> DataFrame:
     """h, g (hashes of the line), rows, sites (exact where exact is true, else estimated)."""
     rows = docs.select(F.coalesce(F.col(site).cast("string"), F.lit("\x00")).alias("site"), F.explode(_keys(F.col("text"))).alias("key")).filter("key IS NOT NULL").select("site", "key.h", "key.g")
-    often = rows.groupBy("h", "g").agg(F.count("*").alias("rows"), F.min("site").alias("a"), F.max("site").alias("b"))
-    often = materialize(often.filter((F.col("rows") >= spread) & (F.col("a") != F.col("b"))).select("h", "g", "rows"), "lines")
-    seen = materialize(rows.join(often.select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g", "site").agg(F.count("*").alias("n")), "spread")
-    sketched = materialize(seen.groupBy("h", "g").agg(F.sum("n").alias("rows"), F.hll_sketch_agg("site", LOG_K).alias("sketch")).withColumn("about", F.hll_sketch_estimate("sketch")), "sketches")
-    near = (F.col("about") >= spread * (1 - BAND)) & (F.col("about") <= spread * (1 + BAND))
-    exact = seen.join(sketched.filter(near).select("h", "g"), ["h", "g"], "left_semi").groupBy("h", "g").agg(F.count("*").alias("counted"))
+    sketched = rows.groupBy("h", "g").agg(F.count("*").alias("rows"), F.hll_sketch_agg("site", LOG_K).alias("sketch"))
+    # a line in fewer rows than that is on fewer sites
+    sketched = sketched.filter(F.col("rows") >= spread).select("h", "g", "rows", F.hll_sketch_estimate("sketch").alias("about"))
+    sketched = materialize(sketched.filter(F.col("about") >= spread * (1 - BAND)), "sketches")
+    near = sketched.filter(F.col("about") <= spread * (1 + BAND)).select("h", "g")
+    exact = rows.join(near, ["h", "g"], "left_semi").distinct().groupBy("h", "g").agg(F.count("*").alias("counted"))
     told = sketched.join(exact, ["h", "g"], "left").select("h", "g", "rows", F.coalesce("counted", "about").alias("sites"), F.col("counted").isNotNull().alias("exact"))
     return materialize(told.filter(F.col("sites") >= spread), "boilerplate")
 
