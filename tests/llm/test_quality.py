@@ -2,6 +2,8 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
+from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tests.llm.helpers import docs, edge_docs, edge_rows, empty_docs, prose, words
 from tidemark.llm import quality
@@ -39,6 +41,8 @@ def test_edges(spark):
     kept = quality.filter_documents(edge_docs(spark))
     assert kept.columns == edge_docs(spark).columns
     assert quality.filter_documents(empty_docs(spark)).collect() == []
+    named = docs(spark, [(1, prose(random.Random(2), 60))]).withColumns({c: F.lit("own") for c in ("__q_text", "__q_n_words", "__q_quality")})
+    assert quality.filter_documents(named).select("__q_text", "__q_n_words", "__q_quality").collect() == [("own", "own", "own")]
 
 
 def test_posterior_separates_labelled_quality(spark):
@@ -49,20 +53,81 @@ def test_posterior_separates_labelled_quality(spark):
     assert sum(bad) / len(bad) < 0.1
 
 
-def test_em_finds_planted_accuracies():
-    rng, histogram = random.Random(3), Counter()
-    for _ in range(4000):
-        good = rng.random() < 0.8
-        votes = [1 if rng.random() < (0.99 if good else 0.7) else -1 for _ in quality.RULES]
-        if not good:
-            votes[1] = -1
-        votes = [0 if rng.random() < 0.2 and j != 1 else v for j, v in enumerate(votes)]
-        histogram[tuple(votes)] += 1
-    model = quality.fit(sorted(histogram.items()))
-    assert abs(model["share"][0] - 0.8) < 0.05
-    assert all(a > 0.6 for a in model["accuracy"])
-    every_good, one_bad = tuple([1] * 7), (1, -1, 1, 1, 1, 1, 1)
-    assert quality.class_posterior(model, every_good)[0][0] > 0.9 > 0.5 > quality.class_posterior(model, one_bad)[0][0]
+def planted(n=4000):
+    """Documents of which a tenth are bad as three rules see it; a fourth rule is noise."""
+    rng, votes, good = random.Random(3), [], []
+    for _ in range(n):
+        fine = rng.random() < 0.9
+        v = [1 if rng.random() < 0.99 else -1 for _ in quality.RULES]
+        if not fine:
+            v[1] = v[2] = v[3] = -1
+        v[4] = -1 if rng.random() < 0.15 else 1
+        votes.append(tuple(0 if rng.random() < 0.1 and j > 3 else x for j, x in enumerate(v)))
+        good.append(fine)
+    return votes, good
+
+
+def brute_em(votes, start, rounds):
+    """The same, one document and one rule at a time."""
+    post = [list(start[v]) for v in votes]
+    classes, rules = range(len(post[0])), range(len(votes[0]))
+    for _ in range(rounds):
+        share, rate = [], []
+        for k in classes:
+            share.append((sum(p[k] for p in post) + 1) / (len(votes) + len(classes)))
+            rate.append([])
+            for j in rules:
+                bad = sum(p[k] for p, v in zip(post, votes) if v[j] == -1)
+                voted = sum(p[k] for p, v in zip(post, votes) if v[j] != 0)
+                rate[k].append((bad + 1) / (voted + 2))
+        for p, v in zip(post, votes):
+            for k in classes:
+                p[k] = share[k]
+                for j in rules:
+                    p[k] *= rate[k][j] if v[j] == -1 else 1 - rate[k][j] if v[j] == 1 else 1
+            total = sum(p)
+            p[:] = [x / total for x in p]
+    return share, rate, post
+
+
+def test_em_equals_brute_force():
+    votes, _ = planted(600)
+    histogram = sorted(Counter(votes).items())
+    start = dict(zip((v for v, _ in histogram), quality.start(histogram).tolist()))
+    share, rate, post = brute_em(votes, start, 25)
+    model, _ = quality.maximise(histogram, quality.start(histogram), 25, 0.0)
+    np.testing.assert_allclose(model.share, share, rtol=1e-9)
+    np.testing.assert_allclose(model.rate, rate, rtol=1e-9)
+    known = dict(zip((v for v, _ in histogram), model.posterior(np.array([v for v, _ in histogram], float))[0]))
+    for v, p in zip(votes, post):
+        np.testing.assert_allclose(known[v], p, rtol=1e-6, atol=1e-12)
+
+
+def test_em_decides_which_rules_to_believe():
+    votes, good = planted()
+    fitted = quality.fit(sorted(Counter(votes).items()))
+    model = fitted["model"]
+    assert abs(model.share[model.good] - 0.9) < 0.02
+    post = model.posterior(np.array(votes, float))[0][:, model.good]
+    assert sum((p > 0.5) == g for p, g in zip(post, good)) > 0.99 * len(votes)
+    assert fitted["accuracy"][1] > 0.97 and fitted["accuracy"][4] < 0.85
+    noise, agreed = [1] * 9, [1] * 9
+    noise[4], agreed[1], agreed[2], agreed[3] = -1, -1, -1, -1
+    kept = model.posterior(np.array([noise, agreed], float))[0][:, model.good]
+    assert kept[0] > 0.9 and kept[1] < 0.1
+
+
+def test_verdict_is_not_that_all_must_pass(spark):
+    """Posteriors of the query are those of the mixture, and some document with a bad vote is kept."""
+    table = spark.read.parquet(f"{SMALL.replace('0.001', '0.1')}/documents.parquet")
+    rows = quality.judge(table).collect()
+    names = [f"vote_{r}" for r in quality.RULES]
+    votes = [tuple(r[x] for x in names) for r in rows]
+    model = quality.fit(sorted(Counter(votes).items()))["model"]
+    want = model.posterior(np.array(votes, float))[0][:, model.good]
+    np.testing.assert_allclose([r.quality for r in rows], want, rtol=1e-6, atol=1e-12)
+    assert all(r.kept == (not r.base_failed and w >= 0.5) for r, w in zip(rows, want))
+    assert any(r.kept and min(v) < 0 for r, v in zip(rows, votes))
 
 
 def test_main_path_has_no_python(spark):

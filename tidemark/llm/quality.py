@@ -1,21 +1,22 @@
 """Quality rules: weak supervision in place of all-must-pass filtering.
 
-Seven rules look at counts of a document and vote good (1), bad (-1) or abstain (0). The votes of the
-corpus are summed up in a histogram of vote patterns, which has 3^7 rows at most whatever the corpus.
-Expectation-maximisation over that histogram estimates, for each rule, how often it votes which way on
-good and on bad documents (its accuracies), and the share of good documents; a document's posterior
-probability of being good then follows from its votes. The path over the documents is built of
-DataFrame functions alone.
+Nine rules look at counts of a document and vote good (1), bad (-1) or abstain (0). The votes of the
+corpus are summed up in a histogram of vote patterns, which has 3^9 rows at most whatever the corpus.
+Expectation-maximisation over that histogram fits a mixture of classes, in each of which every rule votes
+bad at a rate of its own, with flat priors: nothing but the votes says how accurate a rule is. It starts from
+one class of documents without a bad vote and one for each rule; classes are then merged as long as that
+lowers the Bayesian information criterion. So a class of bad documents remains only where several rules agree
+on it, and a rule that votes bad alone, whatever the others say, becomes an inaccurate one that decides
+nothing by itself. The class with the fewest bad votes is the good one. A document's posterior probability of
+being good then follows from its votes. The path over the documents is built of DataFrame functions alone.
 
 Defined cases: null and blank texts have no words, which fails the base filter. An empty table gives
-an empty result. Equal rows get equal verdicts. Other columns pass through `filter_documents` as they
-are; internal names start with `__q_`.
+an empty result. Equal rows get equal verdicts. Other columns, of any name, pass through `filter_documents`
+as they are. A very long text is split whole, and takes memory in proportion to its length.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,10 @@ WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
 KEEP_FROM = 0.5
-RULES = ("length", "symbols", "lines", "repeats", "shouting", "variety", "word_length")
+#: A mark at the end of a word, and a run of anything but letters and white space.
+SYMBOL_END = r"[#*$%&|<>](?=[\x20\x09-\x0D]|$)"
+MARKS = r"[^\p{L}\x20\x09-\x0D]+"
+RULES = ("length", "symbols", "symbol_ends", "marks", "lines", "repeats", "shouting", "variety", "word_length")
 
 
 def _repeat_words() -> Column:
@@ -46,9 +50,9 @@ _MARKED = (
 
 
 def features(docs: DataFrame) -> DataFrame:
-    """docs plus `__q_` columns: the base counts and what the rules look at."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    df = docs.withColumn("__q_text", text).withColumn("__q_words", words(F.col("text")))
+    """row: a struct of the columns of docs; and `__q_` columns: the base counts and what the rules look at."""
+    df = docs.select(F.struct(*as_columns(docs)).alias("row"))
+    df = df.withColumn("__q_text", F.coalesce(F.col("row.text"), F.lit(""))).withColumn("__q_words", words(F.col("row.text")))
     df = df.withColumns({
         "__q_n": F.size("__q_words"),
         "__q_lines": F.filter(F.split("__q_text", "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != ""),
@@ -68,6 +72,8 @@ def features(docs: DataFrame) -> DataFrame:
         "__q_n_words": F.col("__q_n").cast("long"),
         "__q_word_chars": F.length(F.array_join("__q_words", "")).cast("long"),
         "__q_n_symbols": F.regexp_count("__q_text", F.lit(SYMBOLS)).cast("long"),
+        "__q_n_symbol_ends": F.regexp_count("__q_text", F.lit(SYMBOL_END)).cast("long"),
+        "__q_n_marks": F.regexp_count("__q_text", F.lit(MARKS)).cast("long"),
         "__q_n_lines": F.size("__q_lines").cast("long"),
         "__q_n_dup_lines": (F.size("__q_lines") - F.size(F.array_distinct("__q_lines"))).cast("long"),
         "__q_n_repeat_words": F.expr(f"CASE WHEN __q_at IS NULL THEN 0 ELSE {covered} END").cast("long"),
@@ -93,6 +99,8 @@ def votes() -> dict[str, Column]:
     return {
         "length": vote(n < MIN_WORDS, n >= 40),
         "symbols": vote(c("n_symbols") * 10 > n, (c("n_symbols") * 50 <= n) & (n > 0)),
+        "symbol_ends": vote(c("n_symbol_ends") * 20 > n, (c("n_symbol_ends") * 100 <= n) & (n > 0)),
+        "marks": vote(c("n_marks") * 5 > 2 * n, (c("n_marks") * 4 <= n) & (n > 0)),
         "lines": vote((c("n_dup_lines") * 4 > lines) & (c("n_dup_lines") > 2), (c("n_dup_lines") == 0) & (lines > 2)),
         "repeats": vote(c("n_repeat_words") * 100 > MAX_REPEAT_PERCENT * n, (c("n_repeat_words") * 20 <= n) & (n >= 20)),
         "shouting": vote(c("n_shouted") * 2 > n, (c("n_shouted") * 5 <= n) & (n > 0)),
@@ -101,90 +109,126 @@ def votes() -> dict[str, Column]:
     }
 
 
-def fit(histogram: list[tuple[tuple[int, ...], int]], iterations: int = 200, tolerance: float = 1e-10) -> dict:
-    """EM over vote patterns and their counts.
+Histogram = list[tuple[tuple[int, ...], int]]
 
-    A document is good (class 0) or bad in the way of one rule (class j + 1). Class k votes bad on rule j
-    with rate[k][j], of the documents on which that rule votes; abstaining says nothing. Smoothing counts
-    keep rates off 0 and 1 and name the classes: good documents rarely get a bad vote (this one weighs as
-    much as the data, or a large good class would swallow any small way of being bad), and those that are
-    bad in the way of a rule mostly get that rule's. accuracy[j] is how often rule j is right when it votes."""
-    n_rules = len(RULES)
-    classes = range(n_rules + 1)
-    total = sum(n for _, n in histogram)
 
-    def first(v: tuple[int, ...]) -> list[float]:
-        bad = [j for j, x in enumerate(v) if x < 0]
-        if not bad:
-            return [0.98] + [0.02 / n_rules] * n_rules
-        return [0.1] + [0.9 / len(bad) if j in bad else 0.0 for j in range(n_rules)]
+class Mixture:
+    """share[k]: part of the documents in class k; rate[k, j]: bad votes among those of rule j on them."""
+
+    def __init__(self, histogram: Histogram, posterior) -> None:
+        """The most probable values given each pattern's posterior over classes, with one vote more of either kind."""
+        import numpy as np
+
+        votes, n = _arrays(histogram)
+        weight = posterior * n[:, None]
+        self.share = (weight.sum(0) + 1) / (n.sum() + posterior.shape[1])
+        self.rate = (weight.T @ (votes < 0) + 1) / (weight.T @ (votes != 0) + 2)
+        self.order = np.argsort(self.rate.mean(1), kind="stable")
+
+    @property
+    def good(self) -> int:
+        return int(self.order[0])
+
+    def logs(self, votes):
+        """log of share and likelihood of each pattern in each class; abstaining says nothing."""
+        import numpy as np
+
+        return np.log(self.share) + (votes < 0) @ np.log(self.rate).T + (votes > 0) @ np.log1p(-self.rate).T
+
+    def posterior(self, votes):
+        """(posterior of each pattern over classes, log likelihood of each)."""
+        import numpy as np
+
+        logs = self.logs(votes)
+        top = logs.max(1, keepdims=True)
+        total = top + np.log(np.exp(logs - top).sum(1, keepdims=True))
+        return np.exp(logs - total), total[:, 0]
 
-    post, last, model = [first(v) for v, _ in histogram], -math.inf, {}
-    for _ in range(iterations):
-        mass = [sum(p[k] * n for p, (_, n) in zip(post, histogram)) for k in classes]
-        share = [(mass[k] + (8.0 if k == 0 else 0.2)) / (total + 8.0 + 0.2 * n_rules) for k in classes]
-        rate = []
-        for k in classes:
-            row = []
-            for j in range(n_rules):
-                before, weight = (0.005, 20.0 + total) if k == 0 else (0.95, 20.0) if k == j + 1 else (0.1, 2.0)
-                bad = sum(p[k] * n for p, (v, n) in zip(post, histogram) if v[j] < 0)
-                voted = sum(p[k] * n for p, (v, n) in zip(post, histogram) if v[j])
-                row.append((bad + before * weight) / (voted + weight))
-            rate.append(row)
-        model = {"share": share, "rate": rate}
-        fit_of, post = 0.0, []
-        for v, n in histogram:
-            p, log_sum = class_posterior(model, v)
-            post.append(p)
-            fit_of += n * log_sum
-        if abs(fit_of - last) <= tolerance * max(1.0, abs(fit_of)):
-            break
-        last = fit_of
-    model["accuracy"] = [_accuracy(histogram, post, j) for j in range(n_rules)]
-    return model
 
+def _arrays(histogram: Histogram):
+    import numpy as np
 
-def _accuracy(histogram, post, j: int) -> float | None:
-    right = sum(n * (p[0] if v[j] > 0 else 1 - p[0]) for p, (v, n) in zip(post, histogram) if v[j])
-    voted = sum(n for v, n in histogram if v[j])
-    return right / voted if voted else None
+    return np.array([v for v, _ in histogram], float).reshape(-1, len(histogram[0][0])), np.array([n for _, n in histogram], float)
 
 
-def class_posterior(model: dict, pattern: tuple[int, ...]) -> tuple[list[float], float]:
-    """Posterior of each class, and the log likelihood of the pattern."""
-    logs = [
-        math.log(s) + sum(math.log(r[j] if x < 0 else 1 - r[j]) for j, x in enumerate(pattern) if x)
-        for s, r in zip(model["share"], model["rate"])
-    ]
-    top = max(logs)
-    log_sum = top + math.log(sum(math.exp(x - top) for x in logs))
-    return [math.exp(x - log_sum) for x in logs], log_sum
+def start(histogram: Histogram):
+    """A class for documents without a bad vote, and one for each rule that votes bad, in equal parts."""
+    import numpy as np
 
+    votes, _ = _arrays(histogram)
+    bad, voted = votes < 0, np.maximum((votes != 0).sum(1), 1)
+    share = bad.sum(1) / voted
+    return np.c_[1 - share, bad / np.maximum(bad.sum(1, keepdims=True), 1) * share[:, None]]
 
-def fit_votes(df: DataFrame) -> dict:
+
+def maximise(histogram: Histogram, posterior, iterations: int = 500, tolerance: float = 1e-10) -> tuple[Mixture, float]:
+    """Expectation-maximisation from a posterior; the mixture and its log likelihood."""
+    votes, n = _arrays(histogram)
+    last = None
+    for _ in range(iterations):
+        model = Mixture(histogram, posterior)
+        posterior, logs = model.posterior(votes)
+        fit_of = float(logs @ n)
+        if last is not None and abs(fit_of - last) <= tolerance * max(1.0, abs(fit_of)):
+            break
+        last = fit_of
+    return model, fit_of
+
+
+def fit(histogram: Histogram) -> dict:
+    """model, and accuracy by rule: how often it is right when it votes (None if it never does)."""
+    import numpy as np
+
+    votes, n = _arrays(histogram)
+    model, fit_of = maximise(histogram, start(histogram))
+    price = (votes.shape[1] + 1) * float(np.log(n.sum())) / 2  # of the values of one class
+    while len(model.share) > 1:
+        posterior, _ = model.posterior(votes)
+        tries = []
+        for k in range(len(model.share)):
+            for m in range(k):
+                merged = np.delete(posterior, k, 1)
+                merged[:, m] += posterior[:, k]
+                tries.append((float(Mixture(histogram, merged).posterior(votes)[1] @ n), -k, -m, merged))
+        found, found_fit = maximise(histogram, max(tries, key=lambda t: t[:3])[3])
+        if fit_of - found_fit >= price:
+            break
+        model, fit_of = found, found_fit
+    good = model.posterior(votes)[0][:, model.good]
+    right = [float(n @ (np.where(votes[:, j] > 0, good, 1 - good) * (votes[:, j] != 0))) for j in range(votes.shape[1])]
+    voted = [float(n @ (votes[:, j] != 0)) for j in range(votes.shape[1])]
+    return {"model": model, "accuracy": [r / v if v else None for r, v in zip(right, voted)]}
+
+
+def fit_votes(df: DataFrame) -> dict | None:
     """Fit to a frame with `__q_` columns, of which the pattern counts alone reach the driver."""
     cast = votes()
     rows = df.select(*[cast[r].cast("int").alias(r) for r in RULES]).groupBy(*RULES).count().collect()
-    histogram = sorted((tuple(r[x] for x in RULES), r["count"]) for r in rows)
-    return fit(histogram) | {"patterns": [v for v, _ in histogram]}
-
-
-def with_quality(df: DataFrame, model: dict) -> DataFrame:
-    """df plus vote columns and the posterior, which is looked up by pattern: 3^7 rows at most."""
-    held = [f"__q_vote_{r}" for r in RULES]
-    rows = ", ".join(str((*v, class_posterior(model, v)[0][0])) for v in model["patterns"])
-    names = ", ".join([*held, "__q_quality"])
-    spark = df.sparkSession
-    known = spark.sql(f"SELECT * FROM VALUES {rows} AS known({names})") if rows else spark.range(0).select(*[F.lit(0).alias(n) for n in names.split(", ")])
-    known = known.select(*held, F.col("__q_quality").cast("double").alias("__q_quality"))
-    cast = votes()
-    return df.withColumns({h: cast[r].cast("int") for h, r in zip(held, RULES)}).join(F.broadcast(known), held)
+    return fit(sorted((tuple(r[x] for x in RULES), r["count"]) for r in rows)) if rows else None
+
+
+def with_quality(df: DataFrame, fitted: dict | None) -> DataFrame:
+    """df plus vote columns and the posterior of the good class, as one expression of the votes."""
+    cast, held = votes(), [f"__q_vote_{r}" for r in RULES]
+    df = df.withColumns({h: cast[r].cast("int") for h, r in zip(held, RULES)})
+    if fitted is None:
+        return df.withColumn("__q_quality", F.lit(None).cast("double"))
+    import numpy as np
+
+    model = fitted["model"]
+    good, odds = model.good, F.lit(1.0)
+    for k in range(len(model.share)):
+        if k != good:
+            bad, fine = (np.log(x[k]) - np.log(x[good]) for x in (model.rate, 1 - model.rate))
+            terms = (F.when(F.col(h) < 0, float(bad[j])).when(F.col(h) > 0, float(fine[j])).otherwise(0.0) for j, h in enumerate(held))
+            odds = odds + F.exp(sum(terms, F.lit(float(np.log(model.share[k] / model.share[good])))))
+    return df.withColumn("__q_quality", 1 / odds)
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, base counts, base_failed, the votes, the posterior and the verdict."""
-    counts = materialize(features(docs.select("doc_id", "text")).drop("text"), "quality")
+    counts = features(docs.select("doc_id", "text"))
+    counts = materialize(counts.select(F.col("row.doc_id").alias("doc_id"), *[c for c in counts.columns if c != "row"]), "quality")
     out = with_quality(counts, fit_votes(counts)).select(
         "doc_id",
         *[F.col(f"__q_{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
@@ -198,5 +242,4 @@ def judge(docs: DataFrame) -> DataFrame:
 def filter_documents(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with the columns they came with."""
     held = materialize(features(docs), "quality")
-    kept = with_quality(held, fit_votes(held)).filter(~base_failed() & (F.col("__q_quality") >= KEEP_FROM))
-    return kept.select(*as_columns(docs))
+    return with_quality(held, fit_votes(held)).filter(~base_failed() & (F.col("__q_quality") >= KEEP_FROM)).select("row.*")
