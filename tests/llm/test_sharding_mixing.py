@@ -33,15 +33,13 @@ def test_best_fit_equals_a_scan(sizes, capacity):
 @given(st.lists(st.tuples(st.booleans(), st.integers(0, 30)), max_size=200))
 def test_tree_equals_a_sorted_list(steps):
     tree, known = sharding.BinTree(), []
-    for add, x in steps:
+    for number, (add, x) in enumerate(steps):  # bins have numbers of their own
         if add:
-            tree.add((x, len(known)))
-            known.append((x, len(known)))
+            tree.add((x, number))
+            known.append((x, number))
         elif known:
-            gone = known.pop(x % len(known))
-            tree.remove(gone)
+            tree.remove(known.pop(x % len(known)))
         assert tree.tightest(x) == min((k for k in known if k[0] >= x), default=None)
-        known = [k for i, k in enumerate(known) if k not in known[:i]]
 
 
 def check_shards(rows, out, shards=40):
@@ -145,9 +143,22 @@ def check_mix(rows, out):
     assert all(0 <= r.copies <= 3 for r in out)
 
 
+def test_settle_keeps_expectations_and_the_sum():
+    rng = random.Random(1)
+    for q, w, f, pool in ((0.3, 900, 0.25, 4000), (0.7, 900, 0.25, 1000), (0.5, 50, 0.9, 20), (0.4, 30, 0.5, 0)):
+        units = fractions = 0.0
+        for _ in range(4000):
+            up, left = mixing.settle(q, w, f, pool, (rng.random(), rng.random()))
+            assert 0 <= left <= 1
+            if 0 < left < 1 and pool:
+                assert abs(up * w + left * pool - q * w - f * pool) < 1e-6
+            units, fractions = units + up, fractions + left
+        assert abs(units / 4000 - q) < 0.03 and abs(fractions / 4000 - f) < 0.03
+
+
 @pytest.mark.parametrize("block", [4096, 7])
 def test_mix_meets_targets(spark, monkeypatch, block):
-    """With small blocks the reduction tree has several levels."""
+    """With small blocks the reduction tree has several levels. The rule is the same."""
     monkeypatch.setattr(mixing, "BLOCK", block)
     monkeypatch.setattr(mixing, "FAN", 3)
     rng = random.Random(3)
@@ -158,22 +169,49 @@ def test_mix_meets_targets(spark, monkeypatch, block):
     for r in out:
         taken[r.source_size, r.target] += r.size * r.copies
     for (size, aim), got in taken.items():
-        assert abs(got - aim) < 70, (size, aim, got)
+        assert abs(got - aim) < 16, (size, aim, got)
     key = lambda rs: sorted((r.doc_id, r.copies) for r in rs)
     assert key(out) == key(mixing.mix(docs(spark, rows).repartition(7)).collect())
 
 
-def test_mix_lands_sources_of_several_blocks(spark):
-    """Each source has more rows than a block and one very long document, which is carried to the root."""
+@pytest.mark.parametrize("n", [600, 20_000])
+def test_mix_lands_sources_of_any_size(spark, n):
+    """Each source has one very long document; sources have fewer rows than a block, or more."""
     rng = random.Random(12)
-    rows = [(i, prose(rng, rng.randrange(1, 40)), f"s{i % 4}") for i in range(20_000)]
-    rows += [(30_000 + i, prose(rng, 20_000), f"s{i}") for i in range(4)]
+    rows = [(i, prose(rng, rng.randrange(1, 40)), f"s{i % 4}") for i in range(n)]
+    rows += [(30_000 + i, prose(rng, n), f"s{i}") for i in range(4)]
     out = mixing.mix(docs(spark, rows)).collect()
     check_mix(rows, out)
     taken = Counter()
     for r in out:
         taken[r.source_size, r.target] += r.size * r.copies
-    assert len(taken) == 4 and all(abs(got - aim) < 40 for (_, aim), got in taken.items()), [(round(got - aim, 1)) for (_, aim), got in taken.items()]
+    assert len(taken) == 4 and all(abs(got - aim) < 8 for (_, aim), got in taken.items()), [(round(got - aim, 1)) for (_, aim), got in taken.items()]
+
+
+def test_mix_takes_every_length_alike(spark):
+    """Documents are taken as often as their source's rate asks, short and long ones."""
+    rng = random.Random(2)
+    rows = [(i, prose(rng, rng.choice([2, 30, 100])), f"s{i % 2}") for i in range(6000)]
+    out = mixing.mix(docs(spark, rows)).collect()
+    for k in {r.target for r in out}:
+        own = [r for r in out if r.target == k]
+        for length in (2, 30, 100):
+            copies = [r.copies for r in own if r.size == length]
+            assert abs(sum(copies) / len(copies) - k / own[0].source_size) < 0.05
+
+
+def test_equal_rows_are_one_unit(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "RUN", 7)
+    rng = random.Random(5)
+    rows = [(1, prose(rng, 20), "a")] * 500 + [(2, prose(rng, 9), "b")] * 3 + [(i, prose(rng, 15), "b") for i in range(3, 300)]
+    out = mixing.mix(docs(spark, rows)).collect()
+    check_mix(rows, out)
+    copies = Counter()
+    for r in out:
+        copies[r.doc_id] += r.copies
+    rate = next(r.target / r.source_size for r in out if r.doc_id == 1)
+    assert abs(copies[1] - 500 * rate) <= 1
+    assert Counter(r.doc_id for r in mixing.apply_mix(docs(spark, rows)).collect()) == Counter({k: v for k, v in copies.items() if v})
 
 
 def test_mix_edges(spark):
