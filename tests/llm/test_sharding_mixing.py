@@ -29,6 +29,22 @@ def test_best_fit_equals_a_scan(sizes, capacity):
     assert sharding.best_fit_decreasing(sizes, capacity) == brute_best_fit(sizes, capacity)
 
 
+def expand(runs):
+    """Size and bin of every item of runs."""
+    return sorted((size, b + k // per) for size, _, n, b, per in runs for k in range(n))
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.lists(st.integers(1, 60), max_size=80), st.integers(20, 120))
+def test_packing_counts_is_packing_one_by_one(sizes, capacity):
+    runs = sharding.pack_counts(sorted(Counter(sizes).items(), reverse=True), capacity)
+    brute = list(zip(sizes, brute_best_fit(sizes, capacity)))
+    got = expand(runs)
+    assert sorted(s for s, _ in got) == sorted(sizes)
+    of = lambda pairs: sorted(tuple(sorted(s for s, x in pairs if x == b)) for b in {b for _, b in pairs})
+    assert of(got) == of(brute)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.tuples(st.booleans(), st.integers(0, 30)), max_size=200))
 def test_tree_equals_a_sorted_list(steps):
@@ -63,7 +79,35 @@ def test_sharding(spark):
     for r in out:
         totals[r.shard] += r.size
     mean = sum(totals.values()) / 40
-    assert max(totals.values()) < 1.02 * mean and min(totals.values()) > 0.9 * mean
+    assert max(totals.values()) < 1.002 * mean and min(totals.values()) > 0.99 * mean
+    check_loads(rows, totals, lambda counts: sharding.pack(counts, 40)[0])
+
+
+def check_loads(rows, totals, capacity_of):
+    """Shards hold what packing the groups one by one, in bins of that capacity, puts into each."""
+    groups = Counter()
+    for _, t in rows:
+        groups[t] += len(t.encode()) + 16
+    sizes = list(groups.values())
+    loads = Counter()
+    for size, b in zip(sizes, brute_best_fit(sizes, capacity_of(sorted(Counter(sizes).items(), reverse=True)))):
+        loads[b] += size
+    assert sorted(totals.values()) == sorted(loads.values())
+
+
+@pytest.mark.parametrize("part", [1 << 16, 5])
+def test_sharding_by_capacity(spark, monkeypatch, part):
+    """As few shards as best-fit-decreasing needs; groups of a size numbered in one part or in many."""
+    monkeypatch.setattr(sharding, "PART", part)
+    rng = random.Random(10)
+    rows = [(i, prose(rng, rng.choice([3, 8, 40, rng.randrange(1, 300)]))) for i in range(800)] + [(5000 + i, "copy of one text " * 4) for i in range(90)]
+    out = sharding.shard(docs(spark, rows), capacity=4000).collect()
+    check_shards(rows, out, 10_000)
+    totals = Counter()
+    for r in out:
+        totals[r.shard] += r.size
+    assert sorted(totals) == list(range(len(totals)))
+    check_loads(rows, totals, lambda _: 4000)
 
 
 @pytest.mark.parametrize("giants", [(0.05,), (1 / 3,), (1 / 3, 0.05, 0.05), (0.9,)])
@@ -72,7 +116,7 @@ def test_a_group_beyond_a_share_leaves_the_others_balanced(giants):
     small = [rng.randrange(100, 1000) for _ in range(4000)]
     large = [int(g * sum(small) / (1 - sum(giants))) for g in giants]
     loads = Counter()
-    for size, b in zip(large + small, sharding.pack(large + small, 40)):
+    for size, b in expand(sharding.pack(sorted(Counter(large + small).items(), reverse=True), 40)[1]):
         loads[b] += size
     mean = sum(small) / (40 - len(giants))
     others = sorted(loads.values())[: 40 - len(giants)]
@@ -83,7 +127,7 @@ def test_a_group_beyond_a_share_leaves_the_others_balanced(giants):
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.one_of(st.integers(1, 60), st.integers(1, 5000)), min_size=1, max_size=80), st.integers(1, 12))
 def test_pack_keeps_to_the_shards(sizes, shards):
-    bins = sharding.pack(sizes, shards)
+    bins = [b for _, b in expand(sharding.pack(sorted(Counter(sizes).items(), reverse=True), shards)[1])]
     assert len(bins) == len(sizes) and 0 <= min(bins) and max(bins) < shards
 
 
