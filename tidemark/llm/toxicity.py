@@ -1,19 +1,23 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-A lexical transducer turns words into symbols: insult, threat, target, negation, reporting word, clause end,
-other. Three transducers are composed behind it into one deterministic machine: negation marks what it
+A lexical transducer turns words into symbols: insult, slur, threat, target, negation, reporting word, clause
+end, other. Three transducers are composed behind it into one deterministic machine: negation marks what it
 reaches, reported speech marks what stands behind a reporting word in the same clause, and the last one
-matches clauses: an insult or threat with or without a target near by. The machine gives a text's matched
-clauses by kind; a score adds up weights of kinds, not of words. The weights and the bias are the most
-probable ones given the labels, from a starting guess for each kind (PRIOR).
-
-Insults are those listed here and words learned from labels (`learn_insults`): words that stand in toxic
-texts so much more often than in others that chance would bring less than one such word among all, with
-several different words before them, so the words of one text that was copied often do not count. They
-are learned on at most LEXICON_ROWS labelled training rows, the least by a hash of their ids.
-
-The fit of weights sees all labelled training documents as a histogram of clause counts, which has
-(MOST + 1)^6 rows for each label at most.
+reads a clause to its end and says what it holds as a whole: one insult or several, a threat, each with or
+without a target anywhere in the clause, and what was negated or reported. The machine gives a text's matched
+clauses by kind; a score adds up weights of kinds, not of words, times the binary length of their number, so
+that each doubling counts as much as the one before. A slur says little alone: what counts beside the number
+of clauses with slurs is their share of all clauses. The weights and the bias are the most probable ones given
+the labels, from a starting guess for each kind (PRIOR).
+
+Insults are those listed here and words and beginnings of words learned from labels (`learn_words`): they
+stand in toxic texts so much more often than in others that chance would bring less than one such among all,
+with several different words before them, so the words of one text that was copied often do not count. Those
+found in toxic texts nearly alone are insults; slurs are those that make up a share of the words of toxic
+texts many times that of others. They are learned on at most LEXICON_ROWS labelled training rows, the least by
+a hash of their ids, which bounds them too.
+
+The fit of weights sees all labelled training documents as a histogram of those binary lengths.
 
 Defined cases: null and blank texts match nothing and get the score of texts without a match, as long texts do
 by their whole length. Null labels and labels without a document are passed over; several labels of a
@@ -23,8 +27,11 @@ Repeated rows are rows of their own. An empty table gives an empty result. Other
 
 from __future__ import annotations
 
+import itertools
 import math
+import operator
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame
@@ -47,18 +54,20 @@ pas jamais ne sans nicht kein keine nie ohne nunca jamás sin""".split()
 REPORTS = """said says say called calls claimed claims wrote writes reported reports quoted shouted alleged stated tweeted
 dit écrit déclaré appelé sagte schrieb nannte behauptet dijo escribió llamó declaró""".split()
 
-KINDS = ("insult", "insult_at_target", "threat", "threat_at_target", "negated", "reported")
-#: Starting guess of the weights, and of the bias.
-PRIOR = (1.5, 2.5, 0.5, 3.0, 0.2, 0.2)
+KINDS = ("insult", "insult_at_target", "insults", "insults_at_target", "threat", "threat_at_target", "negated", "reported", "slur")
+#: Starting guess of the weights, the last one for the share of clauses with a slur, and of the bias.
+PRIOR = (1.5, 2.5, 2.5, 4.0, 0.5, 3.0, 0.2, 0.2, 0.3, 0.3)
 BIAS = -2.5
-#: Clauses of a kind beyond this add nothing.
-MOST = 3
 REACH = 4
-#: Labelled rows on which insults are learned, at most about; learned words kept, the surest ones.
+#: Labelled rows on which insults are learned, at most about.
 LEXICON_ROWS = 50_000
-LEXICON_WORDS = 5_000
-#: Share of toxic texts among those with a learned word; different words before it; odds against chance.
+#: Letters of a beginning that is learned; how much oftener it must stand than the longest sure word or beginning in it.
+STEM = (4, 8)
+GATHERS = 1.5
+#: Share of toxic texts among those with a learned insult; how many times as frequent slurs are in toxic texts as
+#: in others; different words before either; odds against chance.
 PRECISION = 0.85
+RATIO = 8.0
 NEIGHBOURS = 3
 SURENESS = 100
 THRESHOLD = 0.7
@@ -96,123 +105,172 @@ class Transducer:
 
 
 def _negation() -> Transducer:
-    """I and T become i and t within REACH words behind a negation."""
+    """I and T become i and t within REACH words behind a negation, S nothing."""
     arcs = []
     for since in range(REACH + 1):  # 0: no negation near by
         step = (since + 1) % (REACH + 1) if since else 0
         own = {"N": (1, ("o",)), "b": (0, ("b",)), "R": (step, ("R",)), "Y": (step, ("Y",)), "o": (step, ("o",))}
-        own |= {"I": (0, ("i" if since else "I",)), "T": (0, ("t" if since else "T",))}
+        own |= {"I": (0, ("i" if since else "I",)), "T": (0, ("t" if since else "T",)), "S": (step, ("o" if since else "S",))}
         arcs.append(own)
     return Transducer(arcs)
 
 
 def _reported() -> Transducer:
-    """I and T become r behind a reporting word in a clause."""
+    """I and T become r behind a reporting word in a clause; what is negated is i."""
     arcs = []
     for heard in (0, 1):
         own = {x: (heard, (x,)) for x in "iYo"} | {"t": (heard, ("i",)), "b": (0, ("b",)), "R": (1, ("o",))}
-        own |= {x: (heard, ("r" if heard else x,)) for x in "IT"}
+        own |= {x: (heard, ("r" if heard else x,)) for x in "IT"} | {"S": (heard, ("o" if heard else "S",))}
         arcs.append(own)
     return Transducer(arcs)
 
 
 def _clauses() -> Transducer:
-    """Matched clauses. A target counts within REACH words before an insult or threat, or behind it."""
-    name, arcs = {"I": "insult", "T": "threat"}, []
-    # state 0: nothing; 1..REACH: words since a target; then, for I and T, words since it, a target still due
-    due = {(x, k): 1 + REACH + n * REACH + k for n, x in enumerate("IT") for k in range(REACH)}
-    for k in range(REACH + 1):
-        step = (k + 1) % (REACH + 1) if k else 0
-        own = {"o": (step, ()), "b": (0, ()), "Y": (1, ()), "i": (0, ("negated",)), "r": (0, ("reported",))}
-        own |= {x: (0, (f"{name[x]}_at_target",)) if k else (due[x, 0], ()) for x in "IT"}
-        arcs.append(own)
-    for (x, k), _ in sorted(due.items(), key=lambda i: i[1]):
-        alone = (name[x],)
-        own = {"o": (due[x, k + 1], ()) if k + 1 < REACH else (0, alone), "b": (0, alone), "Y": (1, (f"{name[x]}_at_target",))}
-        own |= {"i": (0, (*alone, "negated")), "r": (0, (*alone, "reported"))}
-        own |= {y: (due[y, 0], alone) for y in "IT"}
-        arcs.append(own)
+    """What each clause holds, at its end."""
+    states = list(itertools.product(range(3), *[range(2)] * 5))
+    number, arcs = {x: n for n, x in enumerate(states)}, []
+    for state in states:
+        insults, threat, target, negated, reported, slur = state
+        at = "_at_target" if target else ""
+        said = [("", "insult", "insults")[insults] + at] if insults else []
+        said += ["threat" + at] * threat + ["negated"] * negated + ["reported"] * reported + ["slur"] * slur
+        to = lambda k, x=1: (number[(*state[:k], x, *state[k + 1 :])], ())  # noqa: E731, B023
+        arcs.append({"I": to(0, min(insults + 1, 2)), "T": to(1), "Y": to(2), "i": to(3), "r": to(4), "S": to(5), "o": (number[state], ()), "b": (0, tuple(said))})
     return Transducer(arcs)
 
 
 class Grammar:
+    """insults and slurs: words, and beginnings of words with an asterisk behind them."""
+
     _WORDS = re.compile(r"[\w']+|[.!?;:\n|]")
 
-    def __init__(self, learned: frozenset[str] = frozenset()) -> None:
-        self.symbol = {w: s for s, words in (("R", REPORTS), ("Y", TARGETS), ("N", NEGATIONS), ("T", THREATS), ("I", INSULTS)) for w in words}
-        self.symbol = dict.fromkeys(learned, "I") | self.symbol
+    def __init__(self, insults: frozenset[str] = frozenset(), slurs: frozenset[str] = frozenset()) -> None:
+        learned = dict.fromkeys(slurs, "S") | dict.fromkeys(insults, "I")
+        self.symbol = {w: s for w, s in learned.items() if not w.endswith("*")}
+        self.symbol |= {w: s for s, words in (("R", REPORTS), ("Y", TARGETS), ("N", NEGATIONS), ("T", THREATS), ("I", INSULTS)) for w in words}
+        self.starts = frozenset(w for w, s in self.symbol.items() if s in "IST")
         self.symbol |= dict.fromkeys(".!?;:\n|", "b")
         self.machine = _negation().compose(_reported()).compose(_clauses())
-        self.starts = frozenset((*INSULTS, *THREATS, *learned))
+        stems = {w[:-1]: s for w, s in learned.items() if w.endswith("*")}
+        #: Beginnings by their length, the longest first, and what cuts a word to it.
+        self.stems = [(n, {x: s for x, s in stems.items() if len(x) == n}, operator.itemgetter(slice(n))) for n in sorted({len(x) for x in stems}, reverse=True)]
+
+    def _symbol(self, word: str) -> str:
+        found = self.symbol.get(word)
+        if found is None:
+            found = next((stems[word[:n]] for n, stems, _ in self.stems if word[:n] in stems), "o")
+        return found
 
     def clauses(self, text: str) -> list[int]:
-        """Number of matched clauses of each kind."""
+        """Number of matched clauses of each kind, and of all clauses."""
         found = dict.fromkeys(KINDS, 0)
         words = self._WORDS.findall(text.lower())
-        if not self.starts.isdisjoint(words):  # without an insult or threat no clause matches
-            symbols = [self.symbol.get(w, "o") for w in words]
-            for kind in self.machine.run([*symbols, "b"]):
+        # without an insult, slur or threat no clause matches
+        if not self.starts.isdisjoint(words) or any(not stems.keys().isdisjoint(map(cut, words)) for _, stems, cut in self.stems):
+            for kind in self.machine.run([*map(self._symbol, words), "b"]):
                 found[kind] += 1
-        return list(found.values())
+        ends = [self.symbol.get(w) == "b" for w in words]
+        return [*found.values(), sum(a and not b for a, b in zip([*ends, True], [True, *ends]))]
 
 
-def clauses(docs: DataFrame, learned: frozenset[str] = frozenset()) -> DataFrame:
-    """doc_id and the number of matched clauses of each kind."""
+def clauses(docs: DataFrame, insults: frozenset[str] = frozenset(), slurs: frozenset[str] = frozenset()) -> DataFrame:
+    """doc_id, the number of matched clauses of each kind, and that of all clauses."""
+    names = [*KINDS, "clauses"]
 
     def matched(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
-        grammar = Grammar(learned)
+        grammar = Grammar(insults, slurs)
         for b in batches:
             rows = [grammar.clauses(t or "") for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(len(KINDS)))], names=["doc_id", *KINDS])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array([r[k] for r in rows], pa.int64()) for k in range(len(names)))], names=["doc_id", *names])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(matched, ", ".join(["doc_id long", *(f"{k} long" for k in KINDS)]))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(matched, ", ".join(["doc_id long", *(f"{k} long" for k in names)]))
 
 
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
-def learn_insults(docs: DataFrame, known: DataFrame) -> frozenset[str]:
-    """Words of toxic texts. known: doc_id, toxic (0 or 1) of training rows.
+def _parts(word: str) -> list[str]:
+    """A word of letters, and its beginnings."""
+    least, most = STEM
+    return [word, *(word[:n] + "*" for n in range(least, min(len(word), most + 1)))]
 
-    Two passes over the sampled texts: first documents of each label by word, then, for the words that
-    pass, the different words before them in toxic texts."""
+
+def _gathering(sure: dict[str, int], among: dict[str, int]) -> frozenset[str]:
+    """Of words and beginnings with their numbers of texts: the beginnings that gather several of `among`, the longest
+    of equally good ones, and the words that no such beginning has."""
+    longest: dict[str, int] = {}
+    for x, n in among.items():
+        bare = x.rstrip("*")
+        for k in range(STEM[0], len(bare) + (not x.endswith("*"))):
+            longest[bare[:k]] = max(longest.get(bare[:k], 0), n)
+    kept = {x for x, n in sure.items() if x.endswith("*") and n >= GATHERS * longest.get(x[:-1], 0)}
+    covered = lambda x: any(x[:k] + "*" in kept for k in range(STEM[0], len(x)))
+    return frozenset(x for x in sure if (x in kept or not x.endswith("*")) and not covered(x.rstrip("*")))
+
+
+def learn_words(docs: DataFrame, known: DataFrame) -> tuple[frozenset[str], frozenset[str]]:
+    """(insults, slurs): words of toxic texts, and beginnings of such words. known: doc_id, toxic (0 or 1) of
+    training rows.
+
+    Two passes over the sampled texts: first documents and places of each label by word or beginning, then, for
+    those that pass, the different words before them in toxic texts."""
+    none = frozenset(), frozenset()
     n = known.count()
     if not n:
-        return frozenset()
+        return none
     part = F.pmod(F.xxhash64("doc_id", F.lit("lexicon")), F.lit(1 << 20)) < min(1 << 20, (LEXICON_ROWS << 20) // n)
     sample = materialize(known.filter(part).select("doc_id", "toxic").distinct(), "lexicon")
     share = sample.agg(F.avg("toxic")).first()[0]
     if not share or share >= 1:
-        return frozenset()
+        return none
     # about LEXICON_ROWS rows, whatever the corpus
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(F.broadcast(sample), "doc_id").select("text", "toxic")
 
     def by_word(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        names = ["word", "clean", "toxic", "clean_places", "toxic_places"]
+
         def rows(found: dict):
-            w, pairs = list(found), list(found.values())
-            return pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array([c[1] for c in pairs], pa.int64()), pa.array([c[0] for c in pairs], pa.int64())], names=["word", "toxic", "clean"])
+            w, counts = list(found), list(zip(*found.values())) or [()] * 4
+            return pa.RecordBatch.from_arrays([pa.array(w, pa.string()), *(pa.array(c, pa.int64()) for c in counts)], names=names)
 
         found: dict[str, list[int]] = {}
         for b in batches:
             for text, toxic in zip(b.column("text").to_pylist(), b.column("toxic").to_pylist()):
-                for w in set(_LETTERS.findall((text or "").lower())):
-                    found.setdefault(w, [0, 0])[toxic] += 1
+                own: dict[str, int] = {}
+                for w, times in Counter(_LETTERS.findall((text or "").lower())).items():
+                    for x in _parts(w):
+                        own[x] = own.get(x, 0) + times
+                    own[""] = own.get("", 0) + times  # all words
+                for x, times in own.items():
+                    c = found.setdefault(x, [0, 0, 0, 0])
+                    c[toxic] += 1
+                    c[2 + toxic] += times
                 if len(found) > 500_000:
                     yield rows(found)
                     found = {}
         yield rows(found)
 
-    counts = texts.mapInArrow(by_word, "word string, toxic long, clean long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-    counts = materialize(counts, "words")
-    least = math.log(SURENESS * max(counts.count(), 1)) / -math.log(share)
-    sure = counts.filter((F.col("toxic") >= max(least, NEIGHBOURS)) & (F.col("toxic") >= PRECISION * (F.col("toxic") + F.col("clean"))))
-    words = frozenset(r["word"] for r in sure.orderBy(F.desc("toxic"), "word").limit(LEXICON_WORDS).collect())
+    sums = [F.sum(x).alias(x) for x in ("clean", "toxic", "clean_places", "toxic_places")]
+    counts = materialize(texts.mapInArrow(by_word, "word string, clean long, toxic long, clean_places long, toxic_places long").groupBy("word").agg(*sums), "words")
+    whole = counts.filter("word = ''").first()
+    if whole is None:
+        return none
+    # chance brings a share of toxic texts that much above the mean, or more, with a probability of exp(-far) at most
+    of, p = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    far = of * (p * F.log(p / share) + F.when(p < 1, (1 - p) * F.log((1 - p) / (1 - share))).otherwise(0.0))
+    sure = counts.filter("word <> ''").filter((p > share) & (F.col("toxic") >= NEIGHBOURS)).filter(far >= math.log(SURENESS * counts.count()))
+    often = F.col("toxic_places") * whole["clean_places"] >= RATIO * F.col("clean_places") * whole["toxic_places"]
+    rows = sure.filter((p >= PRECISION) | often).select("word", "toxic", (p >= PRECISION).alias("insult")).collect()
+    among = {r["word"]: r["toxic"] for r in rows}
+    insults = _gathering(*[{r["word"]: r["toxic"] for r in rows if r["insult"]}] * 2)
+    slurs = _gathering({r["word"]: r["toxic"] for r in rows if not r["insult"]}, among)
+    words = insults | slurs
     if not words:
-        return words
+        return none
 
     def before(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -221,13 +279,14 @@ def learn_insults(docs: DataFrame, known: DataFrame) -> frozenset[str]:
             pairs = set()
             for text in b.column("text").to_pylist():
                 own = _LETTERS.findall((text or "").lower())
-                if not words.isdisjoint(own):
-                    pairs.update((w, v) for v, w in zip(["", *own], own) if w in words)
+                for v, w in zip(["", *own], own):
+                    pairs.update((x, v) for x in _parts(w) if x in words)
             w, v = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(w, pa.string()), pa.array(v, pa.string())], names=["word", "before"])
 
     near = texts.filter("toxic = 1").mapInArrow(before, "word string, before string").distinct().groupBy("word").count()
-    return frozenset(r["word"] for r in near.filter(F.col("count") >= NEIGHBOURS).collect())  # LEXICON_WORDS at most
+    found = {r["word"] for r in near.filter(F.col("count") >= NEIGHBOURS).collect()}
+    return insults & found, slurs & found
 
 
 def fit(histogram: list[tuple[tuple[int, ...], int, int]], strength: float = 0.05, steps: int = 50) -> list[float]:
@@ -267,11 +326,13 @@ def held_out() -> Column:
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted and the clause counts of every document."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).filter("toxic IN (0, 1)")
-    learned = learn_insults(docs, known.filter(~held_out()))
-    found = materialize(clauses(docs, learned), "clauses").withColumn("held_out", held_out())
-    counts = [F.least(F.col(k), F.lit(MOST)).alias(k) for k in KINDS]
-    rows = found.filter(~F.col("held_out")).join(known, "doc_id").groupBy(*counts, "toxic").count().collect()
-    weights = fit(sorted((tuple(r[k] for k in KINDS), r["toxic"], r["count"]) for r in rows))
-    total = sum((F.lit(w) * c for w, c in zip(weights, counts)), F.lit(weights[-1]))
+    found = materialize(clauses(docs, *learn_words(docs, known.filter(~held_out()))), "clauses").withColumn("held_out", held_out())
+    level = lambda c: F.when(c > 0, F.length(F.bin(c))).otherwise(0).cast("int")
+    share = F.floor(64 * F.col("slur") / F.greatest("clauses", F.lit(1))).cast("long")
+    levels = [*(level(F.col(k)).alias(k) for k in KINDS), level(share).alias("slur_share")]
+    names = [*KINDS, "slur_share"]
+    rows = found.filter(~F.col("held_out")).join(known, "doc_id").groupBy(*levels, "toxic").count().collect()
+    weights = fit(sorted((tuple(r[k] for k in names), r["toxic"], r["count"]) for r in rows))
+    total = sum((F.lit(w) * c for w, c in zip(weights, levels)), F.lit(weights[-1]))
     scored = 1 / (1 + F.exp(-total))
-    return found.select("doc_id", "held_out", scored.alias("score"), (scored >= THRESHOLD).cast("int").alias("predicted"), *KINDS)
+    return found.select("doc_id", "held_out", scored.alias("score"), (scored >= THRESHOLD).cast("int").alias("predicted"), *KINDS, "clauses")
