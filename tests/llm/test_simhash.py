@@ -1,7 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from tests.llm.helpers import docs, edge_docs, edge_rows, empty_docs, prose, words
 from tidemark.llm import simhash
 
@@ -54,9 +57,11 @@ def test_components_equal_brute_force(spark, rows):
     assert got == sorted(((d, f"{fp:016x}", least[i]) for i, (d, fp) in enumerate(fps)), key=str)
 
 
-def test_chains_and_long_postings(spark, monkeypatch):
+@pytest.mark.parametrize("wide", [1 << 18, 50])
+def test_chains_and_long_postings(spark, monkeypatch, wide):
     """Fingerprints planted at chosen distances: chains of three-bit steps, and a posting of all of them."""
     monkeypatch.setattr(simhash, "LONG", 100)
+    monkeypatch.setattr(simhash, "WIDE", wide)
     rng, base, fps = random.Random(4), 0x0123456789ABCDEF, set()
     for _ in range(12):
         x = base ^ rng.getrandbits(40)
@@ -73,6 +78,30 @@ def test_chains_and_long_postings(spark, monkeypatch):
     assert [roots.get(s, s) for s in signed] == [least[i] for i in range(len(fps))]
 
 
+def test_many_fingerprints_that_differ_in_few_bytes(spark, monkeypatch):
+    """They are looked up with bits changed, which finds the links that comparing all pairs finds."""
+    rng = random.Random(6)
+    fps = sorted({rng.getrandbits(14) | 0xAB << 40 for _ in range(700)})
+    out = []
+    for long in (4096, 20):
+        monkeypatch.setattr(simhash, "LONG", long)
+        forest = simhash.Forest(len(fps))
+        simhash._along(np.zeros(len(fps), np.int64), np.array(fps, np.uint64), forest, np.arange(len(fps)))
+        out.append(forest.root.tolist())
+    least = brute_components(list(enumerate(fps)))
+    assert out[0] == out[1] == [least[i] for i in range(len(fps))]
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 2**64 - 1), st.lists(st.integers(0, 63), max_size=5)), min_size=1, max_size=20))
+def test_the_filter_keeps_every_link(pairs):
+    """Pairs at most three bits apart share five bytes or more, so that the tally drops none."""
+    a = [x for x, _ in pairs]
+    b = [x ^ sum(1 << k for k in set(bits)) for x, bits in pairs]
+    got = simhash._linked(np.array(a, np.uint64), np.array(b, np.uint64))
+    assert got.tolist() == [(x ^ y).bit_count() <= 3 for x, y in zip(a, b)]
+
+
 def test_a_posting_gives_a_forest(spark):
     """A thousand fingerprints that all link: links stay in proportion to rows."""
     rows = spark.createDataFrame([(i,) for i in range(8)] + [(1 << 20 | i,) for i in range(8)] + [(i << 8 | j,) for i in range(30) for j in range(30)], "fp long").distinct()

@@ -5,7 +5,9 @@ three bytes at most, so they agree in five byte positions or more: the guarantee
 count filter. Of any five positions, three lie in the same half of the fingerprint; the inverted index
 therefore has the positions three at a time, within each half, which makes eight postings for a
 fingerprint, none of them long. Along a posting the shared positional bytes of each pair are tallied,
-pairs below the minimum are dropped, and the rest are verified by their differing bits.
+position by position, pairs below the minimum are dropped, and the rest alone are verified by their differing
+bits. A posting that holds a large part of the corpus all the same (a sketch of frequent keys finds those) is
+dealt by two more of its other five positions, of which a link shares two at least.
 
 What is asked for is who is reachable from whom, so a posting gives a spanning forest of its links,
 one row for each fingerprint at most, never all its pairs. Components come from alternating large-star
@@ -15,11 +17,13 @@ Defined cases: null and blank texts have fingerprint zero and link like any othe
 three words are one shingle. Equal texts have equal fingerprints and so one component. Null doc_ids are
 passed over by the minimum; a component of null ids alone has a null id. Repeated rows stay in
 `components_of` and are one row in `deduplicate`. An empty table gives an empty result. Other columns are
-not read; `deduplicate` gives them back as they are.
+not read; `deduplicate` gives them back as they are. Very long texts are hashed whole; their shingles are
+taken one by one.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from itertools import repeat
 
@@ -36,6 +40,10 @@ LEAST_SHARED = 5
 TRIPLES = tuple(tuple(half + k for k in range(4) if k != left_out) for half in (0, 4) for left_out in range(4))
 #: Postings longer than this are looked up by two more positions before pairs are compared.
 LONG = 4096
+#: Postings of more fingerprints than this are dealt to several tasks.
+WIDE = 1 << 18
+#: Frequent keys that the sketch tracks: any key of over a 7,500th of all rows is among them.
+TRACKED = 10_000
 
 
 def fingerprint(text: bytes) -> int:
@@ -105,16 +113,36 @@ class Forest:
 
 
 def _linked(x, y):
-    """Whether fingerprints differ in few bits: shared positional bytes first, then bits."""
+    """Whether fingerprints link. The bytes that a pair shares are tallied over the positions first; only pairs with as
+    many as any link has are verified by their bits."""
     import numpy as np
 
-    d = x ^ y
-    shared = sum(((d >> np.uint64(8 * p)) & np.uint64(0xFF)) == 0 for p in range(8))
+    a, b = np.broadcast_arrays(x, y)
+    xs, ys = (np.ascontiguousarray(v).view(np.uint8).reshape(*v.shape, 8) for v in (x, y))
+    shared = np.zeros(a.shape, np.uint8)
+    for p in range(8):
+        shared += xs[..., p] == ys[..., p]
     out = shared >= LEAST_SHARED
-    out[out] = np.bitwise_count(d[out]) <= MAX_BITS
+    out[out] = np.bitwise_count(a[out] ^ b[out]) <= MAX_BITS
     return out
 
 
+def _neighbours(fps, rows, forest: Forest) -> None:
+    """Merge links of many fingerprints that differ in few bytes: each is looked up with up to MAX_BITS bits changed."""
+    import numpy as np
+
+    differ = int(np.bitwise_or.reduce(fps ^ fps[0]))
+    bits = [np.uint64(1 << k) for k in range(64) if differ >> k & 1]
+    order = np.argsort(fps, kind="stable")
+    held = fps[order]
+    for n in range(1, MAX_BITS + 1):
+        for chosen in itertools.combinations(bits, n):
+            near = held ^ np.bitwise_or.reduce(chosen)
+            at = np.minimum(np.searchsorted(held, near), len(held) - 1)
+            hit = np.flatnonzero((held[at] == near) & (near > held))
+            forest.merge(rows[order[hit]], rows[order[at[hit]]])
+
+
 def _along(keys, fps, forest: Forest, rows) -> None:
     """Merge linked fingerprints that stand in the same run of equal keys. rows: their rows in forest."""
     import numpy as np
@@ -134,6 +162,9 @@ def _along(keys, fps, forest: Forest, rows) -> None:
             for k, o in inner:
                 _along(k[o], own[o], forest, at[o])
             continue
+        if n > 4 * LONG:
+            _neighbours(own, at, forest)
+            continue
         for i in range(0, n, 256):
             a, b = np.nonzero(_linked(own[i : i + 256, None], own[None, i:]))
             forest.merge(at[a + i], at[b + i])
@@ -183,7 +214,18 @@ def _forests(batches: Iterator) -> Iterator:
 
 def links(nodes: DataFrame) -> DataFrame:
     """Links (a, b) that span the components of distinct fingerprints fp."""
-    posted = nodes.select("fp", F.explode(F.array(*_postings("fp"))).alias("key"))
+    posted = nodes.select("fp", F.posexplode(F.array(*_postings("fp"))).alias("way", "key"))
+    found = posted.agg(F.expr(f"approx_top_k(key, 1000, {TRACKED})").alias("top")).first()["top"] or []
+    if wide := [r["item"] for r in found if r["count"] > WIDE]:
+        # 1,000 keys at most
+        known = F.broadcast(nodes.sparkSession.createDataFrame([(k, True) for k in wide], "key long, wide boolean"))
+        posted = posted.join(known, "key", "left")
+        keys = F.when(F.col("wide").isNull(), F.array("key"))
+        for way, triple in enumerate(TRIPLES):
+            rest = itertools.combinations([p for p in range(8) if p not in triple], 2)
+            byte = lambda p: F.shiftrightunsigned("fp", 8 * p).bitwiseAND(F.lit(0xFF))
+            keys = keys.when(F.col("way") == way, F.array(*[F.xxhash64("key", F.lit(10 * p + q), byte(p), byte(q)) for p, q in rest]))
+        posted = posted.select("fp", F.explode(keys).alias("key"))
     dealt = posted.repartition("key").sortWithinPartitions("key").select("key", "fp")
     return dealt.mapInArrow(_forests, "a long, b long").distinct()
 
