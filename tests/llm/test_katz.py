@@ -77,9 +77,10 @@ def check(rows, out):
     return brute
 
 
-@pytest.mark.parametrize("block,hot", [(2_000_000, 4), (300, 1)])
-def test_scores_equal_brute_force(spark, monkeypatch, block, hot):
-    """Many small blocks, and first words that are dealt by both words, change nothing."""
+@pytest.mark.parametrize("block,hot,bucket", [(2_000_000, 4, 1 << 25), (300, 1, 1 << 25), (300, 4, 400)])
+def test_scores_equal_brute_force(spark, monkeypatch, block, hot, bucket):
+    """Many small blocks, first words that are dealt by both words, and many buckets change nothing."""
+    monkeypatch.setattr(katz, "BUCKET_BYTES", bucket)
     monkeypatch.setattr(katz, "BLOCK_TOKENS", block)
     monkeypatch.setattr(katz, "HOT", hot)
     rng = random.Random(2)

@@ -14,12 +14,13 @@ up a large part of the corpus are dealt by both words, and its sums are merged (
 words per bucket at most, whatever the corpus). From its pairs each bucket sums log probabilities per
 block and document, and the sums of a block's buckets meet in the block. Everything crosses the network
 as packed arrays, once per distinct word or pair of a block, so no frequent word or pair makes a task
-large. Buckets are as many as spark.sql.shuffle.partitions.
+large. A bucket has the words or pairs of BUCKET_BYTES of text at most (there are never fewer buckets than
+spark.sql.shuffle.partitions), each is a partition of its own, and a row of a table never holds more than one.
 
 Defined cases: a null text is an empty one, which is the end token alone. A null doc_id hashes as the empty
 text. Repeated rows are documents of their own. An empty table gives an empty result, and a table without
-training rows a model that gives every token probability one. Other columns are not read. There may be
-2^32 - 1 distinct words.
+training rows a model that gives every token probability one. Other columns are not read. A very long text
+is a block of its own. There may be 2^32 - 1 distinct words.
 """
 
 from __future__ import annotations
@@ -35,6 +36,7 @@ from tidemark.llm.common import drop, materialize, shuffle_width, text_bytes
 
 CUTOFF = 5
 BLOCK_TOKENS = 2_000_000
+BUCKET_BYTES = 32 << 20
 HOT = 4
 _END = b"\n"
 _BEGIN = (1 << 32) - 1
@@ -343,17 +345,18 @@ def _finish(table, n: float):
 def score(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; the model
     learns from those for which the boolean column held_out is false."""
-    buckets = shuffle_width(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_width(docs.sparkSession), -(-size // BUCKET_BYTES))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held"))
     sent = materialize(rows.mapInArrow(lambda it: _blocks(it, buckets), "kind int, bucket long, block long, payload binary"), "blocks", "kind")
-    words = sent.filter("kind = 1").select("bucket", "block", "payload").groupBy("bucket")
+    words = sent.filter("kind = 1").select("bucket", "block", "payload").repartition(buckets, "bucket").groupBy("bucket")
     counted = materialize(words.applyInArrow(lambda t: _count_words(t, buckets), "bucket long, block long, payload binary, stats array<double>"), "unigrams")
     width = CUTOFF + 3
     stats = _sums(counted.filter("block < 0"), width)
     unigram, n, types = Unigram(stats), stats[0], stats[1]
     met = sent.filter("kind = 0").select("bucket", "block", "payload").union(counted.filter("block >= 0").select("bucket", "block", "payload"))
     pairs = met.groupBy("block").applyInArrow(lambda t: _send_pairs(t, buckets, n, types), "bucket long, block long, payload binary")
-    merged = materialize(pairs.groupBy("bucket").applyInArrow(lambda t: _merge_pairs(t, unigram), "kind int, bucket long, block long, payload binary, stats array<double>"), "bigrams", "kind")
+    merged = materialize(pairs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _merge_pairs(t, unigram), "kind int, bucket long, block long, payload binary, stats array<double>"), "bigrams", "kind")
     drop(sent, counted)
     d = discounts(_sums(merged.filter("kind = 3"), width)[2:])
     parts = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(2 + CUTOFF)]
