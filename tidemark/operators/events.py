@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import finite
+from tidemark.operators.ranges import cumulative, text_key
 from tidemark.operators.windows import in_order, remaining_time, toggle_rates, with_islands
 
 
@@ -45,11 +46,10 @@ def alarm_events(actions: DataFrame, flicker_below: float = 5.0, persistence_fro
 
 
 def numbered(events: DataFrame) -> DataFrame:
-    """Global numbers ev_000000 in order of sequence and start. Sequences are counted first, so the
-    ordering over all of them is on one row each."""
+    """Global numbers ev_000000 in order of sequence and start. Sequences are counted first, so what
+    is ordered as a whole is one row each, in ranges."""
     each = events.groupBy("sequence_id").agg(F.count("*").alias("n"))
-    before = Window.orderBy("sequence_id").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = each.select("sequence_id", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))
+    offsets = cumulative(each, "sequence_id", {"offset": F.col("n")}, current=False, number=text_key(F.col("sequence_id"))).select("sequence_id", "offset")
     own = F.row_number().over(Window.partitionBy("sequence_id").orderBy("island"))
     return events.withColumn("own", own).join(offsets, "sequence_id").withColumn(
         "event_id", F.concat(F.lit("ev_"), F.lpad((F.col("offset") + F.col("own") - 1).cast("string"), 6, "0"))

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.ranges import cumulative, positions
+
 
 def _by_score(df: DataFrame, score: str, positive: Column, by: list[str]) -> DataFrame:
     return df.groupBy(*by, score).agg(F.count_if(positive).alias("pos"), F.count_if(~positive).alias("neg"))
@@ -15,8 +17,7 @@ def roc_auc(df: DataFrame, score: str, positive: Column, by: list[str] = ()) ->
     """Area under the ROC curve by average ranks; null where a class is missing.
 
     Rows are first summed up by distinct score; only those rows are ordered."""
-    w = Window.partitionBy(*by).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    steps = _by_score(df, score, positive, list(by)).withColumn("neg_below", F.coalesce(F.sum("neg").over(w), F.lit(0)))
+    steps = cumulative(_by_score(df, score, positive, list(by)), score, {"neg_below": F.col("neg")}, current=False, by=list(by))
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
     out = steps.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), wins.alias("wins"))
     return out.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("wins") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
@@ -24,8 +25,7 @@ def roc_auc(df: DataFrame, score: str, positive: Column, by: list[str] = ()) ->
 
 def average_precision(df: DataFrame, score: str, positive: Column, by: list[str] = ()) -> DataFrame:
     """Tie-grouped: each distinct score adds its recall step times the precision there."""
-    w = Window.partitionBy(*by).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    steps = _by_score(df, score, positive, list(by)).withColumns({"tp": F.sum("pos").over(w), "seen": F.sum(F.col("pos") + F.col("neg")).over(w)})
+    steps = cumulative(_by_score(df, score, positive, list(by)), score, {"tp": F.col("pos"), "seen": F.col("pos") + F.col("neg")}, descending=True, by=list(by))
     out = steps.groupBy(*by).agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("area"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return out.select(*by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("area") / F.col("n_pos")).alias("average_precision"))
 
@@ -34,8 +34,7 @@ def average_precision_in_order(df: DataFrame, score: str, positive: Column, tieb
     """Ties stand in the order of tiebreak; every positive row adds the precision at its place. The rows of
     a score are counted first, so a whole order is made over distinct scores alone."""
     groups = _by_score(df, score, positive, [])
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    before = groups.select(score, F.coalesce(F.sum("pos").over(w), F.lit(0)).alias("tp0"), F.coalesce(F.sum(F.col("pos") + F.col("neg")).over(w), F.lit(0)).alias("seen0"))
+    before = cumulative(groups, score, {"tp0": F.col("pos"), "seen0": F.col("pos") + F.col("neg")}, descending=True, current=False).select(score, "tp0", "seen0")
     own = Window.partitionBy(score).orderBy(tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = df.withColumn("__y", positive.cast("long")).withColumns({"__tp": F.sum("__y").over(own), "__n": F.row_number().over(Window.partitionBy(score).orderBy(tiebreak))}).join(before, score)
     precision = (F.col("tp0") + F.col("__tp")) / (F.col("seen0") + F.col("__n"))
@@ -43,10 +42,9 @@ def average_precision_in_order(df: DataFrame, score: str, positive: Column, tieb
 
 
 def roc_points(df: DataFrame, score: str, positive: Column) -> DataFrame:
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     steps = _by_score(df, score, positive, [])
     total = steps.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    run = steps.withColumns({"tp": F.sum("pos").over(w), "fp": F.sum("neg").over(w)})
+    run = cumulative(steps, score, {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
     return run.join(F.broadcast(total)).select(F.col(score).alias("threshold"), (F.col("tp") / F.col("n_pos")).alias("tpr"), (F.col("fp") / F.col("n_neg")).alias("fpr"))
 
 
@@ -57,7 +55,7 @@ def concordance(df: DataFrame, prediction: str, target: str) -> DataFrame:
     first turned into dense ranks; the ranks of predictions are halved level by level (as a merge sort
     does), so each level is a grouped running count and no pair is ever formed."""
     rows = df.select(F.col(prediction).alias("p"), F.col(target).alias("t")).groupBy("p", "t").agg(F.count("*").alias("n"))
-    ranks = rows.select("p").distinct().withColumn("r", F.row_number().over(Window.orderBy("p")) - 1)
+    ranks = positions(rows.select("p").distinct(), "p").withColumnRenamed("position", "r")
     rows = rows.join(ranks, "p")
     top = rows.agg(F.max("r")).first()[0] or 0
     total = None
@@ -118,8 +116,7 @@ def upper_rank(df: DataFrame, score: str, share: int) -> DataFrame:
 
     Scores are counted by distinct value, and the value at which the count from above reaches k is taken."""
     ties = df.groupBy(score).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    run = ties.withColumn("above", F.sum("n").over(w))
+    run = cumulative(ties, score, {"above": F.col("n")}, descending=True)
     m = df.agg(F.count(score)).first()[0]
     k = (m + 1) // share
     return run.agg(F.lit(m).alias("m"), F.lit(k).alias("k"), F.max(F.when((F.col("above") >= k) & F.lit(k > 0), F.col(score))).alias("threshold"))
@@ -130,9 +127,9 @@ def conformal_p(calibration: DataFrame, evaluation: DataFrame, score: str, key:
 
     Both sides are counted by distinct score and merged in one ordered pass over those."""
     both = calibration.groupBy(score).agg(F.count("*").alias("cal")).join(evaluation.select(score).distinct().withColumn("asked", F.lit(1)), score, "full_outer").fillna(0, ["cal"])
-    w = Window.orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     n = calibration.count()
-    p = both.withColumn("p_value", (1 + F.sum("cal").over(w)) / F.lit(float(n + 1))).filter("asked = 1").select(score, "p_value")
+    run = cumulative(both, score, {"above": F.col("cal")}, descending=True)
+    p = run.filter("asked = 1").select(score, ((1 + F.col("above")) / F.lit(float(n + 1))).alias("p_value"))
     return evaluation.select(key, score).join(p, score)
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window, WindowSpec
 
+from tidemark.operators.ranges import cumulative
+
 BY_TIME = ("timestamp", "sample_id")
 
 
@@ -104,6 +106,5 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with their average rank. Ties are counted first, so what is ordered as a whole
     is one row per distinct value."""
     ties = df.groupBy(value).agg(F.count("*").alias("n"))
-    before = Window.orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    below = F.coalesce(F.sum("n").over(before), F.lit(0))
-    return ties.withColumn("avg_rank", below + (F.col("n") + 1) / 2)
+    ranked = cumulative(ties, value, {"below": F.col("n")}, current=False)
+    return ranked.select(value, "n", (F.col("below") + (F.col("n") + 1) / 2).alias("avg_rank"))
