@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -36,3 +36,26 @@ def seed_for(namespace: str, purpose: str) -> int:
 def derived_seed(namespace: str, purpose: Column) -> Column:
     head = F.substring(F.sha2(F.concat(F.lit(f"{namespace}|"), purpose.cast("string")), 256), 1, 8)
     return F.conv(head, 16, 10).cast("long")
+
+
+def padded(prefix: str, number: Column, width: int) -> Column:
+    return F.concat(F.lit(prefix), F.lpad(number.cast("string"), width, "0"))
+
+
+def two_way_split(ids: DataFrame, key: str, share: float, seed: int) -> DataFrame:
+    """ids with is_fit by hash fraction. Where a side would be empty and there are two ids or more, the id of the
+    fraction nearest to it moves there."""
+    f = fraction(F.col(key), seed)
+    n, fits, low, high = ids.agg(F.count("*"), F.count_if(f < share), F.min_by(key, f), F.max_by(key, f)).first()
+    inside = f < share
+    if n > 1 and fits == 0:
+        inside = inside | (F.col(key) == low)
+    if n > 1 and fits == n:
+        inside = inside & (F.col(key) != high)
+    return ids.withColumn("is_fit", inside)
+
+
+def fingerprint(rows: DataFrame, by: list[str], text: Column, order: list[str]) -> DataFrame:
+    """Digest of the rows of each group in order: the digest of its rows' digests, so no row but its digest moves."""
+    held = F.array_sort(F.collect_list(F.struct(*order, F.sha2(text, 256).alias("__d"))))
+    return rows.groupBy(*by).agg(F.sha2(F.array_join(F.transform(held, lambda r: r["__d"]), ""), 256).alias("fingerprint"))

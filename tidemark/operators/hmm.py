@@ -1,7 +1,8 @@
 """Hidden Markov regimes: fit by EM over sequences, filter and smooth, persistence, grades.
 
-A sequence's frames meet in one group, in which recursions run on NumPy in log space. EM sends one row of
-sufficient statistics per group to a sum; the driver holds parameters alone."""
+The frames of a sequence meet in one array, once for all steps of a fit. Recursions run on NumPy in log space
+over many sequences at a time, the longest first, so that those still running at a time are a prefix. EM sends
+one row of sufficient statistics for each chunk of sequences to a sum; the driver holds parameters alone."""
 
 from __future__ import annotations
 
@@ -56,6 +57,10 @@ def dirichlet(n: int, own: float = 20.0, near: float = 2.0, far: float = 0.2):
     return np.where(d == 0, own, np.where(d == 1, near, far))
 
 
+#: Frames worked off at a time; a longer sequence is worked off alone.
+CHUNK = 500_000
+
+
 def log_emission(model: dict, obs, z=None):
     """Log likelihood of each frame in each state, from the discrete observation, the vector, or both."""
     import numpy as np
@@ -70,67 +75,112 @@ def log_emission(model: dict, obs, z=None):
     return out
 
 
-def filtered(log_emit, model: dict):
-    """Filtered posterior in log space, and the log likelihood of each step."""
+class Chunk:
+    """Sequences side by side. Frames of all of them stand one sequence behind the other, as they came."""
+
+    def __init__(self, lengths) -> None:
+        import numpy as np
+
+        lengths = np.asarray(lengths)
+        longest_first = np.argsort(-lengths, kind="stable")
+        starts = (np.cumsum(lengths) - lengths)[longest_first]
+        held = lengths[longest_first]
+        #: Places of the frames at each time, of all sequences that are that long.
+        self.at = [starts[: np.searchsorted(-held, -t, "left")] + t for t in range(int(held[0]) if len(held) else 0)]
+
+
+def filtered(log_emit, model: dict, chunk: Chunk | None = None):
+    """Filtered posterior in log space, and the log likelihood of each step. Without a chunk all frames are one
+    sequence."""
     import numpy as np
 
+    chunk = chunk or Chunk([len(log_emit)])
     a = np.log(np.clip(model["transition"], EPS, None))
     out, scale = np.empty_like(log_emit), np.empty(len(log_emit))
-    now = np.log(np.clip(model["initial"], EPS, None)) + log_emit[0]
-    for t in range(len(log_emit)):
+    for t, own in enumerate(chunk.at):
         if t:
-            now = log_emit[t] + _lse(out[t - 1][:, None] + a, axis=0)
-        scale[t] = _lse(now)
-        out[t] = now - scale[t]
+            before = out[chunk.at[t - 1][: len(own)]]
+            now = log_emit[own] + _lse(before[:, :, None] + a, axis=1)
+        else:
+            now = np.log(np.clip(model["initial"], EPS, None)) + log_emit[own]
+        scale[own] = _lse(now, axis=1)
+        out[own] = now - scale[own][:, None]
     return out, scale
 
 
-def smoothed(log_emit, model: dict):
-    """Smoothed posterior, expected transitions, log likelihood."""
+def smoothed(log_emit, model: dict, chunk: Chunk | None = None):
+    """Smoothed posterior, expected transitions, log likelihood, over all sequences of the chunk."""
     import numpy as np
 
+    chunk = chunk or Chunk([len(log_emit)])
     a = np.log(np.clip(model["transition"], EPS, None))
-    alpha, scale = filtered(log_emit, model)
+    alpha, scale = filtered(log_emit, model, chunk)
     beta = np.zeros_like(alpha)
     moves = np.zeros_like(a)
-    for t in range(len(alpha) - 2, -1, -1):
-        ahead = log_emit[t + 1] + beta[t + 1]
-        beta[t] = _lse(a + ahead[None], axis=1) - scale[t + 1]
-        xi = alpha[t][:, None] + a + ahead[None]
-        moves += np.exp(xi - _lse(xi))
+    for t in range(len(chunk.at) - 2, -1, -1):
+        after = chunk.at[t + 1]
+        own = chunk.at[t][: len(after)]  # the others end here
+        ahead = log_emit[after] + beta[after]
+        beta[own] = _lse(a + ahead[:, None, :], axis=2) - scale[after][:, None]
+        xi = alpha[own][:, :, None] + a + ahead[:, None, :]
+        moves += np.exp(xi - _lse(xi.reshape(len(own), -1), axis=1)[:, None, None]).sum(0)
     gamma = alpha + beta
     return np.exp(gamma - _lse(gamma, axis=1)[:, None]), moves, float(scale.sum())
 
 
-def _group(pdf):
-    import numpy as np
+def sequences(frames: DataFrame) -> DataFrame:
+    """One row for each sequence: its frames in order."""
+    fields = ["timestamp", "sample_id", "obs", *(["z"] if "z" in frames.columns else [])]
+    return frames.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct(*fields))).alias("f"))
 
-    pdf = pdf.sort_values(["timestamp", "sample_id"], kind="stable", ignore_index=True)
-    z = np.stack(pdf["z"].to_numpy()) if "z" in pdf else None
-    return pdf, pdf["obs"].to_numpy(), z
 
+def _chunks(batches):
+    """(rows of an Arrow batch, lengths, obs, z) of chunks of about CHUNK frames."""
+    import numpy as np
 
-def _statistics(frames: DataFrame, model: dict) -> dict:
+    for b in batches:
+        lengths = np.asarray(b.column("obs").value_lengths().to_numpy(zero_copy_only=False))
+        cuts, size = [0], 0
+        for i, n in enumerate(lengths.tolist()):
+            if size and size + n > CHUNK:
+                cuts.append(i)
+                size = 0
+            size += n
+        for i, j in zip(cuts, [*cuts[1:], len(lengths)]):
+            own = b.slice(i, j - i)
+            if own.num_rows:
+                obs = own.column("obs").flatten().to_numpy(zero_copy_only=False)
+                z = None
+                if "z" in own.schema.names:
+                    flat = own.column("z").flatten()
+                    z = flat.flatten().to_numpy(zero_copy_only=False).reshape(len(obs), -1)
+                yield own, lengths[i:j], obs, z
+
+
+def _parts(rows: DataFrame) -> DataFrame:
+    return rows.select("sequence_id", *[F.col(f"f.{c}").alias(c) for c in rows.schema["f"].dataType.elementType.names])
+
+
+def _statistics(rows: DataFrame, model: dict) -> dict:
     """Sums over all sequences of the sufficient statistics."""
     import numpy as np
 
-    def one(pdf):
-        import pandas as pd
-
-        pdf, obs, z = _group(pdf)
-        gamma, moves, ll = smoothed(log_emission(model, obs, z), model)
-        n = gamma.shape[1]
-        seen = np.zeros((n, n))
-        for k in range(n):
-            seen[k] = np.bincount(obs, weights=gamma[:, k], minlength=n)
-        parts = [np.array([ll]), gamma[0], gamma.sum(0), moves.ravel(), seen.ravel()]
-        if z is not None:
-            parts += [(gamma.T @ z).ravel(), (gamma.T @ (z * z)).ravel()]
-        flat = np.concatenate(parts)
-        return pd.DataFrame({"i": range(len(flat)), "v": flat})
-
-    rows = frames.groupBy("sequence_id").applyInPandas(one, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
-    flat, n = np.array([r["v"] for r in rows]), len(model["initial"])
+    def some(batches):
+        import pyarrow as pa
+
+        for _, lengths, obs, z in _chunks(batches):
+            chunk = Chunk(lengths)
+            gamma, moves, ll = smoothed(log_emission(model, obs, z), model, chunk)
+            n = gamma.shape[1]
+            seen = np.stack([np.bincount(obs, weights=gamma[:, k], minlength=n) for k in range(n)])
+            parts = [np.array([ll]), gamma[chunk.at[0]].sum(0), gamma.sum(0), moves.ravel(), seen.ravel()]
+            if z is not None:
+                parts += [(gamma.T @ z).ravel(), (gamma.T @ (z * z)).ravel()]
+            flat = np.concatenate(parts)
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["i", "v"])
+
+    told = _parts(rows).drop("timestamp", "sample_id").mapInArrow(some, "i int, v double").groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    flat, n = np.array([r["v"] for r in told]), len(model["initial"])
     out, at = {}, 0
     d = (len(flat) - 1 - 2 * n - 2 * n * n) // (2 * n)
     for name, shape in (("ll", ()), ("first", (n,)), ("mass", (n,)), ("moves", (n, n)), ("seen", (n, n)), ("sum", (n, d)), ("squares", (n, d))):
@@ -159,9 +209,10 @@ def fit(frames: DataFrame, iterations: int = 25, tolerance: float = 1e-4, floor:
         model["var"] = np.maximum(np.tile([r["s"] for r in whole], (n, 1)), floor)
         for r in rows:
             model["mean"][r["obs"], r["i"]], model["var"][r["obs"], r["i"]] = r["m"], max(r["s"], floor)
+    rows = sequences(frames).persist()  # one exchange for all steps
     inside = np.abs(np.arange(n)[:, None] - np.arange(n)) <= (n if model["band"] is None else model["band"])
     history: list[float] = []
-    stats = _statistics(frames, model)
+    stats = _statistics(rows, model)
     for _ in range(iterations):
         model["initial"] = stats["first"] / stats["first"].sum()
         model["transition"] = _rows(np.where(inside, stats["moves"] + dirichlet(n), 0.0))
@@ -170,10 +221,11 @@ def fit(frames: DataFrame, iterations: int = 25, tolerance: float = 1e-4, floor:
             for k in np.flatnonzero(stats["mass"] > EPS):
                 model["mean"][k] = stats["sum"][k] / stats["mass"][k]
                 model["var"][k] = np.maximum(stats["squares"][k] / stats["mass"][k] - model["mean"][k] ** 2, floor)
-        stats = _statistics(frames, model)
+        stats = _statistics(rows, model)
         history.append(float(stats["ll"]))
         if len(history) > 1 and abs(history[-1] - history[-2]) <= tolerance:
             break
+    rows.unpersist()
     frames.unpersist()
     return model, history
 
@@ -182,13 +234,18 @@ def infer(frames: DataFrame, model: dict, smoothing: bool = False) -> DataFrame:
     """p_state of every frame: filtered, or smoothed where asked for."""
     import numpy as np
 
-    def one(pdf):
-        pdf, obs, z = _group(pdf)
-        log_emit = log_emission(model, obs, z)
-        p = smoothed(log_emit, model)[0] if smoothing else np.exp(filtered(log_emit, model)[0])
-        return pdf[["sequence_id", "timestamp", "sample_id"]].assign(p_state=p.tolist())
+    def some(batches):
+        import pyarrow as pa
+
+        for own, lengths, obs, z in _chunks(batches):
+            log_emit, chunk = log_emission(model, obs, z), Chunk(lengths)
+            p = smoothed(log_emit, model, chunk)[0] if smoothing else np.exp(filtered(log_emit, model, chunk)[0])
+            n = p.shape[1]
+            states = pa.ListArray.from_arrays(pa.array(np.arange(0, p.size + 1, n, dtype=np.int32)), pa.array(p.ravel()))
+            ids = own.column("sequence_id").take(pa.array(np.repeat(np.arange(own.num_rows), lengths)))
+            yield pa.RecordBatch.from_arrays([ids, own.column("timestamp").flatten(), own.column("sample_id").flatten(), states], names=["sequence_id", "timestamp", "sample_id", "p_state"])
 
-    return frames.groupBy("sequence_id").applyInPandas(one, "sequence_id string, timestamp double, sample_id string, p_state array<double>")
+    return _parts(sequences(frames)).mapInArrow(some, "sequence_id string, timestamp double, sample_id string, p_state array<double>")
 
 
 def exit_steps(model: dict, confirmable: list[int]):

@@ -17,7 +17,7 @@ def roc_auc(df: DataFrame, score: str, positive: Column, by: list[str] = ()) ->
     """Area under the ROC curve by average ranks; null where a class is missing.
 
     Rows are first summed up by distinct score; only those rows are ordered."""
-    steps = cumulative(_by_score(df, score, positive, list(by)), score, {"neg_below": F.col("neg")}, current=False, by=list(by))
+    steps = cumulative(_by_score(df, score, positive, list(by)), score, {"neg_below": F.col("neg")}, current=False, by=list(by), like=df)
     wins = F.sum(F.col("pos") * (F.col("neg_below") + F.col("neg") / 2))
     out = steps.groupBy(*by).agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"), wins.alias("wins"))
     return out.select(*by, "n_pos", "n_neg", F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("wins") / (F.col("n_pos") * F.col("n_neg"))).alias("auc"))
@@ -25,7 +25,7 @@ def roc_auc(df: DataFrame, score: str, positive: Column, by: list[str] = ()) ->
 
 def average_precision(df: DataFrame, score: str, positive: Column, by: list[str] = ()) -> DataFrame:
     """Tie-grouped: each distinct score adds its recall step times the precision there."""
-    steps = cumulative(_by_score(df, score, positive, list(by)), score, {"tp": F.col("pos"), "seen": F.col("pos") + F.col("neg")}, descending=True, by=list(by))
+    steps = cumulative(_by_score(df, score, positive, list(by)), score, {"tp": F.col("pos"), "seen": F.col("pos") + F.col("neg")}, descending=True, by=list(by), like=df)
     out = steps.groupBy(*by).agg(F.sum(F.col("pos") * F.col("tp") / F.col("seen")).alias("area"), F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
     return out.select(*by, F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.col("area") / F.col("n_pos")).alias("average_precision"))
 
@@ -34,7 +34,7 @@ def average_precision_in_order(df: DataFrame, score: str, positive: Column, tieb
     """Ties stand in the order of tiebreak; every positive row adds the precision at its place. The rows of
     a score are counted first, so a whole order is made over distinct scores alone."""
     groups = _by_score(df, score, positive, [])
-    before = cumulative(groups, score, {"tp0": F.col("pos"), "seen0": F.col("pos") + F.col("neg")}, descending=True, current=False).select(score, "tp0", "seen0")
+    before = cumulative(groups, score, {"tp0": F.col("pos"), "seen0": F.col("pos") + F.col("neg")}, descending=True, current=False, like=df).select(score, "tp0", "seen0")
     own = Window.partitionBy(score).orderBy(tiebreak).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = df.withColumn("__y", positive.cast("long")).withColumns({"__tp": F.sum("__y").over(own), "__n": F.row_number().over(Window.partitionBy(score).orderBy(tiebreak))}).join(before, score)
     precision = (F.col("tp0") + F.col("__tp")) / (F.col("seen0") + F.col("__n"))
@@ -44,7 +44,7 @@ def average_precision_in_order(df: DataFrame, score: str, positive: Column, tieb
 def roc_points(df: DataFrame, score: str, positive: Column) -> DataFrame:
     steps = _by_score(df, score, positive, [])
     total = steps.agg(F.sum("pos").alias("n_pos"), F.sum("neg").alias("n_neg"))
-    run = cumulative(steps, score, {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True)
+    run = cumulative(steps, score, {"tp": F.col("pos"), "fp": F.col("neg")}, descending=True, like=df)
     return run.join(F.broadcast(total)).select(F.col(score).alias("threshold"), (F.col("tp") / F.col("n_pos")).alias("tpr"), (F.col("fp") / F.col("n_neg")).alias("fpr"))
 
 
@@ -116,7 +116,7 @@ def upper_rank(df: DataFrame, score: str, share: int) -> DataFrame:
 
     Scores are counted by distinct value, and the value at which the count from above reaches k is taken."""
     ties = df.groupBy(score).agg(F.count("*").alias("n"))
-    run = cumulative(ties, score, {"above": F.col("n")}, descending=True)
+    run = cumulative(ties, score, {"above": F.col("n")}, descending=True, like=df)
     m = df.agg(F.count(score)).first()[0]
     k = (m + 1) // share
     return run.agg(F.lit(m).alias("m"), F.lit(k).alias("k"), F.max(F.when((F.col("above") >= k) & F.lit(k > 0), F.col(score))).alias("threshold"))
@@ -128,7 +128,7 @@ def conformal_p(calibration: DataFrame, evaluation: DataFrame, score: str, key:
     Both sides are counted by distinct score and merged in one ordered pass over those."""
     both = calibration.groupBy(score).agg(F.count("*").alias("cal")).join(evaluation.select(score).distinct().withColumn("asked", F.lit(1)), score, "full_outer").fillna(0, ["cal"])
     n = calibration.count()
-    run = cumulative(both, score, {"above": F.col("cal")}, descending=True)
+    run = cumulative(both, score, {"above": F.col("cal")}, descending=True, like=calibration)
     p = run.filter("asked = 1").select(score, ((1 + F.col("above")) / F.lit(float(n + 1))).alias("p_value"))
     return evaluation.select(key, score).join(p, score)
 

@@ -38,11 +38,11 @@ def range_of(key: Column, cuts: list) -> Column:
     return F.aggregate(F.lit(steps), F.lit(0), lambda at, step: F.when(ahead(at, step), at + step).otherwise(at))
 
 
-def cumulative(rows: DataFrame, key: str, sums: dict[str, Column], descending: bool = False, current: bool = True, by: list[str] = (), number: Column | None = None) -> DataFrame:
+def cumulative(rows: DataFrame, key: str, sums: dict[str, Column], descending: bool = False, current: bool = True, by: list[str] = (), number: Column | None = None, like: DataFrame | None = None) -> DataFrame:
     """rows with running sums in the order of key: for each name, the sum of its column over all rows before this one,
     and over this one too where current is true. Rows are distinct in key and by. number: what stands for the
-    key in cutting ranges, if that is no number itself."""
-    cuts = _cuts(rows, number if number is not None else F.col(key))
+    key in cutting ranges, if that is no number itself. like: what ranges are cut for, if rows are dear to make."""
+    cuts = _cuts(rows if like is None else like, number if number is not None else F.col(key))
     order = F.desc(key) if descending else F.asc(key)
     until = Window.currentRow if current else -1
     if not cuts:

@@ -198,6 +198,54 @@ def indicators(df: DataFrame, config: IndicatorConfig | None = None, keep: tuple
     return df.select(*kept, "spectrum", "wavelengths").mapInPandas(rows, shape)
 
 
+def grid_hash(wavelengths) -> str:
+    """SHA-256 of the grid as float64 bytes, little-endian."""
+    import hashlib
+
+    import numpy as np
+
+    return hashlib.sha256(np.ascontiguousarray(wavelengths, "<f8").tobytes()).hexdigest()
+
+
+def audited(df: DataFrame, config: IndicatorConfig | None = None) -> DataFrame:
+    """sample_id and the audit texts of its indicators, as JSON: what was done before, the baseline, the bands, and the
+    hash of the grid."""
+    from pyspark.sql import functions as F
+
+    config = config or IndicatorConfig()
+    if config.baseline == "spline" or config.robust:
+        raise ValueError("coefficients are audited for plain polynomials")
+
+    def rows(batches):
+        import json
+
+        import numpy as np
+
+        for b in batches:
+            if not len(b):
+                continue
+            grid = np.asarray(b["wavelengths"].iloc[0])
+            y, _ = normalise(np.stack(b["spectrum"].to_numpy()), config.normalization)
+            if config.smoothing == "savitzky_golay":
+                y = y @ savgol_matrix(len(grid), config.window, config.poly_order).T
+            elif config.smoothing == "moving_average":
+                y = y @ moving_average_matrix(len(grid), config.window).T
+            inverse, _ = poly_matrix(len(grid), int(config.baseline[-1]))
+            span = max(float(grid[-1] - grid[0]), config.eps) if config.rescale else 1.0
+            ends = [[band(y, grid, *x, config.band_stat) for x in pair] for pair in config.bands]
+            beta = y @ inverse.T
+            yield b[["sample_id"]].assign(
+                baseline_json=[json.dumps({"model": config.baseline, "coefficients": k.tolist(), "slope": k[1] / span, "curvature": k[2] / span**2}) for k in beta],
+                bands_json=[json.dumps({f"ratio_{k}": {"numerator": float(t[i]), "denominator": float(d[i])} for k, (t, d) in enumerate(ends, 1)}) for i in range(len(b))],
+                grid_hash=grid_hash(grid),
+            )
+
+    kind = df.schema["sample_id"].dataType.simpleString()
+    out = df.select("sample_id", "spectrum", "wavelengths").mapInPandas(rows, f"sample_id {kind}, baseline_json string, bands_json string, grid_hash string")
+    steps = F.to_json(F.struct(F.lit(config.normalization).alias("normalization"), F.lit(config.smoothing).alias("smoothing"), F.lit(list(config.clip)).alias("clipping")))
+    return out.withColumn("steps_json", steps)
+
+
 def peak_depth(spectra, wavelengths, peaks, core: float = 1.0, shoulder: float = 3.0):
     """Depth of the core of each peak under its shoulders, over a robust noise of the spectrum; summed up."""
     import numpy as np

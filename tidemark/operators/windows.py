@@ -106,5 +106,5 @@ def average_ranks(df: DataFrame, value: str) -> DataFrame:
     """Distinct values with their average rank. Ties are counted first, so what is ordered as a whole
     is one row per distinct value."""
     ties = df.groupBy(value).agg(F.count("*").alias("n"))
-    ranked = cumulative(ties, value, {"below": F.col("n")}, current=False)
+    ranked = cumulative(ties, value, {"below": F.col("n")}, current=False, like=df)
     return ranked.select(value, "n", (F.col("below") + (F.col("n") + 1) / 2).alias("avg_rank"))

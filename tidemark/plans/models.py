@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import split_of
 from tidemark.operators import cone, density, embed, events, folds, hmm, resample, spectra, tensor, transport, windows
 from tidemark.plans import alarms
-from tidemark.plans.registry import query
+from tidemark.plans.registry import query, sql
 from tidemark.sources import simulate
 from tidemark.sources.frames import read_table
 
@@ -25,7 +25,7 @@ def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _fitted(frames: DataFrame) -> tuple[dict, list[float]]:
     train = frames.filter(split_of(F.col("sequence_id")) == "train").drop("z")
-    return hmm.fit(train, iterations=6)
+    return hmm.fit(train)
 
 
 @query()
@@ -36,10 +36,49 @@ def hmm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sequence_id", "sample_id", "state_mle", F.round("p_confirmable", 9).alias("p_confirmable"), F.round("persistence_seconds", 6).alias("persistence_seconds"), "stability_grade")
 
 
-@query()
+def _walks(model: dict) -> str:
+    """SQL of the forward and backward passes of a chain over discrete observations, in scaled probabilities."""
+    n = len(model["initial"])
+    a, e, first = model["transition"], model["emission"], model["initial"]
+    seen = lambda k, o: "CASE " + o + " ".join(["", *(f"WHEN {j} THEN {float(e[k, j])!r}" for j in range(n))]) + " END"
+    into = lambda k: "(" + " + ".join(f"w.f{i} * {float(max(a[i, k], 1e-12))!r}" for i in range(n)) + f") * {seen(k, 'x.obs')}"
+    back = lambda k: " + ".join(f"{float(max(a[k, i], 1e-12))!r} * w.b{i} * {seen(i, 'w.obs')}" for i in range(n))
+    scaled = lambda p, values: ", ".join(f"({v}) / ({' + '.join(f'({x})' for x in values)}) AS {p}{k}" for k, v in enumerate(values))
+    return f"""numbered AS (SELECT sequence_id, sample_id, CASE regime_label WHEN 'trusted' THEN 0 WHEN 'ambiguous' THEN 1 WHEN 'degraded' THEN 2 ELSE 3 END AS obs,
+      row_number() OVER (PARTITION BY sequence_id ORDER BY timestamp, sample_id) AS n, count(*) OVER (PARTITION BY sequence_id) AS last FROM regimes),
+    ahead AS (SELECT sequence_id, n, sample_id, {scaled("f", [f"{float(first[k])!r} * {seen(k, 'obs')}" for k in range(n)])} FROM numbered WHERE n = 1
+      UNION ALL SELECT x.sequence_id, x.n, x.sample_id, {scaled("f", [into(k) for k in range(n)])} FROM ahead w JOIN numbered x ON x.sequence_id = w.sequence_id AND x.n = w.n + 1),
+    behind AS (SELECT sequence_id, n, sample_id, obs, {", ".join(f"1.0::DOUBLE AS b{k}" for k in range(n))} FROM numbered WHERE n = last
+      UNION ALL SELECT x.sequence_id, x.n, x.sample_id, x.obs, {scaled("b", [back(k) for k in range(n)])} FROM behind w JOIN numbered x ON x.sequence_id = w.sequence_id AND x.n = w.n - 1)"""
+
+
+_CHAIN = sql("regimes", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _walks(hmm.start())
+
+
+@query(_CHAIN + "SELECT sample_id, round(f0, 6) AS p0, round(f1, 6) AS p1, round(f2, 6) AS p2, round(f3, 6) AS p3 FROM ahead")
+def hmm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Filtered states of the model before any fit, dumped and loaded as a frozen one is."""
+    out = hmm.infer(_observed(spark, sf_dir).drop("z"), hmm.load(hmm.dump(hmm.start())))
+    return out.select("sample_id", *[F.round(F.col("p_state")[k], 6).alias(f"p{k}") for k in range(4)])
+
+
+@query(_CHAIN + """SELECT sample_id, round(f0 * b0 / z, 6) AS p0, round(f1 * b1 / z, 6) AS p1, round(f2 * b2 / z, 6) AS p2, round(f3 * b3 / z, 6) AS p3
+    FROM (SELECT a.*, b0, b1, b2, b3, f0 * b0 + f1 * b1 + f2 * b2 + f3 * b3 AS z FROM ahead a JOIN behind USING (sequence_id, n))""")
 def hmm_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frames = _observed(spark, sf_dir).drop("z")
-    return hmm.infer(frames, hmm.start(), smoothing=True).select("sequence_id", "sample_id", F.transform("p_state", lambda x: F.round(x, 9)).alias("p_state"))
+    out = hmm.infer(_observed(spark, sf_dir).drop("z"), hmm.start(), smoothing=True)
+    return out.select("sample_id", *[F.round(F.col("p_state")[k], 6).alias(f"p{k}") for k in range(4)])
+
+
+_STEPS = ", ".join(f"{float(x)!r}" for x in hmm.exit_steps(hmm.start(), [0]))
+
+
+@query(_CHAIN + f"""SELECT sample_id, round(f0, 6) AS p_confirmable, CAST(list_position([f0, f1, f2, f3], greatest(f0, f1, f2, f3)) - 1 AS INTEGER) AS state_mle, round(f1 + 2 * f2 + 3 * f3, 6) AS state_expectation,
+    round(CASE WHEN f0 <= 1e-12 THEN 0.0 ELSE list_dot_product([f0, f1, f2, f3], [{_STEPS}]) END, 6) AS persistence_seconds FROM ahead""")
+def hmm_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Most likely state, expectation and persistence by the expected exit time of the trusted state."""
+    model = hmm.start()
+    out = hmm.with_persistence(hmm.infer(_observed(spark, sf_dir).drop("z"), model), model, [0])
+    return out.select("sample_id", F.round("p_confirmable", 6).alias("p_confirmable"), "state_mle", F.round("state_expectation", 6).alias("state_expectation"), F.round("persistence_seconds", 6).alias("persistence_seconds"))
 
 
 @query()
@@ -137,26 +176,65 @@ def discriminant_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(i, float(r[0]), float(r[1])) for i, r in enumerate(fit["projection"])], "dim int, axis_1 double, axis_2 double")
 
 
-@query()
+def _draws(replicates: int, seed: int) -> str:
+    """SQL of the draws of `resample.multiplicities` among the rows of a table `units` (id)."""
+    return f"""placed AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS position FROM units), size AS (SELECT count(*) AS n FROM units),
+    each AS (SELECT replicate, n, unnest(range(n)) AS j FROM size, range({replicates}) t(replicate)),
+    drawn AS (SELECT replicate, id, count(*) AS k FROM (SELECT replicate, ('0x' || substr(md5('{seed}:' || replicate || ':' || j), 1, 15))::BIGINT % n AS position FROM each) JOIN placed USING (position) GROUP BY ALL)"""
+
+
+DRAWS = 1000
+
+
+@query(sql("alarms", "").rstrip() + f""", units AS (SELECT sequence_id || '/' || island AS id, CASE WHEN confirm_timestamp IS NOT NULL THEN 1.0 ELSE 0.0 END AS v FROM alarms WHERE NOT is_hazard),
+    {_draws(DRAWS, 11)}, means AS (SELECT replicate, sum(k * v) / sum(k) AS m FROM drawn JOIN units USING (id) GROUP BY replicate)
+    SELECT round((SELECT avg(v) FROM units), 9) AS mean, round(quantile_cont(m, 0.025), 9) AS low, round(quantile_cont(m, 0.975), 9) AS high, count(*) AS replicates FROM means""")
 def bootstrap_fcr_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = events.alarm_events(alarms.action_frames(spark, sf_dir)).filter(~F.col("is_hazard"))
-    rows = found.select(F.concat_ws("/", "sequence_id", "island").alias("sequence_id"), F.col("pred_confirmed").cast("double").alias("v"))
-    return resample.bootstrap_mean(rows, "sequence_id", "v", 200, 11)
+    rows = found.select(F.concat_ws("/", "sequence_id", "island").alias("id"), F.col("pred_confirmed").cast("double").alias("v"))
+    out = resample.bootstrap_mean(rows, "id", "v", DRAWS, 11)
+    return out.select(*[F.round(c, 9).alias(c) for c in ("mean", "low", "high")], "replicates")
 
 
-@query()
+def _arm_sql(n: int) -> str:
+    """SQL of what resampling needs of an arm of n of 5."""
+    w = "(PARTITION BY sequence_id ORDER BY timestamp, sample_id"
+    return f"""act{n} AS (SELECT *, CASE WHEN sum(CASE WHEN risk_score >= 0.5 THEN 1 ELSE 0 END) OVER {w} ROWS BETWEEN 4 PRECEDING AND CURRENT ROW) >= {n} THEN 'CONFIRM' WHEN risk_score >= 0.5 THEN 'RESCAN' ELSE 'HOLD' END AS action FROM regimes),
+    steps{n} AS (SELECT *, CASE WHEN action <> lag(action) OVER {w}) THEN 1 ELSE 0 END AS changed, CASE WHEN action <> 'HOLD' AND coalesce(lag(action) OVER {w}), 'HOLD') = 'HOLD' THEN 1 ELSE 0 END AS opens FROM act{n}),
+    runs{n} AS (SELECT *, sum(opens) OVER {w}) AS island FROM steps{n}),
+    found{n} AS (SELECT sequence_id, island, bool_or(action = 'CONFIRM') AS c, bool_or(label = 'hazard') AS h FROM runs{n} WHERE action <> 'HOLD' GROUP BY ALL),
+    arm{n} AS (SELECT sequence_id AS id, t.toggle_rate, coalesce(e.be, 0) AS be, coalesce(e.bc, 0) AS bc, coalesce(e.he, 0) AS he, coalesce(e.hc, 0) AS hc
+      FROM (SELECT sequence_id, sum(changed) / greatest(max(timestamp) - min(timestamp), 1.0) AS toggle_rate FROM steps{n} GROUP BY 1) t
+      LEFT JOIN (SELECT sequence_id, count(*) FILTER (NOT h) AS be, count(*) FILTER (NOT h AND c) AS bc, count(*) FILTER (h) AS he, count(*) FILTER (h AND c) AS hc FROM found{n} GROUP BY 1) e USING (sequence_id))"""
+
+
+_RATES = "CASE WHEN sum(k * be) > 0 THEN sum(k * bc) / sum(k * be) END AS fcr, CASE WHEN sum(k * he) > 0 THEN 1 - sum(k * hc) / sum(k * he) END AS mcr, sum(k * toggle_rate) / sum(k) AS toggle_rate"
+
+
+@query(sql("regimes", "").rstrip() + f""", {_arm_sql(3)}, {_arm_sql(2)}, units AS (SELECT id FROM arm3), {_draws(DRAWS, 5)},
+    weighed AS (SELECT replicate, id, k FROM drawn UNION ALL SELECT -1, id, 1 FROM units),
+    a AS (SELECT replicate, {_RATES} FROM weighed JOIN arm3 USING (id) GROUP BY replicate), b AS (SELECT replicate, {_RATES} FROM weighed JOIN arm2 USING (id) GROUP BY replicate),
+    d AS (SELECT replicate, unnest(['fcr', 'mcr', 'toggle_rate']) AS metric, unnest([a.fcr - b.fcr, a.mcr - b.mcr, a.toggle_rate - b.toggle_rate]) AS d FROM a JOIN b USING (replicate))
+    SELECT metric, round(max(d) FILTER (replicate < 0), 9) AS point, round(CASE WHEN count(d) FILTER (replicate >= 0) >= 950 THEN quantile_cont(d, 0.025) FILTER (replicate >= 0) END, 9) AS low,
+    round(CASE WHEN count(d) FILTER (replicate >= 0) >= 950 THEN quantile_cont(d, 0.975) FILTER (replicate >= 0) END, 9) AS high, count(d) FILTER (replicate >= 0) AS n_finite FROM d GROUP BY metric""")
 def paired_cluster_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = alarms.regime_frames(spark, sf_dir).withColumn("score", F.col("risk_score"))
     arms = []
     for n, m in ((3, 5), (2, 5)):
         actions = windows.n_of_m(frames, n, m, 0.5)
         arms.append(events.per_sequence(actions, events.alarm_events(actions)).drop("toggles"))
-    return resample.paired_cluster_bootstrap(*arms, replicates=100, seed=5, least=50)
+    out = resample.paired_cluster_bootstrap(*arms, replicates=DRAWS, seed=5, least=950)
+    return out.select("metric", *[F.round(c, 9).alias(c) for c in ("point", "low", "high")], "n_finite")
 
 
-@query()
+@query(sql("regimes", "").rstrip() + f""", units AS (SELECT DISTINCT sequence_id AS id FROM regimes), {_draws(DRAWS, 3)},
+    steps AS (SELECT replicate, risk_score AS s, sum(CASE WHEN label = 'hazard' THEN k ELSE 0 END) AS pos, sum(CASE WHEN label = 'hazard' THEN 0 ELSE k END) AS neg FROM drawn JOIN regimes ON id = sequence_id GROUP BY ALL),
+    run AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM steps),
+    areas AS (SELECT replicate, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM run GROUP BY replicate)
+    SELECT round(avg(auc), 9) AS mean, round(quantile_cont(auc, 0.025), 9) AS low, round(quantile_cont(auc, 0.975), 9) AS high, count(auc) AS n_finite FROM areas""")
 def cluster_auc_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return resample.cluster_auc(alarms.regime_frames(spark, sf_dir), "risk_score", F.col("label") == "hazard", 100, 3)
+    out = resample.cluster_auc(alarms.regime_frames(spark, sf_dir), "risk_score", F.col("label") == "hazard", DRAWS, 3)
+    return out.select(*[F.round(c, 9).alias(c) for c in ("mean", "low", "high")], "n_finite")
 
 
 @query()
