@@ -138,6 +138,11 @@ def zero_failure_floor(p: float, alpha: float = 0.05) -> int:
     return math.ceil(math.log(alpha) / math.log1p(-p))
 
 
+def zero_failure_column(p: Column, alpha: float = 0.05) -> Column:
+    """The same for a column of probabilities."""
+    return F.ceil(F.lit(math.log(alpha)) / F.log1p(-p)).cast("long")
+
+
 def attribution(criteria: DataFrame) -> DataFrame:
     """Failed and open criteria with the family they belong to."""
     name = F.col("criterion")

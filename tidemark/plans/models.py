@@ -260,12 +260,6 @@ def chain_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return density.chain_likelihood(frames, models)
 
 
-@query()
-def silhouette_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = density.silhouette(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding", "label")
-    return out.agg(F.avg("silhouette").alias("silhouette"), F.count("*").alias("n"))
-
-
 @query()
 def cp_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rank-2 decomposition of all vectors of each label, as vectors by eight blocks by eight channels."""
@@ -284,16 +278,6 @@ def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("method", "split", "n_events", "fcr", "mcr", "toggle_rate", "suppression_efficiency")
 
 
-@query()
-def separability_probes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Probes of risk and raw score by scenario and pooled."""
-    from tidemark.plans import audit
-
-    frames = alarms.regime_frames(spark, sf_dir).withColumn("hour", (F.col("timestamp") / 3600) % 24)
-    day = F.floor(F.col("timestamp") / 86400) % 2 == 0
-    return audit.probes(frames, ["risk_score", "hour"], day)
-
-
 @query()
 def ratio_recovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.plans import probes
@@ -306,10 +290,3 @@ def detection_power(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.plans import probes
 
     return probes.detection_power(spark, [0.05, 0.1, 0.2, 0.4])
-
-
-@query()
-def sequence_truth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from tidemark.plans import audit
-
-    return audit.ground_truth(simulate.simulate(spark, SEQUENCES, episodes=True), F.col("latent_json"), F.col("mixture_json"), list(simulate.HAZARDS))

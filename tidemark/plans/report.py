@@ -28,6 +28,13 @@ def summary(actions: DataFrame) -> DataFrame:
     )
 
 
+def shift_summary(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """Count, mean, median and deviation of a value by groups."""
+    v = F.col(value)
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("std"))
+    return out.select(*by, "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")])
+
+
 def render(template: str, values: dict) -> str:
     def put(m: re.Match) -> str:
         if m[1] not in values:
