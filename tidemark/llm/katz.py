@@ -29,7 +29,7 @@ import pickle
 import zlib
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import drop, materialize, shuffle_width, text_bytes
@@ -342,21 +342,35 @@ def _finish(table, n: float):
     })
 
 
+def _places(spark: SparkSession, buckets: int) -> list[int]:
+    """For each bucket a number that Spark's hash puts into a partition of its own among as many, so that no two buckets
+    meet in one and leave another empty."""
+    found = spark.range(64 * buckets).select("id", F.pmod(F.hash("id"), F.lit(buckets)).alias("p")).groupBy("p").agg(F.min("id").alias("id")).collect()
+    by = {r["p"]: r["id"] for r in found}  # a row for each bucket
+    return [by.get(p, p) for p in range(buckets)]
+
+
 def score(docs: DataFrame, held_out) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document; the model
     learns from those for which the boolean column held_out is false."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(shuffle_width(docs.sparkSession), -(-size // BUCKET_BYTES))
+    held = F.lit(_places(docs.sparkSession, buckets))
+
+    def dealt(df: DataFrame):
+        place = F.when(F.col("bucket") < 0, F.col("bucket")).otherwise(F.element_at(held, F.col("bucket").cast("int") + 1))
+        return df.withColumn("place", place).repartition(buckets, "place").groupBy("place", "bucket")
+
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.coalesce(held_out, F.lit(False)).alias("held"))
     sent = materialize(rows.mapInArrow(lambda it: _blocks(it, buckets), "kind int, bucket long, block long, payload binary"), "blocks", "kind")
-    words = sent.filter("kind = 1").select("bucket", "block", "payload").repartition(buckets, "bucket").groupBy("bucket")
+    words = dealt(sent.filter("kind = 1").select("bucket", "block", "payload"))
     counted = materialize(words.applyInArrow(lambda t: _count_words(t, buckets), "bucket long, block long, payload binary, stats array<double>"), "unigrams")
     width = CUTOFF + 3
     stats = _sums(counted.filter("block < 0"), width)
     unigram, n, types = Unigram(stats), stats[0], stats[1]
     met = sent.filter("kind = 0").select("bucket", "block", "payload").union(counted.filter("block >= 0").select("bucket", "block", "payload"))
     pairs = met.groupBy("block").applyInArrow(lambda t: _send_pairs(t, buckets, n, types), "bucket long, block long, payload binary")
-    merged = materialize(pairs.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(lambda t: _merge_pairs(t, unigram), "kind int, bucket long, block long, payload binary, stats array<double>"), "bigrams", "kind")
+    merged = materialize(dealt(pairs).applyInArrow(lambda t: _merge_pairs(t, unigram), "kind int, bucket long, block long, payload binary, stats array<double>"), "bigrams", "kind")
     drop(sent, counted)
     d = discounts(_sums(merged.filter("kind = 3"), width)[2:])
     parts = [F.sum(F.col("stats")[i]).alias(f"s{i}") for i in range(2 + CUTOFF)]
