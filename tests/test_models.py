@@ -1,6 +1,7 @@
 """Fitted operators against brute force, closed forms and invariants."""
 
 import itertools
+import hashlib
 import math
 import random
 
@@ -233,6 +234,37 @@ def test_embedding_gradient_and_apply(spark):
     assert all(z[k] == pytest.approx(v) for k, v in part.items()) and np.linalg.norm(z["0000"]) == pytest.approx(1)
 
 
+def test_many_sequences_are_each_alone(spark, monkeypatch):
+    """Recursions over sequences side by side give what each gives by itself, whatever the chunks; and a step of EM is
+    one over single frames."""
+    rng = np.random.default_rng(8)
+    m = hmm.start()
+    m["mean"], m["var"] = rng.normal(size=(4, 2)), np.ones((4, 2))
+    rows, by = [], {}
+    for i, n in enumerate([1, 7, 3, 12, 7, 1, 30]):
+        obs, z = rng.integers(0, 4, n), rng.normal(size=(n, 2))
+        by[f"s{i}"] = obs, z
+        rows += [(f"s{i}", float(t), f"s{i}_{t:03d}", int(obs[t]), z[t].tolist()) for t in range(n)]
+    df = spark.createDataFrame(rows, "sequence_id string, timestamp double, sample_id string, obs int, z array<double>").repartition(3)
+    want = {k: hmm.smoothed(hmm.log_emission(m, *v), m) for k, v in by.items()}
+    ahead = {k: np.exp(hmm.filtered(hmm.log_emission(m, *v), m)[0]) for k, v in by.items()}
+    for chunk in (500_000, 5):
+        monkeypatch.setattr(hmm, "CHUNK", chunk)
+        for smoothing, told in ((False, ahead), (True, {k: v[0] for k, v in want.items()})):
+            for r in hmm.infer(df, m, smoothing).collect():
+                assert r.p_state == pytest.approx(told[r.sequence_id][int(r.timestamp)])
+        stats = hmm._statistics(hmm.sequences(df), m)
+        assert stats["ll"] == pytest.approx(sum(v[2] for v in want.values()))
+        assert stats["moves"] == pytest.approx(sum(v[1] for v in want.values()))
+        assert stats["first"] == pytest.approx(sum(v[0][0] for v in want.values()))
+        assert stats["sum"] == pytest.approx(sum(v[0].T @ by[k][1] for k, v in want.items()))
+        seen = np.zeros((4, 4))
+        for k, v in want.items():
+            for t, o in enumerate(by[k][0]):
+                seen[:, o] += v[0][t]
+        assert stats["seen"] == pytest.approx(seen)
+
+
 def test_resampling(spark):
     assert resample.exact_interval(0, 189) == pytest.approx((0, 0.01933), abs=1e-4)
     assert resample.exact_interval(1, 98) == pytest.approx((0.000258, 0.0555), abs=1e-4)
@@ -241,8 +273,8 @@ def test_resampling(spark):
     assert tail == pytest.approx(0.025, abs=1e-6) and high > 0.25
     df = spark.createDataFrame([(f"{i:02d}", float(i)) for i in range(30)], "sequence_id string, v double")
     r = resample.bootstrap_mean(df, "sequence_id", "v", 50, 1).first()
-    rng, x = np.random.default_rng(1), np.arange(30.0)
-    means = [x[rng.integers(0, 30, size=30)].mean() for _ in range(50)]
+    draw = lambda r, j: int(hashlib.md5(f"1:{r}:{j}".encode()).hexdigest()[:15], 16) % 30
+    means = [np.mean([draw(r, j) for j in range(30)]) for r in range(50)]
     assert (r.mean, r.low, r.high) == pytest.approx((14.5, *np.percentile(means, [2.5, 97.5])))
     y, s = np.array([1, 0, 1, 0, 0]), np.array([0.9, 0.9, 0.4, 0.1, 0.4])
     pairs = [(a > b) + 0.5 * (a == b) for a in s[y == 1] for b in s[y == 0]]

@@ -13,7 +13,11 @@ from tidemark.plans.registry import query, sql
 from tidemark.sources import simulate
 from tidemark.sources.frames import read_table
 
-SEQUENCES = 24
+
+def _simulated(spark: SparkSession, sf_dir: str, **more) -> DataFrame:
+    """A simulated sequence for each user of `events`: spectra grow with the tables."""
+    return simulate.simulate(spark, read_table(spark, sf_dir, "events").select("user_id").distinct().count(), **more)
+
 
 
 def _observed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,13 +104,13 @@ def stability_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def simulated_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = simulate.simulate(spark, SEQUENCES)
+    rows = _simulated(spark, sf_dir)
     return rows.select("sample_id", "sequence_id", "timestamp", "label", "agent_id", "clipping_fraction", F.size("spectrum").alias("channels"))
 
 
 @query()
 def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spectra.indicators(simulate.simulate(spark, SEQUENCES))
+    return spectra.indicators(_simulated(spark, sf_dir))
 
 
 @query()
@@ -119,13 +123,13 @@ def d_phys(spark: SparkSession, sf_dir: str) -> DataFrame:
     mix = F.from_json("mixture_json", "struct<components: array<string>, weights: array<double>>")
     share = F.aggregate(F.zip_with(mix["components"], mix["weights"], lambda c, w: F.when(c.isin(*simulate.HAZARDS), w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
     d = v["concentration"] * effective_path(v["path"], v["humidity"], v["dust"], v["angle"])
-    return simulate.simulate(spark, SEQUENCES).select("sample_id", "label", d.alias("d_phys"), (d * share).alias("tau_h"))
+    return _simulated(spark, sf_dir).select("sample_id", "label", d.alias("d_phys"), (d * share).alias("tau_h"))
 
 
 @query()
 def matched_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened matched filter fitted to benign spectra, applied to all."""
-    rows = simulate.simulate(spark, SEQUENCES)
+    rows = _simulated(spark, sf_dir)
     grid = simulate.grid()
     template = -simulate.library(grid)[:2].sum(0)
     state = spectra.whitened_filter(rows.filter("label = 'benign'"), template)
@@ -135,28 +139,32 @@ def matched_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def cone_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cone detector by two-fold cross-fitting over sequences."""
-    return cone.cross_fit(simulate.simulate(spark, SEQUENCES))
+    return cone.cross_fit(_simulated(spark, sf_dir))
 
 
 @query()
 def embeddings_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").select(
-        F.col("vec_id").cast("string").alias("sample_id"), F.slice("embedding", 1, 8).alias("x"), (F.col("label") % 4).cast("int").alias("y"), (F.col("label") / 10).alias("risk")
+        F.col("vec_id").cast("string").alias("sample_id"), F.col("embedding").alias("x"), (F.col("label") % 4).cast("int").alias("y"), (F.col("label") / 10).alias("risk")
     )
-    state = embed.fit(rows, "x", "y", "risk", split_of(F.col("sample_id")) == "train", epochs=4)
+    state = embed.fit(rows, "x", "y", "risk", split_of(F.col("sample_id")) == "train")
     return embed.apply(rows, "x", state, ["sample_id"])
 
 
-def _clouds(spark: SparkSession, sf_dir: str, n: int = 80):
+#: References of each class that a cloud has at most: the bound of what transport holds on the driver.
+REFERENCES = 2000
+
+
+def _clouds(spark: SparkSession, sf_dir: str, n: int = REFERENCES):
     rows = read_table(spark, sf_dir, "embeddings")
-    return rows, transport.references(rows.withColumn("v", F.slice("embedding", 1, 8)), "vec_id", "v", F.col("label") < 3, n)
+    return rows, transport.references(rows, "vec_id", "embedding", F.col("label") < 3, n)
 
 
 @query()
 def ot_coordinate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, (h, b) = _clouds(spark, sf_dir)
     state = transport.fit_coordinate(h, b, 0.5)
-    return transport.coordinate(rows.withColumn("v", F.slice("embedding", 1, 8)), "v", state, ["vec_id", "label"])
+    return transport.coordinate(rows, "embedding", state, ["vec_id", "label"])
 
 
 @query()
@@ -171,8 +179,8 @@ def sinkhorn_w2(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def discriminant_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, (h, b) = _clouds(spark, sf_dir, 40)
-    fit = transport.fit_discriminant(h, b, 2, steps=15)
+    _, (h, b) = _clouds(spark, sf_dir)
+    fit = transport.fit_discriminant(h, b, 2)
     return spark.createDataFrame([(i, float(r[0]), float(r[1])) for i, r in enumerate(fit["projection"])], "dim int, axis_1 double, axis_2 double")
 
 

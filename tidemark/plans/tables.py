@@ -262,8 +262,8 @@ def univariate_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
 def mahalanobis_regimes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distance from the hazards of a vector column, boundaries, labels and risk; tested against NumPy."""
     rows = read_table(spark, sf_dir, "embeddings")
-    state = regimes.load(regimes.dump(regimes.fit_distance(rows, "embedding", 8, _is_hazard())))
-    scored = rows.withColumn("distance", regimes.distance(F.slice("embedding", 1, 8), state))
+    state = regimes.load(regimes.dump(regimes.fit_distance(rows, "embedding", DIM, _is_hazard())))
+    scored = rows.withColumn("distance", regimes.distance(F.col("embedding"), state))
     cuts = regimes.fit_boundaries(scored, "distance", _is_hazard())
     return regimes.apply_boundaries(scored, "distance", cuts).select("vec_id", "label", "distance", "regime_label", "risk_score", "distance_to_boundary")
 

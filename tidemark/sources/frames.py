@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,9 +15,24 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder that driver and executors share, under spark.checkpoint.dir. A session that is one process may do
+    without that setting."""
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="tidemark-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as frames: the user is the sequence, time is seconds, errors are hazards."""
-    return read_table(spark, sf_dir, "events").select(
+    return as_frames(read_table(spark, sf_dir, "events"))
+
+
+def as_frames(rows: DataFrame) -> DataFrame:
+    return rows.select(
         F.col("user_id").cast("string").alias("sequence_id"),
         (F.unix_micros(F.col("ts").cast("timestamp")) / 1e6).alias("timestamp"),
         F.lpad(F.col("event_id").cast("string"), 9, "0").alias("sample_id"),

@@ -88,6 +88,80 @@ def two_state(eta: float):
     return step, "odds double"
 
 
+def chain(model: dict):
+    """Filter of a fitted chain (`operators.hmm`) over discrete observations, which stand in score. State: the posterior.
+    value: that of the first state."""
+    import numpy as np
+
+    from tidemark.operators.hmm import EPS
+
+    n = len(model["initial"])
+    start, move, seen = (np.clip(np.asarray(model[k], float), EPS, None) for k in ("initial", "transition", "emission"))
+
+    def step(state, x):
+        p = (np.asarray(state) @ move if state else start) * seen[:, int(x)]
+        p = p / p.sum()
+        return tuple(p.tolist()), "CONFIRM" if p[0] >= 0.85 else "HOLD", float(p[0])
+
+    return step, ", ".join(f"p{k} double" for k in range(n))
+
+
+EVENTS = "sequence_id string, start_sample_id string, end_sample_id string, start_timestamp double, end_timestamp double, confirm_timestamp double, max_score double, closed_by string"
+_OPEN = "open boolean, first_id string, last_id string, first_time double, last_time double, confirm_time double, best double"
+
+
+def alarm_events(actions: DataFrame, silence: float, lateness: str = "0 seconds") -> DataFrame:
+    """Alarm events of a stream of actions (sequence_id, timestamp in seconds, sample_id, action, score), each once it
+    is over: by the HOLD behind it, or by the clock, when the watermark is `silence` seconds past its last frame.
+    At most one event of a sequence is open. Rows must be in order within a sequence, as for `run`."""
+    from pyspark.sql import functions as F
+
+    def row(key, s, how: str):
+        return (key[0], s[1], s[2], s[3], s[4], s[5], s[6], how)
+
+    def group(key, batches, state: GroupState):
+        import pandas as pd
+
+        out, held = [], state.get if state.exists else None
+        if state.hasTimedOut:
+            if held[0]:
+                out.append(row(key, held, "silence"))
+            state.remove()
+        else:
+            for t, i, action, score in pd.concat(list(batches)).sort_values(["timestamp", "sample_id"], kind="stable")[["timestamp", "sample_id", "action", "score"]].itertuples(index=False):
+                if action == "HOLD":
+                    if held and held[0]:
+                        out.append(row(key, held, "hold"))
+                    held = None
+                    continue
+                confirmed = float(t) if action == "CONFIRM" else None
+                if held and held[0]:
+                    best = max(held[6], float(score))
+                    held = (True, held[1], i, held[3], float(t), held[5] if held[5] is not None else confirmed, best)
+                else:
+                    held = (True, i, i, float(t), float(t), confirmed, float(score))
+            if held:
+                state.update(held)
+                state.setTimeoutTimestamp(max(int((held[4] + silence) * 1000), state.getCurrentWatermarkMs() + 1))
+            elif state.exists:
+                state.remove()
+        yield pd.DataFrame(out, columns=[c.split()[0] for c in EVENTS.split(", ")])
+
+    timed = actions.select("sequence_id", "timestamp", "sample_id", "action", "score", F.timestamp_micros((F.col("timestamp") * 1e6).cast("long")).alias("at")).withWatermark("at", lateness)
+    return timed.groupBy("sequence_id").applyInPandasWithState(group, EVENTS, _OPEN, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def to_table(stream: DataFrame) -> DataFrame:
+    """What a stream gives of all that is there now, by way of files in the shared folder."""
+    from tidemark.sources.frames import scratch
+
+    spark = stream.sparkSession
+    path = scratch(spark, "stream")
+    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+
+
 def run(frames: DataFrame, operator: tuple[Callable, str]) -> DataFrame:
     """Apply an operator to a stream (or batch) of frames: sequence_id, timestamp, sample_id, score."""
     step, kinds = operator
