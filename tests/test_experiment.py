@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.conftest import SMALL
 from tidemark.__main__ import main
+from tidemark.operators import hmm
 from tidemark.plans import audit, experiment
 from tidemark.sources import simulate
 from tidemark.sources.frames import event_frames
@@ -29,6 +30,30 @@ def test_arms_acceptance_and_deltas(spark):
     assert experiment.attribution(experiment.acceptance(rows, "B2", split)).filter("status = 'pass'").count() == 0
 
 
+def test_runs_and_frozen_settings(spark, tmp_path):
+    rows = spark.createDataFrame([("B0", 0.5)], "method string, fcr double")
+    path = f"file://{tmp_path}/run"
+    experiment.save_run(path, {"a": 1}, "test", {"metrics": rows})
+    assert experiment.reload_run(spark, path, {"a": 1}, "test")["metrics"].collect() == rows.collect()
+    for config, split in (({"a": 2}, "test"), ({"a": 1}, "val")):
+        with pytest.raises(ValueError):
+            experiment.reload_run(spark, path, config, split)
+    frozen = {"states": ["a", "b"], "confirmable": ["a"], "ordering": ["a", "b"], "observations": "hybrid", "field": "z", "dt_seconds": 1.0, "include_smoothing": False}
+    hmm.check_runtime(frozen, frozen)
+    hmm.check_runtime({**frozen, "observations": "discrete", "field": "x"}, {**frozen, "observations": "discrete"})
+    for change in ({"states": ["b", "a"]}, {"field": "x"}, {"dt_seconds": 2.0}, {"include_smoothing": True}):
+        with pytest.raises(ValueError):
+            hmm.check_runtime({**frozen, **change}, frozen)
+    for wrong in ({**frozen, "dt_seconds": True}, {**frozen, "dt_seconds": -1.0}, {**frozen, "include_smoothing": 0}, {k: v for k, v in frozen.items() if k != "field"}):
+        with pytest.raises(ValueError):
+            hmm.check_runtime(wrong, wrong)
+    hmm.check_inputs("discrete", "z", None, None)
+    hmm.check_inputs("hybrid", "x", None, "there")
+    for field in "zx":
+        with pytest.raises(ValueError):
+            hmm.check_inputs("continuous", field, None, None)
+
+
 def test_rules(spark):
     stress = spark.createDataFrame([(0.1, "a", 0.0, 0.0), (0.2, "b", 0.03, -0.1), (0.3, "c", 0.02, 0.0)], "severity double, name string, delta_fcr double, delta_mcr double")
     got = {r.metric: (r.value, r.status) for r in experiment.graceful(stress, {"delta_fcr": 0.02, "delta_mcr": 0.2}).collect()}

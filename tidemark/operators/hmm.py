@@ -306,6 +306,32 @@ def policy_predicates(frames: DataFrame, max_entropy: float = 1.2) -> DataFrame:
     })
 
 
+#: What a frozen model fixes for those who apply it.
+RUNTIME = ("states", "confirmable", "ordering", "observations", "field", "dt_seconds", "include_smoothing")
+
+
+def check_runtime(config: dict, frozen: dict) -> None:
+    """The settings a model is applied with must be those it was frozen with, in kind and value. Both have the keys of
+    RUNTIME; field matters where observations are continuous or hybrid."""
+    import math
+
+    if set(frozen) != set(RUNTIME):
+        raise ValueError("a frozen model states exactly " + ", ".join(RUNTIME))
+    dt, smoothing = frozen["dt_seconds"], frozen["include_smoothing"]
+    if isinstance(dt, bool) or not isinstance(dt, (int, float)) or not math.isfinite(dt) or dt <= 0 or not isinstance(smoothing, bool):
+        raise ValueError("dt_seconds must be a positive number and include_smoothing a boolean")
+    asked = [k for k in RUNTIME if k != "field" or frozen["observations"] in ("continuous", "hybrid")]
+    if differ := [k for k in asked if config.get(k) != frozen[k]]:
+        raise ValueError("settings differ from the frozen model's: " + ", ".join(f"{k} {config.get(k)!r}, not {frozen[k]!r}" for k in differ))
+
+
+def check_inputs(observations: str, field: str, embeddings: str | None, indicators: str | None) -> None:
+    """Continuous and hybrid observations need the table that their vector is in."""
+    needed = {"z": ("embeddings", embeddings), "x": ("indicators", indicators)}.get(field) if observations in ("continuous", "hybrid") else None
+    if needed and needed[1] is None:
+        raise ValueError(f"{observations} observations of {field} need the table of {needed[0]}")
+
+
 def dump(model: dict) -> str:
     plain = {k: (v.tolist() if hasattr(v, "tolist") else v) for k, v in model.items()}
     return json.dumps(plain, sort_keys=True, separators=(",", ":"), allow_nan=False)

@@ -184,3 +184,35 @@ def display_policy(results: DataFrame, confirm: Column | None, rescan: Column |
     if confirm is None or rescan is None:
         return results.withColumn("action", F.lit("UNEVALUABLE"))
     return results.withColumn("action", F.when(F.col("score").isNull(), "UNEVALUABLE").when(F.col("score") > confirm, "CONFIRM").when(F.col("score") > rescan, "RESCAN").otherwise("HOLD"))
+
+
+def reload_run(spark, path: str, config: dict, split: str) -> dict[str, DataFrame]:
+    """The tables of a finished run, for arms that are to stand beside it: the run must have been made under this
+    configuration and evaluated on this split. path holds run.json (config_hash, evaluation_split, tables)."""
+    from tidemark.sources.sinks import sha256_json
+
+    kept = spark.read.schema("config_hash string, evaluation_split string, tables map<string, string>").option("multiLine", True).json(f"{path}/run.json").first()
+    if kept is None or kept["evaluation_split"] != split:
+        raise ValueError(f"the run was not evaluated on {split}")
+    if kept["config_hash"] != sha256_json(config):
+        raise ValueError("the run was made under another configuration")
+    return {name: spark.read.parquet(f"{path}/{place}") for name, place in (kept["tables"] or {}).items()}
+
+
+def save_run(path: str, config: dict, split: str, tables: dict[str, DataFrame]) -> None:
+    from tidemark.sources.sinks import sha256_json, write_json, write_parquet
+
+    for name, rows in tables.items():
+        write_parquet(rows, f"{path}/{name}")
+    write_json(f"{path}/run.json", {"config_hash": sha256_json(config), "evaluation_split": split, "tables": {n: n for n in tables}})
+
+
+def diagnose(actions: DataFrame, assignment: DataFrame, unit: str) -> DataFrame:
+    """Actions by scenario, split and label, with a note where splits could not be told."""
+    from tidemark.operators.contracts import attach_split
+
+    known = attach_split(actions, assignment, unit)
+    out = known.groupBy("scenario_id", "split", "label").agg(
+        F.count("*").alias("n"), F.count_if(F.col("action") == "CONFIRM").alias("n_confirm"), F.count_if(F.col("action") == "RESCAN").alias("n_rescan"), F.avg((F.col("action") == "HOLD").cast("double")).alias("share_held")
+    )
+    return out.withColumn("note", F.when(F.col("split") == "unavailable", "no split assignment").otherwise(""))

@@ -85,14 +85,17 @@ def hmm_persistence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample_id", F.round("p_confirmable", 6).alias("p_confirmable"), "state_mle", F.round("state_expectation", 6).alias("state_expectation"), F.round("persistence_seconds", 6).alias("persistence_seconds"))
 
 
-@query()
-def hmm_em(spark: SparkSession, sf_dir: str) -> DataFrame:
-    model, history = _fitted(_observed(spark, sf_dir))
-    rows = [(i, j, float(model["transition"][i, j])) for i in range(4) for j in range(4)]
-    return spark.createDataFrame([(*r, len(history), history[-1]) for r in rows], "from_state int, to_state int, p double, iterations int, log_likelihood double")
+_POLICY = f""", st AS (SELECT sequence_id, n, sample_id, f0 AS p, CASE WHEN f0 <= 1e-12 THEN 0.0 ELSE list_dot_product([f0, f1, f2, f3], [{_STEPS}]) END AS sec, f1 + 2 * f2 + 3 * f3 AS e,
+      list_position([f0, f1, f2, f3], greatest(f0, f1, f2, f3)) AS m, -list_sum(list_transform([f0, f1, f2, f3], lambda x: least(greatest(x, 1e-12), 1.0) * ln(least(greatest(x, 1e-12), 1.0)))) AS h FROM ahead),
+    al AS (SELECT *, coalesce(e - lag(e) OVER w > 0.75, false) OR coalesce(lag(m, 2) OVER w = m AND lag(m) OVER w <> m, false) AS alert FROM st WINDOW w AS (PARTITION BY sequence_id ORDER BY n)),
+    pr AS (SELECT sequence_id, n, sample_id, sec < 0 OR h > 1.2 OR alert AS veto, p >= 0.85 AND sec >= 10 AS conf, p >= 0.6 AND sec >= 2 AS resc FROM al),
+    walk AS (SELECT sequence_id, n, sample_id, CASE WHEN NOT veto AND conf THEN 1 ELSE 0 END AS c, CASE WHEN NOT veto AND resc THEN 1 ELSE 0 END AS r, 0 AS cool, CASE WHEN veto THEN 'HOLD' WHEN resc THEN 'RESCAN' ELSE 'HOLD' END AS action, CASE WHEN veto THEN 'VETO' WHEN resc THEN 'RESCAN' ELSE 'HOLD' END AS why FROM pr WHERE n = 1
+      UNION ALL SELECT sequence_id, n, sample_id, c, CASE WHEN NOT veto AND c < 3 AND resc THEN r + 1 ELSE 0 END, CASE WHEN NOT veto AND c >= 3 THEN 5 ELSE greatest(cool - 1, 0) END,
+        CASE WHEN veto THEN 'HOLD' WHEN c >= 3 OR cool > 0 THEN 'CONFIRM' WHEN resc THEN 'RESCAN' ELSE 'HOLD' END, CASE WHEN veto THEN 'VETO' WHEN c >= 3 THEN 'CONFIRM' WHEN cool > 0 THEN 'COOLDOWN_ACTIVE' WHEN resc THEN 'RESCAN' ELSE 'HOLD' END
+        FROM (SELECT x.sequence_id, x.n, x.sample_id, x.veto, x.resc, w.r, w.cool, CASE WHEN NOT x.veto AND x.conf THEN w.c + 1 ELSE 0 END AS c FROM walk w JOIN pr x ON x.sequence_id = w.sequence_id AND x.n = w.n + 1))"""
 
 
-@query()
+@query(_CHAIN + _POLICY + " SELECT sequence_id, sample_id, action, why FROM walk")
 def stability_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole chain: regimes, filter, alerts, policy."""
     frames = _observed(spark, sf_dir).drop("z")
@@ -102,6 +105,13 @@ def stability_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.policy(hmm.policy_predicates(alerted)).select("sequence_id", "sample_id", "action", "why")
 
 
+@query()
+def hmm_em(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model, history = _fitted(_observed(spark, sf_dir))
+    rows = [(i, j, float(model["transition"][i, j])) for i in range(4) for j in range(4)]
+    return spark.createDataFrame([(*r, len(history), history[-1]) for r in rows], "from_state int, to_state int, p double, iterations int, log_likelihood double")
+
+
 @query()
 def simulated_spectra(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _simulated(spark, sf_dir)

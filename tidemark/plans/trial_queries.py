@@ -60,9 +60,10 @@ def arm_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _CRITERIA = _ARMS + """, own AS (SELECT * FROM met_N2 WHERE split = 'test'), b0 AS (SELECT * FROM met_B0 WHERE split = 'test'), b1 AS (SELECT * FROM met_B1 WHERE split = 'test'),
-    c AS (SELECT 'toggle_reduction_vs_b0' AS criterion, CASE WHEN b0.toggle_rate > 0 THEN (b0.toggle_rate - own.toggle_rate) / b0.toggle_rate WHEN own.toggle_rate <= 0 THEN 0.0 ELSE -1.0 END AS value, 0.5 AS threshold, false AS most FROM own, b0
-      UNION ALL SELECT 'toggle_reduction_vs_b1', CASE WHEN b1.toggle_rate > 0 THEN (b1.toggle_rate - own.toggle_rate) / b1.toggle_rate WHEN own.toggle_rate <= 0 THEN 0.0 ELSE -1.0 END, 0.3, false FROM own, b1
-      UNION ALL SELECT 'mcr_delta_bound', own.mcr - b0.mcr, 0.05, true FROM own, b0 UNION ALL SELECT 'nominal_benign_fcr_threshold', fcr, 0.01, true FROM own UNION ALL SELECT 'robustness_catastrophic_failure', fcr, 0.1, true FROM own),
+    x AS (SELECT (SELECT toggle_rate FROM own) AS t, (SELECT toggle_rate FROM b0) AS t0, (SELECT toggle_rate FROM b1) AS t1, (SELECT fcr FROM own) AS fcr, (SELECT mcr FROM own) AS mcr, (SELECT mcr FROM b0) AS m0),
+    c AS (SELECT 'toggle_reduction_vs_b0' AS criterion, CASE WHEN t0 > 0 THEN (t0 - t) / t0 WHEN t0 IS NULL THEN NULL WHEN t <= 0 THEN 0.0 ELSE -1.0 END AS value, 0.5 AS threshold, false AS most FROM x
+      UNION ALL SELECT 'toggle_reduction_vs_b1', CASE WHEN t1 > 0 THEN (t1 - t) / t1 WHEN t1 IS NULL THEN NULL WHEN t <= 0 THEN 0.0 ELSE -1.0 END, 0.3, false FROM x
+      UNION ALL SELECT 'mcr_delta_bound', mcr - m0, 0.05, true FROM x UNION ALL SELECT 'nominal_benign_fcr_threshold', fcr, 0.01, true FROM x UNION ALL SELECT 'robustness_catastrophic_failure', fcr, 0.1, true FROM x),
     judged AS (SELECT criterion, value, threshold, CASE WHEN value IS NULL THEN 'unevaluable' WHEN (most AND value <= threshold) OR (NOT most AND value >= threshold) THEN 'pass' ELSE 'fail' END AS status FROM c)"""
 
 
@@ -451,3 +452,25 @@ def text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small tables as Markdown and LaTeX, six decimals, escaped."""
     rows = read_table(spark, sf_dir, "nation").filter("n_nationkey < 20").select("n_nationkey", "n_name", (F.col("n_nationkey") / 7).alias("x")).orderBy("n_nationkey")
     return spark.createDataFrame([("markdown", sinks.markdown_table(rows)), ("latex", sinks.latex_table(rows))], "kind string, text string")
+
+
+@query(sql("actions", """SELECT scenario_id, split, label, count(*) AS n, count(*) FILTER (action = 'CONFIRM') AS n_confirm, count(*) FILTER (action = 'RESCAN') AS n_rescan, round(avg(CASE WHEN action = 'HOLD' THEN 1.0 ELSE 0.0 END), 6) AS share_held,
+    CASE WHEN split = 'unavailable' THEN 'no split assignment' ELSE '' END AS note FROM (SELECT f.scenario_id, CASE WHEN CAST(a.sequence_id AS BIGINT) % 5 = 0 THEN 'unavailable' ELSE a.split END AS split, a.label, a.action FROM actions a JOIN frames f USING (sample_id)) GROUP BY ALL"""))
+def diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Actions of a run by scenario, split and label, where an assignment lacks every fifth sequence."""
+    actions = alarms.action_frames(spark, sf_dir)
+    ids = actions.select(F.col("sequence_id").alias("id"), "split").distinct().filter("cast(id AS long) % 5 <> 0")
+    out = experiment.diagnose(actions.drop("split"), ids, "sequence_id")
+    return out.withColumn("share_held", F.round("share_held", 6))
+
+
+@query(_ARMS + "SELECT method, split, n_events, " + ", ".join(f"round({c}, 6) AS {c}" for c in _METRICS) + " FROM met WHERE method <> 'N2' UNION ALL SELECT 'reloaded', split, n_events, " + ", ".join(f"round({c}, 6)" for c in _METRICS) + " FROM met_N2")
+def reloaded_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A finished run is saved, and read again under its configuration and split to stand beside baselines."""
+    from tidemark.sources.frames import scratch
+
+    path, config = scratch(spark, "run"), {"arm": "N2", "window": 5}
+    rows = arm_rows(spark, sf_dir).select("method", "split", "n_events", *_METRICS)
+    experiment.save_run(path, config, "test", {"metrics": rows.filter("method = 'N2'")})
+    kept = experiment.reload_run(spark, path, config, "test")["metrics"].withColumn("method", F.lit("reloaded"))
+    return rows.filter("method <> 'N2'").unionByName(kept).select("method", "split", "n_events", *[F.round(c, 6).alias(c) for c in _METRICS])
