@@ -151,15 +151,6 @@ def strata_rates(df: DataFrame, hit: Column, sets: list[list[str]]) -> DataFrame
     return out
 
 
-def moments(df: DataFrame, vector: str, size: int) -> DataFrame:
-    """Means and sample covariances of a vector column, all in one pass: dim_i, dim_j, covariance."""
-    cols = df.select(*[F.col(vector)[i].cast("double").alias(f"x{i}") for i in range(size)])
-    pairs = [(i, j) for i in range(size) for j in range(i, size)]
-    row = cols.agg(*[F.covar_samp(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs])
-    cells = F.explode(F.array(*[F.struct(F.lit(i).alias("dim_i"), F.lit(j).alias("dim_j"), F.col(f"c{i}_{j}").alias("covariance")) for i, j in pairs])).alias("c")
-    return row.select(cells).select("c.*")
-
-
 def zscore_stats(df: DataFrame, vector: str, floor: float = 1e-12) -> DataFrame:
     """Mean and population deviation of every dimension; deviations under the floor count as 1."""
     parts = df.select(F.posexplode(vector).alias("dim", "x"))

@@ -40,20 +40,18 @@ def apply_boundaries(frames: DataFrame, distance: str, cuts: tuple[float, ...])
 
 
 def fit_distance(frames: DataFrame, vector: str, size: int, hazard: Column, weights: list[float] | None = None, metric: str = "mahalanobis") -> dict:
-    """Mean of hazards and inverse covariance in weighted space, from one aggregation over the hazards."""
+    """Mean of hazards and inverse covariance in weighted space, from packed partial sums over the hazards."""
     import numpy as np
 
+    from tidemark.operators.spectra import scatter
+
     root = np.sqrt(np.ones(size) if weights is None else np.asarray(weights, float))
-    z = frames.filter(hazard).select(*[(F.col(vector)[i].cast("double") * float(root[i])).alias(f"x{i}") for i in range(size)])
-    pairs = [(i, j) for i in range(size) for j in range(i, size)] if metric == "mahalanobis" else []
-    row = z.agg(F.count("*").alias("n"), *[F.avg(f"x{i}").alias(f"m{i}") for i in range(size)], *[F.covar_samp(f"x{i}", f"x{j}").alias(f"c{i}_{j}") for i, j in pairs]).first()
-    state = {"version": VERSION, "metric": metric, "root_weights": root.tolist(), "mean": [row[f"m{i}"] for i in range(size)]}
+    z = F.zip_with(F.slice(vector, 1, size), F.lit(root.tolist()), lambda x, w: x.cast("double") * w)
+    n, total, outer = scatter(frames.filter(hazard).select(z.alias("z")), "z")
+    mean = total / n
+    state = {"version": VERSION, "metric": metric, "root_weights": root.tolist(), "mean": mean.tolist()}
     if metric == "mahalanobis":
-        cov = np.eye(size) * 1e-6
-        if row["n"] > 1:
-            for i, j in pairs:
-                cov[i, j] = cov[j, i] = row[f"c{i}_{j}"]
-            cov += np.eye(size) * 1e-9
+        cov = (outer - n * np.outer(mean, mean)) / (n - 1) + np.eye(size) * 1e-9 if n > 1 else np.eye(size) * 1e-6
         state["inverse"] = np.linalg.pinv(cov + np.eye(size) * 1e-6).tolist()
     return state
 
