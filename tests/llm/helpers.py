@@ -45,3 +45,54 @@ def edge_docs(spark):
 
 def empty_docs(spark):
     return spark.createDataFrame([], SHAPE)
+
+
+def repeat_words(w):
+    """Words inside five-word windows that occur more than once."""
+    from collections import Counter
+
+    windows = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4))
+    return len({i + k for i in range(len(w) - 4) if windows[tuple(w[i : i + 5])] > 1 for k in range(5)})
+
+
+def quality_votes(text):
+    """The nine rules, one text at a time; in the order of quality.RULES."""
+    text = text or ""
+    w = [x.decode() for x in words(text)]
+    n, chars = len(w), sum(map(len, w))
+    lines = [x for x in text.split("\n") if x.strip(" \t\n\x0b\x0c\r")]
+    twice = len(lines) - len(set(lines))
+    symbols = len(re.findall(r"[#*$%&|<>]", text))
+    ends = sum(c in "#*$%&|<>" and (i + 1 == len(text) or text[i + 1] in " \t\n\x0b\x0c\r") for i, c in enumerate(text))
+    marks, inside = 0, False
+    for c in text:
+        other = not c.isalpha() and c not in " \t\n\x0b\x0c\r"
+        marks += other and not inside
+        inside = other
+    repeated, shouted, different = repeat_words(w), sum(x == x.upper() != x.lower() for x in w), len(set(w))
+
+    def vote(bad, good):
+        return -1 if bad else 1 if good else 0
+
+    return (
+        vote(n < 10, n >= 40), vote(symbols > 0.1 * n, n and symbols <= 0.02 * n), vote(ends > 0.05 * n, n and ends <= 0.01 * n), vote(marks > 0.4 * n, n and marks <= 0.25 * n),
+        vote(twice > 2 and twice > 0.25 * len(lines), twice == 0 and len(lines) > 2), vote(repeated > 0.2 * n, n >= 20 and repeated <= 0.05 * n), vote(shouted > 0.5 * n, n and shouted <= 0.2 * n),
+        vote(different < 0.2 * n, n >= 20 and different >= 0.4 * n), vote(chars > 14 * n or chars < 2.5 * n, n and 3 * n <= chars <= 10 * n),
+    )
+
+
+def quality_verdicts(texts):
+    """Whether each text is kept: base filter, votes one by one, a mixture fitted to them."""
+    from collections import Counter
+
+    import numpy as np
+    from tidemark.llm import quality
+
+    votes = [quality_votes(t) for t in texts]
+    model = quality.fit(sorted(Counter(votes).items()))["model"]
+    good = model.posterior(np.array(votes, float))[0][:, model.good]
+    out = []
+    for t, p in zip(texts, good):
+        w = words(t)
+        out.append(len(w) >= 10 and 100 * repeat_words(w) <= 20 * len(w) and p >= 0.5)
+    return out

@@ -5,7 +5,7 @@ from collections import Counter
 import numpy as np
 from pyspark.sql import functions as F
 from tests.conftest import SMALL
-from tests.llm.helpers import docs, edge_docs, edge_rows, empty_docs, prose, words
+from tests.llm.helpers import docs, edge_docs, edge_rows, empty_docs, prose, quality_verdicts, quality_votes, words
 from tidemark.llm import quality
 
 
@@ -121,6 +121,10 @@ def test_verdict_is_not_that_all_must_pass(spark):
     """Posteriors of the query are those of the mixture, and some document with a bad vote is kept."""
     table = spark.read.parquet(f"{SMALL.replace('0.001', '0.1')}/documents.parquet")
     rows = quality.judge(table).collect()
+    texts = {r.doc_id: r.text for r in table.select("doc_id", "text").collect()}
+    assert len(texts) == len(rows)
+    assert all(tuple(r[f"vote_{x}"] for x in quality.RULES) == quality_votes(texts[r.doc_id]) for r in rows)
+    assert [r.kept for r in rows] == quality_verdicts([texts[r.doc_id] for r in rows])
     names = [f"vote_{r}" for r in quality.RULES]
     votes = [tuple(r[x] for x in names) for r in rows]
     model = quality.fit(sorted(Counter(votes).items()))["model"]

@@ -319,6 +319,66 @@ def test_insults_are_learned_from_labels(spark):
     assert toxicity.learn_words(docs(spark, rows), known.limit(0)) == (frozenset(), frozenset())
 
 
+def test_learned_words_equal_brute_force(spark):
+    """All words and beginnings counted text by text, and the rules applied to each."""
+    rng, letters = random.Random(21), str.maketrans("0123456789", "abcdefghij")
+    rows, labels = [], []
+    for i in range(700):
+        words, toxic = prose(rng, 30, 200).translate(letters).split(), i % 5 == 0
+        for _ in range(3 if toxic else int(i % 9 == 0)):
+            words.insert(rng.randrange(len(words)), rng.choice(["grobian", "grobiano", "stinker", "stinkend", "schuft"]))
+        if toxic and rng.random() < 0.7:
+            words.insert(rng.randrange(len(words)), "lumpenhund")
+        rows.append((i, " ".join(words)))
+        labels.append((i, int(toxic)))
+    known = spark.createDataFrame(labels, "doc_id long, toxic int")
+    texts = [(t.lower().split(), y) for (_, t), (_, y) in zip(rows, labels)]
+    docs_of, places, before, size = defaultdict(lambda: [0, 0]), defaultdict(lambda: [0, 0]), defaultdict(set), [0, 0]
+    share = sum(y for _, y in labels) / len(labels)
+    for words, y in texts:
+        size[y] += len(words)
+        parts = [[w, *(w[:k] + "*" for k in range(4, min(len(w), 9)))] for w in words]
+        for x in {x for p in parts for x in p}:
+            docs_of[x][y] += 1
+        for p, v in zip(parts, ["", *words]):
+            for x in p:
+                places[x][y] += 1
+                if y:
+                    before[x].add(v)
+    sure, slur = {}, {}
+    for x, (c, t) in docs_of.items():
+        p = t / (c + t)
+        far = (c + t) * (p * np.log(p / share) + ((1 - p) * np.log((1 - p) / (1 - share)) if p < 1 else 0)) if t else 0
+        if p > share and t >= 3 and far >= np.log(100 * (len(docs_of) + 1)):
+            if p >= 0.85:
+                sure[x] = t
+            elif places[x][1] * size[0] >= 8 * places[x][0] * size[1]:
+                slur[x] = t
+    want = [toxicity._gathering(sure, sure), toxicity._gathering(slur, sure | slur)]
+    want = tuple({x for x in s if len(before[x]) >= 3} for s in want)
+    assert toxicity.learn_words(docs(spark, rows), known) == want and want[0] and want[1]
+
+
+def test_weights_are_most_probable():
+    """At the weights found no small change makes the labels more probable, but for weights held at zero."""
+    rng = random.Random(3)
+    histogram = Counter()
+    for _ in range(400):
+        x = tuple(rng.choice([0, 0, 1, 2]) for _ in toxicity.PRIOR)
+        histogram[x, int(rng.random() < 1 / (1 + np.exp(3 - x[1] - 2 * x[3])))] += 1
+    rows = [(x, y, n) for (x, y), n in histogram.items()]
+    w = np.array(toxicity.fit(rows))
+    guess = np.array([*toxicity.PRIOR, toxicity.BIAS])
+
+    def loss(v):
+        z = np.array([np.dot(x, v[:-1]) + v[-1] for x, _, _ in rows])
+        return sum(n * (np.logaddexp(0, s) - y * s) for s, (_, y, n) in zip(z, rows)) + 0.05 * ((v - guess) ** 2).sum() / 2
+
+    if (w[:-1] > 0).all():
+        assert all(loss(w + d * np.eye(len(w))[k]) >= loss(w) - 1e-9 for k in range(len(w)) for d in (1e-3, -1e-3))
+    assert w[1] > 0.5 and w[3] > w[1]
+
+
 def test_slurs_count_by_their_share(spark):
     """Words that clean texts have too, but seldom, tell where they are many; one of them tells nothing."""
     rng, letters = random.Random(14), str.maketrans("0123456789", "abcdefghij")
