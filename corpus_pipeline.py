@@ -3,6 +3,12 @@
 Each stage takes (spark, docs, sf_dir) and works on all that the stage before it kept. `run` writes each
 result as Parquet into the folder that the cluster shares and reads it again, so a stage is computed once
 and a lost executor costs tasks of one stage.
+
+Defined cases: a null or blank text fails the base filter of the first stage and goes. Null ids, languages and
+sources are kept as they are; a null source is a source of its own for the mix. Of rows equal in all columns the
+second stage keeps one, and of equal or near texts the one of the least id, then of the least hash, so ties do not
+depend on order. Very long texts are worked off whole. Extra columns, whatever their names, pass all stages but
+the last. An empty table, or one of which nothing is kept, gives an empty result of the same columns.
 """
 
 from __future__ import annotations
