@@ -1,5 +1,6 @@
 """Fits and small writers against brute force or invariants."""
 
+import hashlib
 import json
 import math
 import re
@@ -94,14 +95,37 @@ def test_discriminant_projection():
     assert fit["value"] == pytest.approx(transport.discriminant_ratio(p, h, b))
 
 
-def test_stratified_draws():
+def test_stratified_draws(spark):
     rng = np.random.default_rng(6)
-    y = (rng.random(80) < 0.4).astype(int)
-    arms = {"a": y + rng.normal(size=80), "b": rng.normal(size=80)}
-    draws = resample.stratified_auc_draws(y, arms, 200, 1)
-    assert draws.shape == (200, 2) and (draws == resample.stratified_auc_draws(y, arms, 200, 1)).all()
-    assert draws[:, 0].mean() == pytest.approx(resample.auc(y, arms["a"]), abs=0.02)
-    assert np.percentile(draws[:, 0] - draws[:, 1], 2.5) > 0
+    y = rng.random(80) < 0.4
+    a, b = rng.normal(size=80), y + rng.normal(size=80)
+    df = spark.createDataFrame([(f"{i:02d}", bool(y[i]), float(a[i]), float(b[i])) for i in range(80)], "id string, y boolean, a double, b double").repartition(3)
+    out = {r.arm: r for r in resample.stratified_auc(df, "id", F.col("y"), ["a", "b"], 60, (1, 2)).collect()}
+    sides = [np.flatnonzero(y), np.flatnonzero(~y)]
+    areas = []
+    for r in range(60):
+        own = np.concatenate([side[[int(hashlib.md5(f"{seed}:{r}:{j}".encode()).hexdigest()[:15], 16) % len(side) for j in range(len(side))]] for seed, side in zip((1, 2), sides)])
+        areas.append([resample.auc(y[own].astype(int), s[own]) for s in (a, b)])
+    areas = np.array(areas)
+    for arm, v in (("a", areas[:, 0]), ("b", areas[:, 1]), ("b-a", areas[:, 1] - areas[:, 0])):
+        assert (out[arm].mean, out[arm].low, out[arm].high, out[arm].n_finite) == pytest.approx((v.mean(), *np.percentile(v, [2.5, 97.5]), 60))
+
+
+def test_densities_of_tables_equal_those_of_lists(spark):
+    rng = np.random.default_rng(9)
+    seqs = [np.concatenate([rng.normal(size=(5, 2)), rng.normal(size=(int(n), 2)) + 4]) for n in rng.integers(2, 9, 12)]
+    rows = [(f"s{i}", float(t), f"s{i}_{t}", z.tolist()) for i, s in enumerate(seqs) for t, z in enumerate(s)]
+    df = spark.createDataFrame(rows, "sequence_id string, timestamp double, sample_id string, z array<double>").repartition(4)
+    for hidden in (True, False):
+        a, b = density.fit_chain(seqs, 0, hidden), density.fit_frames(df, 0, hidden)
+        order = [np.argsort(m["mean"][:, 0]) for m in (a, b)]
+        for k in ("mean", "var"):
+            np.testing.assert_allclose(a[k][order[0]], b[k][order[1]], rtol=1e-3)
+    got = {(r.sequence_id, r.arm): r.llr for r in density.chain_likelihood(df, {"x": (a, b), "y": (density.fit_chain(seqs[:3], 1, True), a)}).collect()}
+    other = density.fit_chain(seqs[:3], 1, True)
+    for i, s in enumerate(seqs):
+        ll = [hmm.filtered(hmm.log_emission(m, np.zeros(len(s)), s), m)[1].sum() for m in (other, a)]
+        assert got[f"s{i}", "y"] == pytest.approx((ll[0] - ll[1]) / len(s)) and len(got) == 2 * len(seqs)
 
 
 def test_noise_and_clipping():

@@ -61,24 +61,59 @@ def fit_chain(sequences: list, seed: int, hidden: bool, steps: int = 50, floor:
     return model
 
 
+#: Frames on which the first two centres are sought, the least by a digest of their ids.
+FIRST = 20_000
+
+
+def fit_frames(frames: DataFrame, seed: int, hidden: bool, steps: int = 50, floor: float = 1e-3) -> dict:
+    """The same fit to a table of frames (sequence_id, timestamp, sample_id, z) of any size: each step is one sum of
+    sufficient statistics over all sequences. Only the first centres come from a bounded sample."""
+    import numpy as np
+
+    from tidemark.operators.hmm import _statistics, sequences
+
+    opening = frames.orderBy(F.sha2(F.col("sample_id").cast("string"), 256), "sample_id").limit(FIRST).select("z").collect()
+    x = np.array([r["z"] for r in opening], float)
+    y = two_means(x, seed)
+    share = np.clip(np.bincount(y, minlength=2) / len(y), 0.05, 0.95)
+    share = share / share.sum()
+    model = {
+        "initial": share, "transition": np.array([[0.9, 0.1], [0.1, 0.9]]) if hidden else np.tile(share, (2, 1)), "emission": None,
+        "mean": np.stack([x[y == k].mean(0) for k in (0, 1)]), "var": np.stack([np.maximum(x[y == k].var(0), floor) for k in (0, 1)]),
+    }
+    rows, last = sequences(frames.withColumn("obs", F.lit(0))).persist(), -np.inf
+    for _ in range(steps):
+        s = _statistics(rows, model)
+        initial = (s["first"] + 1) / (s["first"] + 1).sum() if hidden else s["mass"] / s["mass"].sum()
+        moves = (s["moves"] + 1) / (s["moves"] + 1).sum(1, keepdims=True) if hidden else np.tile(initial, (2, 1))
+        mean = s["sum"] / s["mass"][:, None]
+        model = model | {"initial": initial, "transition": moves, "mean": mean, "var": np.maximum(s["squares"] / s["mass"][:, None] - mean**2, floor)}
+        if abs(s["ll"] - last) < 1e-6 * max(1, abs(s["ll"])):
+            break
+        last = float(s["ll"])
+    rows.unpersist()
+    return model
+
+
 def chain_likelihood(df: DataFrame, models: dict[str, tuple[dict, dict]]) -> DataFrame:
     """Per sequence and arm, log likelihood under the hazard model less that under the benign one, per frame.
     df: sequence_id, timestamp, sample_id, z."""
     import numpy as np
 
-    def one(pdf):
-        import pandas as pd
+    from tidemark.operators.hmm import Chunk, _chunks, _parts, filtered, log_emission, sequences
 
-        from tidemark.operators.hmm import filtered, log_emission
+    def some(batches):
+        import pyarrow as pa
 
-        z = np.stack(pdf.sort_values(["timestamp", "sample_id"])["z"].to_numpy())
-        rows = []
-        for arm, pair in models.items():
-            ll = [filtered(log_emission(m, np.zeros(len(z)), z), m)[1].sum() for m in pair]
-            rows.append((pdf["sequence_id"].iloc[0], arm, float(ll[0] - ll[1]) / len(z)))
-        return pd.DataFrame(rows, columns=["sequence_id", "arm", "llr"])
+        for own, lengths, obs, z in _chunks(batches):
+            chunk, ends = Chunk(lengths), np.cumsum(lengths)
+            for arm, pair in models.items():
+                steps = [filtered(log_emission(m, obs, z), m, chunk)[1] for m in pair]
+                gap = np.add.reduceat(steps[0] - steps[1], ends - lengths) / lengths
+                yield pa.RecordBatch.from_arrays([own.column("sequence_id"), pa.array([arm] * own.num_rows), pa.array(gap)], names=["sequence_id", "arm", "llr"])
 
-    return df.groupBy("sequence_id").applyInPandas(one, "sequence_id string, arm string, llr double")
+    rows = _parts(sequences(df.withColumn("obs", F.lit(0)))).select("sequence_id", "obs", "z")
+    return rows.mapInArrow(some, "sequence_id string, arm string, llr double")
 
 
 def logistic(df: DataFrame, vector: str, label: str, c: float = 1.0):

@@ -248,6 +248,20 @@ def infer(frames: DataFrame, model: dict, smoothing: bool = False) -> DataFrame:
     return _parts(sequences(frames)).mapInArrow(some, "sequence_id string, timestamp double, sample_id string, p_state array<double>")
 
 
+def log_likelihoods(frames: DataFrame, model: dict) -> DataFrame:
+    """Log likelihood of each sequence under the model."""
+    import numpy as np
+
+    def some(batches):
+        import pyarrow as pa
+
+        for own, lengths, obs, z in _chunks(batches):
+            steps = filtered(log_emission(model, obs, z), model, Chunk(lengths))[1]
+            yield pa.RecordBatch.from_arrays([own.column("sequence_id"), pa.array(np.add.reduceat(steps, np.cumsum(lengths) - lengths))], names=["sequence_id", "log_likelihood"])
+
+    return _parts(sequences(frames)).drop("timestamp", "sample_id").mapInArrow(some, "sequence_id string, log_likelihood double")
+
+
 def exit_steps(model: dict, confirmable: list[int]):
     """Expected steps until the confirmable states are left; fails where they are never left."""
     import numpy as np

@@ -246,3 +246,10 @@ def grades_and_priorities(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "customer").select("c_custkey", ((F.col("c_custkey") % 100) / 99).alias("p"), (F.greatest("c_acctbal", F.lit(0.0)) / 250).alias("s"))
     p, s = F.col("p"), F.col("s")
     return rows.select("c_custkey", hmm.grade(p, s).alias("grade"), hmm.priority(p, s).alias("priority"), F.round(scalars.toggle_reduction(p, s), 6).alias("reduction"))
+
+
+@query("""SELECT CAST(user_id AS VARCHAR) AS sequence_id, count(*) AS n_breaks FROM (SELECT user_id, epoch_us(ts) / 1e6 AS t, lag(epoch_us(ts) / 1e6) OVER (PARTITION BY user_id ORDER BY event_id * 7919 % 1000003) AS before FROM events) WHERE before > t GROUP BY 1""")
+def time_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames whose time is before that of the frame before them, in an order that is not theirs."""
+    rows = event_frames(spark, sf_dir).withColumn("position", F.col("sample_id").cast("long") * 7919 % 1000003)
+    return contracts.time_breaks(rows).groupBy("sequence_id").agg(F.count("*").alias("n_breaks"))

@@ -3,6 +3,7 @@ them against brute force or invariants."""
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,18 +41,22 @@ def hmm_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sequence_id", "sample_id", "state_mle", F.round("p_confirmable", 9).alias("p_confirmable"), F.round("persistence_seconds", 6).alias("persistence_seconds"), "stability_grade")
 
 
-def _walks(model: dict) -> str:
-    """SQL of the forward and backward passes of a chain over discrete observations, in scaled probabilities."""
+def _walks(model: dict, opening: list[str] | None = None) -> str:
+    """SQL of the forward and backward passes of a chain over discrete observations, in scaled probabilities. opening:
+    SQL of the initial probabilities, if they are not the model's."""
     n = len(model["initial"])
-    a, e, first = model["transition"], model["emission"], model["initial"]
+    a, e = model["transition"], model["emission"]
+    first = opening or [repr(float(x)) for x in model["initial"]]
     seen = lambda k, o: "CASE " + o + " ".join(["", *(f"WHEN {j} THEN {float(e[k, j])!r}" for j in range(n))]) + " END"
     into = lambda k: "(" + " + ".join(f"w.f{i} * {float(max(a[i, k], 1e-12))!r}" for i in range(n)) + f") * {seen(k, 'x.obs')}"
     back = lambda k: " + ".join(f"{float(max(a[k, i], 1e-12))!r} * w.b{i} * {seen(i, 'w.obs')}" for i in range(n))
     scaled = lambda p, values: ", ".join(f"({v}) / ({' + '.join(f'({x})' for x in values)}) AS {p}{k}" for k, v in enumerate(values))
+    logged = lambda values: f"ln({' + '.join(f'({x})' for x in values)}) AS l"
+    start, step = [f"{first[k]} * {seen(k, 'obs')}" for k in range(n)], [into(k) for k in range(n)]
     return f"""numbered AS (SELECT sequence_id, sample_id, CASE regime_label WHEN 'trusted' THEN 0 WHEN 'ambiguous' THEN 1 WHEN 'degraded' THEN 2 ELSE 3 END AS obs,
       row_number() OVER (PARTITION BY sequence_id ORDER BY timestamp, sample_id) AS n, count(*) OVER (PARTITION BY sequence_id) AS last FROM regimes),
-    ahead AS (SELECT sequence_id, n, sample_id, {scaled("f", [f"{float(first[k])!r} * {seen(k, 'obs')}" for k in range(n)])} FROM numbered WHERE n = 1
-      UNION ALL SELECT x.sequence_id, x.n, x.sample_id, {scaled("f", [into(k) for k in range(n)])} FROM ahead w JOIN numbered x ON x.sequence_id = w.sequence_id AND x.n = w.n + 1),
+    ahead AS (SELECT sequence_id, n, sample_id, {scaled("f", start)}, {logged(start)} FROM numbered WHERE n = 1
+      UNION ALL SELECT x.sequence_id, x.n, x.sample_id, {scaled("f", step)}, {logged(step)} FROM ahead w JOIN numbered x ON x.sequence_id = w.sequence_id AND x.n = w.n + 1),
     behind AS (SELECT sequence_id, n, sample_id, obs, {", ".join(f"1.0::DOUBLE AS b{k}" for k in range(n))} FROM numbered WHERE n = last
       UNION ALL SELECT x.sequence_id, x.n, x.sample_id, x.obs, {scaled("b", [back(k) for k in range(n)])} FROM behind w JOIN numbered x ON x.sequence_id = w.sequence_id AND x.n = w.n - 1)"""
 
@@ -66,6 +71,12 @@ def hmm_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("sample_id", *[F.round(F.col("p_state")[k], 6).alias(f"p{k}") for k in range(4)])
 
 
+@query(_CHAIN + "SELECT sequence_id, round(sum(l), 6) AS log_likelihood FROM ahead GROUP BY 1")
+def hmm_likelihood(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = hmm.log_likelihoods(_observed(spark, sf_dir).drop("z"), hmm.start())
+    return out.select("sequence_id", F.round("log_likelihood", 6).alias("log_likelihood"))
+
+
 @query(_CHAIN + """SELECT sample_id, round(f0 * b0 / z, 6) AS p0, round(f1 * b1 / z, 6) AS p1, round(f2 * b2 / z, 6) AS p2, round(f3 * b3 / z, 6) AS p3
     FROM (SELECT a.*, b0, b1, b2, b3, f0 * b0 + f1 * b1 + f2 * b2 + f3 * b3 AS z FROM ahead a JOIN behind USING (sequence_id, n))""")
 def hmm_smooth(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -105,6 +116,38 @@ def stability_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
     return folds.policy(hmm.policy_predicates(alerted)).select("sequence_id", "sample_id", "action", "why")
 
 
+def _em_step(model: dict) -> str:
+    """SQL of one step of EM from the model, its initial distribution being that of the first observations."""
+    n = range(len(model["initial"]))
+    a, e = np.clip(model["transition"], 1e-12, None), model["emission"]
+    emit = lambda k: "CASE y.obs " + " ".join(f"WHEN {j} THEN {float(e[k, j])!r}" for j in n) + " END"
+    cells = [(i, j) for i in n for j in n]
+    xi = ", ".join(f"x.f{i} * {float(a[i, j])!r} * {emit(j)} * y.b{j} AS m{i}{j}" for i, j in cells)
+    total = " + ".join(f"m{i}{j}" for i, j in cells)
+    norm = "(" + " + ".join(f"f{k} * b{k}" for k in n) + ")"
+    prior, near = hmm.dirichlet(len(n)), model["band"]
+    kept = [(i, j) for i, j in cells if abs(i - j) <= near]
+    return f""", xi AS (SELECT {xi} FROM ahead x JOIN behind y ON y.sequence_id = x.sequence_id AND y.n = x.n + 1), moved AS (SELECT {", ".join(f"sum(m{i}{j} / ({total})) AS m{i}{j}" for i, j in cells)} FROM xi),
+    g AS (SELECT a.n, obs, {", ".join(f"f{k} * b{k} / {norm} AS g{k}" for k in n)} FROM ahead a JOIN behind USING (sequence_id, n)),
+    opened AS (SELECT {", ".join(f"avg(g{k}) AS g{k}" for k in n)} FROM g WHERE n = 1), met AS (SELECT {", ".join(f"coalesce(sum(g{i}) FILTER (obs = {j}), 0) AS s{i}{j}" for i, j in cells)} FROM g),
+    told AS ({" UNION ALL ".join(f"SELECT 'initial' AS part, 0 AS i, {k} AS j, g{k} AS v FROM opened" for k in n)}
+      UNION ALL {" UNION ALL ".join(f"SELECT 'transition', {i}, {j}, m{i}{j} + {float(prior[i, j])!r} FROM moved" for i, j in kept)} UNION ALL {" UNION ALL ".join(f"SELECT 'emission', {i}, {j}, s{i}{j} + {float(e[i, j])!r} FROM met" for i, j in cells)})
+    SELECT part, CAST(i AS INTEGER) AS i, CAST(j AS INTEGER) AS j, round(v / sum(v) OVER (PARTITION BY part, i), 6) AS p FROM told"""
+
+
+_OPENING = [f"(SELECT greatest(count(*) FILTER (obs = {k}) / count(*), 1e-12) FROM numbered WHERE n = 1)" for k in range(4)]
+
+
+@query(sql("regimes", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _walks(hmm.start(), _OPENING) + _em_step(hmm.start()))
+def hmm_em_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One step of EM over all sequences: where they start, expected transitions under the band and the prior, emissions."""
+    model, _ = hmm.fit(_observed(spark, sf_dir).drop("z"), iterations=1)
+    rows = [("initial", 0, k, float(p)) for k, p in enumerate(model["initial"])]
+    for part in ("transition", "emission"):
+        rows += [(part, i, j, float(model[part][i, j])) for i in range(4) for j in range(4) if part == "emission" or abs(i - j) <= model["band"]]
+    return spark.createDataFrame(rows, "part string, i int, j int, p double").withColumn("p", F.round("p", 6))
+
+
 @query()
 def hmm_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, history = _fitted(_observed(spark, sf_dir))
@@ -179,8 +222,6 @@ def ot_coordinate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def sinkhorn_w2(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import numpy as np
-
     _, (h, b) = _clouds(spark, sf_dir)
     cost = transport.squared_cost(h, b)
     gaussian = transport.gaussian_w2(h.mean(0), np.cov(h.T), b.mean(0), np.cov(b.T))
@@ -255,6 +296,27 @@ def cluster_auc_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*[F.round(c, 9).alias(c) for c in ("mean", "low", "high")], "n_finite")
 
 
+def _drawn(name: str, replicates: int, seed: int) -> str:
+    """The draws among the rows of a table units_<name>, as drawn_<name>."""
+    return _draws(replicates, seed).replace("units", f"units_{name}").replace("placed", f"placed_{name}").replace("size AS", f"size_{name} AS").replace("FROM size,", f"FROM size_{name},").replace("each", f"each_{name}").replace("drawn AS", f"drawn_{name} AS")
+
+
+@query(f"""WITH rows_ AS (SELECT CAST(doc_id AS VARCHAR) AS id, toxic = 1 AS y, n_chars::DOUBLE AS a, (doc_id * 7919 % 1000)::DOUBLE AS b FROM documents JOIN labels USING (doc_id)),
+    units_p AS (SELECT id FROM rows_ WHERE y), units_n AS (SELECT id FROM rows_ WHERE NOT y), {_drawn("p", DRAWS, 21)}, {_drawn("n", DRAWS, 22)}, drawn AS (SELECT * FROM drawn_p UNION ALL SELECT * FROM drawn_n),
+    long AS (SELECT replicate, k, y, 'a' AS arm, a AS s FROM drawn JOIN rows_ USING (id) UNION ALL SELECT replicate, k, y, 'b', b FROM drawn JOIN rows_ USING (id)),
+    steps AS (SELECT replicate, arm, s, sum(CASE WHEN y THEN k ELSE 0 END) AS pos, sum(CASE WHEN y THEN 0 ELSE k END) AS neg FROM long GROUP BY ALL),
+    run AS (SELECT *, coalesce(sum(neg) OVER (PARTITION BY replicate, arm ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM steps),
+    areas AS (SELECT replicate, arm, sum(pos * (below + neg / 2)) / nullif(sum(pos) * sum(neg), 0) AS auc FROM run GROUP BY ALL),
+    told AS (SELECT arm, auc FROM areas UNION ALL SELECT 'b-a', x.auc - z.auc FROM areas x JOIN areas z USING (replicate) WHERE x.arm = 'b' AND z.arm = 'a')
+    SELECT arm, round(avg(auc), 9) AS mean, round(quantile_cont(auc, 0.025), 9) AS low, round(quantile_cont(auc, 0.975), 9) AS high, count(auc) AS n_finite FROM told GROUP BY arm""")
+def stratified_auc_ci(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Areas of two scores over the same class-stratified draws, and their contrast."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "n_chars").join(read_table(spark, sf_dir, "labels"), "doc_id")
+    rows = docs.select(F.col("doc_id").cast("string").alias("id"), (F.col("toxic") == 1).alias("y"), F.col("n_chars").cast("double").alias("a"), (F.col("doc_id") * 7919 % 1000).cast("double").alias("b"))
+    out = resample.stratified_auc(rows, "id", F.col("y"), ["a", "b"], DRAWS, (21, 22))
+    return out.select("arm", *[F.round(c, 9).alias(c) for c in ("mean", "low", "high")], "n_finite")
+
+
 @query()
 def logistic_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").withColumn("y", (F.col("label") < 3).cast("double"))
@@ -264,17 +326,13 @@ def logistic_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def chain_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Mixture and chain densities of hazard-rich and other sequences, fitted to a bounded number of training
-    sequences (the first 40 by digest of each kind), scored on all."""
-    import numpy as np
-
-    frames = _observed(spark, sf_dir)
-    share = frames.groupBy("sequence_id").agg(F.avg((F.col("label") == "hazard").cast("double")).alias("share"))
-    pick = share.filter(split_of(F.col("sequence_id")) == "train").orderBy(F.sha2("sequence_id", 256)).limit(80)
-    rows = frames.join(pick, "sequence_id").groupBy("sequence_id", "share").agg(F.array_sort(F.collect_list(F.struct("timestamp", "sample_id", "z"))).alias("f")).collect()
-    cut = np.median([r["share"] for r in rows])
-    sides = [[np.array([x["z"] for x in r["f"]]) for r in rows if bool(r["share"] > cut) == hot] for hot in (True, False)]
-    models = {arm: tuple(density.fit_chain(s, 1, arm == "chain", steps=8) for s in sides) for arm in ("mixture", "chain")}
+    """Mixture and chain densities of hazard-rich and other sequences, fitted to all training sequences, scored on all."""
+    frames = _observed(spark, sf_dir).drop("obs")
+    share = frames.groupBy("sequence_id").agg(F.avg((F.col("label") == "hazard").cast("double")).alias("share")).filter(split_of(F.col("sequence_id")) == "train")
+    cut = share.agg(F.percentile("share", 0.5)).first()[0]
+    train = frames.join(share, "sequence_id")
+    sides = [train.filter(F.col("share") > cut), train.filter(F.col("share") <= cut)]
+    models = {arm: tuple(density.fit_frames(side, 1, arm == "chain") for side in sides) for arm in ("mixture", "chain")}
     return density.chain_likelihood(frames, models)
 
 

@@ -97,8 +97,19 @@ def _cell(x: Any) -> str:
     return f"{x:.6f}" if isinstance(x, float) else str(x)
 
 
+#: Rows that a table in a text, or an archive, may have.
+SMALL = 100_000
+
+
+def _small(df: DataFrame) -> list:
+    rows = df.limit(SMALL + 1).collect()
+    if len(rows) > SMALL:
+        raise ValueError(f"more than {SMALL} rows are a table for Spark to write, not a text")
+    return rows
+
+
 def markdown_table(df: DataFrame) -> str:
-    rows = [[_cell(x) for x in r] for r in df.collect()]
+    rows = [[_cell(x) for x in r] for r in _small(df)]
     head = ["| " + " | ".join(df.columns) + " |", "|" + "---|" * len(df.columns)]
     return "\n".join([*head, *("| " + " | ".join(r) + " |" for r in rows)]) + "\n"
 
@@ -111,7 +122,7 @@ def escape_latex(text: str) -> str:
 
 
 def latex_table(df: DataFrame) -> str:
-    rows = [" & ".join(escape_latex(_cell(x)) for x in r) + r" \\" for r in df.collect()]
+    rows = [" & ".join(escape_latex(_cell(x)) for x in r) + r" \\" for r in _small(df)]
     head = " & ".join(escape_latex(c) for c in df.columns) + r" \\"
     return "\n".join([r"\begin{tabular}{" + "l" * len(df.columns) + "}", r"\hline", head, r"\hline", *rows, r"\hline", r"\end{tabular}"]) + "\n"
 
@@ -120,7 +131,7 @@ def write_npz(df: DataFrame, path: str) -> None:
     """Spectra of a small table as a NumPy archive without pickles."""
     import numpy as np
 
-    rows = df.select("sample_id", "label", "wavelengths", "spectrum").collect()
+    rows = _small(df.select("sample_id", "label", "wavelengths", "spectrum"))
     np.savez(
         path, sample_id=np.array([r["sample_id"] for r in rows], str), label=np.array([r["label"] or "" for r in rows], str),
         wavelengths=np.array([r["wavelengths"] for r in rows]), spectrum=np.array([r["spectrum"] for r in rows]),
