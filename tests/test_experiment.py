@@ -148,8 +148,4 @@ def test_probes(spark):
     power = probes.detection_power(spark, [0.02, 2.0], families=30).cache()
     assert {r.power for r in power.filter("dose = 2 AND detector = 'oracle'").collect()} == {1.0}
     assert {r.detector: r.first_dose for r in probes.detection_limit(power).collect()}["oracle"] == 2.0
-    rng = np.random.default_rng(0)
-    assert 1 <= simulate.draw(rng, {"prior": "loguniform", "min": 1, "max": 2}) <= 2 and simulate.draw(rng, {"prior": "normal", "mean": 0, "std": 1, "min": 5}) == 5
-    mix = simulate.mixture(rng, ["a", "b", "c"], 2, 3, 1.0)
-    assert 2 <= len(mix) <= 3 and sum(mix.values()) == pytest.approx(1)
     assert simulate.illumination(simulate.grid(), {"kind": "piecewise", "values": [1, 2, 4]}).max() == 1

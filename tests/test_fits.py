@@ -128,6 +128,29 @@ def test_densities_of_tables_equal_those_of_lists(spark):
         assert got[f"s{i}", "y"] == pytest.approx((ll[0] - ll[1]) / len(s)) and len(got) == 2 * len(seqs)
 
 
+def test_latents_follow_their_priors(spark):
+    from tidemark.sources import latents
+
+    ids = spark.range(4000).select(F.col("id").cast("string").alias("sequence_id"))
+    key = F.col("sequence_id")
+    x = ids.select(*[latents.drawn(latents.PRIORS[n], key, n, 3).alias(n) for n in ("path", "concentration", "tilt")], latents.drawn({"prior": "normal", "mean": 0, "std": 1, "min": -0.5, "max": 0.5}, key, "z", 3).alias("z")).toPandas()
+    assert x["path"].between(0.8, 1.2).all() and x["path"].mean() == pytest.approx(1.0, abs=0.01)
+    assert x["concentration"].between(0.1, 1).all() and np.log10(x["concentration"]).mean() == pytest.approx(-0.5, abs=0.02)
+    assert x["tilt"].mean() == pytest.approx(0, abs=3e-4) and x["tilt"].std() == pytest.approx(0.005, rel=0.05) and x["z"].min() == -0.5 and x["z"].max() == 0.5
+    mixes = [r.m for r in ids.select(latents.mixed(key, ["a", "b", "c"], 2, 3, 3).alias("m")).collect()]
+    assert all(2 <= len(m) <= 3 and sum(m.values()) == pytest.approx(1) for m in mixes)
+    assert sum(len(m) == 2 for m in mixes) / 4000 == pytest.approx(0.5, abs=0.03) and sum("a" in m for m in mixes) / 4000 == pytest.approx(5 / 6, abs=0.03)
+    onset, duration = latents.episode(key, 10, 3)
+    e = ids.select(onset.alias("o"), duration.alias("d")).toPandas()
+    assert set(e["o"]) == set(range(1, 7)) and e["d"].min() == 3 and (e["o"] + e["d"]).max() == 10
+    own = latents.frames_of(ids.limit(50), 4, 3, independent=True).select("sequence_id", "latents.path").groupBy("sequence_id").agg(F.count_distinct("path").alias("n")).collect()
+    assert all(r.n == 4 for r in own)
+    held = latents.frames_of(ids.limit(50), 4, 3).groupBy("sequence_id").agg(F.count_distinct("latents.path").alias("n"), (F.max("latents.dust") - F.min("latents.dust")).alias("d")).collect()
+    assert all(r.n == 1 and r.d == pytest.approx(0.03) for r in held)
+    with pytest.raises(ValueError):
+        latents.drawn({"prior": "other"}, key, "x", 3)
+
+
 def test_noise_and_clipping():
     clean = np.full(20_000, 0.3)
     noisy, share = simulate.add_noise(clean, 0.02, 0.01, np.random.default_rng(0))

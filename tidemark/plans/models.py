@@ -166,19 +166,6 @@ def indicators(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spectra.indicators(_simulated(spark, sf_dir))
 
 
-@query()
-def d_phys(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Concentration times effective path from latents in JSON, and the hazard share of the mixture."""
-    from tidemark.functions.scalars import effective_path
-
-    shape = "struct<path: double, humidity: double, dust: double, angle: double, concentration: double>"
-    v = F.from_json("latent_json", shape)
-    mix = F.from_json("mixture_json", "struct<components: array<string>, weights: array<double>>")
-    share = F.aggregate(F.zip_with(mix["components"], mix["weights"], lambda c, w: F.when(c.isin(*simulate.HAZARDS), w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
-    d = v["concentration"] * effective_path(v["path"], v["humidity"], v["dust"], v["angle"])
-    return _simulated(spark, sf_dir).select("sample_id", "label", d.alias("d_phys"), (d * share).alias("tau_h"))
-
-
 @query()
 def matched_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whitened matched filter fitted to benign spectra, applied to all."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import spectra
 from tidemark.plans.registry import query
-from tidemark.sources import simulate
+from tidemark.sources import latents, simulate
 from tidemark.sources.frames import read_table
 
 CHANNELS = 64
@@ -261,3 +261,81 @@ def grid_equality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = contracts.require_one_grid(spectrum_rows(spark, sf_dir), "wavelengths")
     return rows.agg(F.count("*").alias("n_rows"), F.count_distinct(F.size("wavelengths")).alias("n_grids"), F.bool_and(F.size("spectrum") == F.size("wavelengths")).alias("full"), F.lit(spectra.grid_hash(GRID)).alias("grid_hash"))
+
+
+def _u(key: str, name: str) -> str:
+    return f"(concat('0x', substr(sha256('7:' || {key} || '|{name}'), 1, 16))::UBIGINT / pow(2, 64))"
+
+
+def _prior(key: str, name: str) -> str:
+    p, u = latents.PRIORS[name], _u(key, name)
+    if p["prior"] == "uniform":
+        return f"({p['min']!r} + {u} * {p['max'] - p['min']!r})"
+    if p["prior"] == "loguniform":
+        return f"exp({float(np.log(p['min']))!r} + {u} * {float(np.log(p['max']) - np.log(p['min']))!r})"
+    return f"({p['mean']!r} + {p['std']!r} * sqrt(-2 * ln(1 - {u})) * cos(2 * pi() * {_u(key, name + '~')}))"
+
+
+_LATENTS = f"""k AS (SELECT DISTINCT 'seq_' || lpad(CAST(user_id AS VARCHAR), 6, '0') AS s FROM events),
+    l AS (SELECT s, {", ".join(f"{_prior('s', n)} AS {n}" for n in latents.PRIORS)}, {_u("s", "hazard")} < 0.5 AS hazard, CASE WHEN {_u("s", "agent")} < 0.5 THEN 'hazard_a' ELSE 'hazard_b' END AS agent, 1 + floor({_u("s", "onset")} * 6) AS onset FROM k),
+    e AS (SELECT *, 3 + floor({_u("s", "duration")} * (greatest(4, 10 - onset + 1) - 3)) AS duration FROM l),
+    f AS (SELECT *, s || '_' || lpad(CAST(t AS VARCHAR), 3, '0') AS sample_id, hazard AND t >= onset AND t < onset + duration AS is_on FROM e, range(10) r(t))"""
+
+
+def _latent_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = read_table(spark, sf_dir, "events").select(F.concat(F.lit("seq_"), F.lpad(F.col("user_id").cast("string"), 6, "0")).alias("sequence_id")).distinct()
+    return latents.frames_of(ids, 10, 7, episodes=True)
+
+
+@query(f"""WITH {_LATENTS} SELECT sample_id, CASE WHEN is_on THEN 'hazard' ELSE 'benign' END AS label, CAST(onset AS INTEGER) AS onset, CAST(duration AS INTEGER) AS duration, round(path, 6) AS path, round(humidity + 0.02 * t, 6) AS humidity, round(dust + 0.01 * t, 6) AS dust,
+    round(kelvin, 4) AS kelvin, round(concentration, 6) AS concentration, round(offset_3, 8) AS offset, round(tilt, 8) AS tilt, round(sigma, 8) AS sigma, CASE WHEN is_on AND share > (1 - share) * (1 - share) AND share > share * (1 - share) THEN agent WHEN 1 - share > share THEN 'water' ELSE 'background' END AS dominant FROM f""")
+def generated_latents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Latents of a simulated sequence for each user: priors, drift, hazard episodes, mixtures."""
+    v = F.col("latents")
+    return _latent_frames(spark, sf_dir).select(
+        "sample_id", "label", "onset", "duration", F.round(v["path"], 6).alias("path"), F.round(v["humidity"], 6).alias("humidity"), F.round(v["dust"], 6).alias("dust"), F.round(v["kelvin"], 4).alias("kelvin"),
+        F.round(v["concentration"], 6).alias("concentration"), F.round(v["offsets"][3], 8).alias("offset"), F.round(v["baseline"][1], 8).alias("tilt"), F.round("sigma", 8).alias("sigma"), F.col("mixture.components")[0].alias("dominant"),
+    )
+
+
+_POOL = ("amber", "birch", "cedar", "dogwood")
+
+
+@query(f"""WITH c AS (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS s FROM customer), n AS (SELECT *, 2 + CAST(floor({_u("s", "components")} * 2) AS INTEGER) AS n FROM c),
+    a AS ({" UNION ALL ".join(f"SELECT c_custkey, n, '{a}' AS agent, {_u('s', 'pick ' + a)} AS u, -ln(1 - {_u('s', 'weight ' + a)}) AS w FROM n" for a in _POOL)}),
+    p AS (SELECT *, row_number() OVER (PARTITION BY c_custkey ORDER BY u) AS place FROM a), q AS (SELECT c_custkey, agent, w / sum(w) OVER (PARTITION BY c_custkey) AS w FROM p WHERE place <= n)
+    SELECT c_custkey, string_agg(agent, '+' ORDER BY w DESC) AS components, round(max(w), 6) AS most FROM q GROUP BY 1""")
+def generated_mixtures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two or three components without replacement, with weights uniform on the simplex."""
+    m = latents.mixed(F.col("c_custkey").cast("string"), list(_POOL), 2, 3, 7)
+    rows = read_table(spark, sf_dir, "customer").select("c_custkey", m.alias("m"))
+    return rows.select("c_custkey", F.array_join(F.map_keys("m"), "+").alias("components"), F.round(F.array_max(F.map_values("m")), 6).alias("most"))
+
+
+_PIECES = [1.0, 2.0, 4.0]
+_CURVE = np.interp(GRID, np.linspace(GRID[0], GRID[-1], 3), _PIECES)
+
+
+@query(f"""WITH {_table("g", "channel, body, pieces", [(i, float(simulate.planck(GRID, 3000.0)[i]), float(_CURVE[i] / _CURVE.max())) for i in _SEEN])}
+    SELECT n_nationkey, channel, round(CASE n_nationkey % 3 WHEN 0 THEN body WHEN 1 THEN pieces ELSE (channel + 1) / {CHANNELS} END, 6) AS light FROM nation, g""")
+def illuminations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Illumination by its kind: a black body, linear pieces over knots, or a fixed curve."""
+    kinds = ({"kind": "blackbody", "kelvin": 3000.0}, {"kind": "piecewise", "values": _PIECES}, {"kind": "fixed", "values": list(range(1, CHANNELS + 1))})
+    curves = [simulate.illumination(GRID, k) for k in kinds]
+    rows = [(k, i, round(float(c[i]), 6)) for k, c in enumerate(curves) for i in _SEEN]
+    known = spark.createDataFrame(rows, "kind int, channel int, light double")
+    return read_table(spark, sf_dir, "nation").withColumn("kind", F.col("n_nationkey") % 3).join(F.broadcast(known), "kind").select("n_nationkey", "channel", "light")
+
+
+@query(f"""WITH {_LATENTS}, d AS (SELECT sample_id, is_on, share, concentration * path * (1 + 0.25 * (humidity + 0.02 * t)) * (1 + 0.05 * (dust + 0.01 * t)) / greatest(cos(radians(angle)), 0.2) AS d FROM f)
+    SELECT sample_id, round(d, 6) AS d_phys, round(d * CASE WHEN is_on THEN share ELSE 0 END, 6) AS tau_h FROM d""")
+def d_phys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concentration times effective path from latents in JSON, and the hazards' share of it from the mixture in JSON."""
+    from tidemark.functions.scalars import effective_path
+
+    texts = _latent_frames(spark, sf_dir).select("sample_id", F.to_json("latents").alias("latent_json"), F.to_json("mixture").alias("mixture_json"))
+    v = F.from_json("latent_json", "struct<path: double, humidity: double, dust: double, angle: double, concentration: double>")
+    mix = F.from_json("mixture_json", "struct<components: array<string>, weights: array<double>>")
+    share = F.aggregate(F.zip_with(mix["components"], mix["weights"], lambda c, w: F.when(c.isin(*latents.HAZARDS), w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
+    d = v["concentration"] * effective_path(v["path"], v["humidity"], v["dust"], v["angle"])
+    return texts.select("sample_id", F.round(d, 6).alias("d_phys"), F.round(d * share, 6).alias("tau_h"))

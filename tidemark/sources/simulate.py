@@ -1,14 +1,14 @@
-"""Simulated spectra: latents per sequence, Beer-Lambert synthesis, noise. Every sequence draws from a
-generator seeded by its own name, so results do not depend on partitioning."""
+"""Simulated spectra: latents as expressions (`latents`), Beer-Lambert synthesis and noise in Arrow batches. The noise of a
+frame comes from a generator seeded by its own name, so results do not depend on partitioning."""
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidemark.functions.keys import seed_for
+from tidemark.functions.keys import padded, seed_for
+from tidemark.sources import latents
+from tidemark.sources.latents import HAZARDS as HAZARDS
 
 GRID = (900.0, 2500.0, 2.0)
 #: Absorbers: centre, width and strength of each peak.
@@ -18,8 +18,6 @@ AGENTS = {
     "water": ((1450.0, 60.0, 0.7), (1940.0, 70.0, 0.9)),
     "background": ((1680.0, 120.0, 0.2),),
 }
-HAZARDS = ("hazard_a", "hazard_b")
-DRIFT = {"humidity": 0.02, "dust": 0.01}
 
 
 def grid():
@@ -78,80 +76,36 @@ def add_noise(clean, sigma: float, alpha: float, rng, low: float = 0.0, high: fl
     return np.clip(noisy, low, high), float(np.mean((noisy <= low) | (noisy >= high)))
 
 
-def episode(rng, frames: int) -> tuple[int, int]:
-    """Onset (1 to 6) and duration (3 frames or more) of a hazard episode."""
-    onset = int(rng.integers(1, min(7, max(2, frames - 3))))
-    return onset, int(rng.integers(3, max(4, frames - onset + 1)))
-
-
-def sequence_rows(seed: int, index: int, frames: int, episodes: bool) -> Iterator[dict]:
-    """Frames of one sequence."""
-    import numpy as np
-
-    name = f"seq_{index:06d}"
-    rng = np.random.default_rng(seed_for(str(seed), name))
-    hazard = bool(rng.random() < 0.5)
-    onset, duration = episode(rng, frames) if episodes else (0, frames)
-    base = {
-        "path": float(rng.uniform(0.8, 1.2)), "humidity": float(rng.uniform(0, 1)), "dust": float(rng.uniform(0, 1)), "angle": float(rng.uniform(0, 40)),
-        "kelvin": float(rng.uniform(2800, 6000)), "concentration": float(np.exp(rng.uniform(np.log(0.1), np.log(1.0)))),
-        "offsets": rng.normal(scale=0.01, size=8).tolist(), "baseline": [float(rng.uniform(0.02, 0.05)), float(rng.normal(scale=0.005)), float(rng.normal(scale=0.005))],
-    }
-    agent, sigma = HAZARDS[int(rng.integers(2))], float(rng.uniform(0.002, 0.01))
-    share = float(rng.uniform(0.3, 0.7))
-    wavelengths = grid()
-    for t in range(frames):
-        on = hazard and onset <= t < onset + duration
-        weights = {a: 0.0 for a in AGENTS} | {"water": 1 - share, "background": share}
-        if on:
-            weights = {a: w * (1 - share) for a, w in weights.items()} | {agent: share}
-        latents = base | {k: base[k] + t * d for k, d in DRIFT.items()}
-        clean = clean_spectrum(wavelengths, list(weights.values()), latents)
-        spectrum, clipped = add_noise(clean, sigma, 1e-5, rng)
-        mix = sorted(((w, a) for a, w in weights.items() if w > 0), reverse=True)
-        yield {
-            "sample_id": f"{name}_{t:03d}", "sequence_id": name, "timestamp": float(t), "label": "hazard" if on else "benign",
-            "wavelengths": wavelengths.tolist(), "spectrum": spectrum.tolist(), "spectrum_clean": clean.tolist(), "clipping_fraction": clipped,
-            "agent_id": mix[0][1], "latent_json": json.dumps(latents, sort_keys=True),
-            "mixture_json": json.dumps({"components": [a for _, a in mix], "weights": [w for w, _ in mix]}, sort_keys=True),
-        }
-
-
 SCHEMA = (
     "sample_id string, sequence_id string, timestamp double, label string, wavelengths array<double>, spectrum array<double>, "
     "spectrum_clean array<double>, clipping_fraction double, agent_id string, latent_json string, mixture_json string"
 )
 
 
-def simulate(spark: SparkSession, sequences: int, frames: int = 10, seed: int = 7, episodes: bool = False) -> DataFrame:
-    def rows(batches):
-        import pandas as pd
-
-        for b in batches:
-            for i in b["id"]:
-                yield pd.DataFrame(list(sequence_rows(seed, int(i), frames, episodes)))
-
-    return spark.range(sequences).mapInPandas(rows, SCHEMA)
-
+def simulate(spark: SparkSession, sequences: int, frames: int = 10, seed: int = 7, episodes: bool = False, independent: bool = False) -> DataFrame:
+    ids = spark.range(sequences).select(padded("seq_", F.col("id"), 6).alias("sequence_id"))
+    return spectra_of(latents.frames_of(ids, frames, seed, episodes, independent), seed)
 
-def draw(rng, prior: dict) -> float:
-    """One value of a prior: uniform, loguniform or normal."""
-    import math
 
-    kind = prior["prior"]
-    if kind == "uniform":
-        return float(rng.uniform(prior["min"], prior["max"]))
-    if kind == "loguniform":
-        return math.exp(rng.uniform(math.log(prior["min"]), math.log(prior["max"])))
-    if kind == "normal":
-        return float(min(max(rng.normal(prior["mean"], prior["std"]), prior.get("min", -math.inf)), prior.get("max", math.inf)))
-    raise ValueError(f"unknown prior {kind!r}")
+def spectra_of(frames: DataFrame, seed: int) -> DataFrame:
+    """Spectra of frames with latents."""
+    kept = ["sample_id", "sequence_id", "timestamp", "label"]
+    rows = frames.select(*kept, "sigma", "latents", "amounts", F.col("mixture.components")[0].alias("agent_id"), F.to_json("latents").alias("latent_json"), F.to_json("mixture").alias("mixture_json"))
 
+    def synthesised(batches):
+        import numpy as np
 
-def mixture(rng, agents: list[str], least: int, most: int, alpha: float) -> dict[str, float]:
-    """Components drawn without replacement, with Dirichlet weights."""
-    own = [agents[i] for i in rng.choice(len(agents), int(rng.integers(least, most + 1)), replace=False)]
-    return dict(zip(own, rng.dirichlet([alpha] * len(own)).tolist()))
+        wavelengths = grid()
+        for b in batches:
+            out = b[[*kept, "agent_id", "latent_json", "mixture_json"]].copy()
+            clean = [clean_spectrum(wavelengths, w, x if isinstance(x, dict) else x.asDict()) for w, x in zip(b["amounts"], b["latents"])]
+            noisy = [add_noise(c, s, 1e-5, np.random.default_rng(seed_for(str(seed), i))) for c, s, i in zip(clean, b["sigma"], b["sample_id"])]
+            out["wavelengths"] = [wavelengths.tolist()] * len(b)
+            out["spectrum"], out["spectrum_clean"] = [y.tolist() for y, _ in noisy], [c.tolist() for c in clean]
+            out["clipping_fraction"] = [share for _, share in noisy]
+            yield out[[c.split()[0] for c in SCHEMA.split(", ")]]
+
+    return rows.mapInPandas(synthesised, SCHEMA)
 
 
 def illumination(wavelengths, spec: dict):
