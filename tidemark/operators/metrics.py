@@ -53,21 +53,17 @@ def concordance(df: DataFrame, prediction: str, target: str) -> DataFrame:
 
     Counting needs, for each row, how many rows of smaller target have a smaller prediction. Both are
     first turned into dense ranks; the ranks of predictions are halved level by level (as a merge sort
-    does), so each level is a grouped running count and no pair is ever formed."""
+    does), all levels in one grouped running count, so no pair is ever formed."""
     rows = df.select(F.col(prediction).alias("p"), F.col(target).alias("t")).groupBy("p", "t").agg(F.count("*").alias("n"))
     ranks = positions(rows.select("p").distinct(), "p").withColumnRenamed("position", "r")
     rows = rows.join(ranks, "p")
-    top = rows.agg(F.max("r")).first()[0] or 0
-    total = None
-    for level in range(max(1, int(top).bit_length())):
-        # pairs that part at this level: same prefix above it, one with bit 0 and one with bit 1
-        cells = rows.withColumns({"prefix": F.shiftright("r", level + 1), "bit": F.shiftright("r", level).bitwiseAND(F.lit(1))})
-        cells = cells.groupBy("prefix", "t").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("high"))
-        w = Window.partitionBy("prefix").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
-        counted = cells.withColumns({"low_below": F.coalesce(F.sum("low").over(w), F.lit(0)), "high_below": F.coalesce(F.sum("high").over(w), F.lit(0))})
-        part = counted.agg(F.sum(F.col("high") * F.col("low_below")).alias("good"), F.sum(F.col("low") * F.col("high_below")).alias("bad"))
-        total = part if total is None else total.union(part)
-    pairs = total.agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
+    top = int(rows.agg(F.max("r")).first()[0] or 0)
+    # pairs part at one level of their ranks: same prefix above it, one with bit 0 and one with bit 1
+    levels = F.explode(F.sequence(F.lit(0), F.lit(max(0, top.bit_length() - 1)))).alias("level")
+    bits = rows.select("t", "n", "r", levels).select("t", "n", "level", F.expr("shiftright(r, level + 1)").alias("prefix"), F.expr("shiftright(r, level) & 1").alias("bit"))
+    cells = bits.groupBy("level", "prefix", "t").agg(F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("low"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("high"))
+    counted = cumulative(cells, "t", {"low_below": F.col("low"), "high_below": F.col("high")}, current=False, by=["level", "prefix"], like=rows)
+    pairs = counted.agg(F.coalesce(F.sum(F.col("high") * F.col("low_below")), F.lit(0)).alias("good"), F.coalesce(F.sum(F.col("low") * F.col("high_below")), F.lit(0)).alias("bad"))
     w = Window.partitionBy("p").orderBy("t").rowsBetween(Window.unboundedPreceding, -1)
     tied = rows.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0))).agg(F.coalesce(F.sum(F.col("n") * F.col("below")), F.lit(0)).alias("tied"))
     comparable = F.col("good") + F.col("bad") + F.col("tied")

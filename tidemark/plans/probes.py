@@ -34,13 +34,19 @@ def family(seed: int, name: str, ratio: float, dose: float, sigma: float, gain:
     return rows * bend + sigma * rng.normal(size=rows.shape)
 
 
-def read_ratio(spectra) -> float:
-    """Ratio of the analytes from least squares with the background projected out; NaN where the second is absent."""
+def read_amounts(spectra) -> tuple[float, float]:
+    """Amounts of both analytes in the mean spectrum from least squares, with the background projected out."""
     import numpy as np
 
     a, b, back = _shapes()
     beta = np.linalg.lstsq(np.stack([a, b, *back], 1), spectra.mean(0), rcond=None)[0]
-    return float(beta[0] / beta[1]) if abs(beta[1]) > 1e-9 else float("nan")
+    return float(beta[0]), float(beta[1])
+
+
+def read_ratio(spectra) -> float:
+    """Ratio of the analytes; NaN where the second is absent."""
+    first, second = read_amounts(spectra)
+    return first / second if abs(second) > 1e-9 else float("nan")
 
 
 def detector_scores(spectra, blanks) -> dict[str, float]:
@@ -77,9 +83,16 @@ def recovery(spark: SparkSession, sigmas: list[float], gains: list[float], famil
 
     grid = _grid(spark, "sigma double, gain double", [(s, g) for s in sigmas for g in gains], families)
     rows = grid.mapInPandas(run, "sigma double, gain double, family int, truth double, read double")
-    good = ~F.isnan("read")
+    return calibrated(rows, ["sigma", "gain"])
+
+
+def calibrated(rows: DataFrame, by: list[str]) -> DataFrame:
+    """Slope of what was read against the truth, RMSE, and reads that are not valid (NaN)."""
+    good = ~F.isnan("read") & F.col("read").isNotNull()
     gap = F.when(good, F.col("read") - F.col("truth"))
-    return rows.groupBy("sigma", "gain").agg(F.regr_slope(F.when(good, F.col("read")), F.when(good, F.col("truth"))).alias("slope"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.count_if(~good).alias("invalid"), F.count("*").alias("n"))
+    return rows.groupBy(*by).agg(
+        F.regr_slope(F.when(good, F.col("read")), F.when(good, F.col("truth"))).alias("slope"), F.sqrt(F.avg(gap * gap)).alias("rmse"), F.count_if(~good).alias("invalid"), F.count("*").alias("n")
+    )
 
 
 def tolerance(recovered: DataFrame, limit: float = 0.30) -> DataFrame:
@@ -102,6 +115,11 @@ def detection_power(spark: SparkSession, doses: list[float], families: int = 100
 
     grid = _grid(spark, "dose double", [(float(d),) for d in sorted({0.0, *doses})], families)
     rows = grid.mapInPandas(run, "dose double, family int, detector string, score double")
+    return power_curve(rows, alpha)
+
+
+def power_curve(rows: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Share of scores (detector, dose, score) at each dose above the detector's own 1 - alpha quantile at dose zero."""
     cut = rows.filter("dose = 0").groupBy("detector").agg(F.percentile("score", 1 - alpha).alias("cut"))
     return rows.filter("dose > 0").join(F.broadcast(cut), "detector").groupBy("detector", "dose").agg(F.avg((F.col("score") > F.col("cut")).cast("double")).alias("power"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import cone, density, events, metrics, regimes, resample, transport, windows
-from tidemark.plans import alarms, audit, experiment, report
+from tidemark.plans import alarms, audit, experiment, probes, report
 from tidemark.plans.registry import query, sql
 from tidemark.plans.spectral_queries import CHANNELS, GRID, _matrix, _table
 from tidemark.sources import sinks
@@ -474,3 +474,53 @@ def reloaded_baselines(spark: SparkSession, sf_dir: str) -> DataFrame:
     experiment.save_run(path, config, "test", {"metrics": rows.filter("method = 'N2'")})
     kept = experiment.reload_run(spark, path, config, "test")["metrics"].withColumn("method", F.lit("reloaded"))
     return rows.filter("method <> 'N2'").unionByName(kept).select("method", "split", "n_events", *[F.round(c, 6).alias(c) for c in _METRICS])
+
+
+_READS = """r AS (SELECT l_returnflag AS sigma, l_linenumber AS gain, l_quantity AS truth, CASE WHEN l_discount > 0.09 THEN NULL ELSE l_quantity * (1 + l_linenumber / 100) + l_tax END AS read FROM lineitem),
+    c AS (SELECT sigma, gain, regr_slope(read, truth) AS slope, sqrt(avg((read - truth) ** 2)) AS rmse, count(*) - count(read) AS invalid, count(*) AS n FROM r GROUP BY ALL)"""
+
+
+def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    read = F.when(F.col("l_discount") > 0.09, F.lit(float("nan"))).otherwise(F.col("l_quantity") * (1 + F.col("l_linenumber") / 100) + F.col("l_tax"))
+    return read_table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("sigma"), F.col("l_linenumber").alias("gain"), F.col("l_quantity").alias("truth"), read.alias("read"))
+
+
+@query(f"WITH {_READS} SELECT sigma, gain, round(slope, 6) AS slope, round(rmse, 6) AS rmse, invalid, n FROM c")
+def calibration_slopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Slope and error of reads against the truth under each condition, and reads that are not valid."""
+    out = probes.calibrated(_reads(spark, sf_dir), ["sigma", "gain"])
+    return out.select("sigma", "gain", F.round("slope", 6).alias("slope"), F.round("rmse", 6).alias("rmse"), "invalid", "n")
+
+
+@query(f"WITH {_READS} SELECT sigma, max(CASE WHEN rmse <= 1.2 THEN gain END) AS tolerated_gain FROM c GROUP BY 1")
+def tolerated_gains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The largest gain error at which the read is still within the limit."""
+    return probes.tolerance(probes.calibrated(_reads(spark, sf_dir), ["sigma", "gain"]), 1.2)
+
+
+@query("""WITH r AS (SELECT l_returnflag AS detector, (l_linenumber - 1) / 10 AS dose, l_quantity + 8 * l_linenumber + l_discount AS score FROM lineitem), c AS (SELECT detector, quantile_cont(score, 0.95) AS cut FROM r WHERE dose = 0 GROUP BY 1)
+    SELECT detector, dose::DOUBLE AS dose, round(avg(CASE WHEN score > cut THEN 1.0 ELSE 0.0 END), 6) AS power FROM r JOIN c USING (detector) WHERE dose > 0 GROUP BY ALL""")
+def power_curves(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Power of each detector at each dose, against its own quantile without a dose."""
+    rows = read_table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("detector"), ((F.col("l_linenumber") - 1) / 10).alias("dose"), (F.col("l_quantity") + 8 * F.col("l_linenumber") + F.col("l_discount")).alias("score"))
+    return probes.power_curve(rows).select("detector", "dose", F.round("power", 6).alias("power"))
+
+
+_A, _B, _BACK = probes._shapes()
+_SOLVE = np.linalg.pinv(np.stack([_A, _B, *_BACK], 1))[:2]
+
+
+@query(f"""WITH v AS (SELECT label, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM v GROUP BY ALL),
+    {_table("k", "i, a, b", [(i, float(_SOLVE[0, i]), float(_SOLVE[1, i])) for i in range(probes.CHANNELS)])} SELECT label, round(sum(a * x), 6) AS first, round(sum(b * x), 6) AS second FROM m JOIN k USING (i) GROUP BY 1""")
+def analyte_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Amounts of two analytes in the mean spectrum of each family, the background projected out."""
+    shape = f"label {read_table(spark, sf_dir, 'embeddings').schema['label'].dataType.simpleString()}, first double, second double"
+
+    def one(pdf):
+        x = np.array(pdf.sort_values("i")["x"])
+        first, second = probes.read_amounts(x[None, :])
+        return pdf.head(1)[["label"]].assign(first=first, second=second)
+
+    cells = read_table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, probes.CHANNELS)).alias("i", "x"))
+    means = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    return means.groupBy("label").applyInPandas(one, shape).select("label", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"))
