@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import spectra
+from tidemark.operators import embed, spectra
 from tidemark.plans.registry import query
 from tidemark.sources import latents, simulate
 from tidemark.sources.frames import read_table
@@ -339,3 +339,35 @@ def d_phys(spark: SparkSession, sf_dir: str) -> DataFrame:
     share = F.aggregate(F.zip_with(mix["components"], mix["weights"], lambda c, w: F.when(c.isin(*latents.HAZARDS), w).otherwise(0.0)), F.lit(0.0), lambda a, x: a + x)
     d = v["concentration"] * effective_path(v["path"], v["humidity"], v["dust"], v["angle"])
     return texts.select("sample_id", F.round(d, 6).alias("d_phys"), F.round(d * share, 6).alias("tau_h"))
+
+
+_NET = embed.init(CHANNELS, 8, 4, 5)
+
+
+@query(f"""WITH v AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, (unnest(embedding)::DOUBLE - 0.01) / 0.2 AS x FROM embeddings), {_matrix("w0", _NET["W0"])}, {_matrix("w1", _NET["W1"])}, {_matrix("w2", _NET["W2"])},
+    h0 AS (SELECT vec_id, j AS i, greatest(sum(x * w), 0) AS x FROM v JOIN w0 USING (i) GROUP BY ALL), h1 AS (SELECT vec_id, j AS i, greatest(sum(x * w), 0) AS x FROM h0 JOIN w1 USING (i) GROUP BY ALL),
+    z AS (SELECT vec_id, j AS i, sum(x * w) AS x FROM h1 JOIN w2 USING (i) GROUP BY ALL) SELECT vec_id, CAST(i AS INTEGER) AS i, round(x / greatest(sqrt(sum(x * x) OVER (PARTITION BY vec_id)), 1e-12), 6) AS z FROM z""")
+def frozen_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings by frozen weights and normalisation: three layers, unit length."""
+    state = {"version": embed.VERSION, "mean": [0.01] * CHANNELS, "std": [0.2] * CHANNELS, "weights": {k: w.tolist() for k, w in _NET.items()}}
+    out = embed.apply(read_table(spark, sf_dir, "embeddings"), "embedding", state, ["vec_id"])
+    return out.select("vec_id", F.posexplode("z").alias("i", "z")).select("vec_id", "i", F.round("z", 6).alias("z"))
+
+
+@query("""WITH e AS (SELECT vec_id, vec_id // 256 AS batch, label, label / 10 AS risk, list_transform(embedding, lambda x: x::DOUBLE) AS x FROM embeddings),
+    p AS (SELECT a.batch, a.vec_id AS a, b.vec_id AS b, a.label = b.label AS same, a.risk AS ra, b.risk AS rb, greatest(list_distance(a.x, b.x), 1e-6) AS d FROM e a JOIN e b ON a.batch = b.batch AND a.vec_id <> b.vec_id),
+    h AS (SELECT batch, a, any_value(ra) AS ra, max(d) FILTER (same) AS far, min(d) FILTER (NOT same) AS near, arg_min(rb, (d, b)) FILTER (NOT same) AS rn FROM p GROUP BY ALL),
+    t AS (SELECT batch, coalesce(sum(greatest(far - near + 0.2 * (1 + abs(ra - rn)), 0)) FILTER (far IS NOT NULL AND near IS NOT NULL) / greatest(count(*) FILTER (far IS NOT NULL AND near IS NOT NULL), 1), 0) AS triplet FROM h GROUP BY 1),
+    c AS (SELECT batch, sum(CASE WHEN same THEN d * d ELSE greatest(0.2 * (1 + abs(ra - rb)) - d, 0) ** 2 END) / count(*) AS contrastive FROM p GROUP BY 1)
+    SELECT batch, round(triplet, 6) AS triplet, round(contrastive, 6) AS contrastive FROM t JOIN c USING (batch)""")
+def metric_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Triplet loss of the hardest triples with a margin that grows with the gap in risk, and contrastive loss, by mini-batch."""
+
+    def one(pdf):
+        pdf = pdf.sort_values("vec_id", ignore_index=True)
+        z, y, risk = np.stack(pdf["x"].to_numpy()), pdf["label"].to_numpy(), pdf["risk"].to_numpy()
+        return pdf.head(1)[["batch"]].assign(triplet=embed.triplet(z, y, risk, 0.2)[0], contrastive=embed.contrastive(z, y, risk, 0.2)[0])
+
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 256").alias("batch"), "label", (F.col("label") / 10).alias("risk"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
+    out = rows.groupBy("batch").applyInPandas(one, "batch long, triplet double, contrastive double")
+    return out.select("batch", F.round("triplet", 6).alias("triplet"), F.round("contrastive", 6).alias("contrastive"))
