@@ -140,7 +140,7 @@ def _round_grade(units: DataFrame, found: list, fractions: dict[int, float], rat
     """Units of one grade: (rounded in blocks, what the tree decided, the last residual of each source)."""
     spark = units.sparkSession
     known = [(r["sid"], fractions[r["sid"]], int(rates[r["sid"]]), max(1, -(-r["units"] // BLOCK))) for r in found]
-    known = F.broadcast(spark.createDataFrame(known, "sid int, f double, base int, blocks long"))  # a row for each source
+    known = spark.createDataFrame(known, "sid int, f double, base int, blocks long")  # a row for each source, joined as its size allows
     mass = F.col("n") * F.col("f")
     dealt = units.join(known, "sid").select(
         "doc_id", "h", "g", "sid", "size", "n", "base", F.floor(mass + _EPS).alias("whole"),
@@ -180,7 +180,7 @@ def _rounded(docs: DataFrame, weights, most: float) -> tuple[DataFrame, DataFram
     if not names:
         return rows.select("doc_id", "h", "g", "size", "n", F.lit(0).alias("base"), F.lit(0).cast("long").alias("more"), F.lit(0).alias("sid")), None
     of_source = spark.createDataFrame(list(enumerate(names)), "sid int, name string")
-    rows = rows.join(F.broadcast(of_source), F.col("source").eqNullSafe(F.col("name"))).drop("source", "name")
+    rows = rows.join(of_source, F.col("source").eqNullSafe(F.col("name"))).drop("source", "name")
     first = {i: r - int(r) for i, r in rates.items()}
     fractions, pools, parts = dict(first), dict(enumerate(sizes)), []
     for grade in sorted({r["grade"] for r in found}, reverse=True):
@@ -194,7 +194,7 @@ def _rounded(docs: DataFrame, weights, most: float) -> tuple[DataFrame, DataFram
         for r in last:
             up, fractions[r["sid"]] = settle(r["p"], r["weight"], fractions[r["sid"]], float(pools[r["sid"]]), _draws("mix", r["sid"], grade))
             settled.append((r["sid"], r["block"], up))
-        at_root = F.broadcast(spark.createDataFrame(settled, "sid int, block long, up int"))
+        at_root = spark.createDataFrame(settled, "sid int, block long, up int")
         more = (F.col("whole") + F.col("up")).alias("more")
         out = ["doc_id", "h", "g", "size", "n", "base", more, "sid"]
         parts.append(level.filter("up >= 0").select(*out))
@@ -221,7 +221,7 @@ def mix(docs: DataFrame, weights=(1.0, 2.0, 3.0), most: float = MOST) -> DataFra
         return units.select("doc_id", "h", "g", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), F.lit(0).alias("copies"))
     few, many = _spread(units, F.col("n"))
     each = few.union(many.repartition(shuffle_width(docs.sparkSession), "h", F.element_at("run", 1)))
-    each = each.withColumn("at", F.explode("run")).join(F.broadcast(known), "sid")
+    each = each.withColumn("at", F.explode("run")).join(known, "sid")
     copies = (F.col("base") + (F.col("at") < F.col("more")).cast("int")).cast("int")
     return each.select("doc_id", "h", "g", "size", "source_size", "target", copies.alias("copies"))
 
