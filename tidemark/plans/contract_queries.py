@@ -253,3 +253,56 @@ def time_breaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames whose time is before that of the frame before them, in an order that is not theirs."""
     rows = event_frames(spark, sf_dir).withColumn("position", F.col("sample_id").cast("long") * 7919 % 1000003)
     return contracts.time_breaks(rows).groupBy("sequence_id").agg(F.count("*").alias("n_breaks"))
+
+
+@query("""SELECT n_nationkey, '{"a":{"x":' || n_nationkey || ',"y":2},"b":[1,2],"name":"' || n_name || '"}' AS merged, 2::BIGINT AS leaves,
+    '{"kind":"' || CASE WHEN n_nationkey % 2 = 0 THEN 'even' ELSE 'odd' END || '","size":' || CASE WHEN n_nationkey % 3 = 0 THEN 10 ELSE n_nationkey END || '}' AS checked, n_nationkey % 3 = 0 OR n_nationkey <= 20 AS valid FROM nation""")
+def merged_configurations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A base patched in depth, the leaves of the patch, and a configuration checked against a schema with defaults."""
+    schema = {"type": "object", "required": ["kind"], "properties": {"kind": {"type": "string", "enum": ["even", "odd"]}, "size": {"type": "integer", "default": 10}}}
+    bounded = {"type": "object", "properties": {"kind": {"type": "string"}, "size": {"type": "integer", "default": 10, "maximum": 20}}}
+
+    def rows(batches):
+        import pandas as pd
+
+        from tidemark.plans import config
+        from tidemark.sources.sinks import canonical_json
+
+        def fits(value) -> bool:
+            try:
+                config.validate(value, bounded)
+            except config.ConfigError:
+                return False
+            return True
+
+        for b in batches:
+            out = []
+            for k, name in zip(b["n_nationkey"].tolist(), b["n_name"]):
+                patch = {"a": {"x": k}, "name": name}
+                own = {"kind": "even" if k % 2 == 0 else "odd"} | ({} if k % 3 == 0 else {"size": k})
+                out.append((k, canonical_json(config.merge({"a": {"x": 1, "y": 2}, "b": [1, 2]}, patch)), config.complexity(patch), canonical_json(config.validate(own, schema)), fits(own)))
+            yield pd.DataFrame(out, columns=["n_nationkey", "merged", "leaves", "checked", "valid"])
+
+    return read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name").mapInPandas(rows, "n_nationkey int, merged string, leaves long, checked string, valid boolean")
+
+
+@query("SELECT n_nationkey, n_nationkey % 2 = 0 AND n_nationkey % 3 <> 0 AS settings_agree, NOT (n_nationkey % 5 = 0) AS inputs_there FROM nation")
+def frozen_settings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Settings of runs against a frozen model's, and whether the tables that their observations need are given."""
+
+    def holds(check, *args) -> bool:
+        try:
+            check(*args)
+        except ValueError:
+            return False
+        return True
+
+    def rows(batches):
+        frozen = {"states": ["a", "b"], "confirmable": ["a"], "ordering": ["a", "b"], "observations": "hybrid", "field": "z", "dt_seconds": 1.0, "include_smoothing": False}
+        for b in batches:
+            keys = b["n_nationkey"].tolist()
+            agree = [holds(hmm.check_runtime, frozen | {"dt_seconds": 1.0 + k % 2, "field": "x" if k % 3 == 0 else "z"}, frozen) for k in keys]
+            there = [holds(hmm.check_inputs, "continuous", "z", None if k % 5 == 0 else "table", None) for k in keys]
+            yield b.assign(settings_agree=agree, inputs_there=there)
+
+    return read_table(spark, sf_dir, "nation").select("n_nationkey").mapInPandas(rows, "n_nationkey int, settings_agree boolean, inputs_there boolean")

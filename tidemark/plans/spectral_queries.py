@@ -7,7 +7,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import embed, spectra
+from tidemark.operators import embed, spectra, tensor
 from tidemark.plans.registry import query
 from tidemark.sources import latents, simulate
 from tidemark.sources.frames import read_table
@@ -371,3 +371,22 @@ def metric_losses(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", F.expr("vec_id div 256").alias("batch"), "label", (F.col("label") / 10).alias("risk"), F.transform("embedding", lambda v: v.cast("double")).alias("x"))
     out = rows.groupBy("batch").applyInPandas(one, "batch long, triplet double, contrastive double")
     return out.select("batch", F.round("triplet", 6).alias("triplet"), F.round("contrastive", 6).alias("contrastive"))
+
+
+_BLANK = np.linalg.qr(np.vander(np.linspace(-1, 1, CHANNELS), 4))[0].T
+
+
+@query(f"""WITH {_RAW}, {_matrix("free", np.eye(CHANNELS) - _BLANK.T @ _BLANK)}, r AS (SELECT sample_id, free.i AS i, sum(w * y) AS r FROM raw JOIN free ON raw.i = free.j GROUP BY ALL)
+    SELECT sample_id, round(sqrt(sum(r * r)), 6) AS left_over, round(max(r), 6) AS peak FROM r GROUP BY 1""")
+def net_analyte_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of a spectrum outside the subspace of blanks."""
+
+    def rows(batches):
+        import pandas as pd
+
+        for b in batches:
+            r = [tensor.net_analyte(np.asarray(y), _BLANK) for y in b["spectrum"]]
+            yield pd.DataFrame({"sample_id": b["sample_id"], "left_over": [float(np.linalg.norm(x)) for x in r], "peak": [float(x.max()) for x in r]})
+
+    out = spectrum_rows(spark, sf_dir).select("sample_id", "spectrum").mapInPandas(rows, "sample_id long, left_over double, peak double")
+    return out.select("sample_id", F.round("left_over", 6).alias("left_over"), F.round("peak", 6).alias("peak"))

@@ -102,3 +102,23 @@ def json_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "nation").orderBy("n_nationkey").collect()
     sinks.write_json(f"{path}/nations.json", [{"name": r["n_name"], "x": float("nan") if r["n_nationkey"] % 5 == 0 else r["n_nationkey"] / 4} for r in rows])
     return spark.read.schema("name string, x double").option("multiLine", True).json(path)
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def suffix_checked_read(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parquet alone, told by its suffix."""
+    from tidemark.sources.frames import read_parquet_frame
+
+    return read_parquet_frame(spark, f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
+
+
+@query("""SELECT CAST(vec_id AS VARCHAR) AS sample_id, CASE WHEN label < 3 THEN 'hazard' ELSE 'benign' END AS label, len(embedding) AS channels, round(list_sum(list_transform(embedding, lambda x: 0.5 + x::DOUBLE)), 6) AS total FROM embeddings""")
+def npz_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spectra as a NumPy archive in the shared folder, read back without pickles."""
+    from tidemark.plans.spectral_queries import spectrum_rows
+    from tidemark.sources.frames import read_npz
+
+    path = scratch(spark, "sink")
+    sinks.write_npz(spectrum_rows(spark, sf_dir).withColumn("sample_id", F.col("sample_id").cast("string")), f"{path}/spectra.npz")
+    total = F.aggregate("spectrum", F.lit(0.0), lambda a, x: a + x)
+    return read_npz(spark, path).select("sample_id", "label", F.size("spectrum").cast("long").alias("channels"), F.round(total, 6).alias("total"))

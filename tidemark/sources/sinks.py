@@ -40,10 +40,10 @@ def sha256_file(path: str | Path) -> str:
         return hashlib.file_digest(f, "sha256").hexdigest()
 
 
-def put_text(path: str | Path, text: str) -> None:
-    """A small text to a place in any store that Spark knows, or on this machine where the path names no store. It
-    appears under its name when it is whole."""
-    path, data = str(path), text.encode()
+def put(path: str | Path, data: bytes) -> None:
+    """Some bytes to a place in any store that Spark knows, or on this machine where the path names no store. They
+    appear under their name when they are whole."""
+    path = str(path)
     if "://" not in path:
         os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
         with tempfile.NamedTemporaryFile(dir=os.path.dirname(path) or ".", delete=False) as f:
@@ -63,7 +63,7 @@ def put_text(path: str | Path, text: str) -> None:
 
 
 def write_json(path: str | Path, value: Any) -> None:
-    put_text(path, json.dumps(sanitized(value), indent=2, sort_keys=True) + "\n")
+    put(path, (json.dumps(sanitized(value), indent=2, sort_keys=True) + "\n").encode())
 
 
 def append_line(path: str | Path, record: dict) -> None:
@@ -129,10 +129,13 @@ def latex_table(df: DataFrame) -> str:
 
 def write_npz(df: DataFrame, path: str) -> None:
     """Spectra of a small table as a NumPy archive without pickles."""
+    import io
+
     import numpy as np
 
-    rows = _small(df.select("sample_id", "label", "wavelengths", "spectrum"))
+    rows, held = _small(df.select("sample_id", "label", "wavelengths", "spectrum")), io.BytesIO()
     np.savez(
-        path, sample_id=np.array([r["sample_id"] for r in rows], str), label=np.array([r["label"] or "" for r in rows], str),
+        held, sample_id=np.array([r["sample_id"] for r in rows], str), label=np.array([r["label"] or "" for r in rows], str),
         wavelengths=np.array([r["wavelengths"] for r in rows]), spectrum=np.array([r["spectrum"] for r in rows]),
     )
+    put(path, held.getvalue())
