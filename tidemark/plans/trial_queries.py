@@ -524,3 +524,41 @@ def analyte_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     cells = read_table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, probes.CHANNELS)).alias("i", "x"))
     means = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return means.groupBy("label").applyInPandas(one, shape).select("label", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"))
+
+
+def _sinkhorn(scale: float, steps: int) -> str:
+    """SQL of scaling between the centroids of hazard labels and of the others, at scale times the median cost."""
+    return f"""WITH RECURSIVE v AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM v GROUP BY ALL),
+    c AS (SELECT a.label AS h, b.label AS b, sum((a.x - b.x) ** 2) AS c FROM m a JOIN m b USING (i) WHERE a.label < 3 AND b.label >= 3 GROUP BY ALL), e AS (SELECT {scale!r} * median(c) AS eps, count(DISTINCT h) AS n, count(DISTINCT b) AS m FROM c),
+    rows_ AS (SELECT h, list(exp(-c / eps) ORDER BY b) AS k FROM c, e GROUP BY h), cols AS (SELECT b, list(exp(-c / eps) ORDER BY h) AS k FROM c, e GROUP BY b),
+    k AS (SELECT (SELECT list(k ORDER BY h) FROM rows_) AS k, (SELECT list(k ORDER BY b) FROM cols) AS kt, eps, n, m FROM e),
+    it AS (SELECT 0 AS t, list_transform(k, lambda r: 1.0::DOUBLE) AS u, list_transform(kt, lambda r: 1.0::DOUBLE) AS v, k, kt, eps, n, m FROM k
+      UNION ALL SELECT t + 1, w, list_transform(kt, lambda r: 1.0 / m / list_dot_product(r, w)), k, kt, eps, n, m FROM (SELECT *, list_transform(k, lambda r: 1.0 / n / list_dot_product(r, v)) AS w FROM it WHERE t < {steps})),
+    done AS (SELECT * FROM it WHERE t = {steps})"""
+
+
+def _centroids(spark: SparkSession, sf_dir: str):
+    cells = read_table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x")).groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    rows = cells.groupBy("label").agg(F.array_sort(F.collect_list(F.struct("i", "x"))).alias("v")).orderBy("label").collect()  # a row for each label
+    sides = [np.array([[x["x"] for x in r["v"]] for r in rows if (r["label"] < 3) == hazard]) for hazard in (True, False)]
+    return (*sides, transport.squared_cost(*sides))
+
+
+@query(_sinkhorn(0.1, 3000) + """, pairs AS (SELECT h, b, c, row_number() OVER (PARTITION BY b ORDER BY h) AS i, row_number() OVER (PARTITION BY h ORDER BY b) AS j FROM c)
+    SELECT round(sqrt(sum(u[i] * exp(-c / eps) * v[j] * c)), 6) AS distance FROM pairs, done""")
+def transport_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropic transport distance between the centroids of hazard labels and those of the others."""
+    _, _, cost = _centroids(spark, sf_dir)
+    return spark.createDataFrame([(round(transport.sinkhorn_w2(cost, 0.1 * float(np.median(cost)), 40_000), 6),)], "distance double")
+
+
+@query(_sinkhorn(0.5, 3000) + """ SELECT 'hazard' AS side, CAST(unnest(range(n)) AS INTEGER) AS i, round(unnest(list_transform(u, lambda x: eps * (ln(x) - ln(u[1])))), 5) AS potential, true AS certified FROM done
+    UNION ALL SELECT 'benign', CAST(unnest(range(m)) AS INTEGER), round(unnest(list_transform(v, lambda x: eps * (ln(x) + ln(u[1]) + ln(n * m)))), 5), true FROM done""")
+def transport_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certified potentials between the centroids, from Newton steps, with both marginals within the tolerance."""
+    h, b, cost = _centroids(spark, sf_dir)
+    eps = 0.5 * float(np.median(cost))
+    found = transport.potentials(h, b, eps, 1e-10)
+    met = transport.marginal_error(cost, np.array(found["f"]), np.array(found["g"]), eps) <= 1e-9
+    rows = [(side, i, round(x, 5), bool(met)) for side, key in (("hazard", "f"), ("benign", "g")) for i, x in enumerate(found[key])]
+    return spark.createDataFrame(rows, "side string, i int, potential double, certified boolean")
