@@ -50,13 +50,12 @@ def typed_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.common_types(rows)
 
 
-@query("""SELECT vec_id, abs(embedding[1]::DOUBLE - round(embedding[1]::DOUBLE, 2)) <= 1e-12 + 1e-3 * abs(round(embedding[1]::DOUBLE, 2))
-    AND abs(embedding[2]::DOUBLE - round(embedding[2]::DOUBLE, 2)) <= 1e-12 + 1e-3 * abs(round(embedding[2]::DOUBLE, 2)) AS matches FROM embeddings""")
+@query("""SELECT vec_id, bool_and(abs(x - s) <= 1e-12 + 0.2 * abs(s)) AS matches, bool_and(abs(x - s) <= 0.01) AS near FROM (SELECT vec_id, x, round(x, 2) AS s FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x FROM embeddings)) GROUP BY 1""")
 def vector_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Vectors against scalar columns that are rounded values of them, within a relative tolerance."""
-    x = F.transform(F.slice("embedding", 1, 2), lambda v: v.cast("double"))
-    rows = read_table(spark, sf_dir, "embeddings").withColumn("x", x).withColumns({"s0": F.round(F.col("x")[0], 2), "s1": F.round(F.col("x")[1], 2)})
-    return rows.select("vec_id", contracts.vector_matches(F.col("x"), [F.col("s0"), F.col("s1")], rtol=1e-3).alias("matches"))
+    """Vectors against scalar columns that are rounded values of them, within a relative and an absolute tolerance."""
+    rows = read_table(spark, sf_dir, "embeddings").withColumn("x", F.transform("embedding", lambda v: v.cast("double")))
+    scalar = [F.round(F.col("x")[k], 2) for k in range(64)]
+    return rows.select("vec_id", contracts.vector_matches(F.col("x"), scalar, rtol=0.2).alias("matches"), contracts.vector_matches(F.col("x"), scalar, rtol=0.0, atol=0.01).alias("near"))
 
 
 @query(sql("actions", """SELECT sample_id, round(score, 6) AS score, round(score, 6) AS by_risk, CASE WHEN action = 'CONFIRM' THEN 1.0 ELSE 0.0 END AS by_action FROM actions"""))

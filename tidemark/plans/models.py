@@ -125,7 +125,7 @@ def _em_step(model: dict) -> str:
     xi = ", ".join(f"x.f{i} * {float(a[i, j])!r} * {emit(j)} * y.b{j} AS m{i}{j}" for i, j in cells)
     total = " + ".join(f"m{i}{j}" for i, j in cells)
     norm = "(" + " + ".join(f"f{k} * b{k}" for k in n) + ")"
-    prior, near = hmm.dirichlet(len(n)), model["band"]
+    prior, near = hmm.dirichlet(len(n)), len(n) if model["band"] is None else model["band"]
     kept = [(i, j) for i, j in cells if abs(i - j) <= near]
     return f""", xi AS (SELECT {xi} FROM ahead x JOIN behind y ON y.sequence_id = x.sequence_id AND y.n = x.n + 1), moved AS (SELECT {", ".join(f"sum(m{i}{j} / ({total})) AS m{i}{j}" for i, j in cells)} FROM xi),
     g AS (SELECT a.n, obs, {", ".join(f"f{k} * b{k} / {norm} AS g{k}" for k in n)} FROM ahead a JOIN behind USING (sequence_id, n)),
@@ -141,13 +141,24 @@ _OPENING = [f"(SELECT greatest(count(*) FILTER (obs = {k}) / count(*), 1e-12) FR
 @query(sql("regimes", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _walks(hmm.start(), _OPENING) + _em_step(hmm.start()))
 def hmm_em_step(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One step of EM over all sequences: where they start, expected transitions under the band and the prior, emissions."""
-    model, _ = hmm.fit(_observed(spark, sf_dir).drop("z"), iterations=1)
+    return _step_rows(spark, sf_dir, hmm.start())
+
+
+def _step_rows(spark: SparkSession, sf_dir: str, start: dict) -> DataFrame:
+    model, _ = hmm.fit(_observed(spark, sf_dir).drop("z"), iterations=1, model=start)
     rows = [("initial", 0, k, float(p)) for k, p in enumerate(model["initial"])]
+    near = 4 if model["band"] is None else model["band"]
     for part in ("transition", "emission"):
-        rows += [(part, i, j, float(model[part][i, j])) for i in range(4) for j in range(4) if part == "emission" or abs(i - j) <= model["band"]]
+        rows += [(part, i, j, float(model[part][i, j])) for i in range(4) for j in range(4) if part == "emission" or abs(i - j) <= near]
     return spark.createDataFrame(rows, "part string, i int, j int, p double").withColumn("p", F.round("p", 6))
 
 
+@query(sql("regimes", "").rstrip().replace("WITH ", "WITH RECURSIVE ", 1) + ", " + _walks(hmm.start(band=None), _OPENING) + _em_step(hmm.start(band=None)))
+def hmm_unbanded_step(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same step of the unstructured chain: any state may follow any other."""
+    return _step_rows(spark, sf_dir, hmm.start(band=None))
+
+
 @query()
 def hmm_em(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, history = _fitted(_observed(spark, sf_dir))

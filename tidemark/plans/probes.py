@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.keys import seed_for
 from tidemark.plans.audit import first_dose
 
-CHANNELS = 60
+CHANNELS = 64
 
 
 def _shapes():

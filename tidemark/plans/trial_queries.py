@@ -184,12 +184,17 @@ def quality_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(list(experiment.quality_gates(counts, {"customers": 100, "hazards": 10**9, "replays": 1}).items()), "gate string, status string")
 
 
-@query("""WITH RECURSIVE c AS (SELECT c_mktsegment AS g, count(*) AS n, count(*) FILTER (c_acctbal > 9500) AS k FROM customer GROUP BY 1),
-    b AS (SELECT g, n, k, 0 AS step, 0.0::DOUBLE AS la, 1.0::DOUBLE AS lb, 0.0::DOUBLE AS ua, 1.0::DOUBLE AS ub FROM c
+def _exact(source: str) -> str:
+    """SQL of the exact binomial intervals of rows (g, n, k) of a source, as ends (g, n, k, low, high): by halving."""
+    tail = lambda to, p: f"list_sum(list_transform(range(0, {to}), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))))"
+    return f"""halved AS (SELECT g, n, k, 0 AS step, 0.0::DOUBLE AS la, 1.0::DOUBLE AS lb, 0.0::DOUBLE AS ua, 1.0::DOUBLE AS ub FROM {source}
       UNION ALL SELECT g, n, k, step + 1, CASE WHEN 1 - lt < 0.025 THEN (la + lb) / 2 ELSE la END, CASE WHEN 1 - lt < 0.025 THEN lb ELSE (la + lb) / 2 END, CASE WHEN ut > 0.025 THEN (ua + ub) / 2 ELSE ua END, CASE WHEN ut > 0.025 THEN ub ELSE (ua + ub) / 2 END FROM (
-        SELECT *, list_sum(list_transform(range(0, k), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((la + lb) / 2) + (n - i) * ln(1 - (la + lb) / 2)))) AS lt,
-          list_sum(list_transform(range(0, k + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) - lgamma(n - i + 1) + i * ln((ua + ub) / 2) + (n - i) * ln(1 - (ua + ub) / 2)))) AS ut FROM b WHERE step < 45))
-    SELECT g AS c_mktsegment, n AS trials, k AS successes, round(k / n, 6) AS rate, round(CASE WHEN k = 0 THEN 0.0 ELSE la END, 6) AS low, round(CASE WHEN k = n THEN 1.0 ELSE ua END, 6) AS high FROM b WHERE step = 45""")
+        SELECT *, coalesce({tail("k", "((la + lb) / 2)")}, 0) AS lt, coalesce({tail("k + 1", "((ua + ub) / 2)")}, 0) AS ut FROM halved WHERE step < 45)),
+    ends AS (SELECT g, n, k, CASE WHEN k = 0 THEN 0.0 ELSE la END AS low, CASE WHEN k = n THEN 1.0 ELSE ua END AS high FROM halved WHERE step = 45)"""
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT c_mktsegment AS g, count(*) AS n, count(*) FILTER (c_acctbal > 9500) AS k FROM customer GROUP BY 1), {_exact("c")}
+    SELECT g AS c_mktsegment, n AS trials, k AS successes, round(k / n, 6) AS rate, round(low, 6) AS low, round(high, 6) AS high FROM ends""")
 def binomial_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rates with their exact binomial intervals."""
     rows = read_table(spark, sf_dir, "customer").groupBy("c_mktsegment").agg(F.count("*").alias("trials"), F.count_if(F.col("c_acctbal") > 9500).alias("successes"))
@@ -446,11 +451,11 @@ def rendered_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(text, True)], "text string, grounded boolean")
 
 
-@query(r"""WITH r AS (SELECT n_nationkey, n_name, n_nationkey / 7 AS x FROM nation WHERE n_nationkey < 20) SELECT 'markdown' AS kind, '| n_nationkey | n_name | x |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' | ' || printf('%.6f', x) || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS text FROM r
+@query(r"""WITH r AS (SELECT n_nationkey, n_name, n_nationkey / 7 AS x FROM nation) SELECT 'markdown' AS kind, '| n_nationkey | n_name | x |' || chr(10) || '|---|---|---|' || chr(10) || string_agg('| ' || n_nationkey || ' | ' || n_name || ' | ' || printf('%.6f', x) || ' |', chr(10) ORDER BY n_nationkey) || chr(10) AS text FROM r
     UNION ALL SELECT 'latex', '\begin{tabular}{lll}' || chr(10) || '\hline' || chr(10) || 'n\_nationkey & n\_name & x \\' || chr(10) || '\hline' || chr(10) || string_agg(n_nationkey || ' & ' || replace(n_name, '_', '\_') || ' & ' || printf('%.6f', x) || ' \\', chr(10) ORDER BY n_nationkey) || chr(10) || '\hline' || chr(10) || '\end{tabular}' || chr(10) FROM r""")
 def text_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Small tables as Markdown and LaTeX, six decimals, escaped."""
-    rows = read_table(spark, sf_dir, "nation").filter("n_nationkey < 20").select("n_nationkey", "n_name", (F.col("n_nationkey") / 7).alias("x")).orderBy("n_nationkey")
+    rows = read_table(spark, sf_dir, "nation").select("n_nationkey", "n_name", (F.col("n_nationkey") / 7).alias("x")).orderBy("n_nationkey")
     return spark.createDataFrame([("markdown", sinks.markdown_table(rows)), ("latex", sinks.latex_table(rows))], "kind string, text string")
 
 
@@ -521,7 +526,7 @@ def analyte_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
         first, second = probes.read_amounts(x[None, :])
         return pdf.head(1)[["label"]].assign(first=first, second=second)
 
-    cells = read_table(spark, sf_dir, "embeddings").select("label", F.posexplode(F.slice("embedding", 1, probes.CHANNELS)).alias("i", "x"))
+    cells = read_table(spark, sf_dir, "embeddings").select("label", F.posexplode("embedding").alias("i", "x"))
     means = cells.groupBy("label", "i").agg(F.avg(F.col("x").cast("double")).alias("x"))
     return means.groupBy("label").applyInPandas(one, shape).select("label", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"))
 
@@ -562,3 +567,47 @@ def transport_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     met = transport.marginal_error(cost, np.array(found["f"]), np.array(found["g"]), eps) <= 1e-9
     rows = [(side, i, round(x, 5), bool(met)) for side, key in (("hazard", "f"), ("benign", "g")) for i, x in enumerate(found[key])]
     return spark.createDataFrame(rows, "side string, i int, potential double, certified boolean")
+
+
+@query(f"""WITH RECURSIVE c AS (SELECT 'benign' AS g, count(*) AS n, count(*) FILTER (s_acctbal > 9900) AS k FROM supplier UNION ALL SELECT p_brand || '|decade=-2', count(*), count(*) FILTER (p_retailprice > 1400) FROM part GROUP BY p_brand), {_exact("c")}
+    SELECT CASE WHEN (SELECT low FROM ends WHERE g = 'benign') > 0.01 THEN 'UNFAVORABLE' WHEN (SELECT count(*) FROM ends WHERE g <> 'benign' AND n >= 10 AND low >= 0.5) > 0 THEN 'FAVORABLE'
+      WHEN (SELECT bool_and(n >= 10 AND high <= 0.25) FROM ends WHERE g <> 'benign') THEN 'UNFAVORABLE' ELSE 'INCONCLUSIVE' END AS verdict, count(*) FILTER (g <> 'benign') AS cells FROM ends""")
+def progression_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict from counts: false positives among benign sequences, and detections in each cell of targets."""
+    benign = read_table(spark, sf_dir, "supplier").agg(F.count_if(F.col("s_acctbal") > 9900), F.count("*")).first()
+    cells = read_table(spark, sf_dir, "part").groupBy("p_brand").agg(F.count_if(F.col("p_retailprice") > 1400).alias("k"), F.count("*").alias("n")).collect()  # a row for each brand
+    found = {f"{r['p_brand']}|decade=-2": (r["k"], r["n"]) for r in cells}
+    return spark.createDataFrame([(experiment.progression(tuple(benign), found, 120), len(found))], "verdict string, cells long")
+
+
+_TWO = "x AS (SELECT l_orderkey, l_linenumber, l_returnflag = 'R' AS y, l_quantity / 50 AS a, l_extendedprice / 100000 AS b FROM lineitem)"
+
+
+def _two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as spectra of two channels."""
+    return read_table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", (F.col("l_returnflag") == "R").alias("y"), F.array(F.col("l_quantity") / 50, F.col("l_extendedprice") / 100000).alias("spectrum"))
+
+
+@query(f"""WITH {_TWO}, m AS (SELECT y, avg(a) AS a, avg(b) AS b, var_samp(a) AS aa, var_samp(b) AS bb, covar_samp(a, b) AS ab FROM x GROUP BY y), p AS (SELECT h, n FROM m h, m n WHERE h.y AND NOT n.y)
+    SELECT round(sqrt((h.a - n.a) ** 2 + (h.b - n.b) ** 2 + greatest(h.aa + h.bb + n.aa + n.bb - 2 * sqrt(h.aa * n.aa + 2 * h.ab * n.ab + h.bb * n.bb + 2 * sqrt((h.aa * h.bb - h.ab ** 2) * (n.aa * n.bb - n.ab ** 2))), 0)), 4) AS distance FROM p""")
+def gaussian_distance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Transport distance of two Gaussians with the classes' moments; SQL has the closed form for two dimensions."""
+    from tidemark.operators.spectra import scatter
+
+    moments = []
+    for y in (True, False):
+        n, total, outer = scatter(_two(spark, sf_dir).filter(F.col("y") == y), "spectrum")
+        moments += [total / n, (outer - np.outer(total, total) / n) / (n - 1)]
+    return spark.createDataFrame([(round(transport.gaussian_w2(*moments), 4),)], "distance double")
+
+
+@query(f"""WITH {_TWO}, c AS (SELECT avg(a) AS a, avg(b) AS b, 0.9 * var_samp(a) + 0.1 * (var_samp(a) + var_samp(b)) / 2 + 1e-12 AS aa, 0.9 * var_samp(b) + 0.1 * (var_samp(a) + var_samp(b)) / 2 + 1e-12 AS bb, 0.9 * covar_samp(a, b) AS ab FROM x WHERE NOT y),
+    w AS (SELECT a, b, (bb - 0.5 * ab) / (aa * bb - ab * ab) AS u, (0.5 * aa - ab) / (aa * bb - ab * ab) AS v FROM c)
+    SELECT l_orderkey, l_linenumber, round(((x.a - w.a) * u + (x.b - w.b) * v) / sqrt(u + 0.5 * v), 5) AS score FROM x, w""")
+def whitened_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched filter in the shrunk covariance of one class, applied to all; SQL inverts it for two channels."""
+    from tidemark.operators.spectra import apply_filter, whitened_filter
+
+    rows = _two(spark, sf_dir)
+    out = apply_filter(rows, whitened_filter(rows.filter("NOT y"), np.array([1.0, 0.5])))
+    return out.select("l_orderkey", "l_linenumber", F.round("filter_score", 5).alias("score"))
