@@ -202,7 +202,9 @@ def test_settle_keeps_expectations_and_the_sum():
 
 @pytest.mark.parametrize("block", [4096, 7])
 def test_mix_meets_targets(spark, monkeypatch, block):
-    """With small blocks the reduction tree has several levels. The rule is the same."""
+    """With small blocks the reduction tree has several levels; tables of sources too large to be sent are joined. The
+    rule is the same."""
+    monkeypatch.setattr(mixing, "SENT", 100_000 if block > 7 else 1)
     monkeypatch.setattr(mixing, "BLOCK", block)
     monkeypatch.setattr(mixing, "FAN", 3)
     rng = random.Random(3)

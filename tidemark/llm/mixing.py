@@ -41,6 +41,8 @@ FAN = 256
 MOST = 3.0
 #: Copies of one row that are written by one task, about.
 RUN = 4096
+#: Rows of a table of sources, about 50 bytes each, up to which it is sent to every executor; larger ones are joined.
+SENT = 100_000
 _EPS = 1e-9
 
 
@@ -140,7 +142,7 @@ def _round_grade(units: DataFrame, found: list, fractions: dict[int, float], rat
     """Units of one grade: (rounded in blocks, what the tree decided, the last residual of each source)."""
     spark = units.sparkSession
     known = [(r["sid"], fractions[r["sid"]], int(rates[r["sid"]]), max(1, -(-r["units"] // BLOCK))) for r in found]
-    known = spark.createDataFrame(known, "sid int, f double, base int, blocks long")  # a row for each source, joined as its size allows
+    known = _sized(spark, known, "sid int, f double, base int, blocks long")  # a row for each source
     mass = F.col("n") * F.col("f")
     dealt = units.join(known, "sid").select(
         "doc_id", "h", "g", "sid", "size", "n", "base", F.floor(mass + _EPS).alias("whole"),
@@ -161,6 +163,12 @@ def _round_grade(units: DataFrame, found: list, fractions: dict[int, float], rat
     return level, decided, nodes.select("sid", "block", "weight", "p").collect()  # one row for each source at most
 
 
+def _sized(spark, rows: list, shape: str) -> DataFrame:
+    """A table of sources, for a join: sent out whole where it is small."""
+    df = spark.createDataFrame(rows, shape)
+    return F.broadcast(df) if len(rows) <= SENT else df
+
+
 def _rounded(docs: DataFrame, weights, most: float) -> tuple[DataFrame, DataFrame | None]:
     """Units: doc_id, h, g, size, n (equal rows), base (copies of each), more (those that have one more), sid; and
     known: sid, source_size and target of each source. (known is None for an empty table.)"""
@@ -179,7 +187,7 @@ def _rounded(docs: DataFrame, weights, most: float) -> tuple[DataFrame, DataFram
     rates = {i: a / s if s else 0.0 for i, (a, s) in enumerate(zip(aims, sizes))}
     if not names:
         return rows.select("doc_id", "h", "g", "size", "n", F.lit(0).alias("base"), F.lit(0).cast("long").alias("more"), F.lit(0).alias("sid")), None
-    of_source = spark.createDataFrame(list(enumerate(names)), "sid int, name string")
+    of_source = _sized(spark, list(enumerate(names)), "sid int, name string")
     rows = rows.join(of_source, F.col("source").eqNullSafe(F.col("name"))).drop("source", "name")
     first = {i: r - int(r) for i, r in rates.items()}
     fractions, pools, parts = dict(first), dict(enumerate(sizes)), []
@@ -194,12 +202,12 @@ def _rounded(docs: DataFrame, weights, most: float) -> tuple[DataFrame, DataFram
         for r in last:
             up, fractions[r["sid"]] = settle(r["p"], r["weight"], fractions[r["sid"]], float(pools[r["sid"]]), _draws("mix", r["sid"], grade))
             settled.append((r["sid"], r["block"], up))
-        at_root = spark.createDataFrame(settled, "sid int, block long, up int")
+        at_root = _sized(spark, settled, "sid int, block long, up int")
         more = (F.col("whole") + F.col("up")).alias("more")
         out = ["doc_id", "h", "g", "size", "n", "base", more, "sid"]
         parts.append(level.filter("up >= 0").select(*out))
         parts += [level.filter("up < 0").drop("up").join(x, ["sid", "block"]).select(*out) for x in (*decided, at_root)]
-    known = spark.createDataFrame([(i, sizes[i], aims[i]) for i in range(len(names))], "sid int, source_size long, target double")
+    known = _sized(spark, [(i, sizes[i], aims[i]) for i in range(len(names))], "sid int, source_size long, target double")
     return reduce(DataFrame.union, parts), known
 
 
