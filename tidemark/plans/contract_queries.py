@@ -58,7 +58,7 @@ def vector_reconciliation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("vec_id", contracts.vector_matches(F.col("x"), scalar, rtol=0.2).alias("matches"), contracts.vector_matches(F.col("x"), scalar, rtol=0.0, atol=0.01).alias("near"))
 
 
-@query(sql("actions", """SELECT sample_id, round(score, 6) AS score, round(score, 6) AS by_risk, CASE WHEN action = 'CONFIRM' THEN 1.0 ELSE 0.0 END AS by_action FROM actions"""))
+@query(sql("actions", """SELECT sample_id, round(score, 6) AS score, round(score, 6) AS by_risk, CASE WHEN action = 'CONFIRM' THEN 1.0 ELSE 0.0 END::DOUBLE AS by_action FROM actions"""))
 def score_defaulting(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The column that scores an action table, from what there is: a score, a risk, or the action alone."""
     from tidemark.plans.alarms import action_frames
@@ -184,11 +184,11 @@ def ids_and_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", keys.padded("seq_", F.col("doc_id"), 6).alias("padded"), F.sha2(canonical, 256).alias("json_hash"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_hash"))
 
 
-@query("SELECT event_id, CASE WHEN event_id % 2 = 0 THEN [event_type, 'X'] ELSE [event_type, 'Y'] END AS codes FROM events")
+@query("SELECT event_id, event_type || CASE WHEN event_id % 2 = 0 THEN '|X' ELSE '|Y' END AS codes, 2 AS n FROM events")
 def reason_code_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes from a JSON list or from text with separators; blank ones go."""
     text = F.when(F.col("event_id") % 2 == 0, F.concat(F.lit('["'), "event_type", F.lit('","X"]'))).otherwise(F.concat("event_type", F.lit("; ,Y")))
-    return read_table(spark, sf_dir, "events").select("event_id", scalars.reason_codes(text).alias("codes"))
+    return read_table(spark, sf_dir, "events").select("event_id", F.array_join(scalars.reason_codes(text), "|").alias("codes"), F.size(scalars.reason_codes(text)).alias("n"))
 
 
 @query(sql("frames", """SELECT sample_id, CASE WHEN k IS NULL THEN 'bad' ELSE 'object' END AS root, CASE WHEN score <= 300 THEN round(score, 6) END AS clean, round(least(greatest(score, 10.0), 100.0), 6) AS clipped

@@ -210,12 +210,12 @@ def zero_failure_floors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH m AS (SELECT o_custkey, bool_or(o_orderstatus = 'F') AS t, lpad(CAST(o_custkey AS VARCHAR), 9, '0') AS sample_id, o_custkey % 3 <> 0 AS says FROM orders GROUP BY o_custkey)
-    SELECT list(sample_id ORDER BY sample_id) FILTER (t <> says)[1:5] AS examples, count(*) AS n_rows, count(*) FILTER (t <> says) AS n_mismatch, round(avg(CASE WHEN t <> says THEN 1.0 ELSE 0.0 END), 6) AS rate FROM m""")
+    SELECT array_to_string(list(sample_id ORDER BY sample_id) FILTER (t <> says)[1:5], ',') AS examples, count(*) AS n_rows, count(*) FILTER (t <> says) AS n_mismatch, round(avg(CASE WHEN t <> says THEN 1.0 ELSE 0.0 END), 6) AS rate FROM m""")
 def label_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labels against what the mixture holds: mismatches, their rate, and the first five."""
     rows = read_table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderstatus").alias("c")).withColumn("sample_id", F.lpad(F.col("o_custkey").cast("string"), 9, "0"))
     out = audit.label_integrity(rows, F.col("c"), ["F"], F.when(F.col("o_custkey") % 3 != 0, "hazard").otherwise("benign"))
-    return out.select("examples", "n_rows", "n_mismatch", F.round("rate", 6).alias("rate"))
+    return out.select(F.array_join("examples", ",").alias("examples"), "n_rows", "n_mismatch", F.round("rate", 6).alias("rate"))
 
 
 _SIGNAL = "sig AS (SELECT event_id, event_type = 'error' AS y, value AS d, CASE WHEN event_type = 'error' THEN value / 50 ELSE 0 END + (event_id * 7919 % 1000) / 500 AS s FROM events)"
