@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, katz, linededup, mixing, quality, sharding, simhash, tokenids, toxicity
+from tidemark.llm import chat, decontam, interaction, katz, linededup, mixing, quality, sharding, simhash, tokenids, toxicity
 from tidemark.llm.common import table
 
 
@@ -57,11 +57,16 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(table(spark, sf_dir, "documents"))
 
 
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_quality_rules, op2_benchmark_decontamination, op3_katz_backoff, op4_token_ids, op5_line_dedup,
         op6_toxicity, op7_sharding, op8_chat_formatting, op9_mixing, op10_simhash,
+        op13_filter_interaction_audit,
     )
 }
 
@@ -84,6 +89,22 @@ ORACLES: dict[str, str] = {
         kept AS (SELECT k, string_agg(e.line, chr(10) ORDER BY place) AS text, count(*) AS n FROM each e WHERE trim(e.line, {_WHITE}) NOT IN (SELECT line FROM bad) GROUP BY k)
         SELECT doc_id, CASE WHEN all_lines IS NOT NULL THEN coalesce(kept.text, '') END AS text, CAST(coalesce(len(all_lines), 0) AS BIGINT) AS n_lines,
         CAST(coalesce(len(all_lines), 0) - coalesce(n, 0) AS BIGINT) AS n_removed FROM lines LEFT JOIN kept USING (k)""",
+    "op13_filter_interaction_audit": r"""WITH texts AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        rows AS (SELECT t.*, coalesce(quality = 1, false) AS good, coalesce(l.toxic = 1, false) AS toxic, len(w) < 200 AS a, 100 * len(list_distinct(w)) < 50 * len(w) AS b,
+          100 * len(regexp_replace(text, '[^A-Z]+', '', 'g')) > 3 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d, coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e
+          FROM texts t LEFT JOIN labels l USING (doc_id)),
+        failing AS (SELECT part, CASE WHEN a THEN 'A' ELSE '' END || CASE WHEN b THEN 'B' ELSE '' END || CASE WHEN c THEN 'C' ELSE '' END || CASE WHEN d THEN 'D' ELSE '' END || CASE WHEN e THEN 'E' ELSE '' END AS fails,
+          count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM rows GROUP BY ALL),
+        letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x),
+        orders5 AS (SELECT p.x || q.x || r.x || s.x || t.x AS filter_order FROM letters p, letters q, letters r, letters s, letters t
+          WHERE len(list_distinct([p.x, q.x, r.x, s.x, t.x])) = 5),
+        steps AS (SELECT filter_order, step, substr(filter_order, step, 1) AS own, substr(filter_order, 1, step - 1) AS before FROM orders5, (SELECT unnest([1, 2, 3, 4, 5])::INTEGER AS step)),
+        hits AS (SELECT *, len(regexp_replace(before, '[^' || fails || '_]', '', 'g')) > 0 AS earlier, contains(fails, own) AS hit FROM steps, failing),
+        counted AS (SELECT part, filter_order, step, own, sum(n) FILTER (NOT earlier AND NOT hit) AS kept, sum(n) FILTER (hit AND NOT earlier) AS removed, sum(n) FILTER (hit AND earlier) AS redundant,
+          sum(n) FILTER (fails = own) AS unique_fails, sum(good) FILTER (hit AND NOT earlier) AS good_lost, sum(toxic) FILTER (hit AND NOT earlier) AS toxic_lost FROM hits GROUP BY ALL)
+        SELECT part, filter_order, step, CAST(coalesce(kept, 0) AS BIGINT) AS kept, CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+        CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost, CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+        CAST(coalesce(sum(removed) OVER (PARTITION BY part, own), 0) AS BIGINT) AS shapley FROM counted""",
     "op8_chat_formatting": f"""WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
           UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
         placed AS (SELECT *, length({_escaped("role")}) + length({_escaped("text")}) + {len(chat.TURN + chat.SAYS + chat.END)} AS shown,
