@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import chat, decontam, interaction, katz, linededup, mixing, quality, sharding, simhash, tokenids, toxicity
-from tidemark.llm.common import table
+from tidemark.llm import chat, decontam, interaction, katz, linededup, mixing, quality, runs, secrets, sharding, simhash, tokenids, toxicity
+from tidemark.llm.common import shared_dir, table, words
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,6 +58,41 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.components_of(table(spark, sf_dir, "documents"))
 
 
+def op11_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ledger = secrets.Ledger(spark, f"{shared_dir(spark)}/ledger-{uuid.uuid4().hex}")
+    ledger.update(docs)
+
+    def count(rule: str):
+        return F.size(F.filter("spans", lambda s: s["rule"] == rule)).cast("long").alias(f"n_{rule}")
+
+    def listed(spans):
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["rule"], s["start"], s["end"])), ",")
+
+    base = F.filter("spans", lambda s: s["rule"].isin("assign", "access", "hex"))
+    return ledger.by_path(docs).select("doc_id", count("assign"), count("access"), count("hex"), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def planted_periods(docs: DataFrame) -> DataFrame:
+    """doc_id and text; where the id's hash says so, the words from one place on repeat a stretch of them."""
+    h, g = "crc32(CAST(CAST(doc_id AS STRING) AS BINARY))", "g"
+    rows = docs.select("doc_id", "text", F.expr(f"{h} div 10").alias("g"), F.expr(f"{h} % 10").alias("d"), words(F.col("text")).alias("w"))
+    rows = rows.withColumn("n", F.size("w")).withColumn("a", F.expr("CAST(g % n AS INT)")).withColumn("p", F.expr(f"CAST(1 + (n - a) div (3 + {g} % 8) AS INT)"))
+    again = F.expr("array_join(concat(slice(w, 1, a), transform(sequence(a, n - 1), i -> w[a + (i - a) % p])), ' ')")
+    return rows.select("doc_id", F.when((F.col("d") == 0) & (F.col("n") > 0), again).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(planted_periods(table(spark, sf_dir, "documents")))
+    top = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("back"), (-r["period"]).alias("less"))))
+    start, length, period = -F.col("top.back"), F.col("top.length"), -F.col("top.less")
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"), F.floor(1000 * length / period).alias("exponent_milli"),
+        F.sha2(lines, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return interaction.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -66,7 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_quality_rules, op2_benchmark_decontamination, op3_katz_backoff, op4_token_ids, op5_line_dedup,
         op6_toxicity, op7_sharding, op8_chat_formatting, op9_mixing, op10_simhash,
-        op13_filter_interaction_audit,
+        op11_secret_ledger, op12_periodic_runs, op13_filter_interaction_audit,
     )
 }
 
@@ -82,7 +118,26 @@ def _escaped(column: str) -> str:
     return out
 
 
+def _rule_sql(n: int, rule: secrets.Rule) -> str:
+    """All matches of one rule with their places: the text is cut at marks put around each match."""
+    pattern = rule.pattern.replace("'", "''")
+    enough = f"length(regexp_extract(m, '{pattern}', {rule.group})) >= {rule.least}"
+    return f"""SELECT k, {n} AS n, '{rule.name}' AS rule, before AS start, before + length(m) AS stop FROM (
+        SELECT k, nr, split_part(piece, chr(2), 1) AS m, sum(length(piece) - CASE WHEN nr > 1 THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY nr ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+        FROM (SELECT k, unnest(p) AS piece, generate_subscripts(p, 1) AS nr FROM (SELECT k, string_split(regexp_replace(text, '({pattern})', chr(1) || '\\1' || chr(2), 'g'), chr(1)) AS p FROM texts)))
+        WHERE nr > 1 AND {enough}"""
+
+
+_BASE = "rule IN ('assign', 'access', 'hex')"
+
 ORACLES: dict[str, str] = {
+    "op11_secret_ledger": f"""WITH texts AS (SELECT row_number() OVER () AS k, doc_id, coalesce(text, '') AS text FROM documents),
+        spans AS ({" UNION ALL ".join(_rule_sql(n, r) for n, r in enumerate(secrets.RULES))}),
+        shown AS (SELECT *, rule || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT) AS span FROM spans),
+        found AS (SELECT k, count(*) FILTER (rule = 'assign') AS n_assign, count(*) FILTER (rule = 'access') AS n_access, count(*) FILTER (rule = 'hex') AS n_hex,
+          string_agg(span, ',' ORDER BY start, n) FILTER ({_BASE}) AS base, string_agg(span, ',' ORDER BY start, n) AS spans FROM shown GROUP BY k)
+        SELECT doc_id, CAST(coalesce(n_assign, 0) AS BIGINT) AS n_assign, CAST(coalesce(n_access, 0) AS BIGINT) AS n_access, CAST(coalesce(n_hex, 0) AS BIGINT) AS n_hex,
+        sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM texts LEFT JOIN found USING (k)""",
     "op5_line_dedup": f"""WITH lines AS (SELECT doc_id, row_number() OVER () AS k, source, string_split(text, chr(10)) AS all_lines FROM documents),
         each AS (SELECT k, source, unnest(all_lines) AS line, generate_subscripts(all_lines, 1) AS place FROM lines),
         bad AS (SELECT trim(line, {_WHITE}) AS line FROM each WHERE trim(line, {_WHITE}) <> '' GROUP BY 1 HAVING count(DISTINCT coalesce(source, chr(1))) >= {linededup.SPREAD}),
