@@ -26,6 +26,13 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def materialize(df: DataFrame, name: str) -> DataFrame:
+    """df written to the shared folder and read again: computed once, whatever executor is lost."""
+    path = scratch(df.sparkSession, name)
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as frames: the user is the sequence, time is seconds, errors are hazards."""
     return as_frames(read_table(spark, sf_dir, "events"))
