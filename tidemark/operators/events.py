@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.functions.scalars import finite
-from tidemark.operators.ranges import cumulative, text_key
+from tidemark.operators.quantiles import attach, quantiles
+from tidemark.operators.ranges import cumulative, kept, text_key
 from tidemark.operators.windows import in_order, remaining_time, toggle_rates, with_islands
 
 
@@ -66,13 +67,15 @@ def event_rates(events: DataFrame, by: list[str] = (), empty_fcr: float | None =
     benign, hazard = ~F.col("is_hazard"), F.col("is_hazard")
     ttc = F.when(hazard & F.col("pred_confirmed"), F.col("confirm_timestamp") - F.col("start_timestamp"))
     late = F.when(benign & F.col("pred_confirmed"), F.col("confirm_timestamp") - F.col("start_timestamp"))
+    by = list(by)
+    events = kept(events.select(*by, "is_hazard", "pred_confirmed", "is_flicker", ttc.alias("__ttc"), late.alias("__late")))
     rows = events.groupBy(*by).agg(
         F.count("*").alias("n_events"), F.count_if(hazard).alias("n_hazard_events"), F.count_if(benign).alias("n_benign_events"),
         F.count_if(benign & F.col("pred_confirmed")).alias("benign_confirmed"), F.count_if(hazard & F.col("pred_confirmed")).alias("hazard_confirmed"),
         F.count_if(F.col("is_flicker") & F.col("pred_confirmed")).alias("flicker_confirm_count"),
-        F.percentile(ttc, 0.5).alias("median_ttc"), (F.percentile(ttc, 0.75) - F.percentile(ttc, 0.25)).alias("iqr_ttc"),
-        F.percentile(late, 0.5).alias("false_confirm_latency_median"),
     )
+    rows = attach(attach(rows, quantiles(events, "__ttc", [0.25, 0.5, 0.75], by), by, "__t"), quantiles(events, "__late", [0.5], by), by, "__l")
+    rows = rows.withColumns({"median_ttc": F.col("__t")[1], "iqr_ttc": F.col("__t")[2] - F.col("__t")[0], "false_confirm_latency_median": F.col("__l")[0]}).drop("__t", "__l")
     missed = None if empty_mcr is None else 1 - empty_mcr
     return rows.withColumns({
         "fcr": _share(F.col("benign_confirmed"), F.col("n_benign_events"), empty_fcr),

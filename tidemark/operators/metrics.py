@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.operators.quantiles import attach, quantile_values, quantiles
 from tidemark.operators.ranges import cumulative, positions
 
 
@@ -75,7 +76,7 @@ def concordance(df: DataFrame, prediction: str, target: str) -> DataFrame:
 
 def calibration_bins(df: DataFrame, prediction: str, target: str, bins: int = 10) -> DataFrame:
     """Means by quantile bins of the prediction; the last is closed, empty ones are left out."""
-    edges = df.agg(F.percentile(prediction, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0]
+    edges = quantile_values(df, prediction, [i / bins for i in range(bins + 1)])
     p, which = F.col(prediction), None
     for i in range(bins):
         inside = (p >= edges[i]) & ((p < edges[i + 1]) if i < bins - 1 else (p <= edges[i + 1]))
@@ -86,8 +87,8 @@ def calibration_bins(df: DataFrame, prediction: str, target: str, bins: int = 10
 
 
 def five_numbers(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    q = F.percentile(value, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"), q.alias("q"))
+    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.min(value).alias("min"), F.max(value).alias("max"), F.avg(value).alias("mean"))
+    out = attach(out, quantiles(df, value, [0.25, 0.5, 0.75], by), by)
     return out.select(*by, "n", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q75"), "max", "mean")
 
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tidemark.sources.frames import materialize
+
 ROWS = 1_000_000
 #: Ranges at most: the cuts are a literal in the plan.
 MOST = 4096
@@ -21,7 +23,11 @@ def text_key(text: Column) -> Column:
 
 
 def _cuts(rows: DataFrame, key: Column) -> list:
-    n = rows.count()
+    return cuts_of(rows, key, rows.count())
+
+
+def cuts_of(rows: DataFrame, key: Column, n: int) -> list:
+    """Cuts of the key, the least of each range but the first, for ranges of about ROWS rows of n."""
     parts = min(-(-n // ROWS), MOST)
     if parts < 2:
         return []
@@ -29,6 +35,11 @@ def _cuts(rows: DataFrame, key: Column) -> list:
     return sorted({c for c in rows.agg(F.percentile_approx(key, asked, F.lit(10 * parts))).first()[0] or [] if c is not None})
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the shared folder, as several jobs read it."""
+    return materialize(df, "ranges")
+
+
 def range_of(key: Column, cuts: list) -> Column:
     """How many cuts lie below the key, by halving; the same for equal keys."""
     if not cuts:

@@ -8,6 +8,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.operators.quantiles import quantile_values
+
 LABELS = ("trusted", "ambiguous", "degraded", "high_risk")
 QUANTILES = (0.5, 0.75, 0.9)
 VERSION = "regime_model.v1"
@@ -15,7 +17,7 @@ VERSION = "regime_model.v1"
 
 def fit_boundaries(frames: DataFrame, distance: str, hazard: Column, quantiles=QUANTILES) -> tuple[float, ...]:
     """Exact interpolated quantiles of the hazards' distance. A small distance is hazard-like."""
-    row = frames.filter(hazard).agg(F.percentile(distance, F.array(*[F.lit(q) for q in quantiles]))).first()[0]
+    row = quantile_values(frames.filter(hazard), distance, list(quantiles))
     if row is None:
         raise ValueError("no hazard rows to fit boundaries to")
     return tuple(row)

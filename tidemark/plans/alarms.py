@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import keys, scalars
 from tidemark.operators import contracts, events, folds, metrics, regimes, windows
+from tidemark.operators.quantiles import quantiles
 from tidemark.plans.registry import query, sql
 from tidemark.sources.frames import event_frames
 
@@ -94,8 +95,7 @@ def split_leakage_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(sql("cuts", "SELECT round(c1, 6) AS trusted, round(c2, 6) AS ambiguous, round(c3, 6) AS degraded FROM cuts"))
 def regime_boundaries(spark: SparkSession, sf_dir: str) -> DataFrame:
     train = split_frames(spark, sf_dir).filter((F.col("split") == "train") & _hazard())
-    q = F.percentile("score", F.array(*[F.lit(x) for x in regimes.QUANTILES]))
-    return train.agg(q.alias("q")).select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("trusted", "ambiguous", "degraded"))])
+    return quantiles(train, "score", regimes.QUANTILES).select(*[F.round(F.col("q")[i], 6).alias(n) for i, n in enumerate(("trusted", "ambiguous", "degraded"))])
 
 
 @query(sql("regimes", "SELECT sample_id, regime_label, round(risk_score, 6) AS risk_score FROM regimes"))
@@ -227,8 +227,7 @@ def five_number_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(sql("frames", """SELECT quantile_cont(score, 0.0) AS q0, round(quantile_cont(score, 0.25), 6) AS q25, round(quantile_cont(score, 0.5), 6) AS q50, round(quantile_cont(score, 0.75), 6) AS q75, quantile_cont(score, 1.0) AS q100 FROM frames"""))
 def quantile_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    q = F.percentile("score", F.array(*[F.lit(x) for x in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    out = event_frames(spark, sf_dir).agg(q.alias("q"))
+    out = quantiles(event_frames(spark, sf_dir), "score", [0.0, 0.25, 0.5, 0.75, 1.0])
     return out.select(F.col("q")[0].alias("q0"), *[F.round(F.col("q")[i], 6).alias(n) for i, n in ((1, "q25"), (2, "q50"), (3, "q75"))], F.col("q")[4].alias("q100"))
 
 

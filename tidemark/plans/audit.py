@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tidemark.operators import metrics
+from tidemark.operators.quantiles import attach, quantile_values, quantiles
 
 POOLED = "pooled"
 
@@ -39,7 +40,7 @@ def label_integrity(frames: DataFrame, components: Column, hazards: list[str], l
 
 
 def quantile_edges(df: DataFrame, value: str, bins: int) -> list[float]:
-    return list(df.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)]))).first()[0])
+    return quantile_values(df, value, [i / bins for i in range(bins + 1)])
 
 
 def detectability_bins(frames: DataFrame, strength: str, score: str, positive: Column, bins: int, gate: float) -> DataFrame:
@@ -102,8 +103,10 @@ def ground_truth(frames: DataFrame, latents: Column, mixture: Column, hazards: l
     own = frames.select("sequence_id", "sample_id", "timestamp", "clipping_fraction", conc.alias("c"), F.array_intersect(mix["components"], F.array(*map(F.lit, hazards))).alias("t"))
     out = own.groupBy("sequence_id").agg(
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("targets"), F.exp(F.avg(F.ln("c"))).alias("concentration"),
-        F.max("clipping_fraction").alias("max_clipping"), F.percentile("clipping_fraction", 0.5).alias("median_clipping"), F.count("*").alias("n_frames"),
+        F.max("clipping_fraction").alias("max_clipping"), F.count("*").alias("n_frames"),
     )
+    out = attach(out, quantiles(frames, "clipping_fraction", [0.5], ["sequence_id"]), ["sequence_id"])
+    out = out.withColumn("median_clipping", F.col("q")[0]).drop("q")
     decade = F.floor(F.log10("concentration") + 1e-12).cast("int")
     return out.withColumns({"identity": F.when(F.size("targets") == 0, "none").otherwise(F.array_join("targets", "+")), "decade": decade})
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import split_of
 from tidemark.operators import cone, density, embed, events, folds, hmm, resample, spectra, tensor, transport, windows
+from tidemark.operators.quantiles import quantile_values
 from tidemark.plans import alarms
 from tidemark.plans.registry import query, sql
 from tidemark.sources import simulate
@@ -327,7 +328,7 @@ def chain_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mixture and chain densities of hazard-rich and other sequences, fitted to all training sequences, scored on all."""
     frames = _observed(spark, sf_dir).drop("obs")
     share = frames.groupBy("sequence_id").agg(F.avg((F.col("label") == "hazard").cast("double")).alias("share")).filter(split_of(F.col("sequence_id")) == "train")
-    cut = share.agg(F.percentile("share", 0.5)).first()[0]
+    cut = quantile_values(share, "share", [0.5])[0]
     train = frames.join(share, "sequence_id")
     sides = [train.filter(F.col("share") > cut), train.filter(F.col("share") <= cut)]
     models = {arm: tuple(density.fit_frames(side, 1, arm == "chain") for side in sides) for arm in ("mixture", "chain")}

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.scalars import float_text
+from tidemark.operators.quantiles import attach, quantiles
 
 FORBIDDEN = ("guaranteed", "certain threat", "100% accurate")
 OPERATOR = "# Operator report\n\nRows: {{ n_rows }} in {{ n_sequences }} sequences, from {{ first_time }} to {{ last_time }}.\nConfirmed: {{ n_confirm }}. Rescans: {{ n_rescan }}.\nLatest action: {{ latest_action }} on {{ latest_sample }}.\n"
@@ -31,7 +32,8 @@ def summary(actions: DataFrame) -> DataFrame:
 def shift_summary(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
     """Count, mean, median and deviation of a value by groups."""
     v = F.col(value)
-    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.percentile(v, 0.5).alias("median"), F.stddev_pop(v).alias("std"))
+    out = rows.groupBy(*by).agg(F.count("*").alias("n"), F.avg(v).alias("mean"), F.stddev_pop(v).alias("std"))
+    out = attach(out, quantiles(rows, value, [0.5], by), by).withColumn("median", F.col("q")[0])
     return out.select(*by, "n", *[F.round(c, 6).alias(c) for c in ("mean", "median", "std")])
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import cone, density, events, metrics, regimes, resample, transport, windows
+from tidemark.operators.quantiles import attach, quantiles
 from tidemark.plans import alarms, audit, experiment, probes, report
 from tidemark.plans.registry import query, sql
 from tidemark.plans.spectral_queries import CHANNELS, GRID, _matrix, _table
@@ -271,8 +272,9 @@ def lowest_passing_level(spark: SparkSession, sf_dir: str) -> DataFrame:
     WHEN c >= 0.8 AND r >= 0.8 THEN 'both_present' ELSE 'inconclusive' END AS verdict FROM (SELECT c_nationkey, count(*) AS n, count(*) FILTER (c_acctbal < -980) AS bad, avg(c_acctbal) / 6500 AS c, median(c_acctbal) / 7000 AS r FROM customer GROUP BY 1)""")
 def ceiling_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict tree over one summary row for each nation."""
-    rows = read_table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(
-        F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < -980).alias("bad"), (F.avg("c_acctbal") / 6500).alias("c"), (F.percentile("c_acctbal", 0.5) / 7000).alias("r"))
+    customers = read_table(spark, sf_dir, "customer")
+    rows = customers.groupBy("c_nationkey").agg(F.count("*").alias("n"), F.count_if(F.col("c_acctbal") < -980).alias("bad"), (F.avg("c_acctbal") / 6500).alias("c"))
+    rows = attach(rows, quantiles(customers, "c_acctbal", [0.5], ["c_nationkey"]), ["c_nationkey"]).withColumn("r", F.col("q")[0] / 7000)
     s = rows.select(
         "c_nationkey", F.when(F.col("bad") > 1, 1).otherwise(0).alias("n_mismatch"), (F.col("n") < 45).alias("underpowered"), F.col("c").alias("ceiling_auc"), (F.col("c") - 0.1).alias("ceiling_low"), (F.col("c") + 0.1).alias("ceiling_high"),
         F.col("r").alias("raw_auc"), (F.col("r") - 0.02).alias("raw_low"), (F.col("n") % 2 == 0).alias("tracks"), (F.col("n") % 3 == 0).alias("only_highest_pass"),
