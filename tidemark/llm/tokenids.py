@@ -16,11 +16,9 @@ columns are not read. Words of any length are encoded whole; a very long text ta
 
 from __future__ import annotations
 
-import json
-import re
 import uuid
 import zlib
-from unicodedata import category, is_normalized
+from itertools import chain
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +28,6 @@ from tidemark.llm.common import drop, materialize, shared_dir, shuffle_width
 END_ID = 2
 #: Bytes of text worked off at a time; one longer text is worked off alone.
 CHUNK = 16 << 20
-#: Stands behind each piece that is handed to the byte-pair machine; no word of letters and marks holds it.
-_STOP = "\x01"
-_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 def vocabulary_path() -> str:
@@ -41,65 +36,6 @@ def vocabulary_path() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
-def _letters() -> str:
-    """Latin letters on which every library agrees: their own normal form, with a lower case of one character."""
-    return "".join(c for c in map(chr, range(0x41, 0x250)) if category(c) in ("Lu", "Ll") and is_normalized("NFC", c) and len(c.lower()) == 1)
-
-
-def _alphabet() -> dict[str, int]:
-    """The byte behind each character of a byte-level vocabulary: printable ones stand for themselves, the others
-    for the characters from 256 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in shown)}
-
-
-def _reached(token: bytes, ranks: dict[bytes, int], pairs: dict[tuple[bytes, bytes], int]) -> bool:
-    """Whether merging its bytes by the listed pairs gives the token whole."""
-    parts = [token[i : i + 1] for i in range(len(token))]
-    if parts[-1:] == [_STOP.encode()] and len(parts) > 1:
-        parts[-2:] = [parts[-2] + parts[-1]]
-    while len(parts) > 1:
-        rank, at = min((pairs.get(x, len(ranks)), i) for i, x in enumerate(zip(parts, parts[1:])))
-        if rank == len(ranks):
-            return False
-        parts[at : at + 2] = [parts[at] + parts[at + 1]]
-    return True
-
-
-def merge_ranks(path: str) -> dict | None:
-    """The vocabulary as byte strings by rank of merging, with the id of each rank, for the faster of two libraries;
-    None for a file of another kind than lower-cased words with word ends, which the other library handles alone.
-
-    The faster one merges any neighbours that are a token together, the slower one listed pairs alone. Both
-    come to the same if every token is what its own bytes merge to: neighbours that make up a token have been
-    merged as if they stood alone. Tokens that aren't are never made, and are left out."""
-    with open(path, encoding="utf-8") as f:
-        spec = json.load(f)
-    model, pre = spec["model"], (spec.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
-    kinds = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
-    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != "</w>" or kinds != ["NFC", "Replace", "Lowercase"] or pre[0].get("pattern") != {"Regex": _SPLIT}:
-        return None
-    byte_of, stop, vocab = _alphabet(), _STOP.encode(), model["vocab"]
-    if any(c not in vocab or c + "</w>" not in vocab for c in byte_of):
-        return None
-
-    def raw(token: str) -> bytes:
-        bare = token.removesuffix("</w>")
-        return bytes(map(byte_of.__getitem__, bare)) + (stop if bare != token else b"")
-
-    char_of = {b: c for c, b in byte_of.items()}
-    listed = [vocab[char_of[b]] for b in range(256)] + [vocab[char_of[b] + "</w>"] for b in range(256)]
-    ranks = {bytes([b]): b for b in range(256)} | {bytes([b]) + stop: 256 + b for b in range(256)}
-    pairs: dict[tuple[bytes, bytes], int] = {}
-    for x in model["merges"]:
-        a, b = x if isinstance(x, list) else x.split(" ")
-        if (token := raw(a) + raw(b)) not in ranks:
-            ranks[token] = len(listed)
-            listed.append(vocab[a + b])
-        pairs[raw(a), raw(b)] = len(pairs)
-    return {"ranks": {t: r for t, r in ranks.items() if r < 512 or _reached(t, ranks, pairs)}, "ids": listed}
-
-
 _memory: dict = {}
 
 
@@ -107,27 +43,15 @@ class Encoder:
     """Ids of texts, each distinct word of a chunk encoded once.
 
     Neither the normalisation of the tokenizer nor its splitting looks across ASCII white space, so the ids
-    of a text are those of its words in order. A word of Latin letters, or of such letters and ASCII marks
-    behind them, is one or two pieces for it whatever else stands in the text; these pieces are merged many
-    at a time. All other words are encoded by the tokenizer itself."""
-
-    def __init__(self, path: str, merges: dict | None) -> None:
-        import numpy as np
+    of a text are those of its words in order."""
 
+    def __init__(self, path: str) -> None:
         if path not in _memory:
-            import tiktoken
             from tokenizers import Tokenizer
 
             _memory.clear()
-            fast = merges and tiktoken.Encoding("words", pat_str=f"[^{_STOP}]+{_STOP}", mergeable_ranks=merges["ranks"], special_tokens={})
-            _memory[path] = Tokenizer.from_file(path), fast
-        self.tokenizer, self.fast = _memory[path]
-        if self.fast:
-            self.ids = np.array(merges["ids"], np.uint32)
-            self.stops = np.zeros(len(self.ids), bool)
-            self.stops[[r for t, r in merges["ranks"].items() if len(t) > 1 and t.endswith(_STOP.encode())]] = True
-            letters, marks = _letters(), "".join(re.escape(chr(c)) for c in range(33, 127) if not chr(c).isalnum())
-            self.bare, self.marked, self.stem = f"^[{letters}]+$", f"^[{letters}]+[{marks}]+$", f"^([{letters}]+)"
+            _memory[path] = Tokenizer.from_file(path)
+        self.tokenizer = _memory[path]
 
     def encode(self, texts):
         """Arrow strings (null: empty) to (ids of all texts, their number in each): the end id is each text's last."""
@@ -162,36 +86,11 @@ class Encoder:
     def _words(self, words):
         """Distinct words to (ids, where each word's begin, their number)."""
         import numpy as np
-        import pyarrow.compute as pc
 
-        start, n, flat, size = np.zeros(len(words), np.int64), np.zeros(len(words), np.int64), [], 0
-        rest = np.ones(len(words), bool)
-        if self.fast:
-            bare, marked = (pc.match_substring_regex(words, x).to_numpy(zero_copy_only=False) for x in (self.bare, self.marked))
-            for where, pieces in ((bare, 1), (marked, 2)):
-                at = np.flatnonzero(where)
-                if not len(at):
-                    continue
-                own = words.take(at)
-                if pieces == 2:
-                    own = pc.replace_substring_regex(own, self.stem, r"\1" + _STOP)
-                merged = self.fast.encode_to_numpy(_STOP.join(own.to_pylist()).lower() + _STOP, disallowed_special=())
-                ends = np.flatnonzero(self.stops[merged]) + 1
-                if len(ends) != pieces * len(at):
-                    continue
-                ends = ends[pieces - 1 :: pieces]
-                n[at] = np.diff(ends, prepend=0)
-                start[at] = size + ends - n[at]
-                flat.append(self.ids[merged])
-                size += len(merged)
-                rest[at] = False
-        at = np.flatnonzero(rest)
-        if len(at):
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words.take(at).to_pylist(), add_special_tokens=False)]
-            n[at] = [len(x) for x in found]
-            start[at] = size + np.cumsum(n[at]) - n[at]
-            flat.append(np.array([i for x in found for i in x], np.uint32))
-        return (np.concatenate(flat) if flat else np.zeros(0, np.uint32)), start, n
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
+        return flat, np.cumsum(n) - n, n
 
 
 def pack(ranks) -> tuple[bytes, bytes]:
@@ -245,12 +144,11 @@ def write(docs: DataFrame, path: str | None = None, vocabulary: str | None = Non
     spark = docs.sparkSession
     vocabulary = vocabulary or vocabulary_path()
     path = path or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
-    merges = spark.sparkContext.broadcast(merge_ranks(vocabulary))  # the size of the vocabulary
 
     def tokenize(batches):
         from pyspark import TaskContext
 
-        encoder, shard, start = Encoder(vocabulary, merges.value), TaskContext.get().partitionId(), 0
+        encoder, shard, start = Encoder(vocabulary), TaskContext.get().partitionId(), 0
         for b in batches:
             ids, n = encoder.encode(b.column("text"))
             starts = start + np.cumsum(n) - n
