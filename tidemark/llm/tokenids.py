@@ -28,6 +28,8 @@ from tidemark.llm.common import drop, materialize, shared_dir, shuffle_width
 END_ID = 2
 #: Bytes of text worked off at a time; one longer text is worked off alone.
 CHUNK = 16 << 20
+#: Words handed to the tokenizer at a time.
+WORDS = 5_000
 
 
 def vocabulary_path() -> str:
@@ -87,9 +89,12 @@ class Encoder:
         """Distinct words to (ids, where each word's begin, their number)."""
         import numpy as np
 
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words.to_pylist(), add_special_tokens=False)]
-        n = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
+        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(words), WORDS):  # what the library returns takes far more than the ids
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(at, WORDS).to_pylist(), add_special_tokens=False)]
+            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
+            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
+        flat, n = np.concatenate(flat), np.concatenate(sizes)
         return flat, np.cumsum(n) - n, n
 
 
