@@ -11,7 +11,7 @@ from tidemark.plans import alarms, models
 from tidemark.plans.registry import ORACLES, query, sql
 from tidemark.sources import sinks
 from tidemark.sources.frames import as_frames, read_table, scratch
-from tidemark.streaming import stateful
+from tidemark.streaming import ordered, stateful
 
 
 def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +20,20 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_frames(spark.readStream.schema(kept.schema).parquet(f"{sf_dir}/events.parquet*"))
 
 
+#: Seconds by which rows of the replayed table are out of order, and the micro-batches it comes in.
+LATENESS, BATCHES = 86_400.0, 3
+
+
+def _replayed(spark: SparkSession, sf_dir: str, silence: float = 0.0) -> DataFrame:
+    """The table `events` as a stream of frames in several batches, out of order by up to a day."""
+    frames = as_frames(read_table(spark, sf_dir, "events")).drop("props")
+    return ordered.replay(frames, LATENESS, BATCHES, silence)
+
+
 def _run(spark: SparkSession, sf_dir: str, operator, score=None) -> DataFrame:
-    frames = _stream(spark, sf_dir)
-    return stateful.to_table(stateful.run(frames if score is None else frames.withColumn("score", score), operator))
+    frames = _replayed(spark, sf_dir)
+    frames = frames if score is None else frames.withColumn("score", score)
+    return ordered.split_late(ordered.run(frames, operator, f"{LATENESS} seconds"))[0]
 
 
 @query(ORACLES["ewma_trace"].replace(", round(cusum, 6) AS cusum", ""))
