@@ -87,6 +87,20 @@ def stream_alarm_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.filter("closed_by = 'hold'").select("sequence_id", "start_sample_id", "end_sample_id", F.round("confirm_timestamp", 3).alias("confirm_timestamp"), F.round("max_score", 6).alias("max_score"))
 
 
+@query(sql("frames", "").rstrip() + """, a AS (SELECT *, CASE WHEN score > 150 THEN 'CONFIRM' WHEN score > 60 THEN 'RESCAN' ELSE 'HOLD' END AS action FROM frames),
+    o AS (SELECT *, CASE WHEN action <> 'HOLD' AND (coalesce(lag(action) OVER w, 'HOLD') = 'HOLD' OR timestamp > lag(timestamp) OVER w + 3600) THEN 1 ELSE 0 END AS opens,
+      coalesce(lead(action) OVER w = 'HOLD' AND lead(timestamp) OVER w <= timestamp + 3600, false) AS before_hold FROM a WINDOW w AS (PARTITION BY sequence_id ORDER BY timestamp, sample_id)),
+    r AS (SELECT *, sum(opens) OVER (PARTITION BY sequence_id ORDER BY timestamp, sample_id) AS island FROM o)
+    SELECT sequence_id, arg_min(sample_id, (timestamp, sample_id)) AS start_sample_id, arg_max(sample_id, (timestamp, sample_id)) AS end_sample_id, round(max(score), 6) AS max_score,
+    CASE WHEN arg_max(before_hold, (timestamp, sample_id)) THEN 'hold' ELSE 'silence' END AS closed_by FROM r WHERE action <> 'HOLD' GROUP BY sequence_id, island""")
+def stream_alarm_events_by_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All alarm events of a shuffled stream: ended by a HOLD, or by an hour without a frame."""
+    action = F.when(F.col("score") > 150, "CONFIRM").when(F.col("score") > 60, "RESCAN").otherwise("HOLD")
+    actions = _replayed(spark, sf_dir, 3600.0).withColumn("action", action)
+    out = stateful.to_table(ordered.alarm_events(actions, 3600.0, f"{LATENESS} seconds")).filter(F.col("sequence_id") != ordered.CLOCK)
+    return out.select("sequence_id", "start_sample_id", "end_sample_id", F.round("max_score", 6).alias("max_score"), "closed_by")
+
+
 @query("SELECT o_orderkey, o_orderstatus, round(o_totalprice, 2) AS o_totalprice FROM orders")
 def parquet_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A table written by scenario and read back, one scenario after another by partition pruning."""

@@ -62,6 +62,51 @@ def put(path: str | Path, data: bytes) -> None:
         raise OSError(f"{path} could not be put in place")
 
 
+def _store(path: str):
+    spark = SparkSession.getActiveSession()
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def exists(path: str | Path) -> bool:
+    if "://" not in str(path):
+        return os.path.exists(path)
+    where, store = _store(str(path))
+    return store.exists(where)
+
+
+def read_bytes(path: str | Path) -> bytes:
+    """A small file of any store."""
+    if "://" not in str(path):
+        return Path(path).read_bytes()
+    where, store = _store(str(path))
+    stream = store.open(where)
+    try:
+        return bytes(stream.readAllBytes())
+    finally:
+        stream.close()
+
+
+def create(path: str | Path, data: bytes) -> bool:
+    """A new file; False, and nothing is written, where there is one by that name."""
+    path = str(path)
+    if "://" not in path:
+        os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
+        try:
+            with open(path, "xb") as f:
+                f.write(data)
+        except FileExistsError:
+            return False
+        return True
+    where, store = _store(path)
+    if not store.createNewFile(where):
+        return False
+    out = store.create(where, True)
+    out.write(bytearray(data))
+    out.close()
+    return True
+
+
 def write_json(path: str | Path, value: Any) -> None:
     put(path, (json.dumps(sanitized(value), indent=2, sort_keys=True) + "\n").encode())
 
