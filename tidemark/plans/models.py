@@ -337,10 +337,24 @@ def chain_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def cp_families(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Rank-2 decomposition of all vectors of each label, as vectors by eight blocks by eight channels."""
-    block = F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(7)), lambda k: F.slice(F.transform("embedding", lambda x: F.abs(x.cast("double"))), 8 * k + 1, 8))).alias("block", "spectrum")
-    cube = read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("family"), F.col("vec_id").alias("frame"), block)
-    return tensor.cp_by_family(cube, 2)
+    """Rank-2 decomposition of all vectors of each label, as vectors by eight blocks by eight channels, with the mean
+    weights of its vectors."""
+    x = F.transform("embedding", lambda x: F.abs(x.cast("double")))
+    rows = read_table(spark, sf_dir, "embeddings").select(F.col("label").cast("string").alias("label"), x.alias("x"))
+    model = tensor.cp_fit(rows, 8, 8, 2, restarts=2, steps=40, tolerance=1e-6)
+    errors = spark.createDataFrame([(label, error) for label, (_, _, error) in model.items()], "label string, error double")
+    means = tensor.cp_weights(rows, model).groupBy("label").agg(F.count("*").alias("n"), *[F.avg(F.col("weights")[k]).alias(f"weight{k}") for k in range(2)])
+    return means.join(errors, "label").withColumnRenamed("label", "family")
+
+
+@query("""WITH parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS raw, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), x AS (SELECT vec_id, i, abs(raw) + 0.01 AS x, -1 + 2 * i / 63.0 AS at FROM parts),
+    y AS (SELECT i, at, avg(ln(greatest(x, 1e-12))) AS y FROM x GROUP BY i, at), fit AS (SELECT regr_slope(y, at) AS b, regr_intercept(y, at) AS a FROM y)
+    SELECT vec_id, round(sum(x / exp(a + b * at)), 6) AS total, round(max(x / exp(a + b * at)), 6) AS highest FROM x, fit GROUP BY vec_id""")
+def self_calibrated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors, divided by the gain that their mean logarithms show."""
+    rows = read_table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) + 0.01).alias("x"))
+    out = tensor.self_calibrated(rows, "x", 64, 1)
+    return out.select("vec_id", F.round(F.aggregate("x", F.lit(0.0), lambda a, x: a + x), 6).alias("total"), F.round(F.array_max("x"), 6).alias("highest"))
 
 
 @query()
