@@ -16,6 +16,9 @@ columns are not read. Words of any length are encoded whole; a very long text ta
 
 from __future__ import annotations
 
+import os
+import re
+import string
 import uuid
 import zlib
 from itertools import chain
@@ -28,8 +31,12 @@ from tidemark.llm.common import drop, materialize, shared_dir, shuffle_width
 END_ID = 2
 #: Bytes of text worked off at a time; one longer text is worked off alone.
 CHUNK = 16 << 20
-#: Words handed to the tokenizer at a time.
+#: Latin letters (but one whose lower case is two characters), and marks that end a piece of letters for the tokenizer.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ɏ"
+MARKS = re.escape(string.punctuation)
+#: Pieces handed to the tokenizer at a time, and how many of letters or of marks in one text.
 WORDS = 5_000
+JOINED = 200
 
 
 def vocabulary_path() -> str:
@@ -49,11 +56,17 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         if path not in _memory:
+            import numpy as np
             from tokenizers import Tokenizer
 
+            os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
+            tokenizer = Tokenizer.from_file(path)
+            vocabulary = tokenizer.get_vocab()
+            ends = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+            ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
             _memory.clear()
-            _memory[path] = Tokenizer.from_file(path)
-        self.tokenizer = _memory[path]
+            _memory[path] = tokenizer, ends
+        self.tokenizer, self.ends = _memory[path]
 
     def encode(self, texts):
         """Arrow strings (null: empty) to (ids of all texts, their number in each): the end id is each text's last."""
@@ -86,16 +99,70 @@ class Encoder:
         return flat[at], of_text
 
     def _words(self, words):
-        """Distinct words to (ids, where each word's begin, their number)."""
+        """Distinct words to (ids, where each word's begin, their number).
+
+        Letters and the ASCII marks behind them are pieces of their own for the tokenizer, which lower-cases
+        all, so of `Word`, `word` and `word,` it is handed `word` and `,` once."""
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        lettered = pc.match_substring_regex(words, f"^[{LETTERS}]+[{MARKS}]*$")
+        marked = pc.match_substring_regex(words, f"^[{LETTERS}]+[{MARKS}]+$")
+        first = pc.if_else(lettered, pc.ascii_lower(pc.ascii_rtrim(words, string.punctuation)), words)
+        at = np.flatnonzero(marked.to_numpy(zero_copy_only=False))
+        second = pc.replace_substring_regex(words.take(pa.array(at)), f"^[{LETTERS}]+", "")
+        pieces = pa.chunked_array([first, second], type=words.type).combine_chunks().dictionary_encode()
+        flat, start, n = self._pieces(pieces.dictionary)
+        code = pieces.indices.to_numpy(zero_copy_only=False)
+        piece = np.insert(code[: len(words)], at + 1, code[len(words) :])
+        own = n[piece]
+        after = np.cumsum(own)
+        place = np.repeat(start[piece] - (after - own), own)
+        place += np.arange(len(place))
+        last = np.arange(len(words))
+        last[at] += 1
+        last += np.cumsum(np.bincount(at, minlength=len(words))) - np.bincount(at, minlength=len(words))
+        ends = after[last] if len(words) else after
+        size = np.diff(ends, prepend=0)
+        return flat[place], ends - size, size
+
+    def _pieces(self, pieces):
+        """The same for pieces. Those of letters alone or marks alone go to the tokenizer many in a text, between
+        spaces: a token that ends a word ends each of them."""
+        import numpy as np
+        import pyarrow.compute as pc
+
+        plain = pc.match_substring_regex(pieces, f"^([{LETTERS}]+|[{MARKS}]+)$").to_numpy(zero_copy_only=False)
+        order, flat, sizes = [], [], []
+        for where, joined in ((plain, True), (~plain, False)):
+            at = np.flatnonzero(where)
+            for low in range(0, len(at), WORDS):  # what the library returns takes far more than the ids
+                own = at[low : low + WORDS]
+                ids, n = self._run(pieces.take(own).to_pylist(), joined)
+                order.append(own)
+                flat.append(ids)
+                sizes.append(n)
+        if not order:
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        order, sizes = np.concatenate(order), np.concatenate(sizes)
+        start, n = np.empty(len(pieces), np.int64), np.empty(len(pieces), np.int64)
+        start[order], n[order] = np.cumsum(sizes) - sizes, sizes
+        return np.concatenate(flat), start, n
+
+    def _run(self, texts: list[str], joined: bool):
         import numpy as np
 
-        flat, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
-        for at in range(0, len(words), WORDS):  # what the library returns takes far more than the ids
-            found = [e.ids for e in self.tokenizer.encode_batch_fast(words.slice(at, WORDS).to_pylist(), add_special_tokens=False)]
-            sizes.append(np.fromiter(map(len, found), np.int64, len(found)))
-            flat.append(np.fromiter(chain.from_iterable(found), np.uint32, int(sizes[-1].sum())))
-        flat, n = np.concatenate(flat), np.concatenate(sizes)
-        return flat, np.cumsum(n) - n, n
+        given = [" ".join(texts[i : i + JOINED]) for i in range(0, len(texts), JOINED)] if joined else texts
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(given, add_special_tokens=False)]
+        n = np.fromiter(map(len, found), np.int64, len(found))
+        ids = np.fromiter(chain.from_iterable(found), np.uint32, int(n.sum()))
+        if not joined:
+            return ids, n
+        ends = np.flatnonzero(self.ends[ids]) + 1
+        if len(ends) != len(texts):  # a vocabulary that doesn't mark where words end
+            return self._run(texts, False)
+        return ids, np.diff(ends, prepend=0)
 
 
 def pack(ranks) -> tuple[bytes, bytes]:
