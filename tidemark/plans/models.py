@@ -347,9 +347,9 @@ def cp_families(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.join(errors, "label").withColumnRenamed("label", "family")
 
 
-@query("""WITH parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS raw, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), x AS (SELECT vec_id, i, abs(raw) + 0.01 AS x, -1 + 2 * i / 63.0 AS at FROM parts),
-    y AS (SELECT i, at, avg(ln(greatest(x, 1e-12))) AS y FROM x GROUP BY i, at), fit AS (SELECT regr_slope(y, at) AS b, regr_intercept(y, at) AS a FROM y)
-    SELECT vec_id, round(sum(x / exp(a + b * at)), 6) AS total, round(max(x / exp(a + b * at)), 6) AS highest FROM x, fit GROUP BY vec_id""")
+@query("""WITH parts AS (SELECT vec_id, unnest(embedding)::DOUBLE AS raw, generate_subscripts(embedding, 1) - 1 AS i FROM embeddings), x AS (SELECT vec_id, i, abs(raw) + 0.01 AS x, -1 + 2 * i / 63.0 AS spot FROM parts),
+    y AS (SELECT i, spot, avg(ln(greatest(x, 1e-12))) AS y FROM x GROUP BY i, spot), fit AS (SELECT regr_slope(y, spot) AS b, regr_intercept(y, spot) AS a FROM y)
+    SELECT vec_id, round(sum(x / exp(a + b * spot)), 6) AS total, round(max(x / exp(a + b * spot)), 6) AS highest FROM x, fit GROUP BY vec_id""")
 def self_calibrated_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors, divided by the gain that their mean logarithms show."""
     rows = read_table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: F.abs(x.cast("double")) + 0.01).alias("x"))

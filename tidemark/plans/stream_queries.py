@@ -139,11 +139,13 @@ def suffix_checked_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""SELECT CAST(vec_id AS VARCHAR) AS sample_id, CASE WHEN label < 3 THEN 'hazard' ELSE 'benign' END AS label, len(embedding) AS channels, round(list_sum(list_transform(embedding, lambda x: 0.5 + x::DOUBLE)), 6) AS total FROM embeddings""")
 def npz_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Spectra as a NumPy archive in the shared folder, read back without pickles."""
+    """Spectra as NumPy archives in the shared folder, written and read by tasks, without pickles."""
     from tidemark.plans.spectral_queries import spectrum_rows
-    from tidemark.sources.frames import read_npz
+    from tidemark.sources import archives
 
+    archives.register(spark)
     path = scratch(spark, "sink")
-    sinks.write_npz(spectrum_rows(spark, sf_dir).withColumn("sample_id", F.col("sample_id").cast("string")), f"{path}/spectra.npz")
+    rows = spectrum_rows(spark, sf_dir).select(F.col("sample_id").cast("string"), F.col("label").cast("string"), "wavelengths", "spectrum")
+    rows.write.format("npz").mode("append").save(path)
     total = F.aggregate("spectrum", F.lit(0.0), lambda a, x: a + x)
-    return read_npz(spark, path).select("sample_id", "label", F.size("spectrum").cast("long").alias("channels"), F.round(total, 6).alias("total"))
+    return spark.read.format("npz").load(path).select("sample_id", "label", F.size("spectrum").cast("long").alias("channels"), F.round(total, 6).alias("total"))

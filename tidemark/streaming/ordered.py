@@ -90,7 +90,8 @@ class _InOrder(StatefulProcessor):
                 for timer in timers:
                     self.handle.deleteTimer(timer)
                 self.handle.registerTimer(_ms(first))
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         passed, out = _passed(timerValues), []
@@ -111,7 +112,8 @@ class _InOrder(StatefulProcessor):
         elif state != before:
             self.held.update(state)
         self._alarm(min((r[0] for r in rest), default=None), state)
-        yield self._frame(out)
+        if out:
+            yield self._frame(out)
 
     def close(self) -> None:
         pass
