@@ -74,8 +74,11 @@ def event_rates(events: DataFrame, by: list[str] = (), empty_fcr: float | None =
         F.count_if(benign & F.col("pred_confirmed")).alias("benign_confirmed"), F.count_if(hazard & F.col("pred_confirmed")).alias("hazard_confirmed"),
         F.count_if(F.col("is_flicker") & F.col("pred_confirmed")).alias("flicker_confirm_count"),
     )
-    rows = attach(attach(rows, quantiles(events, "__ttc", [0.25, 0.5, 0.75], by), by, "__t"), quantiles(events, "__late", [0.5], by), by, "__l")
-    rows = rows.withColumns({"median_ttc": F.col("__t")[1], "iqr_ttc": F.col("__t")[2] - F.col("__t")[0], "false_confirm_latency_median": F.col("__l")[0]}).drop("__t", "__l")
+    # an event has one of the two delays at most: both are one table of values
+    delays = events.select(*by, F.col("__ttc").isNotNull().alias("__hit"), F.coalesce("__ttc", "__late").alias("__delay"))
+    q = quantiles(delays, "__delay", [0.25, 0.5, 0.75], [*by, "__hit"])
+    rows = attach(attach(rows, q.filter("__hit"), by, "__t"), q.filter("NOT __hit"), by, "__l")
+    rows = rows.withColumns({"median_ttc": F.col("__t")[1], "iqr_ttc": F.col("__t")[2] - F.col("__t")[0], "false_confirm_latency_median": F.col("__l")[1]}).drop("__t", "__l")
     missed = None if empty_mcr is None else 1 - empty_mcr
     return rows.withColumns({
         "fcr": _share(F.col("benign_confirmed"), F.col("n_benign_events"), empty_fcr),
