@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.operators import cone, density, events, metrics, regimes, resample, transport, windows
+from tidemark.operators import clouds, cone, density, events, metrics, regimes, resample, transport, windows
 from tidemark.operators.quantiles import attach, quantiles
 from tidemark.plans import alarms, audit, experiment, probes, report
 from tidemark.plans.registry import query, sql
@@ -533,10 +533,15 @@ def analyte_amounts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means.groupBy("label").applyInPandas(one, shape).select("label", F.round("first", 6).alias("first"), F.round("second", 6).alias("second"))
 
 
-def _sinkhorn(scale: float, steps: int) -> str:
-    """SQL of scaling between the centroids of hazard labels and of the others, at scale times the median cost."""
-    return f"""WITH RECURSIVE v AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label, i, avg(x) AS x FROM v GROUP BY ALL),
-    c AS (SELECT a.label AS h, b.label AS b, sum((a.x - b.x) ** 2) AS c FROM m a JOIN m b USING (i) WHERE a.label < 3 AND b.label >= 3 GROUP BY ALL), e AS (SELECT {scale!r} * median(c) AS eps, count(DISTINCT h) AS n, count(DISTINCT b) AS m FROM c),
+#: SQL of the points between which mass moves: centroids of labels, or all vectors.
+_CENTROIDS = """v AS (SELECT label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings), m AS (SELECT label AS id, label, i, avg(x) AS x FROM v GROUP BY ALL)"""
+_VECTORS = """m AS (SELECT vec_id AS id, label, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)"""
+
+
+def _sinkhorn(scale: float, steps: int, points: str = _CENTROIDS) -> str:
+    """SQL of scaling between points of hazard labels and of the others, at scale times the median cost."""
+    return f"""WITH RECURSIVE {points},
+    c AS (SELECT a.id AS h, b.id AS b, sum((a.x - b.x) ** 2) AS c FROM m a JOIN m b USING (i) WHERE a.label < 3 AND b.label >= 3 GROUP BY ALL), e AS (SELECT {scale!r} * median(c) AS eps, count(DISTINCT h) AS n, count(DISTINCT b) AS m FROM c),
     rows_ AS (SELECT h, list(exp(-c / eps) ORDER BY b) AS k FROM c, e GROUP BY h), cols AS (SELECT b, list(exp(-c / eps) ORDER BY h) AS k FROM c, e GROUP BY b),
     k AS (SELECT (SELECT list(k ORDER BY h) FROM rows_) AS k, (SELECT list(k ORDER BY b) FROM cols) AS kt, eps, n, m FROM e),
     it AS (SELECT 0 AS t, list_transform(k, lambda r: 1.0::DOUBLE) AS u, list_transform(kt, lambda r: 1.0::DOUBLE) AS v, k, kt, eps, n, m FROM k
@@ -571,6 +576,46 @@ def transport_potentials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(rows, "side string, i int, potential double, certified boolean")
 
 
+#: References of each class from which potentials start; where they end doesn't depend on it.
+START = 100
+
+
+def _solved(spark: SparkSession, sf_dir: str):
+    """Both sides of `embeddings` as whole clouds, with their potentials at half the median cost of the references."""
+    rows = read_table(spark, sf_dir, "embeddings")
+    near = transport.references(rows, "vec_id", "embedding", F.col("label") < 3, REFERENCES)
+    h, b = (clouds.cloud(rows.filter((F.col("label") < 3) == hazard), "vec_id", "embedding") for hazard in (True, False))
+    eps = 0.5 * float(np.median(transport.squared_cost(*near)))
+    start = clouds.starting([side[:START] for side in near], eps, b)
+    return h, b, *clouds.potentials(h, b, eps, start, 1e-8)[:2], eps
+
+
+@query(_sinkhorn(0.5, 200, _VECTORS) + """, sides AS (SELECT h AS vec_id, 'hazard' AS side, row_number() OVER (ORDER BY h) AS i FROM (SELECT DISTINCT h FROM c) UNION ALL SELECT b, 'benign', row_number() OVER (ORDER BY b) FROM (SELECT DISTINCT b FROM c))
+    SELECT vec_id, side, round(CASE side WHEN 'hazard' THEN eps * (ln(u[i]) - ln(u[1])) ELSE eps * (ln(v[i]) + ln(u[1]) + ln(n * m)) END, 5) AS potential FROM sides, done""")
+def transport_of_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Certified potentials of every vector, zero at the first hazard, from costs made by blocks in tasks."""
+    h, b, f, g, _ = _solved(spark, sf_dir)
+    mine, theirs = clouds.by_point(h, f, "p"), clouds.by_point(b, g, "p")
+    first = mine.orderBy("id").first()["p"]
+    both = mine.select("id", F.lit("hazard").alias("side"), (F.col("p") - first).alias("p")).unionAll(theirs.select("id", F.lit("benign").alias("side"), F.col("p") + first))
+    return both.select(F.col("id").alias("vec_id"), "side", F.round("p", 5).alias("potential"))
+
+
+@query(_sinkhorn(0.5, 200, _VECTORS) + """, pairs AS (SELECT h, b, c, row_number() OVER (PARTITION BY b ORDER BY h) AS i, row_number() OVER (PARTITION BY h ORDER BY b) AS j FROM c)
+    SELECT round(sqrt(sum(u[i] * exp(-c / eps) * v[j] * c)), 6) AS distance FROM pairs, done""")
+def distance_of_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entropic transport distance between all hazard vectors and all others."""
+    return spark.createDataFrame([(round(clouds.distance(*_solved(spark, sf_dir)), 6),)], "distance double")
+
+
+@query()
+def coordinate_of_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The transport coordinate of every vector by the potentials of all vectors, not of references."""
+    h, b, f, g, eps = _solved(spark, sf_dir)
+    points = clouds.cloud(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return clouds.coordinate(points, h, b, f, g, eps).select(F.col("id").alias("vec_id"), F.round("coordinate", 6).alias("coordinate"))
+
+
 @query(f"""WITH RECURSIVE c AS (SELECT 'benign' AS g, count(*) AS n, count(*) FILTER (s_acctbal > 9900) AS k FROM supplier UNION ALL SELECT p_brand || '|decade=-2', count(*), count(*) FILTER (p_retailprice > 1400) FROM part GROUP BY p_brand), {_exact("c")}
     SELECT CASE WHEN (SELECT low FROM ends WHERE g = 'benign') > 0.01 THEN 'UNFAVORABLE' WHEN (SELECT count(*) FROM ends WHERE g <> 'benign' AND n >= 10 AND low >= 0.5) > 0 THEN 'FAVORABLE'
       WHEN (SELECT bool_and(n >= 10 AND high <= 0.25) FROM ends WHERE g <> 'benign') THEN 'UNFAVORABLE' ELSE 'INCONCLUSIVE' END AS verdict, count(*) FILTER (g <> 'benign') AS cells FROM ends""")
