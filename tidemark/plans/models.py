@@ -203,6 +203,16 @@ def embeddings_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed.apply(rows, "x", state, ["sample_id"])
 
 
+@query()
+def embedding_of_all_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings by weights that were trained on all training rows, in passes over batches dealt by digests."""
+    rows = read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").cast("string").alias("sample_id"), F.col("embedding").alias("x"), (F.col("label") % 4).cast("int").alias("y"), (F.col("label") / 10).alias("risk")
+    )
+    state = embed.fit_all(rows, "x", "y", "risk", split_of(F.col("sample_id")) == "train", epochs=6, steps=4)
+    return embed.apply(rows, "x", state, ["sample_id"])
+
+
 #: References of each class that a cloud has at most: the bound of what transport holds on the driver.
 REFERENCES = 2000
 
