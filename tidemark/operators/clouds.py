@@ -2,8 +2,8 @@
 task, used and forgotten, and what each pair gives a point (a maximum and a sum of exponentials) is merged by aggregation.
 Potentials are tables, a packed row for each block, so the driver holds a number for each sweep and a bounded start.
 
-Cases: a point table without rows, or with null or non-finite vectors, raises TransportError; repeated points count as
-often as they stand; ids may repeat and are only carried."""
+Cases: a point table without rows raises TransportError; null or non-finite vectors, or vectors of several lengths in a
+block, fail the job with its message; repeated points count as often as they stand; ids may repeat and are only carried."""
 
 from __future__ import annotations
 
