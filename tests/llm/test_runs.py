@@ -133,3 +133,10 @@ def test_query_over_the_table(spark):
         if len(t or "") < 30_000:
             assert got[i] == expected(i, t)
     assert sum(r[1] > 0 for r in got.values()) > 10
+
+
+def test_query_over_texts_without_words(spark, tmp_path):
+    rows = [(i, t) for i in range(40) for t in ("", " \t\n", None, "one", "go " * 9)]
+    docs(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    got = sorted(map(tuple, op12_periodic_runs(spark, str(tmp_path)).collect()), key=str)
+    assert got == sorted((expected(i, t) for i, t in rows), key=str)
