@@ -197,3 +197,20 @@ def test_timed_alarm_events(spark, tmp_path):
     stream = spark.readStream.schema(shape).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", True).parquet(str(tmp_path / "in"))
     out = {(r.start_sample_id, r.end_sample_id, r.confirm_timestamp, r.max_score, r.closed_by) for r in stateful.to_table(stateful.alarm_events(stream, 60.0)).collect()}
     assert out == {("a1", "a2", 2.0, 0.9, "silence"), ("b1", "b1", 1.0, 0.5, "hold"), ("c2", "c2", 2000.0, 0.7, "hold")}
+
+
+def test_both_sides_and_arms_are_fitted_in_one_pass_a_step(spark, monkeypatch):
+    rng, passes = np.random.default_rng(5), []
+    seqs = [np.concatenate([rng.normal(s, 0.5, (10, 2)), rng.normal(s + 3, 0.5, (10, 2))]) for s in (0, 0, 1, 1, 1)]
+    rows = [(int(s > 1), f"q{s}", float(t), f"{s}-{t}", seqs[s][t].tolist()) for s in range(5) for t in range(20)]
+    df = spark.createDataFrame(rows, "side int, sequence_id string, timestamp double, sample_id string, z array<double>")
+    step = density._step_sums
+    monkeypatch.setattr(density, "_step_sums", lambda *a: passes.append(1) or step(*a))
+    found = density.fit_sides(df, 0, {"mixture": False, "chain": True})
+    assert len(passes) <= 50
+    for (arm, side), a in found.items():
+        b = density.fit_chain([s for k, s in enumerate(seqs) if int(k > 1) == side], 0, arm == "chain")
+        i, j = np.argsort(a["mean"][:, 0]), np.argsort(b["mean"][:, 0])
+        np.testing.assert_allclose(a["mean"][i], b["mean"][j], atol=1e-4)
+        np.testing.assert_allclose(a["var"][i], b["var"][j], atol=1e-4)
+        np.testing.assert_allclose(a["initial"][i], b["initial"][j], atol=1e-4)

@@ -7,6 +7,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.sources.frames import materialize
+
 
 def two_means(x, seed: int, starts: int = 8, steps: int = 100):
     """Lloyd's algorithm for two centres from several starts; labels of the best."""
@@ -65,34 +67,106 @@ def fit_chain(sequences: list, seed: int, hidden: bool, steps: int = 50, floor:
 FIRST = 20_000
 
 
-def fit_frames(frames: DataFrame, seed: int, hidden: bool, steps: int = 50, floor: float = 1e-3) -> dict:
-    """The same fit to a table of frames (sequence_id, timestamp, sample_id, z) of any size: each step is one sum of
-    sufficient statistics over all sequences. Only the first centres come from a bounded sample."""
+def _one_side(sides, side, lengths, z):
+    """Lengths and frames of the sequences of one side."""
     import numpy as np
 
-    from tidemark.operators.hmm import _statistics, sequences
+    own = sides == side
+    return lengths[own], z[np.repeat(own, lengths)]
 
-    opening = frames.orderBy(F.sha2(F.col("sample_id").cast("string"), 256), "sample_id").limit(FIRST).select("z").collect()
-    x = np.array([r["z"] for r in opening], float)
-    y = two_means(x, seed)
-    share = np.clip(np.bincount(y, minlength=2) / len(y), 0.05, 0.95)
-    share = share / share.sum()
-    model = {
-        "initial": share, "transition": np.array([[0.9, 0.1], [0.1, 0.9]]) if hidden else np.tile(share, (2, 1)), "emission": None,
-        "mean": np.stack([x[y == k].mean(0) for k in (0, 1)]), "var": np.stack([np.maximum(x[y == k].var(0), floor) for k in (0, 1)]),
-    }
-    rows, last = sequences(frames.withColumn("obs", F.lit(0))).persist(), -np.inf
+
+def _sums(model: dict, hidden: bool, lengths, z):
+    """Sufficient statistics of sequences side by side, flat: log likelihood, openings, mass, moves, sums, squares. A
+    mixture's frames don't depend on one another, so it needs no recursion."""
+    import numpy as np
+
+    from tidemark.operators.hmm import EPS, Chunk, _lse, log_emission, smoothed
+
+    emit = log_emission(model, np.zeros(len(z), np.int8), z)
+    if hidden:
+        chunk = Chunk(lengths)
+        gamma, moves, ll = smoothed(emit, model, chunk)
+        first = gamma[chunk.at[0]].sum(0)
+    else:
+        joint = emit + np.log(np.clip(model["initial"], EPS, None))
+        scale = _lse(joint, axis=1)
+        gamma, moves, first, ll = np.exp(joint - scale[:, None]), np.zeros((2, 2)), np.zeros(2), scale.sum()
+    return np.concatenate([[ll], first, gamma.sum(0), moves.ravel(), (gamma.T @ z).ravel(), (gamma.T @ (z * z)).ravel()])
+
+
+def _step_sums(rows: DataFrame, models: dict, arms: dict[str, bool]) -> dict:
+    """Sums of the statistics of all models over all their sequences, in one pass; a task sends one row of each number."""
+    import numpy as np
+
+    from tidemark.operators.hmm import _chunks
+
+    keys = list(models)
+
+    def some(batches):
+        import pyarrow as pa
+
+        total = {}
+        for own, lengths, _, z in _chunks(batches):
+            sides = own.column("side").to_numpy(zero_copy_only=False)
+            for k, (arm, side) in enumerate(keys):
+                mine, points = _one_side(sides, side, lengths, z)
+                if len(mine):
+                    total[k] = total.get(k, 0.0) + _sums(models[arm, side], arms[arm], mine, points)
+        for k, flat in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(flat), k, np.int32)), pa.array(np.arange(len(flat), dtype=np.int32)), pa.array(flat)], names=["k", "i", "v"])
+
+    told = rows.mapInArrow(some, "k int, i int, v double").groupBy("k", "i").agg(F.sum("v").alias("v")).collect()
+    flat = {k: [] for k in range(len(keys))}
+    for r in sorted(told):
+        flat[r["k"]].append(r["v"])
+    out = {}
+    for k, key in enumerate(keys):
+        x = np.array(flat[k])
+        out[key] = {"ll": x[0], "first": x[1:3], "mass": x[3:5], "moves": x[5:9].reshape(2, 2), "sum": x[9 : 9 + (len(x) - 9) // 2].reshape(2, -1), "squares": x[9 + (len(x) - 9) // 2 :].reshape(2, -1)}
+    return out
+
+
+def fit_sides(frames: DataFrame, seed: int, arms: dict[str, bool], steps: int = 50, floor: float = 1e-3) -> dict[tuple[str, int], dict]:
+    """The same fits to the frames (side int, sequence_id, timestamp, sample_id, z) of each side of a table of any size: a
+    chain where the arm's value says hidden, else a mixture. Each step is one pass for all models that still move. Only
+    the first centres come from a bounded sample."""
+    import numpy as np
+
+    models = {}
+    packed = frames.groupBy("side", "sequence_id").agg(F.array_sort(F.collect_list(F.struct("timestamp", "sample_id", F.lit(0).alias("obs"), "z"))).alias("f"))
+    rows = materialize(packed.select("side", F.col("f.obs").alias("obs"), F.col("f.z").alias("z")), "sides")
+    for side in sorted(r["side"] for r in rows.select("side").distinct().collect()):
+        opening = frames.filter(F.col("side") == side).orderBy(F.sha2(F.col("sample_id").cast("string"), 256), "sample_id").limit(FIRST).select("z").collect()
+        x = np.array([r["z"] for r in opening], float)
+        y = two_means(x, seed)
+        share = np.clip(np.bincount(y, minlength=2) / len(y), 0.05, 0.95)
+        share = share / share.sum()
+        for arm, hidden in arms.items():
+            models[arm, side] = {
+                "initial": share, "transition": np.array([[0.9, 0.1], [0.1, 0.9]]) if hidden else np.tile(share, (2, 1)), "emission": None,
+                "mean": np.stack([x[y == k].mean(0) for k in (0, 1)]), "var": np.stack([np.maximum(x[y == k].var(0), floor) for k in (0, 1)]),
+            }
+    last = dict.fromkeys(models, -np.inf)
     for _ in range(steps):
-        s = _statistics(rows, model)
-        initial = (s["first"] + 1) / (s["first"] + 1).sum() if hidden else s["mass"] / s["mass"].sum()
-        moves = (s["moves"] + 1) / (s["moves"] + 1).sum(1, keepdims=True) if hidden else np.tile(initial, (2, 1))
-        mean = s["sum"] / s["mass"][:, None]
-        model = model | {"initial": initial, "transition": moves, "mean": mean, "var": np.maximum(s["squares"] / s["mass"][:, None] - mean**2, floor)}
-        if abs(s["ll"] - last) < 1e-6 * max(1, abs(s["ll"])):
+        moving = {key: models[key] for key in last}
+        if not moving:
             break
-        last = float(s["ll"])
-    rows.unpersist()
-    return model
+        for key, s in _step_sums(rows, moving, arms).items():
+            hidden = arms[key[0]]
+            initial = (s["first"] + 1) / (s["first"] + 1).sum() if hidden else s["mass"] / s["mass"].sum()
+            transition = (s["moves"] + 1) / (s["moves"] + 1).sum(1, keepdims=True) if hidden else np.tile(initial, (2, 1))
+            mean = s["sum"] / s["mass"][:, None]
+            models[key] = models[key] | {"initial": initial, "transition": transition, "mean": mean, "var": np.maximum(s["squares"] / s["mass"][:, None] - mean**2, floor)}
+            if abs(s["ll"] - last[key]) < 1e-6 * max(1, abs(s["ll"])):
+                del last[key]
+            else:
+                last[key] = float(s["ll"])
+    return models
+
+
+def fit_frames(frames: DataFrame, seed: int, hidden: bool, steps: int = 50, floor: float = 1e-3) -> dict:
+    """The fit to one table of frames (sequence_id, timestamp, sample_id, z)."""
+    return fit_sides(frames.withColumn("side", F.lit(0)), seed, {"": hidden}, steps, floor)["", 0]
 
 
 def chain_likelihood(df: DataFrame, models: dict[str, tuple[dict, dict]]) -> DataFrame:

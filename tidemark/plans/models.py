@@ -339,9 +339,9 @@ def chain_likelihood_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = _observed(spark, sf_dir).drop("obs")
     share = frames.groupBy("sequence_id").agg(F.avg((F.col("label") == "hazard").cast("double")).alias("share")).filter(split_of(F.col("sequence_id")) == "train")
     cut = quantile_values(share, "share", [0.5])[0]
-    train = frames.join(share, "sequence_id")
-    sides = [train.filter(F.col("share") > cut), train.filter(F.col("share") <= cut)]
-    models = {arm: tuple(density.fit_frames(side, 1, arm == "chain") for side in sides) for arm in ("mixture", "chain")}
+    train = frames.join(share, "sequence_id").withColumn("side", (F.col("share") <= cut).cast("int"))
+    fits = density.fit_sides(train, 1, {"mixture": False, "chain": True})
+    models = {arm: (fits[arm, 0], fits[arm, 1]) for arm in ("mixture", "chain")}
     return density.chain_likelihood(frames, models)
 
 
