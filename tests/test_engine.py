@@ -151,3 +151,23 @@ def test_stream_equals_batch(spark, tmp_path, kind):
     q.awaitTermination(120)
     got = {r.sample_id: r.action for r in spark.table(name).collect()}
     assert got == {r.sample_id: r.action for r in batch.collect()}
+
+
+def test_time_breaks_with_long_ids_and_ties(spark, tmp_path):
+    import datetime
+
+    import duckdb
+
+    from tidemark.plans import contract_queries, registry
+
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(k * 1_000_000_007 + e, day + datetime.timedelta(seconds=(e * 37 + k) % 101), e % 3, "click", 0.5, None) for k in range(3) for e in range(60)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+    df.write.parquet(f"{tmp_path}/a/events.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/a/events.parquet/*.parquet')")
+    want = duckdb.sql(registry.ORACLES["time_breaks"]).fetchall()
+    assert sorted(map(tuple, contract_queries.time_breaks(spark, f"{tmp_path}/a").collect())) == sorted(want)
+    tied = [(e * 1_000_003, day + datetime.timedelta(seconds=s), 1, "click", 0.5, None) for e, s in enumerate((1, 5, 2, 3))]  # all at one place
+    for name, order in (("b", tied), ("c", tied[::-1])):
+        spark.createDataFrame(order, df.schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
+        assert [tuple(r) for r in contract_queries.time_breaks(spark, f"{tmp_path}/{name}").collect()] == [("1", 1)]

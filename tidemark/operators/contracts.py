@@ -88,9 +88,9 @@ def common_types(df: DataFrame, ids: tuple[str, ...] = ("sequence_id", "sample_i
     return out.withColumn(alert, F.coalesce(alert, F.lit(""))) if alert in df.columns else out
 
 
-def time_breaks(frames: DataFrame) -> DataFrame:
-    """Rows whose time is before that of the row before them in the stated order of `position`."""
-    w = Window.partitionBy("sequence_id").orderBy("position")
+def time_breaks(frames: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose time is before that of the row before them in the stated order of `position`, then of the columns ties."""
+    w = Window.partitionBy("sequence_id").orderBy("position", *ties)
     return frames.withColumn("before", F.lag("timestamp").over(w)).filter("before > timestamp")
 
 
