@@ -337,3 +337,18 @@ def test_silhouette_above_one_block(spark):
 def test_average_ranks(spark):
     df = spark.createDataFrame([(v,) for v in (3.0, 1.0, 3.0, 2.0, 3.0)], "v double")
     assert {r.v: r.avg_rank for r in windows.average_ranks(df, "v").collect()} == {1.0: 1.0, 2.0: 2.0, 3.0: 4.0}
+
+
+def test_spectra_are_worked_off_in_slices(spark):
+    from tidemark.sources import frames, simulate
+
+    df = spark.range(1, 1002, 1, 1).selectExpr("cast(id AS string) AS name", "IF(id % 2 = 0, null, id / 2) AS x", "array(cast(id AS double)) AS v")
+
+    def sizes(batches):
+        for b in batches:
+            yield b.assign(n=len(b))
+
+    rows = frames.map_slices(df, sizes, "name string, x double, v array<double>, n int").collect()
+    assert [(r.name, r.x, r.v) for r in rows] == [tuple(r) for r in df.collect()] and max(r.n for r in rows) <= frames.SLICE
+    out = simulate.simulate(spark, 60).coalesce(1)
+    assert out.count() == 600 and "MapInArrow" in out._jdf.queryExecution().toString()

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from tidemark.sources.frames import map_slices
+
 _EPS = 1e-12
 
 
@@ -195,7 +197,7 @@ def indicators(df: DataFrame, config: IndicatorConfig | None = None, keep: tuple
             out["x"] = np.stack([found[s] for s in SCALARS], 1).tolist()
             yield out
 
-    return df.select(*kept, "spectrum", "wavelengths").mapInPandas(rows, shape)
+    return map_slices(df.select(*kept, "spectrum", "wavelengths"), rows, shape)
 
 
 def grid_hash(wavelengths) -> str:
@@ -293,7 +295,7 @@ def scatter(df: DataFrame, column: str, fan: int = 32):
         return pdf.head(1).assign(sums=[sum(np.frombuffer(x) for x in pdf["sums"]).tobytes()])
 
     shape = "node int, sums binary"
-    nodes = df.select(column).mapInPandas(partial, shape).groupBy("node").applyInPandas(add, shape).orderBy("node").collect()
+    nodes = map_slices(df.select(column), partial, shape).groupBy("node").applyInPandas(add, shape).orderBy("node").collect()
     if not nodes:
         raise ValueError("no rows to sum up")
     total = sum(np.frombuffer(r["sums"]) for r in nodes)

@@ -33,6 +33,27 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a function over wide rows holds at a time.
+SLICE = 256
+
+
+def map_slices(df: DataFrame, f, schema: str) -> DataFrame:
+    """mapInPandas with frames of SLICE rows at most, so that memory does not grow with Spark's batches of rows."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
+
+    shape, most = to_arrow_schema(StructType.fromDDL(schema)), SLICE
+
+    def run(batches):
+        import pyarrow as pa
+
+        slices = (b.slice(i, most).to_pandas() for b in batches for i in range(0, b.num_rows, most))
+        for out in f(slices):
+            yield pa.RecordBatch.from_pandas(out, schema=shape, preserve_index=False)
+
+    return df.mapInArrow(run, schema)
+
+
 def event_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     """events as frames: the user is the sequence, time is seconds, errors are hazards."""
     return as_frames(read_table(spark, sf_dir, "events"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.keys import padded, seed_for
 from tidemark.sources import latents
+from tidemark.sources.frames import map_slices
 from tidemark.sources.latents import HAZARDS as HAZARDS
 
 GRID = (900.0, 2500.0, 2.0)
@@ -100,12 +101,12 @@ def spectra_of(frames: DataFrame, seed: int) -> DataFrame:
             out = b[[*kept, "agent_id", "latent_json", "mixture_json"]].copy()
             clean = [clean_spectrum(wavelengths, w, x if isinstance(x, dict) else x.asDict()) for w, x in zip(b["amounts"], b["latents"])]
             noisy = [add_noise(c, s, 1e-5, np.random.default_rng(seed_for(str(seed), i))) for c, s, i in zip(clean, b["sigma"], b["sample_id"])]
-            out["wavelengths"] = [wavelengths.tolist()] * len(b)
-            out["spectrum"], out["spectrum_clean"] = [y.tolist() for y, _ in noisy], [c.tolist() for c in clean]
+            out["wavelengths"] = [wavelengths] * len(b)
+            out["spectrum"], out["spectrum_clean"] = [y for y, _ in noisy], clean
             out["clipping_fraction"] = [share for _, share in noisy]
             yield out[[c.split()[0] for c in SCHEMA.split(", ")]]
 
-    return rows.mapInPandas(synthesised, SCHEMA)
+    return map_slices(rows, synthesised, SCHEMA)
 
 
 def illumination(wavelengths, spec: dict):
