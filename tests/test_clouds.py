@@ -85,3 +85,23 @@ def test_unusable(spark, sides):
         clouds.potentials(one, clouds.cloud(x.withColumn("x", F.transform("x", lambda v: v * 2)), "id", "x", 4), 0.01, sweeps=1)
     with pytest.raises(Exception, match="finite"):
         clouds.cloud(x.withColumn("x", F.transform("x", lambda v: F.lit(float("nan")))), "id", "x")
+
+
+def test_a_block_is_sent_once_for_a_group(spark):
+    """What is sent grows with the blocks, not with the product of both sides'."""
+    dealt = lambda parts: clouds._tiles(*[spark.range(p).select(F.col("id").cast("int").alias("block"), F.lit(1).alias("n"), F.lit(b"").alias("x"), F.lit(b"").alias("v")) for p in parts], clouds._grid(parts))
+    assert dealt((12, 18)).count() * 4 == dealt((48, 72)).count() == 6 * (48 + 72)
+    met = dealt((8, 11)).select("own", "block", F.spark_partition_id().alias("at"))
+    pairs = met.filter("own").alias("a").join(met.filter("NOT own").alias("b"), "at").select(F.col("a.block"), F.col("b.block").alias("other"))
+    assert pairs.count() == pairs.distinct().count() == 88
+    assert max(-(-p // g) for p, g in zip((500, 900), clouds._grid((500, 900)))) <= clouds.HELD
+
+
+def test_floats_stay_floats(spark, sides):
+    x = _table(spark, sides[0]).withColumn("x", F.col("x").cast("array<float>"))
+    short, long = (clouds.cloud(t, "id", "x", 16) for t in (x, x.withColumn("x", F.col("x").cast("array<double>"))))
+    size = lambda c: c.blocks.agg(F.sum(F.length("x"))).first()[0]
+    assert 2 * size(short) == size(long) == 60 * 3 * 8
+    g = short.blocks.select("block", F.expr("cast(repeat(decode(unhex('00'), 'UTF-8'), 8 * n) as binary)").alias("v"))
+    got, want = (dict(clouds.by_point(c, clouds.soft_min(c, short, g, 1.0), "v").collect()) for c in (short, long))
+    assert got == pytest.approx(want, abs=1e-12)

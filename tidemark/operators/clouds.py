@@ -20,6 +20,8 @@ from tidemark.sources.frames import materialize
 
 #: Points of a block: two of these and a strip of their costs are what a task holds.
 BLOCK = 4096
+#: Groups that each side's blocks are dealt to, if it has so many, and the blocks of a group at most: what a task holds.
+SPREAD, HELD = 6, 32
 #: Parts that are merged at a time.
 FAN = 64
 #: Turns whose potentials are mixed to the next one.
@@ -28,14 +30,16 @@ DEPTH = 6
 
 @dataclass(frozen=True)
 class Cloud:
-    """blocks: block int, n int, ids array, x binary (n rows of doubles). n: points; parts: blocks at most."""
+    """blocks: block int, n int, ids array, x binary (n rows of numbers). n: points; parts: blocks at most; kind: of the
+    numbers, floats where the table has floats, which lose nothing and are half as long."""
 
     blocks: DataFrame = field(repr=False)
     n: int
     parts: int
+    kind: str = "f8"
 
 
-def _packed(batches: Iterator) -> Iterator:
+def _packed(batches: Iterator, kind: str) -> Iterator:
     import numpy as np
     import pandas as pd
     from pyspark import TaskContext
@@ -47,7 +51,7 @@ def _packed(batches: Iterator) -> Iterator:
     vectors = rows["x"].to_numpy()
     if any(v is None for v in vectors) or len({len(v) for v in vectors}) != 1:
         raise TransportError("vectors must be there and of one length")
-    x = np.stack(vectors).astype(float)
+    x = np.stack(vectors).astype(kind)
     if not np.isfinite(x).all():
         raise TransportError("vectors must be finite")
     yield pd.DataFrame({"block": [TaskContext.get().partitionId()], "n": [len(x)], "ids": [rows["id"].tolist()], "x": [x.tobytes()]})
@@ -60,8 +64,10 @@ def cloud(df: DataFrame, ident: str, vector: str, block: int = BLOCK) -> Cloud:
     if n == 0:
         raise TransportError("a cloud needs points")
     parts = -(-n // block)
-    kind = rows.schema["id"].dataType.simpleString()
-    return Cloud(materialize(rows.repartition(parts).mapInPandas(_packed, f"block int, n int, ids array<{kind}>, x binary"), "cloud"), n, parts)
+    ids = rows.schema["id"].dataType.simpleString()
+    kind = "f4" if rows.schema["x"].dataType.simpleString() == "array<float>" else "f8"
+    packed = rows.repartition(parts).mapInPandas(partial(_packed, kind=kind), f"block int, n int, ids array<{ids}>, x binary")
+    return Cloud(materialize(packed, "cloud"), n, parts, kind)
 
 
 def _strips(x, y):
@@ -71,30 +77,62 @@ def _strips(x, y):
         yield slice(i, i + size), transport.squared_cost(x[i : i + size], y)
 
 
-def _points(row, name: str, count: str):
+def _points(x: bytes, n: int, kind: str):
     import numpy as np
 
-    return np.frombuffer(getattr(row, name)).reshape(getattr(row, count), -1)
+    return np.frombuffer(x, kind).reshape(n, -1).astype(float)
 
 
-def _soft(batches: Iterator, level: float) -> Iterator:
-    """Of each pair of blocks: for every point of the first its greatest exponent and the sum of exponentials below it."""
+def _grid(parts: tuple[int, int]) -> tuple[int, int]:
+    """Groups of each side: SPREAD, more where the other side has few blocks, or as many as HELD asks for."""
+    p, q = parts
+    rows, cols = min(p, max(SPREAD, SPREAD**2 // q)), min(q, max(SPREAD, SPREAD**2 // p))
+    return max(rows, -(-p // HELD)), max(cols, -(-q // HELD))
+
+
+def _tiles(mine: DataFrame, theirs: DataFrame, grid: tuple[int, int]) -> DataFrame:
+    """Blocks (block, n, x, v) of both sides, `own` for the first, dealt to tiles, which are a group of each side and a
+    partition each. A block is sent once for each group of the other side, of which there are SPREAD however many blocks
+    there are, until a group of HELD blocks is full."""
+    rows, cols = grid
+    sent = lambda of, own, tile, n: of.withColumn("__k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.lit(own).alias("own"), tile.cast("int").alias("tile"), "block", "n", "x", "v")
+    first = sent(mine, True, F.col("block") % rows * cols + F.col("__k"), cols)
+    second = sent(theirs, False, F.col("__k") * cols + F.col("block") % cols, rows)
+    return first.unionAll(second).repartitionById(rows * cols, "tile")
+
+
+def _met(batches: Iterator, kinds: tuple[str, str]) -> Iterator:
+    """Of each tile: its number, and a list for each side of block, points and v."""
     import numpy as np
     import pandas as pd
 
-    for b in batches:
-        out = []
-        for r in b.itertuples():
-            x, y, v = _points(r, "x", "n"), _points(r, "y", "m"), np.frombuffer(r.v)
-            top, total = np.empty(len(x)), np.empty(len(x))
-            for at, cost in _strips(x, y):
-                a = np.subtract(v[None], cost, out=cost)
-                a /= level
-                top[at] = a.max(1)
-                a -= top[at][:, None]
-                total[at] = np.exp(a, out=a).sum(1)
-            out.append((r.block, r.other, top.tobytes(), total.tobytes()))
-        yield pd.DataFrame(out, columns=["block", "other", "top", "total"])
+    kept = [b for b in batches if len(b)]
+    for tile, rows in pd.concat(kept).groupby("tile") if kept else ():
+        sides = []
+        for own, kind in zip((True, False), kinds):
+            held = rows[rows["own"] == own]
+            sides.append([(r.block, _points(r.x, r.n, kind), None if r.v is None else np.frombuffer(r.v)) for r in held.itertuples()])
+        yield tile, *sides
+
+
+def _soft(batches: Iterator, level: float, kinds: tuple[str, str], cols: int) -> Iterator:
+    """Of each tile: for every point of its first side the greatest exponent and the sum of exponentials below it."""
+    import numpy as np
+    import pandas as pd
+
+    for tile, mine, theirs in _met(batches, kinds):
+        for block, x, _ in mine:
+            top, total = np.full(len(x), -np.inf), np.zeros(len(x))
+            for _, y, v in theirs:
+                for at, cost in _strips(x, y):
+                    a = np.subtract(v[None], cost, out=cost)
+                    a /= level
+                    high = np.maximum(top[at], a.max(1))
+                    a -= high[:, None]
+                    total[at] = total[at] * np.exp(top[at] - high) + np.exp(a, out=a).sum(1)
+                    top[at] = high
+            if theirs:
+                yield pd.DataFrame({"block": [block], "other": [tile % cols], "top": [top.tobytes()], "total": [total.tobytes()]})
 
 
 def _merged(pdf):
@@ -118,21 +156,13 @@ def _potential(batches: Iterator, level: float, size: int) -> Iterator:
         yield pd.DataFrame({"block": b["block"], "v": v})
 
 
-def _pairs(a: DataFrame, b: DataFrame, parts: tuple[int, int]) -> DataFrame:
-    """Every block of a (x, n) beside every one of b (y, m): each is sent once for each block of the other side, and a pair
-    is more work than its bytes, so pairs have partitions of their own."""
-    mine = a.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(parts[1] - 1))))
-    theirs = b.withColumnRenamed("block", "other").withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(parts[0] - 1))))
-    tasks = min(parts[0] * parts[1], 10_000)
-    return mine.repartition(tasks, "block", "other").join(theirs.repartition(tasks, "block", "other").hint("shuffle_hash"), ["block", "other"])
-
-
 def soft_min(points: Cloud, other: Cloud, potential: DataFrame, level: float) -> DataFrame:
     """What a potential (block, v) on a cloud is at other points: the soft minimum of cost less potential. block, v."""
-    theirs = other.blocks.select("block", F.col("x").alias("y"), F.col("n").alias("m")).join(potential, "block")
-    pairs = _pairs(points.blocks.select("block", "n", "x"), theirs, (points.parts, other.parts))
+    grid = _grid((points.parts, other.parts))
+    mine = points.blocks.select("block", "n", "x", F.lit(None).cast("binary").alias("v"))
+    tiles = _tiles(mine, other.blocks.select("block", "n", "x").join(potential, "block"), grid)
     kinds = "block int, other int, top binary, total binary"
-    parts, left = pairs.mapInPandas(partial(_soft, level=level), kinds), other.parts
+    parts, left = tiles.mapInPandas(partial(_soft, level=level, kinds=(points.kind, other.kind), cols=grid[1]), kinds), grid[1]
     while left > 1:
         parts = parts.withColumn("group", F.expr(f"other div {FAN}").cast("int")).groupBy("block", "group").applyInPandas(_merged, kinds)
         left = -(-left // FAN)
@@ -175,11 +205,11 @@ def _weights(dots) -> list[float]:
     return (z / z.sum()).tolist()
 
 
-def _carried(batches: Iterator, cloud, potential, eps: float) -> Iterator:
+def _carried(batches: Iterator, cloud, potential, eps: float, kind: str) -> Iterator:
     import pandas as pd
 
     for b in batches:
-        yield pd.DataFrame({"block": b["block"], "v": [transport.extended(cloud, potential, eps, _points(r, "x", "n")).tobytes() for r in b.itertuples()]})
+        yield pd.DataFrame({"block": b["block"], "v": [transport.extended(cloud, potential, eps, _points(r.x, r.n, kind)).tobytes() for r in b.itertuples()]})
 
 
 def starting(references, eps: float, b: Cloud) -> DataFrame:
@@ -188,7 +218,7 @@ def starting(references, eps: float, b: Cloud) -> DataFrame:
 
     near, far = references
     found = transport.potentials(near, far, eps)
-    return b.blocks.mapInPandas(partial(_carried, cloud=near, potential=np.array(found["f"]), eps=eps), "block int, v binary")
+    return b.blocks.mapInPandas(partial(_carried, cloud=near, potential=np.array(found["f"]), eps=eps, kind=b.kind), "block int, v binary")
 
 
 def potentials(h: Cloud, b: Cloud, eps: float, start: DataFrame | None = None, tolerance: float = 1e-6, sweeps: int = 200, trace: list | None = None) -> tuple[DataFrame, DataFrame, float]:
@@ -261,23 +291,19 @@ def coordinate(points: Cloud, h: Cloud, b: Cloud, f: DataFrame, g: DataFrame, ep
     return by_point(points, away(points).mapInPandas(less, "block int, v binary"), "coordinate").withColumn("coordinate", F.col("coordinate") - centre)
 
 
-def _costs(batches: Iterator, eps: float, cells: float) -> Iterator:
-    """Transported cost of each pair of blocks."""
+def _costs(batches: Iterator, eps: float, cells: float, kinds: tuple[str, str]) -> Iterator:
+    """Transported cost of each tile."""
     import numpy as np
     import pandas as pd
 
-    for b in batches:
-        out = []
-        for r in b.itertuples():
-            x, y, f, g = _points(r, "x", "n"), _points(r, "y", "m"), np.frombuffer(r.u), np.frombuffer(r.v)
-            out.append(float(sum((np.exp((f[at, None] + g[None] - cost) / eps) * cost).sum() for at, cost in _strips(x, y)) / cells))
-        yield pd.DataFrame({"cost": out})
+    for _, mine, theirs in _met(batches, kinds):
+        parts = ((np.exp((f[at, None] + g[None] - cost) / eps) * cost).sum() for _, x, f in mine for _, y, g in theirs for at, cost in _strips(x, y))
+        yield pd.DataFrame({"cost": [float(sum(parts) / cells)]})
 
 
 def distance(h: Cloud, b: Cloud, f: DataFrame, g: DataFrame, eps: float) -> float:
     """Root of the cost of the plan that two potentials stand for."""
-    mine = h.blocks.select("block", "n", "x").join(f.withColumnRenamed("v", "u"), "block")
-    theirs = b.blocks.select("block", F.col("x").alias("y"), F.col("n").alias("m")).join(g, "block")
-    pairs = _pairs(mine, theirs, (h.parts, b.parts))
-    total = pairs.mapInPandas(partial(_costs, eps=eps, cells=float(h.n) * b.n), "cost double").agg(F.sum("cost")).first()[0]
+    mine, theirs = (of.blocks.select("block", "n", "x").join(v, "block") for of, v in ((h, f), (b, g)))
+    tiles = _tiles(mine, theirs, _grid((h.parts, b.parts)))
+    total = tiles.mapInPandas(partial(_costs, eps=eps, cells=float(h.n) * b.n, kinds=(h.kind, b.kind)), "cost double").agg(F.sum("cost")).first()[0]
     return max(total, 0.0) ** 0.5
