@@ -54,3 +54,17 @@ def test_alarm_events_close_by_hold_or_clock(spark, silence):
     stream = ordered.alarm_events(ordered.replay(df, 12.0, 4, silence), silence, "12 seconds")
     got = stateful.to_table(stream).filter(F.col("sequence_id") != ordered.CLOCK).collect()
     assert Counter((r.sequence_id, r.start_sample_id, r.end_sample_id, r.closed_by) for r in got) == alarms(rows, silence)
+
+
+def test_sequences_share_state_and_batches_have_several_files(spark, monkeypatch):
+    """State is kept and asked for by groups of sequences, and a batch is written by several tasks."""
+    monkeypatch.setattr(ordered, "BUCKETS", 2)
+    monkeypatch.setattr(ordered, "ROWS", 20)
+    df = _frames(spark, n=5, length=40)
+    replayed = ordered.replay(df, 9.0, 3)
+    on_time, late = ordered.split_late(ordered.run(replayed, stateful.hysteresis(120.0, 30.0, 3), "9 seconds"))
+    assert late.count() == 0
+    want = {r.sample_id: (r.action, r.held) for r in folds.hysteresis(df, 120.0, 30.0, 3).collect()}
+    assert {r.sample_id: (r.action, r.value) for r in on_time.collect()} == want
+    seen = stateful.to_table(replayed.select("*", F.input_file_name().alias("file"))).select("file", F.regexp_extract("file", r"batch=(\d)", 1).alias("batch"))
+    assert {r.batch: r.n for r in seen.groupBy("batch").agg(F.count_distinct("file").alias("n")).collect()} == {"0": 4, "1": 4, "2": 4, "3": 1}

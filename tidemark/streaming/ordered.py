@@ -1,9 +1,10 @@
 """Stream operators over rows that arrive in any order, by `transformWithStateInPandas`.
 
-Rows of a sequence wait in list state until the watermark has passed them; an event-time timer then releases them in the
-order of (timestamp, sample_id), so a stream in many shuffled batches gives what the batch operator gives. A row that the
-watermark had passed before it came is late: it leaves at once, marked, and touches no state; none is dropped. A sequence
-keeps one timer, at the earliest thing due.
+Sequences are dealt to BUCKETS groups by a hash, which have state and a timer each, and rows are packed into a few rows of arrays, as every
+call for state and every row in it costs much whatever it holds. Rows of a group wait in list state until the watermark has passed them; an event-time timer then releases them in the
+order of (timestamp, sample_id) within each sequence, so a stream in many shuffled batches gives what the batch operator gives. A row that the
+watermark had passed before it came is late: it leaves at once, marked, and touches no state; none is dropped. A group
+keeps one timer, at the earliest thing due. Rows of CLOCK only move the watermark.
 
 The column that carries the watermark is projected away above it: Spark then keeps the watermark for timers, but doesn't
 take late rows out before the operator sees them. State is kept by RocksDB, as list state needs it."""
@@ -23,6 +24,12 @@ from tidemark.streaming.stateful import EVENTS, OUTPUT, to_table
 
 #: The sequence of rows that only move the clock.
 CLOCK = "\x00clock"
+#: Groups of sequences; a task holds the waiting rows of one at a time.
+BUCKETS = 1024
+#: Rows that are packed into one of state.
+PACK = 10_000
+#: Rows of a file of a replayed table, about.
+ROWS = 1_000_000
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -35,11 +42,25 @@ def _passed(timers) -> float:
     return timers.getCurrentWatermarkInMs() or -math.inf
 
 
+def _arrays(shape: str) -> str:
+    return ", ".join("{} array<{}>".format(*c.split()) for c in shape.split(", "))
+
+
+def _pack(rows: list[tuple]) -> list[tuple]:
+    return [tuple(map(list, zip(*rows[i : i + PACK]))) for i in range(0, len(rows), PACK)]
+
+
+def _unpack(packed) -> Iterator[tuple]:
+    for columns in packed:
+        yield from zip(*columns)
+
+
 class _InOrder(StatefulProcessor):
     """Holds frames back and hands them on in order. Subclasses say what a released frame does (`frame`) and what else
-    falls due (`due`, `expire`); their state is a value that is read once and written once a release."""
+    falls due (`due`, `expire`); the states of a group's sequences are a list that is read once and written once a
+    release."""
 
-    waiting_shape = "timestamp double, sample_id string, action string, score double"
+    waiting_shape = "sequence_id string, timestamp double, sample_id string, action string, score double"
     columns: list[str]
 
     def __init__(self, state_shape: str) -> None:
@@ -47,8 +68,8 @@ class _InOrder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", self.waiting_shape)
-        self.held = handle.getValueState("held", self.state_shape)
+        self.waiting = handle.getListState("waiting", _arrays(self.waiting_shape))
+        self.held = handle.getListState("held", _arrays(f"sequence_id string, {self.state_shape}"))
 
     def frame(self, key: str, state: tuple | None, row: tuple, out: list) -> tuple | None:
         raise NotImplementedError
@@ -66,8 +87,8 @@ class _InOrder(StatefulProcessor):
     def _frame(self, rows: list) -> pd.DataFrame:
         return pd.DataFrame(rows, columns=self.columns)
 
-    def _alarm(self, waiting_first: float | None, state: tuple | None) -> None:
-        at = min((_ms(t) for t in (waiting_first, self.due(state)) if t is not None), default=None)
+    def _alarm(self, waiting_first: float | None, states) -> None:
+        at = min((_ms(t) for t in (waiting_first, *map(self.due, states)) if t is not None), default=None)
         for timer in list(self.handle.listTimers()):
             if timer != at:
                 self.handle.deleteTimer(timer)
@@ -77,15 +98,17 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         passed, out, new = _passed(timerValues), [], []
         for batch in rows:
-            for row in batch[["timestamp", "sample_id", "action", "score"]].itertuples(index=False, name=None):
-                row = (float(row[0]), row[1], row[2], None if pd.isna(row[3]) else float(row[3]))
-                if _ms(row[0]) <= passed:
-                    out.append(self.late(key[0], row))
+            for row in batch[["sequence_id", "timestamp", "sample_id", "action", "score"]].itertuples(index=False, name=None):
+                if row[0] == CLOCK:
+                    continue
+                row = (row[0], float(row[1]), row[2], row[3], None if pd.isna(row[4]) else float(row[4]))
+                if _ms(row[1]) <= passed:
+                    out.append(self.late(row[0], row[1:]))
                 else:
                     new.append(row)
         if new:
-            self.waiting.appendList(new)
-            first, timers = min(r[0] for r in new), list(self.handle.listTimers())
+            self.waiting.appendList(_pack(new))
+            first, timers = min(r[1] for r in new), list(self.handle.listTimers())
             if not timers or _ms(first) < min(timers):
                 for timer in timers:
                     self.handle.deleteTimer(timer)
@@ -94,24 +117,31 @@ class _InOrder(StatefulProcessor):
             yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed, out = _passed(timerValues), []
-        rows = [(r[0], r[1], r[2], r[3]) for r in self.waiting.get()]
-        ready = sorted((r for r in rows if _ms(r[0]) <= passed), key=lambda r: r[:2])
-        rest = [r for r in rows if _ms(r[0]) > passed]
-        before = state = tuple(self.held.get()) if self.held.exists() else None
-        for row in ready:
-            state = self.frame(key[0], self.expire(key[0], state, row[0], out), row, out)
-        state = self.expire(key[0], state, passed / 1000, out)
+        passed, out, ready, rest = _passed(timerValues), [], {}, []
+        for r in _unpack(self.waiting.get()):
+            if _ms(r[1]) <= passed:
+                ready.setdefault(r[0], []).append((r[1], r[2], r[3], r[4]))
+            else:
+                rest.append(r)
+        before = {r[0]: r[1:] for r in _unpack(self.held.get())}
+        after = {}
+        for sequence in before | ready:
+            state = before.get(sequence)
+            for row in sorted(ready.get(sequence, ()), key=lambda r: r[:2]):
+                state = self.frame(sequence, self.expire(sequence, state, row[0], out), row, out)
+            state = self.expire(sequence, state, passed / 1000, out)
+            if state is not None:
+                after[sequence] = state
         if ready:
             if rest:
-                self.waiting.put(rest)
+                self.waiting.put(_pack(rest))
             else:
                 self.waiting.clear()
-        if state is None:
+        if not after:
             self.held.clear()
-        elif state != before:
-            self.held.update(state)
-        self._alarm(min((r[0] for r in rest), default=None), state)
+        elif after != before:
+            self.held.put(_pack([(sequence, *state) for sequence, state in after.items()]))
+        self._alarm(min((r[1] for r in rest), default=None), after.values())
         if out:
             yield self._frame(out)
 
@@ -177,8 +207,9 @@ def _transform(frames: DataFrame, processor: _InOrder, shape: str, lateness: str
     action = F.col("action") if "action" in frames.columns else F.lit(None).cast("string")
     at = F.timestamp_micros((F.col("timestamp") * 1e6).cast("long"))
     timed = frames.select("sequence_id", F.col("timestamp").cast("double"), "sample_id", action.alias("action"), F.col("score").cast("double"), at.alias("at")).withWatermark("at", lateness)
-    rows = timed.select("sequence_id", "timestamp", "sample_id", "action", "score")
-    return rows.groupBy("sequence_id").transformWithStateInPandas(processor, shape, "append", "EventTime")
+    group = F.pmod(F.xxhash64("sequence_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    rows = timed.select(group, "sequence_id", "timestamp", "sample_id", "action", "score")
+    return rows.groupBy("bucket").transformWithStateInPandas(processor, shape, "append", "EventTime")
 
 
 def run(frames: DataFrame, operator: tuple[Callable, str], lateness: str = "0 seconds") -> DataFrame:
@@ -195,21 +226,32 @@ def alarm_events(actions: DataFrame, silence: float, lateness: str = "0 seconds"
 
 def replay(frames: DataFrame, lateness: float, batches: int, silence: float = 0.0) -> DataFrame:
     """A bounded table of frames as a stream in so many batches, in which rows are out of order by up to `lateness`
-    seconds (told by a hash of their ids), and a row at the end that moves the clock past everything."""
+    seconds (told by a hash of their ids), and a row at the end that moves the clock past everything. A batch is as many
+    files as every other, of about ROWS rows, each with a row of the clock, so that none is empty and left out."""
     spark, path = frames.sparkSession, scratch(frames.sparkSession, "replay")
     arrives = F.col("timestamp") + (F.xxhash64("sample_id") % 1000 + 1000) / 2000 * (0.99 * lateness)
     rows = frames.withColumn("__arrives", arrives)
-    low, high, last = rows.agg(F.min("__arrives"), F.max("__arrives"), F.max("timestamp")).first()
-    low, high, last = (0.0, 0.0, 0.0) if low is None else (low, high, last)
-    width = max((high - low) / batches, 1e-9)
+    low, high, first, last, n = rows.agg(F.min("__arrives"), F.max("__arrives"), F.min("timestamp"), F.max("timestamp"), F.count("*")).first()
+    low, high, first, last = (0.0, 0.0, 0.0, 0.0) if low is None else (low, high, first, last)
+    width, files = max((high - low) / batches, 1e-9), max(-(-n // (batches * ROWS)), 1)
     rows = rows.withColumn("__batch", F.least(F.floor((F.col("__arrives") - low) / width), F.lit(batches - 1)))
     shape = [F.col("`" + c + "`") for c in frames.columns]
+
+    def tick(at: float) -> list:
+        clock = {"sequence_id": F.lit(CLOCK), "timestamp": F.lit(at), "sample_id": F.lit("")}
+        return [clock.get(c, F.lit(None)).cast(frames.schema[c].dataType).alias(c) for c in frames.columns]
+
+    fill = spark.range(files).select(*tick(first), F.col("id").cast("int").alias("__file"))
     for k in range(batches):  # one after another: a file source takes files by their time
-        rows.filter(F.col("__batch") == k).select(*shape).coalesce(1).write.parquet(f"{path}/batch={k}")
-    clock = {"sequence_id": F.lit(CLOCK), "timestamp": F.lit(last + lateness + silence + 1.0), "sample_id": F.lit("")}
-    tick = [clock.get(c, F.lit(None)).cast(frames.schema[c].dataType).alias(c) for c in frames.columns]
-    spark.range(1).select(*tick).write.parquet(f"{path}/batch={batches}")
-    return spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/batch=*")
+        own = rows.filter(F.col("__batch") == k)
+        if files == 1:
+            own = own.select(*shape).coalesce(1)
+        else:
+            dealt = own.select(*shape, F.pmod(F.xxhash64("sample_id"), F.lit(files)).cast("int").alias("__file"))
+            own = dealt.unionAll(fill).repartitionById(files, "__file").drop("__file")
+        own.write.parquet(f"{path}/batch={k}")
+    spark.range(1).select(*tick(last + lateness + silence + 1.0)).write.parquet(f"{path}/batch={batches}")
+    return spark.readStream.schema(frames.schema).option("maxFilesPerTrigger", files).parquet(f"{path}/batch=*")
 
 
 def split_late(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
