@@ -110,3 +110,16 @@ def test_a_seal_is_set_once(spark, folder):
     stages.create(f"{folder}/empty.json", b"")
     with pytest.raises(stages.SealError):
         stages.seal(f"{folder}/empty.json", {"a": 1})
+
+
+def test_buckets_are_folded_in_generated_code(spark):
+    """The bucket of an id is its digest modulo 1000, told without an array of digits for each row."""
+    import hashlib
+
+    from tidemark.functions.keys import bucket1000
+
+    ids = spark.range(500).selectExpr("cast(id * 7919 AS string) AS id").unionAll(spark.sql("SELECT ''")).unionAll(spark.sql("SELECT cast(NULL AS string)"))
+    out = ids.select("id", bucket1000(ids["id"]).alias("b"))
+    want = {i: int(hashlib.sha256(i.encode()).hexdigest(), 16) % 1000 for i in (r.id for r in ids.collect()) if i is not None}
+    assert {r.id: r.b for r in out.collect()} == want | {None: None}
+    assert "lambdafunction" not in out._jdf.queryExecution().optimizedPlan().toString()

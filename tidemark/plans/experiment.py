@@ -15,6 +15,7 @@ from pyspark.sql.window import Window
 from tidemark.functions.keys import split_of
 from tidemark.functions.scalars import toggle_reduction
 from tidemark.operators import events, folds, metrics, regimes, windows
+from tidemark.operators.ranges import kept
 
 Arm = Callable[[DataFrame], DataFrame]
 
@@ -51,8 +52,9 @@ def evaluate(actions: DataFrame, by: list[str] = ("split",)) -> DataFrame:
 
 
 def run_arms(frames: DataFrame, arms: dict[str, Arm]) -> DataFrame:
-    """Metrics of every arm over the same frames, with the arm's name."""
-    out = None
+    """Metrics of every arm over the same frames, with the arm's name. Every arm reads the frames several times, so they
+    are made once."""
+    out, frames = None, kept(frames)
     for name, arm in arms.items():
         rows = evaluate(arm(frames)).withColumn("method", F.lit(name))
         out = rows if out is None else out.unionByName(rows)

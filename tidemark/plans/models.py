@@ -373,7 +373,7 @@ def method_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.plans import experiment
     from tidemark.sources.frames import event_frames
 
-    rows = experiment.run_arms(experiment.with_regimes(event_frames(spark, sf_dir)), experiment.baselines())
+    rows = experiment.run_arms(experiment.with_regimes(event_frames(spark, sf_dir).drop("props")), experiment.baselines())
     return rows.select("method", "split", "n_events", "fcr", "mcr", "toggle_rate", "suppression_efficiency")
 
 

@@ -40,7 +40,7 @@ _ARMS = sql("regimes", "").rstrip() + f""", {_arm("B0", "CASE WHEN risk_score >=
 
 def arm_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of three arms on the same regime frames: the score's own threshold, three of five, two of five."""
-    frames = alarms.regime_frames(spark, sf_dir).withColumn("score", F.col("risk_score"))
+    frames = alarms.regime_frames(spark, sf_dir).withColumn("score", F.col("risk_score")).drop("props")
     arms = {"B0": experiment.baselines()["B0"], "B1": lambda f: windows.n_of_m(f, 3, 5, 0.5), "N2": lambda f: windows.n_of_m(f, 2, 5, 0.5)}
     return experiment.run_arms(frames, arms)
 
