@@ -56,3 +56,20 @@ def test_a_million_different_values(spark, monkeypatch):
     assert quantile_values(df, "x", [0.25, 0.5, 0.9]) == pytest.approx(np.quantile(np.arange(n), [0.25, 0.5, 0.9]))
     # behind the first table of all values only a few cells of it are left
     assert sorted(d.count() for d in kept)[-2] < n // 8
+
+
+def test_small_groups_are_sorted_in_one_exchange(spark, monkeypatch):
+    """Beside a group that is cut into cells, small ones are sorted and numbered; no cut is made for them."""
+    monkeypatch.setattr(ranges, "ROWS", 100)
+    small = [(f"g{k}", float(k * 7 + i * i)) for k in range(60) for i in range(5)]
+    cuts, whole = [], ranges.cuts_of
+    monkeypatch.setattr(ranges, "cuts_of", lambda *a: cuts.append(a) or whole(*a))
+    plan = quantiles(spark.createDataFrame(small, "k string, x double"), "x", [0.5, 0.9], ["k"])
+    for r in plan.collect():
+        assert list(r.q) == pytest.approx(np.quantile([x for k, x in small if k == r.k], [0.5, 0.9]))
+    assert not cuts and plan.count() == 60
+    rows = small + [("hot", float(i % 211)) for i in range(400)]
+    got = {r.k: list(r.q) for r in quantiles(spark.createDataFrame(rows, "k string, x double"), "x", [0.5, 0.9], ["k"]).collect()}
+    assert cuts and len(got) == 61
+    for key, q in got.items():
+        assert q == pytest.approx(np.quantile([x for k, x in rows if k == key], [0.5, 0.9]))

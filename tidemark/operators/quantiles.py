@@ -4,7 +4,8 @@ A quantile needs the values at two ranks. Rows are counted by cells of the value
 running counts over the cells, a few thousand a group, tell which cell holds each rank, and only the rows of those cells
 go on, to be cut again as long as there are more than ranges.ROWS of them. The few that are left are counted by distinct
 value, and the value at which the count reaches a rank is taken. So what is shuffled are counts and the rows of a few
-cells, and no task or map ever holds all values of a group.
+cells, and no task or map ever holds all values of a group. Groups of ranges.ROWS rows or fewer need none of that: their rows
+are sorted in one exchange and numbered.
 
 Nulls and NaN are left out; a group with nothing else has no row. Ties count as often as they occur."""
 
@@ -17,6 +18,11 @@ from pyspark.sql.window import Window
 from tidemark.operators import ranges
 
 
+def _blend(n: Column, p: float, low: Column, high: Column) -> Column:
+    at = (n - 1).cast("double") * float(p)
+    return F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+
+
 def _asked(counts: DataFrame, keys: list[str], probabilities: list[float]) -> DataFrame:
     """keys, rank (from 0) and own, the place of the probability times two, one more for the rank above."""
     spots = F.array(*[F.struct(F.lit(i).alias("i"), ((F.col("n") - 1).cast("double") * float(p)).alias("at")) for i, p in enumerate(probabilities)])
@@ -73,14 +79,40 @@ def quantiles(df: DataFrame, value: str | Column, probabilities: list[float], by
     rows = rows.select(*[F.coalesce(F.col(k).cast("string"), F.lit("\x00")).alias(f"__k{i}") for i, k in enumerate(keys)], *[F.col(k).alias(f"__v{i}") for i, k in enumerate(keys)], "value")
     rows = ranges.kept(rows)
     plain, named = [f"__k{i}" for i in range(len(keys))], [f"__v{i}" for i in range(len(keys))]
+    total = rows.count()
+    sizes = rows.groupBy(*plain).agg(F.count("*").alias("n")).filter(F.col("n") > ranges.ROWS)
+    large = [r[:-1] for r in sizes.collect()] if total > ranges.ROWS else []  # total / ROWS of them at most
+    if large and not by:
+        out = _by_cells(rows, plain, named, probabilities, total)
+    elif large:
+        held = F.broadcast(df.sparkSession.createDataFrame(large, ", ".join(f"{k} string" for k in plain)))
+        few, rest = rows.join(held, plain, "left_semi"), rows.join(held, plain, "left_anti")
+        out = _by_cells(few, plain, named, probabilities, total).unionAll(_by_order(rest, plain, named, probabilities))
+    else:
+        out = _by_order(rows, plain, named, probabilities)
+    out = out.select(*[F.col(v).alias(k) for v, k in zip(named, keys)], "n", "q")
+    return out if by else out.drop("__all")
+
+
+def _by_order(rows: DataFrame, plain: list[str], named: list[str], probabilities: list[float]) -> DataFrame:
+    """Quantiles of groups that a task can sort: the rows at each rank are told by their number."""
+    own = Window.partitionBy(*plain)
+    rows = rows.withColumns({"r": F.row_number().over(own.orderBy("value")), "n": F.count("*").over(own)})
+    ends = {}
+    for i, p in enumerate(probabilities):
+        at = (F.col("n") - 1).cast("double") * float(p)
+        ends |= {f"low{i}": F.max(F.when(F.col("r") == F.floor(at) + 1, F.col("value"))), f"high{i}": F.max(F.when(F.col("r") == F.ceil(at) + 1, F.col("value")))}
+    found = rows.groupBy(*plain).agg(*[F.first(v).alias(v) for v in named], F.first("n").alias("n"), *[c.alias(k) for k, c in ends.items()])
+    return found.select(*named, "n", F.array(*[_blend(F.col("n"), p, F.col(f"low{i}"), F.col(f"high{i}")) for i, p in enumerate(probabilities)]).alias("q"))
+
+
+def _by_cells(rows: DataFrame, plain: list[str], named: list[str], probabilities: list[float], total: int) -> DataFrame:
+    """Quantiles of groups of any size, by selection."""
     counts = rows.groupBy(*plain).agg(F.count("*").alias("n"), *[F.first(c).alias(c) for c in named])
-    found = _selected(rows.select(*plain, "value"), plain, _asked(counts, plain, list(probabilities)), rows.count())
+    found = _selected(rows.select(*plain, "value"), plain, _asked(counts, plain, list(probabilities)), total)
     ends = found.groupBy(*plain).agg(F.map_from_entries(F.collect_list(F.struct("own", "value"))).alias("ends"))
-    at = lambda i: (F.col("n") - 1).cast("double") * float(probabilities[i])
-    low, high = (lambda i: F.col("ends")[F.lit(2 * i)]), (lambda i: F.col("ends")[F.lit(2 * i + 1)])
-    blend = lambda i: F.when(low(i) == high(i), low(i)).otherwise((F.ceil(at(i)) - at(i)) * low(i) + (at(i) - F.floor(at(i))) * high(i))
-    out = counts.join(ends, plain).select(*[F.col(v).alias(k) for v, k in zip(named, keys)], "n", F.array(*[blend(i) for i in range(len(probabilities))]).alias("q"))
-    return out if by else out.drop("__all")
+    each = [_blend(F.col("n"), p, F.col("ends")[F.lit(2 * i)], F.col("ends")[F.lit(2 * i + 1)]) for i, p in enumerate(probabilities)]
+    return counts.join(ends, plain).select(*named, "n", F.array(*each).alias("q"))
 
 
 def attach(groups: DataFrame, q: DataFrame, by: list[str], name: str = "q") -> DataFrame:

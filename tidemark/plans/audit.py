@@ -100,11 +100,14 @@ def ground_truth(frames: DataFrame, latents: Column, mixture: Column, hazards: l
     """One row per sequence from JSON latents: targets, concentration, decade, worst clipping, length."""
     mix = F.from_json(mixture, "struct<components: array<string>, weights: array<double>>")
     conc = F.from_json(latents, "struct<concentration: double>")["concentration"]
-    own = frames.select("sequence_id", "sample_id", "timestamp", "clipping_fraction", conc.alias("c"), F.array_intersect(mix["components"], F.array(*map(F.lit, hazards))).alias("t"))
+    names = sorted(set(hazards))
+    own = frames.select("sequence_id", "clipping_fraction", conc.alias("c"), mix["components"].alias("m"))
     out = own.groupBy("sequence_id").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("t")))).alias("targets"), F.exp(F.avg(F.ln("c"))).alias("concentration"),
+        *[F.max(F.array_contains("m", name)).alias(f"__t{i}") for i, name in enumerate(names)], F.exp(F.avg(F.ln("c"))).alias("concentration"),
         F.max("clipping_fraction").alias("max_clipping"), F.count("*").alias("n_frames"),
     )
+    targets = F.array_compact(F.array(*[F.when(F.col(f"__t{i}"), F.lit(name)) for i, name in enumerate(names)]))
+    out = out.withColumn("targets", targets).drop(*[f"__t{i}" for i in range(len(names))])
     out = attach(out, quantiles(frames, "clipping_fraction", [0.5], ["sequence_id"]), ["sequence_id"])
     out = out.withColumn("median_clipping", F.col("q")[0]).drop("q")
     decade = F.floor(F.log10("concentration") + 1e-12).cast("int")
