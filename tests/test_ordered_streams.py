@@ -68,3 +68,29 @@ def test_sequences_share_state_and_batches_have_several_files(spark, monkeypatch
     assert {r.sample_id: (r.action, r.value) for r in on_time.collect()} == want
     seen = stateful.to_table(replayed.select("*", F.input_file_name().alias("file"))).select("file", F.regexp_extract("file", r"batch=(\d)", 1).alias("batch"))
     assert {r.batch: r.n for r in seen.groupBy("batch").agg(F.count_distinct("file").alias("n")).collect()} == {"0": 4, "1": 4, "2": 4, "3": 1}
+
+
+def test_state_of_a_group_is_a_few_packed_tables(spark, monkeypatch):
+    """Rows of state are Arrow tables as bytes: values are not handed over one by one, and nulls come back as they went."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ordered, "PACK", 4)
+    schema = ordered._schema(ordered.Steps.waiting_shape)
+    rows = [(f"s{i % 3}", float(i), f"{i:03d}", None if i % 2 else "HOLD", None if i % 5 == 0 else i / 7) for i in range(10)]
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    packed = ordered._pack(table)
+    assert [type(x) for (x,) in packed] == [bytes] * 3 and list(ordered._rows(ordered._unpack(packed, schema))) == rows
+    assert ordered._unpack([], schema).num_rows == 0
+
+
+def test_chain_steps_on_plain_numbers():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    model = {"initial": rng.dirichlet(np.ones(4)), "transition": rng.dirichlet(np.ones(4), 4), "emission": rng.dirichlet(np.ones(4), 4)}
+    step, state, p = stateful.chain(model)[0], None, None
+    for x in rng.integers(0, 4, 50):
+        p = (model["initial"] if p is None else p @ model["transition"]) * model["emission"][:, x]
+        p = p / p.sum()
+        state, _, value = step(state, float(x))
+        assert state == pytest.approx(p.tolist()) and value == state[0] and all(type(v) is float for v in state)

@@ -1,8 +1,8 @@
 """Stream operators over rows that arrive in any order, by `transformWithStateInPandas`.
 
-Sequences are dealt to BUCKETS groups by a hash, which have state and a timer each, and rows are packed into a few rows of arrays, as every
-call for state and every row in it costs much whatever it holds. Rows of a group wait in list state until the watermark has passed them; an event-time timer then releases them in the
-order of (timestamp, sample_id) within each sequence, so a stream in many shuffled batches gives what the batch operator gives. A row that the
+Sequences are dealt to BUCKETS groups by a hash, which have state and a timer each, and rows are packed into a few
+Arrow tables as bytes, as every call for state, every row in it and every value in a row costs much. Rows of a group
+wait in list state until the watermark has passed them; an event-time timer then releases them in the order of (timestamp, sample_id) within each sequence, so a stream in many shuffled batches gives what the batch operator gives. A row that the
 watermark had passed before it came is late: it leaves at once, marked, and touches no state; none is dropped. A group
 keeps one timer, at the earliest thing due. Rows of CLOCK only move the watermark.
 
@@ -13,7 +13,10 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from itertools import groupby
+from operator import itemgetter
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,17 +45,38 @@ def _passed(timers) -> float:
     return timers.getCurrentWatermarkInMs() or -math.inf
 
 
-def _arrays(shape: str) -> str:
-    return ", ".join("{} array<{}>".format(*c.split()) for c in shape.split(", "))
+def _schema(shape: str):
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import StructType
 
+    return to_arrow_schema(StructType.fromDDL(shape))
 
-def _pack(rows: list[tuple]) -> list[tuple]:
-    return [tuple(map(list, zip(*rows[i : i + PACK]))) for i in range(0, len(rows), PACK)]
 
+def _pack(table) -> list[tuple]:
+    """An Arrow table as rows of state, each of PACK rows of it at most."""
+    import pyarrow as pa
 
-def _unpack(packed) -> Iterator[tuple]:
-    for columns in packed:
-        yield from zip(*columns)
+    out = []
+    for i in range(0, table.num_rows, PACK):
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as writer:
+            writer.write_table(table.slice(i, PACK))
+        out.append((sink.getvalue().to_pybytes(),))
+    return out
+
+
+def _unpack(packed, schema):
+    import pyarrow as pa
+
+    tables = []
+    for (own,) in packed:
+        with pa.ipc.open_stream(own) as reader:
+            tables.append(reader.read_all())
+    return pa.concat_tables(tables) if tables else schema.empty_table()
+
+
+def _rows(table) -> Iterator[tuple]:
+    return zip(*(c.to_pylist() for c in table.columns))
 
 
 class _InOrder(StatefulProcessor):
@@ -64,12 +88,17 @@ class _InOrder(StatefulProcessor):
     columns: list[str]
 
     def __init__(self, state_shape: str) -> None:
-        self.state_shape = state_shape
+        self.waiting_schema, self.held_schema = _schema(self.waiting_shape), _schema(f"sequence_id string, {state_shape}")
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", _arrays(self.waiting_shape))
-        self.held = handle.getListState("held", _arrays(f"sequence_id string, {self.state_shape}"))
+        self.waiting, self.held = handle.getListState("waiting", "packed binary"), handle.getListState("held", "packed binary")
+
+    def frames(self, key: str, state: tuple | None, rows: list[tuple], out: list) -> tuple | None:
+        """What the frames of a sequence that are released together do, in their order."""
+        for row in rows:
+            state = self.frame(key, self.expire(key, state, row[0], out), row, out)
+        return state
 
     def frame(self, key: str, state: tuple | None, row: tuple, out: list) -> tuple | None:
         raise NotImplementedError
@@ -85,7 +114,7 @@ class _InOrder(StatefulProcessor):
         raise NotImplementedError
 
     def _frame(self, rows: list) -> pd.DataFrame:
-        return pd.DataFrame(rows, columns=self.columns)
+        return pd.DataFrame(dict(zip(self.columns, map(list, zip(*rows)))))
 
     def _alarm(self, waiting_first: float | None, states) -> None:
         at = min((_ms(t) for t in (waiting_first, *map(self.due, states)) if t is not None), default=None)
@@ -96,19 +125,23 @@ class _InOrder(StatefulProcessor):
             self.handle.registerTimer(at)
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        import pyarrow as pa
+
         passed, out, new = _passed(timerValues), [], []
         for batch in rows:
-            for row in batch[["sequence_id", "timestamp", "sample_id", "action", "score"]].itertuples(index=False, name=None):
-                if row[0] == CLOCK:
-                    continue
-                row = (row[0], float(row[1]), row[2], row[3], None if pd.isna(row[4]) else float(row[4]))
-                if _ms(row[1]) <= passed:
+            own = batch.loc[batch["sequence_id"] != CLOCK, self.waiting_schema.names]
+            late = np.floor(own["timestamp"].to_numpy(float) * 1000) <= passed
+            if late.any():
+                for row in own[late].itertuples(index=False, name=None):
+                    row = (row[0], float(row[1]), row[2], row[3], None if pd.isna(row[4]) else float(row[4]))
                     out.append(self.late(row[0], row[1:]))
-                else:
-                    new.append(row)
+                own = own[~late]
+            if len(own):
+                new.append(pa.Table.from_pandas(own, schema=self.waiting_schema, preserve_index=False))
         if new:
+            new = pa.concat_tables(new)
             self.waiting.appendList(_pack(new))
-            first, timers = min(r[1] for r in new), list(self.handle.listTimers())
+            first, timers = min(new["timestamp"].to_pylist()), list(self.handle.listTimers())
             if not timers or _ms(first) < min(timers):
                 for timer in timers:
                     self.handle.deleteTimer(timer)
@@ -117,31 +150,32 @@ class _InOrder(StatefulProcessor):
             yield self._frame(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        passed, out, ready, rest = _passed(timerValues), [], {}, []
-        for r in _unpack(self.waiting.get()):
-            if _ms(r[1]) <= passed:
-                ready.setdefault(r[0], []).append((r[1], r[2], r[3], r[4]))
-            else:
-                rest.append(r)
-        before = {r[0]: r[1:] for r in _unpack(self.held.get())}
+        import pyarrow as pa
+
+        passed, out = _passed(timerValues), []
+        waiting = _unpack(self.waiting.get(), self.waiting_schema)
+        over = np.floor(waiting["timestamp"].to_numpy() * 1000) <= passed
+        rest = waiting.filter(pa.array(~over))
+        due = waiting.filter(pa.array(over)).sort_by([(c, "ascending") for c in ("sequence_id", "timestamp", "sample_id")])
+        ready = {k: [r[1:] for r in rows] for k, rows in groupby(_rows(due), itemgetter(0))}
+        before = {r[0]: r[1:] for r in _rows(_unpack(self.held.get(), self.held_schema))}
         after = {}
         for sequence in before | ready:
-            state = before.get(sequence)
-            for row in sorted(ready.get(sequence, ()), key=lambda r: r[:2]):
-                state = self.frame(sequence, self.expire(sequence, state, row[0], out), row, out)
+            state = self.frames(sequence, before.get(sequence), ready.get(sequence, ()), out)
             state = self.expire(sequence, state, passed / 1000, out)
             if state is not None:
                 after[sequence] = state
         if ready:
-            if rest:
+            if rest.num_rows:
                 self.waiting.put(_pack(rest))
             else:
                 self.waiting.clear()
         if not after:
             self.held.clear()
         elif after != before:
-            self.held.put(_pack([(sequence, *state) for sequence, state in after.items()]))
-        self._alarm(min((r[1] for r in rest), default=None), after.values())
+            columns = zip(*((sequence, *state) for sequence, state in after.items()))
+            self.held.put(_pack(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.held_schema)], schema=self.held_schema)))
+        self._alarm(min(rest["timestamp"].to_pylist(), default=None), after.values())
         if out:
             yield self._frame(out)
 
@@ -158,9 +192,11 @@ class Steps(_InOrder):
         self.step, shape = operator
         super().__init__(shape)
 
-    def frame(self, key, state, row, out):
-        state, action, value = self.step(state, row[3])
-        out.append((key, row[0], row[1], action, float(value), False))
+    def frames(self, key, state, rows, out):
+        step = self.step
+        for t, i, _, x in rows:
+            state, action, value = step(state, x)
+            out.append((key, t, i, action, float(value), False))
         return state
 
     def late(self, key, row):

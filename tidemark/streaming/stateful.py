@@ -91,17 +91,23 @@ def two_state(eta: float):
 def chain(model: dict):
     """Filter of a fitted chain (`operators.hmm`) over discrete observations, which stand in score. State: the posterior.
     value: that of the first state."""
+    from operator import mul
+
     import numpy as np
 
     from tidemark.operators.hmm import EPS
 
     n = len(model["initial"])
     start, move, seen = (np.clip(np.asarray(model[k], float), EPS, None) for k in ("initial", "transition", "emission"))
+    # plain numbers: an array of so few costs more than what is done with it
+    start, into, seen = start.tolist(), move.T.tolist(), seen.T.tolist()
 
     def step(state, x):
-        p = (np.asarray(state) @ move if state else start) * seen[:, int(x)]
-        p = p / p.sum()
-        return tuple(p.tolist()), "CONFIRM" if p[0] >= 0.85 else "HOLD", float(p[0])
+        ahead = [sum(map(mul, state, own)) for own in into] if state else start
+        p = list(map(mul, ahead, seen[int(x)]))
+        total = sum(p)
+        p = tuple([v / total for v in p])
+        return p, "CONFIRM" if p[0] >= 0.85 else "HOLD", p[0]
 
     return step, ", ".join(f"p{k} double" for k in range(n))
 
