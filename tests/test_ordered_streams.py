@@ -94,3 +94,37 @@ def test_chain_steps_on_plain_numbers():
         p = p / p.sum()
         state, _, value = step(state, float(x))
         assert state == pytest.approx(p.tolist()) and value == state[0] and all(type(v) is float for v in state)
+
+
+def test_rows_are_packed_before_the_shuffle(spark, monkeypatch):
+    """What is shuffled and handed to the operator is a packed table for each group, whatever its rows."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(ordered, "PACK", 4)
+    schema = ordered._schema(ordered.Steps.waiting_shape)
+    rows = [(None if i % 4 == 3 else f"s{i % 4}", float(i), f"{i:03d}", "HOLD", float("nan") if i == 5 else float(i)) for i in range(20)] + [(ordered.CLOCK, 99.0, "", None, None)]
+    table = pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
+    table = table.add_column(0, "bucket", pa.array([i % 4 % 2 for i in range(20)] + [1], pa.int32()))
+    out = [r for b in ordered._dealt(table.to_batches(max_chunksize=3)) for r in b.to_pylist()]
+    assert [r["bucket"] for r in out] == [0, 0, 0, 1, 1, 1]
+    back = [(r["bucket"], *x) for r in out for x in ordered._rows(ordered._unpack([(r["packed"],)], schema))]
+    want = [(i % 4 % 2, *r[:4], None if i == 5 else r[4]) for i, r in enumerate(rows[:20])]
+    assert sorted(back, key=lambda r: r[3]) == want
+
+
+def test_stores_go_by_cores_and_rows_without_a_sequence_stay(spark, monkeypatch, tmp_path):
+    from tidemark.sources import frames
+
+    monkeypatch.setattr(frames, "scratch", lambda spark, name: f"{tmp_path}/{name}")
+    df = _frames(spark, n=3, length=20).withColumn("sequence_id", F.when(F.col("sequence_id") != "s1", F.col("sequence_id")))
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 30)
+        on_time, late = ordered.split_late(ordered.run(ordered.replay(df, 9.0, 2), stateful.hysteresis(120.0, 30.0, 3), "9 seconds"))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == "30"
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+    assert len([p for p in (tmp_path / "stream/state/state/0").iterdir() if p.name.isdigit()]) == 8
+    want = {r.sample_id: (r.sequence_id, r.action) for r in folds.hysteresis(df, 120.0, 30.0, 3).collect()}
+    assert late.count() == 0 and {r.sample_id: (r.sequence_id, r.action) for r in on_time.collect()} == want
+    assert any(s is None for s, _ in want.values())

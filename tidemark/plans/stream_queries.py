@@ -97,7 +97,7 @@ def stream_alarm_events_by_clock(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All alarm events of a shuffled stream: ended by a HOLD, or by an hour without a frame."""
     action = F.when(F.col("score") > 150, "CONFIRM").when(F.col("score") > 60, "RESCAN").otherwise("HOLD")
     actions = _replayed(spark, sf_dir, 3600.0).withColumn("action", action)
-    out = stateful.to_table(ordered.alarm_events(actions, 3600.0, f"{LATENESS} seconds")).filter(F.col("sequence_id") != ordered.CLOCK)
+    out = ordered.table(ordered.alarm_events(actions, 3600.0, f"{LATENESS} seconds"))
     return out.select("sequence_id", "start_sample_id", "end_sample_id", F.round("max_score", 6).alias("max_score"), "closed_by")
 
 

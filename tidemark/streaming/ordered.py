@@ -1,11 +1,15 @@
 """Stream operators over rows that arrive in any order, by `transformWithStateInPandas`.
 
 Sequences are dealt to BUCKETS groups by a hash, which have state and a timer each, and rows are packed into a few
-Arrow tables as bytes, as every call for state, every row in it and every value in a row costs much. Rows of a group
+Arrow tables as bytes, as every call for state, every row in it and every value in a row costs much. They are packed
+before they are shuffled, as every row that is handed to the operator costs as much again. Rows of a group
 wait in list state until the watermark has passed them; an event-time timer then releases them in the order of (timestamp, sample_id) within each sequence, so a stream in many shuffled batches gives what the batch operator gives. A row that the
 watermark had passed before it came is late: it leaves at once, marked, and touches no state; none is dropped. A group
 keeps one timer, at the earliest thing due. Rows of CLOCK only move the watermark.
 
+Every partition of the state is a store that each batch opens and commits, whatever it holds, so there are as many as
+the cores ask for (`stores`), not as many as a shuffle of a large table has.
+
 The column that carries the watermark is projected away above it: Spark then keeps the watermark for timers, but doesn't
 take late rows out before the operator sees them. State is kept by RocksDB, as list state needs it."""
 
@@ -14,11 +18,10 @@ from __future__ import annotations
 import math
 from collections.abc import Callable, Iterator
 from itertools import groupby
-from operator import itemgetter
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -31,8 +34,10 @@ CLOCK = "\x00clock"
 BUCKETS = 1024
 #: Rows that are packed into one of state.
 PACK = 10_000
+#: Rows that are gathered to be packed by group.
+GATHER = 1_000_000
 #: Rows of a file of a replayed table, about.
-ROWS = 1_000_000
+ROWS = 250_000
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -75,8 +80,67 @@ def _unpack(packed, schema):
     return pa.concat_tables(tables) if tables else schema.empty_table()
 
 
+def _list(column) -> list:
+    """The values of a column; by way of NumPy unless it would make numbers of nulls."""
+    import pyarrow as pa
+
+    if column.null_count and not pa.types.is_string(column.type):
+        return column.to_pylist()
+    return column.to_numpy().tolist()
+
+
 def _rows(table) -> Iterator[tuple]:
-    return zip(*(c.to_pylist() for c in table.columns))
+    return zip(*map(_list, table.columns))
+
+
+def _runs(keys: list) -> Iterator[tuple]:
+    """(key, from, to) of each stretch of equal keys."""
+    at = 0
+    for key, own in groupby(keys):
+        start, at = at, at + sum(1 for _ in own)
+        yield key, start, at
+
+
+def _over(table, passed: float) -> np.ndarray:
+    """Which rows the watermark has passed."""
+    return np.floor(table["timestamp"].to_numpy() * 1000) <= passed
+
+
+def _first(table) -> float | None:
+    import pyarrow.compute as pc
+
+    return pc.min(table["timestamp"]).as_py()
+
+
+def _dealt(batches):
+    """Rows with their group as one packed table, or a few, for each group of GATHER rows; those of CLOCK are left out, as
+    the watermark has seen them below."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def packs(held: list):
+        table = pa.Table.from_batches(held)
+        table = table.filter(pc.fill_null(pc.not_equal(table["sequence_id"], CLOCK), True))
+        if table["timestamp"].null_count:
+            raise ValueError("a frame without a timestamp has no place in the order")
+        # a score that is no number is none
+        score = pc.if_else(pc.is_nan(table["score"]), pa.scalar(None, pa.float64()), table["score"])
+        table = table.set_column(table.schema.get_field_index("score"), "score", score).sort_by("bucket").combine_chunks()
+        rows = table.drop_columns(["bucket"])
+        out = [(key, own) for key, a, b in _runs(_list(table["bucket"])) for (own,) in _pack(rows.slice(a, b - a))]
+        for i in range(0, len(out), 64):
+            keys, own = zip(*out[i : i + 64])
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(own, pa.binary())], ["bucket", "packed"])
+
+    held, n = [], 0
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        if n >= GATHER:
+            yield from packs(held)
+            held, n = [], 0
+    if n:
+        yield from packs(held)
 
 
 class _InOrder(StatefulProcessor):
@@ -94,11 +158,18 @@ class _InOrder(StatefulProcessor):
         self.handle = handle
         self.waiting, self.held = handle.getListState("waiting", "packed binary"), handle.getListState("held", "packed binary")
 
-    def frames(self, key: str, state: tuple | None, rows: list[tuple], out: list) -> tuple | None:
-        """What the frames of a sequence that are released together do, in their order."""
-        for row in rows:
-            state = self.frame(key, self.expire(key, state, row[0], out), row, out)
-        return state
+    def release(self, due, states: dict, passed: float) -> pd.DataFrame | None:
+        """What the frames that are released together do, which are in order: their output. `states` is brought up to date."""
+        out, rows = [], list(zip(*map(_list, due.columns[1:])))
+        ready = {key: (a, b) for key, a, b in _runs(_list(due["sequence_id"]))}
+        for key in states | ready:
+            state = states.pop(key, None)
+            for row in rows[slice(*ready.get(key, (0, 0)))]:
+                state = self.frame(key, self.expire(key, state, row[0], out), row, out)
+            state = self.expire(key, state, passed / 1000, out)
+            if state is not None:
+                states[key] = state
+        return self._frame(out) if out else None
 
     def frame(self, key: str, state: tuple | None, row: tuple, out: list) -> tuple | None:
         raise NotImplementedError
@@ -127,57 +198,43 @@ class _InOrder(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         import pyarrow as pa
 
-        passed, out, new = _passed(timerValues), [], []
-        for batch in rows:
-            own = batch.loc[batch["sequence_id"] != CLOCK, self.waiting_schema.names]
-            late = np.floor(own["timestamp"].to_numpy(float) * 1000) <= passed
-            if late.any():
-                for row in own[late].itertuples(index=False, name=None):
-                    row = (row[0], float(row[1]), row[2], row[3], None if pd.isna(row[4]) else float(row[4]))
-                    out.append(self.late(row[0], row[1:]))
-                own = own[~late]
-            if len(own):
-                new.append(pa.Table.from_pandas(own, schema=self.waiting_schema, preserve_index=False))
-        if new:
-            new = pa.concat_tables(new)
+        own = _unpack([(x,) for batch in rows for x in batch["packed"]], self.waiting_schema)
+        late = _over(own, _passed(timerValues))
+        new = own.filter(pa.array(~late))
+        if new.num_rows:
             self.waiting.appendList(_pack(new))
-            first, timers = min(new["timestamp"].to_pylist()), list(self.handle.listTimers())
-            if not timers or _ms(first) < min(timers):
+            at, timers = _ms(_first(new)), list(self.handle.listTimers())
+            if not timers or at < min(timers):
                 for timer in timers:
                     self.handle.deleteTimer(timer)
-                self.handle.registerTimer(_ms(first))
-        if out:
-            yield self._frame(out)
+                self.handle.registerTimer(at)
+        if late.any():
+            yield self._frame([self.late(row[0], row[1:]) for row in _rows(own.filter(pa.array(late)))])
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         import pyarrow as pa
 
-        passed, out = _passed(timerValues), []
+        passed = _passed(timerValues)
         waiting = _unpack(self.waiting.get(), self.waiting_schema)
-        over = np.floor(waiting["timestamp"].to_numpy() * 1000) <= passed
+        over = _over(waiting, passed)
         rest = waiting.filter(pa.array(~over))
         due = waiting.filter(pa.array(over)).sort_by([(c, "ascending") for c in ("sequence_id", "timestamp", "sample_id")])
-        ready = {k: [r[1:] for r in rows] for k, rows in groupby(_rows(due), itemgetter(0))}
-        before = {r[0]: r[1:] for r in _rows(_unpack(self.held.get(), self.held_schema))}
-        after = {}
-        for sequence in before | ready:
-            state = self.frames(sequence, before.get(sequence), ready.get(sequence, ()), out)
-            state = self.expire(sequence, state, passed / 1000, out)
-            if state is not None:
-                after[sequence] = state
-        if ready:
+        states = {r[0]: r[1:] for r in _rows(_unpack(self.held.get(), self.held_schema))}
+        before = dict(states)
+        out = self.release(due, states, passed)
+        if due.num_rows:
             if rest.num_rows:
                 self.waiting.put(_pack(rest))
             else:
                 self.waiting.clear()
-        if not after:
+        if not states:
             self.held.clear()
-        elif after != before:
-            columns = zip(*((sequence, *state) for sequence, state in after.items()))
+        elif states != before:
+            columns = zip(*((sequence, *state) for sequence, state in states.items()))
             self.held.put(_pack(pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(columns, self.held_schema)], schema=self.held_schema)))
-        self._alarm(min(rest["timestamp"].to_pylist(), default=None), after.values())
-        if out:
-            yield self._frame(out)
+        self._alarm(_first(rest), states.values())
+        if out is not None:
+            yield out
 
     def close(self) -> None:
         pass
@@ -192,12 +249,19 @@ class Steps(_InOrder):
         self.step, shape = operator
         super().__init__(shape)
 
-    def frames(self, key, state, rows, out):
-        step = self.step
-        for t, i, _, x in rows:
-            state, action, value = step(state, x)
-            out.append((key, t, i, action, float(value), False))
-        return state
+    def release(self, due, states, passed):
+        step, scores, actions, values = self.step, _list(due["score"]), [], []
+        for key, a, b in _runs(_list(due["sequence_id"])):
+            state = states.get(key)
+            for x in scores[a:b]:
+                state, action, value = step(state, x)
+                actions.append(action)
+                values.append(value)
+            states[key] = state
+        if not actions:
+            return None
+        out = due.select(["sequence_id", "timestamp", "sample_id"]).to_pandas()
+        return out.assign(action=actions, value=np.array(values, float), late=False)
 
     def late(self, key, row):
         return (key, row[0], row[1], None, None, True)
@@ -245,7 +309,18 @@ def _transform(frames: DataFrame, processor: _InOrder, shape: str, lateness: str
     timed = frames.select("sequence_id", F.col("timestamp").cast("double"), "sample_id", action.alias("action"), F.col("score").cast("double"), at.alias("at")).withWatermark("at", lateness)
     group = F.pmod(F.xxhash64("sequence_id"), F.lit(BUCKETS)).cast("int").alias("bucket")
     rows = timed.select(group, "sequence_id", "timestamp", "sample_id", "action", "score")
-    return rows.groupBy("bucket").transformWithStateInPandas(processor, shape, "append", "EventTime")
+    packed = rows.mapInArrow(_dealt, "bucket int, packed binary")
+    return packed.groupBy("bucket").transformWithStateInPandas(processor, shape, "append", "EventTime")
+
+
+def stores(spark: SparkSession) -> int:
+    """Partitions of the state: two for each core, or as many as a shuffle has if that is less."""
+    return min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(2 * spark.sparkContext.defaultParallelism, 8))
+
+
+def table(stream: DataFrame) -> DataFrame:
+    """What a stream of this module gives of all that is there now."""
+    return to_table(stream, stores(stream.sparkSession))
 
 
 def run(frames: DataFrame, operator: tuple[Callable, str], lateness: str = "0 seconds") -> DataFrame:
@@ -292,5 +367,5 @@ def replay(frames: DataFrame, lateness: float, batches: int, silence: float = 0.
 
 def split_late(stream: DataFrame) -> tuple[DataFrame, DataFrame]:
     """What `run` gives of all that is there now, as two tables: on time, and late."""
-    out = to_table(stream).filter(F.col("sequence_id") != CLOCK)
+    out = table(stream)
     return out.filter("NOT late").drop("late"), out.filter("late").select("sequence_id", "timestamp", "sample_id")

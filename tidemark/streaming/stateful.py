@@ -157,13 +157,20 @@ def alarm_events(actions: DataFrame, silence: float, lateness: str = "0 seconds"
     return timed.groupBy("sequence_id").applyInPandasWithState(group, EVENTS, _OPEN, "append", GroupStateTimeout.EventTimeTimeout)
 
 
-def to_table(stream: DataFrame) -> DataFrame:
-    """What a stream gives of all that is there now, by way of files in the shared folder."""
+def to_table(stream: DataFrame, stores: int | None = None) -> DataFrame:
+    """What a stream gives of all that is there now, by way of files in the shared folder. Its state has so many
+    partitions if they are given, else as many as a shuffle."""
     from tidemark.sources.frames import scratch
 
     spark = stream.sparkSession
     path = scratch(spark, "stream")
-    query = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
+    writer = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True)
+    width = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", stores or width)  # a stream keeps what holds when it starts
+        query = writer.start()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{path}/out")
 
