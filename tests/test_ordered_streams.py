@@ -128,3 +128,20 @@ def test_stores_go_by_cores_and_rows_without_a_sequence_stay(spark, monkeypatch,
     want = {r.sample_id: (r.sequence_id, r.action) for r in folds.hysteresis(df, 120.0, 30.0, 3).collect()}
     assert late.count() == 0 and {r.sample_id: (r.sequence_id, r.action) for r in on_time.collect()} == want
     assert any(s is None for s, _ in want.values())
+
+
+def _due(processor, rows):
+    import pyarrow as pa
+
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), processor.waiting_schema)], schema=processor.waiting_schema)
+
+
+def test_alarms_released_together_give_one_frame_of_events(spark):
+    """The frames of a group's sequences are handed over as columns; open events go on from, and into, the states."""
+    rng, processor = random.Random(11), ordered.Alarms(3.0)
+    rows = sorted((f"s{k}", float(t), f"{k}{t:03d}", rng.choice(["HOLD", "CONFIRM", "RESCAN", "RESCAN"]), 1.0) for k in range(3) for t in rng.sample(range(60), 30))
+    states, got = {}, []
+    for low, high in ((-1.0, 20.0), (20.0, 45.0), (45.0, 99.0)):
+        out = processor.release(_due(processor, [r for r in rows if low < r[1] <= high]), states, high * 1000)
+        got += [] if out is None else list(zip(out["sequence_id"], out["start_sample_id"], out["end_sample_id"], out["closed_by"]))
+    assert not states and Counter(got) == alarms([r[:4] for r in rows], 3.0)
