@@ -145,3 +145,19 @@ def test_alarms_released_together_give_one_frame_of_events(spark):
         out = processor.release(_due(processor, [r for r in rows if low < r[1] <= high]), states, high * 1000)
         got += [] if out is None else list(zip(out["sequence_id"], out["start_sample_id"], out["end_sample_id"], out["closed_by"]))
     assert not states and Counter(got) == alarms([r[:4] for r in rows], 3.0)
+
+
+def test_steps_released_together_keep_states_apart(spark):
+    step, shape = stateful.two_state(0.1)
+    processor, rng = ordered.Steps((step, shape)), random.Random(5)
+    rows = [(f"s{k}", float(t), f"{k}{t:02d}", None, rng.gauss(0, 1)) for k in range(3) for t in range(12)]
+    states, got, want = {}, {}, {}
+    for low, high in ((0, 5), (5, 12)):
+        out = processor.release(_due(processor, [r for r in rows if low <= r[1] < high]), states, high * 1000.0)
+        got |= dict(zip(out["sample_id"], out["value"]))
+    for k in range(3):
+        state = None
+        for r in rows[12 * k : 12 * k + 12]:
+            state, _, want[r[2]] = step(state, r[4])
+        assert states[f"s{k}"] == state
+    assert got == want
