@@ -171,3 +171,19 @@ def test_time_breaks_with_long_ids_and_ties(spark, tmp_path):
     for name, order in (("b", tied), ("c", tied[::-1])):
         spark.createDataFrame(order, df.schema).coalesce(1).write.parquet(f"{tmp_path}/{name}/events.parquet")
         assert [tuple(r) for r in contract_queries.time_breaks(spark, f"{tmp_path}/{name}").collect()] == [("1", 1)]
+
+
+def test_time_breaks_with_an_id_missing(spark, tmp_path):
+    """A frame without a place stands last, as SQL has it."""
+    import datetime
+
+    import duckdb
+
+    from tidemark.plans import contract_queries, registry
+
+    day = datetime.datetime(2024, 1, 1)
+    rows = [(e, day + datetime.timedelta(seconds=s), u, "click", 0.5, None) for u, order in ((1, ((None, 9), (1, 2), (2, 5))), (2, ((None, 1), (3, 2), (4, 5))), (None, ((5, 3), (6, 1)))) for e, s in order]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    duckdb.sql(f"CREATE OR REPLACE VIEW events AS SELECT * FROM read_parquet('{tmp_path}/events.parquet/*.parquet')")
+    want = duckdb.sql(registry.ORACLES["time_breaks"]).fetchall()
+    assert set(map(tuple, contract_queries.time_breaks(spark, str(tmp_path)).collect())) == set(want) == {("2", 1), (None, 1)}

@@ -89,8 +89,9 @@ def common_types(df: DataFrame, ids: tuple[str, ...] = ("sequence_id", "sample_i
 
 
 def time_breaks(frames: DataFrame, ties: tuple[str, ...] = ()) -> DataFrame:
-    """Rows whose time is before that of the row before them in the stated order of `position`, then of the columns ties."""
-    w = Window.partitionBy("sequence_id").orderBy("position", *ties)
+    """Rows whose time is before that of the row before them in the stated order of `position`, then of the columns ties;
+    nulls come last, as in SQL."""
+    w = Window.partitionBy("sequence_id").orderBy(*map(F.asc_nulls_last, ("position", *ties)))
     return frames.withColumn("before", F.lag("timestamp").over(w)).filter("before > timestamp")
 
 
