@@ -105,3 +105,33 @@ def test_floats_stay_floats(spark, sides):
     g = short.blocks.select("block", F.expr("cast(repeat(decode(unhex('00'), 'UTF-8'), 8 * n) as binary)").alias("v"))
     got, want = (dict(clouds.by_point(c, clouds.soft_min(c, short, g, 1.0), "v").collect()) for c in (short, long))
     assert got == pytest.approx(want, abs=1e-12)
+
+
+def test_median_of_all_costs(spark, sides, monkeypatch):
+    """The median is that of all pairs, wherever the search begins and however many passes it takes."""
+    x, y = sides
+    h, b = clouds.cloud(_table(spark, x), "id", "x", 16), clouds.cloud(_table(spark, y), "id", "x", 20)
+    want = np.median(transport.squared_cost(x, y))
+    for near in ((0.0, 0.0), (0.9 * want, 1.1 * want), (2 * want, 3 * want), (0.1 * want, 0.2 * want), (want, want)):
+        assert clouds.median_cost(h, b, near) == pytest.approx(want, rel=1e-13)
+    monkeypatch.setattr(clouds, "TAKEN", 0)
+    assert clouds.median_cost(h, b, (0.9 * want, 1.1 * want)) == pytest.approx(want, rel=1e-13)
+    # ties, all or half of them: the two middle costs lie far apart in the second
+    cloud = lambda rows: clouds.cloud(_table(spark, np.array(rows, float)), "id", "x", 2)
+    assert clouds.median_cost(cloud([[0.0]] * 4), cloud([[3.0]] * 5)) == 9 and clouds.median_cost(cloud([[0.0]] * 4), cloud([[0.0]] * 3)) == 0
+    assert clouds.median_cost(cloud([[0.0]] * 4), cloud([[1.0]] * 3 + [[3.0]] * 3)) == 5
+
+
+@pytest.mark.parametrize("name", ["distance_of_clouds", "transport_of_clouds"])
+def test_regularisation_is_of_all_pairs(spark, tmp_path, monkeypatch, name):
+    """Which vectors are references changes no result."""
+    import duckdb
+
+    from tidemark.plans import registry, trial_queries
+
+    duckdb.sql(f"COPY (SELECT * FROM '/root/testdata/sf0.001/embeddings.parquet' WHERE vec_id < 120) TO '{tmp_path}/embeddings.parquet' (FORMAT parquet)")
+    duckdb.sql(f"CREATE OR REPLACE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet'")
+    monkeypatch.setattr(trial_queries, "REFERENCES", 4)
+    got = sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
+    for a, b in zip(got, sorted(duckdb.sql(registry.ORACLES[name]).fetchall()), strict=True):
+        assert a[:-1] == b[:-1] and a[-1] == pytest.approx(b[-1], abs=2e-5)

@@ -26,6 +26,10 @@ SPREAD, HELD = 6, 32
 FAN = 64
 #: Turns whose potentials are mixed to the next one.
 DEPTH = 6
+#: Rows and columns of a strip of costs: few enough to stay in a core's cache.
+STRIP = 128, 1024
+#: Ranges of costs that a pass tells apart, and costs that the driver takes at most, in the search for a median.
+BINS, TAKEN = 1 << 16, 1 << 18
 
 
 @dataclass(frozen=True)
@@ -71,10 +75,17 @@ def cloud(df: DataFrame, ident: str, vector: str, block: int = BLOCK) -> Cloud:
 
 
 def _strips(x, y):
-    """Costs of x to y, as many rows of x at a time as the bound on cells allows."""
-    size = max(1, transport.CELLS // len(y))
-    for i in range(0, len(x), size):
-        yield slice(i, i + size), transport.squared_cost(x[i : i + size], y)
+    """Costs of x to y, a strip at a time: where it is, as two slices, and the costs."""
+    import numpy as np
+
+    rows, columns = STRIP
+    left = np.concatenate([-2 * x, (x * x).sum(1)[:, None], np.ones((len(x), 1))], 1)
+    right = np.concatenate([y, np.ones((len(y), 1)), (y * y).sum(1)[:, None]], 1)
+    for j in range(0, len(y), columns):
+        part = np.ascontiguousarray(right[j : j + columns].T)
+        for i in range(0, len(x), rows):
+            cost = left[i : i + rows] @ part
+            yield (slice(i, i + rows), slice(j, j + columns)), np.maximum(cost, 0.0, out=cost)
 
 
 def _points(x: bytes, n: int, kind: str):
@@ -124,8 +135,8 @@ def _soft(batches: Iterator, level: float, kinds: tuple[str, str], cols: int) ->
         for block, x, _ in mine:
             top, total = np.full(len(x), -np.inf), np.zeros(len(x))
             for _, y, v in theirs:
-                for at, cost in _strips(x, y):
-                    a = np.subtract(v[None], cost, out=cost)
+                for (at, to), cost in _strips(x, y):
+                    a = np.subtract(v[None, to], cost, out=cost)
                     a /= level
                     high = np.maximum(top[at], a.max(1))
                     a -= high[:, None]
@@ -147,6 +158,104 @@ def _merged(pdf):
     return pd.DataFrame({"block": pdf["block"].iloc[:1].to_numpy(), "other": pdf["group"].iloc[:1].to_numpy(), "top": [high.tobytes()], "total": [total.tobytes()]})
 
 
+#: A number above those of all finite costs.
+_END = 0x7FF0000000000000
+
+
+def _between(batches: Iterator, low: int, high: int, kinds: tuple[str, str]) -> Iterator:
+    """Of each tile, a part at a time: how many costs are below low, and the numbers of those from low up to high. The bits of
+    a double that is not negative are a number of the same order."""
+    import numpy as np
+
+    ends = np.array([low, high], np.int64).view(float)
+    for _, mine, theirs in _met(batches, kinds):
+        for _, x, _ in mine:
+            for _, y, _ in theirs:
+                below, found, held = 0, [], 0
+                for _, cost in _strips(x, y):
+                    under = cost < ends[0]
+                    below += int(np.count_nonzero(under))
+                    inside = cost < ends[1]
+                    inside &= ~under
+                    found.append(cost[inside])
+                    held += len(found[-1])
+                    if held >= TAKEN:
+                        yield below, np.concatenate(found).view(np.int64)
+                        below, found, held = 0, [], 0
+                yield below, np.concatenate([*found, np.zeros(0)]).view(np.int64)
+
+
+def _counted(batches: Iterator, low: int, high: int, shift: int, kinds: tuple[str, str]) -> Iterator:
+    """How many costs are in each range of 2 ** shift numbers from low up to high; range -1: those below."""
+    import numpy as np
+    import pandas as pd
+
+    total, counts = 0, np.zeros(((high - 1 - low) >> shift) + 1, np.int64)
+    for below, found in _between(batches, low, high, kinds):
+        total += below
+        counts += np.bincount((found - low) >> shift, minlength=len(counts))
+    at = np.flatnonzero(counts)
+    yield pd.DataFrame({"bin": np.append(at, -1), "n": np.append(counts[at], total)})
+
+
+def _listed(batches: Iterator, low: int, high: int, kinds: tuple[str, str]) -> Iterator:
+    """Distinct costs from low up to high, as numbers, with how often each is there; number -1: those below."""
+    import numpy as np
+    import pandas as pd
+
+    for below, found in _between(batches, low, high, kinds):
+        bins, n = np.unique(found, return_counts=True)
+        yield pd.DataFrame({"bin": np.append(bins, -1), "n": np.append(n, below)})
+
+
+def _ends(batches: Iterator, edge: int, kinds: tuple[str, str]) -> Iterator:
+    """The greatest cost below the edge and the least from it on, of each tile."""
+    import numpy as np
+    import pandas as pd
+
+    cut = np.array([edge], np.int64).view(float)[0]
+    for _, mine, theirs in _met(batches, kinds):
+        for _, x, _ in mine:
+            for _, y, _ in theirs:
+                pairs = [(cost[cost < cut].max(initial=-np.inf), cost[cost >= cut].min(initial=np.inf)) for _, cost in _strips(x, y)]
+                yield pd.DataFrame([(max(a for a, _ in pairs), min(b for _, b in pairs))], columns=["under", "over"])
+
+
+def median_cost(h: Cloud, b: Cloud, near: tuple[float, float] = (0.0, 0.0)) -> float:
+    """The median of the costs of all pairs of two clouds, by counting them in ranges that close in on it: every pass makes all
+    costs again and keeps none. near: where the median may be, which can save passes and changes nothing else."""
+    import numpy as np
+
+    n, kinds = h.n * b.n, (h.kind, b.kind)
+    ranks = (n - 1) // 2, n // 2
+    mine, theirs = (of.blocks.select("block", "n", "x", F.lit(None).cast("binary").alias("v")) for of in (h, b))
+    tiles = lambda: _tiles(mine, theirs, _grid((h.parts, b.parts)))
+
+    def summed(f, **how) -> tuple:
+        rows = tiles().mapInPandas(partial(f, kinds=kinds, **how), "bin long, n long").groupBy("bin").agg(F.sum("n").alias("n")).toPandas().sort_values("bin")
+        return rows["bin"].to_numpy(), np.cumsum(rows["n"].to_numpy())
+
+    low, high = (int(k) for k in np.array(near, float).view(np.int64))
+    if not 0 <= low < high < _END:
+        low, high = 0, _END
+    while True:
+        shift = max(0, (high - low - 1).bit_length() - BINS.bit_length() + 1)
+        bins, upto = summed(_counted, low=low, high=high, shift=shift)
+        cuts = lambda k: (0, low) if k < 0 else (low + (k << shift), min(low + (k + 1 << shift), high))  # noqa: B023, E731
+        own = [cuts(int(bins[i])) if i < len(bins) else (high, _END) for i in np.searchsorted(upto, ranks, "right")]
+        if own[0] != own[1]:  # one ends a range, the other begins one
+            two = tiles().mapInPandas(partial(_ends, edge=own[1][0], kinds=kinds), "under double, over double").agg(F.max("under"), F.min("over")).first()
+            return (two[0] + two[1]) / 2
+        i = int(np.searchsorted(upto, ranks[0], "right"))
+        held = upto[i] - (upto[i - 1] if i else 0) if i < len(bins) and bins[i] >= 0 else n
+        low, high = own[0]
+        if high - low == 1:
+            return float(np.array([low], np.int64).view(float)[0])
+        if held <= TAKEN:
+            bins, upto = summed(_listed, low=low, high=high)
+            return float(bins[np.searchsorted(upto, ranks, "right")].view(float).mean())
+
+
 def _potential(batches: Iterator, level: float, size: int) -> Iterator:
     import numpy as np
     import pandas as pd
@@ -297,7 +406,7 @@ def _costs(batches: Iterator, eps: float, cells: float, kinds: tuple[str, str])
     import pandas as pd
 
     for _, mine, theirs in _met(batches, kinds):
-        parts = ((np.exp((f[at, None] + g[None] - cost) / eps) * cost).sum() for _, x, f in mine for _, y, g in theirs for at, cost in _strips(x, y))
+        parts = ((np.exp((f[at, None] + g[None, to] - cost) / eps) * cost).sum() for _, x, f in mine for _, y, g in theirs for (at, to), cost in _strips(x, y))
         yield pd.DataFrame({"cost": [float(sum(parts) / cells)]})
 
 

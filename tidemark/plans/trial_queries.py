@@ -581,11 +581,12 @@ START = 100
 
 
 def _solved(spark: SparkSession, sf_dir: str):
-    """Both sides of `embeddings` as whole clouds, with their potentials at half the median cost of the references."""
+    """Both sides of `embeddings` as whole clouds, with their potentials at half the median cost of all pairs. References
+    tell where to begin, with the median as with the potentials, and nothing else."""
     rows = read_table(spark, sf_dir, "embeddings")
     near = transport.references(rows, "vec_id", "embedding", F.col("label") < 3, REFERENCES)
     h, b = (clouds.cloud(rows.filter((F.col("label") < 3) == hazard), "vec_id", "embedding") for hazard in (True, False))
-    eps = 0.5 * float(np.median(transport.squared_cost(*near)))
+    eps = 0.5 * clouds.median_cost(h, b, tuple(np.quantile(transport.squared_cost(*near), (0.47, 0.53))))
     start = clouds.starting([side[:START] for side in near], eps, b)
     return h, b, *clouds.potentials(h, b, eps, start, 1e-8)[:2], eps
 
