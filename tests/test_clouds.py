@@ -135,3 +135,14 @@ def test_regularisation_is_of_all_pairs(spark, tmp_path, monkeypatch, name):
     got = sorted(map(tuple, registry.QUERIES[name](spark, str(tmp_path)).collect()))
     for a, b in zip(got, sorted(duckdb.sql(registry.ORACLES[name]).fetchall()), strict=True):
         assert a[:-1] == b[:-1] and a[-1] == pytest.approx(b[-1], abs=2e-5)
+
+
+def test_coordinates_of_own_points(spark, solved, sides, monkeypatch):
+    """Both clouds' points and others at once, as one by one; each side is put against itself alone."""
+    h, b, eps, f, g, _ = solved
+    rest = clouds.cloud(_table(spark, np.random.default_rng(9).normal(size=(11, 3)), 5000), "id", "x", 4)
+    want = {r.id: r.coordinate for of in (h, b, rest) for r in clouds.coordinate(of, h, b, f, g, eps).collect()}
+    assert dict(clouds.coordinates(h, b, f, g, eps, rest).collect()) == pytest.approx(want, abs=1e-8)
+    met, plain = [], clouds.soft_min
+    monkeypatch.setattr(clouds, "soft_min", lambda points, other, *a: met.append((points.n, other.n)) or plain(points, other, *a))
+    assert clouds.coordinates(h, b, f, g, eps).count() == 145 and met == [(60, 60), (85, 85)]

@@ -127,23 +127,32 @@ def _met(batches: Iterator, kinds: tuple[str, str]) -> Iterator:
 
 
 def _soft(batches: Iterator, level: float, kinds: tuple[str, str], cols: int) -> Iterator:
-    """Of each tile: for every point of its first side the greatest exponent and the sum of exponentials below it."""
+    """Of each tile: for every point of its first side the greatest exponent and the sum of exponentials below it. One product
+    of a strip gives its exponents, up to the norms of the first side's points, which are set off at the end."""
     import numpy as np
     import pandas as pd
 
+    rows, columns = STRIP
     for tile, mine, theirs in _met(batches, kinds):
-        for block, x, _ in mine:
+        parts = []
+        while theirs:
+            _, y, v = theirs.pop()
+            right = np.concatenate([y, ((v - (y * y).sum(1)) / level)[:, None]], 1).T
+            parts += [np.ascontiguousarray(right[:, j : j + columns]) for j in range(0, right.shape[1], columns)]
+        buffer = np.empty(rows * columns)
+        for block, x, _ in mine if parts else ():
             top, total = np.full(len(x), -np.inf), np.zeros(len(x))
-            for _, y, v in theirs:
-                for (at, to), cost in _strips(x, y):
-                    a = np.subtract(v[None, to], cost, out=cost)
-                    a /= level
+            left = np.concatenate([x * (2 / level), np.ones((len(x), 1))], 1)
+            for i in range(0, len(x), rows):
+                at, own = slice(i, i + rows), left[i : i + rows]
+                for part in parts:
+                    a = np.matmul(own, part, out=buffer[: len(own) * part.shape[1]].reshape(len(own), -1))
                     high = np.maximum(top[at], a.max(1))
                     a -= high[:, None]
                     total[at] = total[at] * np.exp(top[at] - high) + np.exp(a, out=a).sum(1)
                     top[at] = high
-            if theirs:
-                yield pd.DataFrame({"block": [block], "other": [tile % cols], "top": [top.tobytes()], "total": [total.tobytes()]})
+            top -= (x * x).sum(1) / level
+            yield pd.DataFrame({"block": [block], "other": [tile % cols], "top": [top.tobytes()], "total": [total.tobytes()]})
 
 
 def _merged(pdf):
@@ -331,7 +340,8 @@ def starting(references, eps: float, b: Cloud) -> DataFrame:
 
 
 def potentials(h: Cloud, b: Cloud, eps: float, start: DataFrame | None = None, tolerance: float = 1e-6, sweeps: int = 200, trace: list | None = None) -> tuple[DataFrame, DataFrame, float]:
-    """Entropic potentials on both clouds as tables (block, v), with marginals within the tolerance (L1), and the error.
+    """Entropic potentials on both clouds as tables (block, v), with marginals within the tolerance (L1), and the error. The
+    one on h is the soft minimum of the one on b, whose table also has the soft minimum of the one on h, as `met`.
 
     Scaling in turns: after h's side is set its marginals are right, and the next step of b's side says how far b's are, so
     the certificate costs no pass of its own. The next potential on b is the mixture of the last DEPTH ones whose change is
@@ -355,7 +365,9 @@ def potentials(h: Cloud, b: Cloud, eps: float, start: DataFrame | None = None, t
         if trace is not None:
             trace.append({"sweep": sweep, "marginal_l1": error})
         if error <= tolerance:
-            return f, past.select("block", F.element_at("old", 1).alias("v")), error
+            last = partial(_mixed, weights=[1.0])
+            met = past.mapInPandas(last, "block int, v binary").withColumnRenamed("v", "met")
+            return f, materialize(past.select("block", F.element_at("old", 1).alias("v")).join(met, "block"), "potential"), error
         weights = _weights(np.array(total[1:]).reshape(depth, depth)) if error <= 100 * best else [1.0]
         best = min(best, error)
         g = past.mapInPandas(partial(_mixed, weights=weights), "block int, v binary")
@@ -377,27 +389,52 @@ def by_point(points: Cloud, potential: DataFrame, name: str) -> DataFrame:
     return flat.select(F.explode(F.arrays_zip("ids", "v")).alias("p")).select(F.col("p.ids").alias("id"), F.col("p.v").alias(name))
 
 
-def coordinate(points: Cloud, h: Cloud, b: Cloud, f: DataFrame, g: DataFrame, eps: float) -> DataFrame:
-    """How much farther each point is from b's side than from h's: id, coordinate, centred on both clouds."""
+def _less(v: DataFrame, w: DataFrame) -> DataFrame:
+    """Differences of two tables (block, v)."""
     import numpy as np
 
-    def away(of: Cloud) -> DataFrame:
-        return soft_min(of, b, g, eps).join(soft_min(of, h, f, eps).withColumnRenamed("v", "w"), "block")
-
     def less(batches: Iterator) -> Iterator:
         import pandas as pd
 
         for p in batches:
             yield pd.DataFrame({"block": p["block"], "v": [(np.frombuffer(v) - np.frombuffer(w)).tobytes() for v, w in zip(p["v"], p["w"])]})
 
+    return v.select("block", "v").join(w.select("block", F.col("v").alias("w")), "block").mapInPandas(less, "block int, v binary")
+
+
+def _own(h: Cloud, b: Cloud, f: DataFrame, g: DataFrame, eps: float) -> tuple[DataFrame, DataFrame, float]:
+    """How much farther each cloud's points are from b's side than from h's, and the mean over both. What a potential is on the
+    other side is there since it was solved; only each side against itself is worked out."""
+
     def summed(batches: Iterator) -> Iterator:
+        import numpy as np
         import pandas as pd
 
         for p in batches:
-            yield pd.DataFrame({"s": [float((np.frombuffer(v) - np.frombuffer(w)).sum()) for v, w in zip(p["v"], p["w"])]})
+            yield pd.DataFrame({"s": [float(np.frombuffer(v).sum()) for v in p["v"]]})
+
+    own = materialize(_less(f, soft_min(h, h, f, eps)), "coordinate"), materialize(_less(soft_min(b, b, g.select("block", "v"), eps), g.select("block", F.col("met").alias("v"))), "coordinate")
+    return *own, own[0].unionAll(own[1]).mapInPandas(summed, "s double").agg(F.sum("s")).first()[0] / (h.n + b.n)
+
 
-    centre = sum(away(of).mapInPandas(summed, "s double").agg(F.sum("s")).first()[0] for of in (h, b)) / (h.n + b.n)
-    return by_point(points, away(points).mapInPandas(less, "block int, v binary"), "coordinate").withColumn("coordinate", F.col("coordinate") - centre)
+def _away(points: Cloud, h: Cloud, b: Cloud, f: DataFrame, g: DataFrame, eps: float) -> DataFrame:
+    return _less(soft_min(points, b, g.select("block", "v"), eps), soft_min(points, h, f, eps))
+
+
+def coordinate(points: Cloud, h: Cloud, b: Cloud, f: DataFrame, g: DataFrame, eps: float) -> DataFrame:
+    """How much farther each point is from b's side than from h's: id, coordinate, centred on both clouds. f and g as
+    `potentials` gives them."""
+    *_, centre = _own(h, b, f, g, eps)
+    return by_point(points, _away(points, h, b, f, g, eps), "coordinate").withColumn("coordinate", F.col("coordinate") - centre)
+
+
+def coordinates(h: Cloud, b: Cloud, f: DataFrame, g: DataFrame, eps: float, rest: Cloud | None = None) -> DataFrame:
+    """`coordinate` of both clouds' own points, and of those of neither."""
+    of_h, of_b, centre = _own(h, b, f, g, eps)
+    out = by_point(h, of_h, "coordinate").unionAll(by_point(b, of_b, "coordinate"))
+    if rest is not None:
+        out = out.unionAll(by_point(rest, _away(rest, h, b, f, g, eps), "coordinate"))
+    return out.withColumn("coordinate", F.col("coordinate") - centre)
 
 
 def _costs(batches: Iterator, eps: float, cells: float, kinds: tuple[str, str]) -> Iterator:

@@ -613,8 +613,9 @@ def distance_of_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def coordinate_of_clouds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The transport coordinate of every vector by the potentials of all vectors, not of references."""
     h, b, f, g, eps = _solved(spark, sf_dir)
-    points = clouds.cloud(read_table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
-    return clouds.coordinate(points, h, b, f, g, eps).select(F.col("id").alias("vec_id"), F.round("coordinate", 6).alias("coordinate"))
+    rest = read_table(spark, sf_dir, "embeddings").filter("label IS NULL")
+    rest = None if rest.isEmpty() else clouds.cloud(rest, "vec_id", "embedding")
+    return clouds.coordinates(h, b, f, g, eps, rest).select(F.col("id").alias("vec_id"), F.round("coordinate", 6).alias("coordinate"))
 
 
 @query(f"""WITH RECURSIVE c AS (SELECT 'benign' AS g, count(*) AS n, count(*) FILTER (s_acctbal > 9900) AS k FROM supplier UNION ALL SELECT p_brand || '|decade=-2', count(*), count(*) FILTER (p_retailprice > 1400) FROM part GROUP BY p_brand), {_exact("c")}
